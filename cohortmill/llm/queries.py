@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortmill.llm import language_id, mixing
+from cohortmill.llm import language_id, mixing, store, toxicity
 
 #: Target weights of the sources in op7; sources that aren't named weigh 1.
 SOURCE_WEIGHTS = {"src0": 4.0, "src1": 3.0, "src2": 2.0}
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    store.importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -31,10 +32,17 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs, SOURCE_WEIGHTS).select("doc_id", "source", "mix.*")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    model = toxicity.train(docs.where(fold(5) != 0), labels.where(fold(5) != 0))
+    return toxicity.score(docs, model).select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries():
     return {
         "op1_language_id": op1_language_id,
         "op7_source_mixing": op7_source_mixing,
+        "op8_toxicity": op8_toxicity,
     }
 
 

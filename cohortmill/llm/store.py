@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,3 +39,12 @@ def drop(df: DataFrame | None) -> None:
         spark = df.sparkSession
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it (on a cluster: --py-files or an image)."""
+    root = str(Path(__file__).resolve().parents[2])
+    env = spark.sparkContext.environment
+    paths = [x for x in env.get("PYTHONPATH", "").split(":") if x]
+    if root not in paths:
+        env["PYTHONPATH"] = ":".join([root, *paths])
