@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortmill.llm import language_id, mixing, store, toxicity
+from cohortmill.llm import language_id, mixing, quality_mil, store, toxicity
 
 #: Target weights of the sources in op7; sources that aren't named weigh 1.
 SOURCE_WEIGHTS = {"src0": 4.0, "src1": 3.0, "src2": 2.0}
@@ -38,11 +38,18 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    model = quality_mil.train(docs.where(fold(3) != 1), labels.where(fold(3) != 1))
+    return quality_mil.score(docs, model).select("doc_id", (fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries():
     return {
         "op1_language_id": op1_language_id,
         "op7_source_mixing": op7_source_mixing,
         "op8_toxicity": op8_toxicity,
+        "op9_quality": op9_quality,
     }
 
 
