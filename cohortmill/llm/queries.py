@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortmill.llm import language_id, mixing, quality_mil, store, toxicity
+from cohortmill.llm import language_id, mixing, quality_mil, secret_scan, store, toxicity
 
 #: Target weights of the sources in op7; sources that aren't named weigh 1.
 SOURCE_WEIGHTS = {"src0": 4.0, "src1": 3.0, "src2": 2.0}
@@ -27,6 +27,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(_read(spark, sf_dir, "documents")))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "source")
     return mixing.mix_sources(docs, SOURCE_WEIGHTS).select("doc_id", "source", "mix.*")
@@ -47,6 +51,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries():
     return {
         "op1_language_id": op1_language_id,
+        "op3_secret_scan": op3_secret_scan,
         "op7_source_mixing": op7_source_mixing,
         "op8_toxicity": op8_toxicity,
         "op9_quality": op9_quality,
