@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortmill.llm import language_id, mixing, quality_mil, secret_scan, store, toxicity
+from cohortmill.llm import language_id, mixing, quality_mil, secret_scan, store, topk, toxicity
 
 #: Target weights of the sources in op7; sources that aren't named weigh 1.
 SOURCE_WEIGHTS = {"src0": 4.0, "src1": 3.0, "src2": 2.0}
@@ -48,6 +48,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_mil.score(docs, model).select("doc_id", (fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def queries():
     return {
         "op1_language_id": op1_language_id,
@@ -55,8 +59,20 @@ def queries():
         "op7_source_mixing": op7_source_mixing,
         "op8_toxicity": op8_toxicity,
         "op9_quality": op9_quality,
+        "op10_topk": op10_topk,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op10_topk": """
+            WITH v AS (
+              SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS q FROM embeddings
+              WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+            ), s AS (
+              SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+              FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 20 = 0
+            ), r AS (
+              SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+            ) SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    }
