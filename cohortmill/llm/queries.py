@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortmill.llm import language_id, mixing, quality_mil, secret_scan, store, topk, toxicity
+from cohortmill.llm import language_id, lattice_lm, mixing, quality_mil, secret_scan, store, topk, toxicity
 
 #: Target weights of the sources in op7; sources that aren't named weigh 1.
 SOURCE_WEIGHTS = {"src0": 4.0, "src1": 3.0, "src2": 2.0}
 
+#: Vocabulary whose pieces op5 weighs.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     store.importable(spark)
@@ -31,6 +34,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(_read(spark, sf_dir, "documents")))
 
 
+def op5_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score(_read(spark, sf_dir, "documents"), fold(5) == 1, VOCABULARY)
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "source")
     return mixing.mix_sources(docs, SOURCE_WEIGHTS).select("doc_id", "source", "mix.*")
@@ -56,6 +63,7 @@ def queries():
     return {
         "op1_language_id": op1_language_id,
         "op3_secret_scan": op3_secret_scan,
+        "op5_lattice_lm": op5_lattice_lm,
         "op7_source_mixing": op7_source_mixing,
         "op8_toxicity": op8_toxicity,
         "op9_quality": op9_quality,
