@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortmill.llm import language_id, lattice_lm, mixing, quality_mil, secret_scan, store, topk, toxicity
+from cohortmill.llm import language_id, lattice_lm, mixing, quality_mil, secret_scan, sharding, store, topk, toxicity
 
 #: Target weights of the sources in op7; sources that aren't named weigh 1.
 SOURCE_WEIGHTS = {"src0": 4.0, "src1": 3.0, "src2": 2.0}
@@ -34,6 +34,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(_read(spark, sf_dir, "documents")))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.score(_read(spark, sf_dir, "documents"), fold(5) == 1, VOCABULARY)
 
@@ -63,6 +67,7 @@ def queries():
     return {
         "op1_language_id": op1_language_id,
         "op3_secret_scan": op3_secret_scan,
+        "op4_sharding": op4_sharding,
         "op5_lattice_lm": op5_lattice_lm,
         "op7_source_mixing": op7_source_mixing,
         "op8_toxicity": op8_toxicity,
