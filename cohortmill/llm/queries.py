@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortmill.llm import language_id, lattice_lm, mixing, quality_mil, secret_scan, sharding, store, topk, toxicity
+from cohortmill.llm import decontamination, language_id, lattice_lm, mixing, quality_mil, secret_scan, sharding, store, topk, toxicity
 
 #: Target weights of the sources in op7; sources that aren't named weigh 1.
 SOURCE_WEIGHTS = {"src0": 4.0, "src1": 3.0, "src2": 2.0}
@@ -30,6 +30,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(_read(spark, sf_dir, "documents")))
 
@@ -66,6 +70,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries():
     return {
         "op1_language_id": op1_language_id,
+        "op2_decontamination": op2_decontamination,
         "op3_secret_scan": op3_secret_scan,
         "op4_sharding": op4_sharding,
         "op5_lattice_lm": op5_lattice_lm,
