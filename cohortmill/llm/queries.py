@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortmill.llm import decontamination, language_id, lattice_lm, mixing, quality_mil, secret_scan, sharding, store, topk, toxicity
+from cohortmill.llm import decontamination, language_id, lattice_lm, mixing, parity_join, quality_mil, secret_scan, sharding, store, topk, toxicity
 
 #: Target weights of the sources in op7; sources that aren't named weigh 1.
 SOURCE_WEIGHTS = {"src0": 4.0, "src1": 3.0, "src2": 2.0}
@@ -46,6 +46,10 @@ def op5_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.score(_read(spark, sf_dir, "documents"), fold(5) == 1, VOCABULARY)
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.similar_components(_read(spark, sf_dir, "documents"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "source")
     return mixing.mix_sources(docs, SOURCE_WEIGHTS).select("doc_id", "source", "mix.*")
@@ -74,6 +78,7 @@ def queries():
         "op3_secret_scan": op3_secret_scan,
         "op4_sharding": op4_sharding,
         "op5_lattice_lm": op5_lattice_lm,
+        "op6_jaccard_join": op6_jaccard_join,
         "op7_source_mixing": op7_source_mixing,
         "op8_toxicity": op8_toxicity,
         "op9_quality": op9_quality,
