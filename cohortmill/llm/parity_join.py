@@ -325,3 +325,10 @@ def similar_components(docs: DataFrame, n: int = 5) -> DataFrame:
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
     named = known.join(least, "root").select("vertex", "component_id")
     return table.select("doc_id", "n_shingles", "vertex").join(named, "vertex", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, n: int = 5) -> DataFrame:
+    """The rows of docs, all columns, whose doc_id is the smallest of its component; one row of each id."""
+    kept = store.materialize(similar_components(docs, n).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_times")), "jaccard-kept")
+    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
+    return out.dropDuplicates(["doc_id"]) if kept.where("_times > 1").limit(1).count() else out

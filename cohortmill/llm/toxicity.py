@@ -359,3 +359,15 @@ def score(docs: DataFrame, model: ToxicityModel, spans: bool = False) -> DataFra
 
     more = ", matches array<struct<begin:long,term:string,edits:int,quoted:boolean,aimed:boolean>>" if spans else ""
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double{more}")
+
+
+def without_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, whose score is below the threshold."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            x, _ = features(batch.column(batch.schema.get_field_index("text")), held.value.lexicon)
+            yield batch.filter(pa.array(held.value.score(x) < threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
