@@ -1,11 +1,726 @@
-"""The registered queries of the analytics operators, each with its SQL."""
+"""The registered queries of the analytics operators over the driver's tables, each with its SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cohortmill.functions import cleaning, sqlutils, windows
+from cohortmill.operators import domain, dq, identity, marts, segment, staging
+from cohortmill.plans import adapter as A
+from cohortmill.plans.catalog import TEMPLATES
+from cohortmill.sources import sinks
 
-def oracle_sql():
-    return {}
+AS_OF = A.AS_OF
+Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        key = name or f.__name__
+        Q[key] = f
+        if sql:
+            SQL[key] = sql
+        return f
+
+    return add
+
+
+def _lines(s, d):
+    return A.bill_lines(s, d)
+
+
+# -- staging ---------------------------------------------------------------------------------------------------------
+
+
+@query(A.head("bl") + " SELECT mobile_number, bill_id, line_item_no, article, bill_date, gross_sale_value, total_discount, sales_return, delivery_channel, weekend_flag, wednesday_flag, first_week_flag, last_week_flag, first_half_flag, day_of_week FROM bl")
+def bill_lines_flags(s, d):
+    return _lines(s, d).select("mobile_number", "bill_id", "line_item_no", "article", "bill_date", "gross_sale_value", "total_discount", "sales_return", "delivery_channel", "weekend_flag", "wednesday_flag", "first_week_flag", "last_week_flag", "first_half_flag", "day_of_week")
+
+
+_RAW = "SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN '+91' || m WHEN 1 THEN '91' || m WHEN 2 THEN substr(m, 1, 5) || ' ' || substr(m, 6) WHEN 3 THEN 'X' WHEN 4 THEN ' ' || m || ' ' ELSE substr(m, 1, 5) END AS raw FROM (SELECT c_custkey, '9' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS m FROM customer)"
+
+
+@query(f"""WITH r AS ({_RAW}), d AS (SELECT *, trim(raw) AS t, regexp_replace(trim(raw), '[^0-9]', '', 'g') AS g FROM r),
+  p AS (SELECT *, CASE WHEN length(g) > 10 THEN regexp_replace(regexp_replace(t, '^\\+?91', ''), '[^0-9]', '', 'g') ELSE g END AS n FROM d)
+  SELECT c_custkey, CASE WHEN t IN ('', '-', 'X', '0') THEN NULL WHEN length(n) = 10 THEN n END AS pos, CASE WHEN length(regexp_replace(raw, '[^0-9]', '', 'g')) = 10 THEN regexp_replace(regexp_replace(raw, '^\\+91', ''), '[^0-9]', '', 'g') END AS crm,
+  CASE WHEN length(g) = 10 THEN g ELSE raw END AS spine, CASE WHEN length(g) > 10 AND g LIKE '91%' THEN substr(g, 3) ELSE g END AS phone FROM p""")
+def mobile_normalize(s, d):
+    m = A.mobile("c_custkey")
+    k = F.col("c_custkey") % 6
+    raw = F.when(k == 0, F.concat(F.lit("+91"), m)).when(k == 1, F.concat(F.lit("91"), m)).when(k == 2, F.concat(F.substring(m, 1, 5), F.lit(" "), F.substring(m, 6, 9))).when(k == 3, "X").when(k == 4, F.concat(F.lit(" "), m, F.lit(" "))).otherwise(F.substring(m, 1, 5))
+    r = A.table(s, d, "customer").select("c_custkey", raw.alias("raw"))
+    c = F.col("raw")
+    return r.select("c_custkey", cleaning.mobile_pos(c).alias("pos"), cleaning.mobile_crm(c).alias("crm"), cleaning.mobile_or_raw(c).alias("spine"), cleaning.phone(c).alias("phone"))
+
+
+@query("""SELECT CAST(x AS DATE) AS date_day, year(x) AS year, quarter(x) AS quarter, month(x) AS month, weekofyear(x) AS iso_week, day(x) AS day, dayofweek(x) AS dow, monthname(x) AS month_name, dayname(x) AS day_name, dayofweek(x) IN (0, 6) AS is_weekend,
+  year(x - INTERVAL 3 MONTH) AS fiscal_year, quarter(x - INTERVAL 3 MONTH) AS fiscal_quarter FROM (SELECT unnest(generate_series(TIMESTAMP '2018-01-01', TIMESTAMP '2026-12-31', INTERVAL 1 DAY)) AS x)""")
+def date_dim(s, d):
+    return staging.date_dimension(s)
+
+
+# -- marts -----------------------------------------------------------------------------------------------------------
+
+_M = "CAST(sum({}) AS DECIMAL(15,2))"
+
+
+@query(A.head("bl") + f""" SELECT bill_id, mobile_number, bill_date, store_code, store_format, day_of_week, count(*) AS line_items, {_M.format('gross_sale_value')} AS bill_value, {_M.format('total_discount')} AS bill_discount, count(DISTINCT article) AS articles, bool_or(sales_return) AS has_return,
+  bool_or(promo_indicator IS NOT DISTINCT FROM 'P') AS has_promo, bool_or(weekend_flag) AS weekend_flag, bool_or(wednesday_flag) AS wednesday_flag, max(delivery_channel) AS delivery_channel, max(end_secs) - min(start_secs) AS billing_time_secs FROM bl GROUP BY 1, 2, 3, 4, 5, 6""")
+def bill_summary(s, d):
+    return marts.bill_summary(_lines(s, d))
+
+
+# Half up in whole numbers: DuckDB divides decimals as doubles.
+_RATIO = "CAST((CAST(({0}) * 100 AS HUGEINT) * 2 + {1}) // nullif(2 * {1}, 0) / 100.0 AS DECIMAL(15,2))"
+_CHANNEL = f"""ch AS (SELECT mobile_number, delivery_channel, count(DISTINCT bill_id) AS bills, count(DISTINCT bill_date) AS visits, {_M.format('gross_sale_value')} AS spend FROM bl WHERE NOT sales_return GROUP BY 1, 2)"""
+
+
+@query(A.head("bl") + f", {_CHANNEL} SELECT *, {_RATIO.format('spend', 'bills')} AS spend_per_bill, {_RATIO.format('spend', 'visits')} AS spend_per_visit FROM ch")
+def channel_summary(s, d):
+    return marts.channel_summary(_lines(s, d))
+
+
+@query(A.head("bl") + f""", {_CHANNEL} SELECT mobile_number, max(CASE WHEN delivery_channel = 'Store' THEN spend END) AS store_spend, max(CASE WHEN delivery_channel = 'Online' THEN spend END) AS online_spend,
+  max(CASE WHEN delivery_channel = 'Store' THEN bills END) AS store_bills, max(CASE WHEN delivery_channel = 'Online' THEN bills END) AS online_bills FROM ch GROUP BY 1""")
+def channel_pivot(s, d):
+    return marts.channel_pivot(marts.channel_summary(_lines(s, d)))
+
+
+@query(A.head("bl") + f" SELECT mobile_number, brick_desc, segment_desc, family_desc, count(DISTINCT bill_id) AS bills, count(DISTINCT bill_date) AS visits, {_M.format('gross_sale_value')} AS spend, CAST(sum(billed_qty) AS DECIMAL(18,3)) AS quantity FROM bl WHERE NOT sales_return GROUP BY 1, 2, 3, 4")
+def product_summary(s, d):
+    return marts.product_summary(_lines(s, d))
+
+
+@query(A.head("bl") + f""" SELECT bill_date, store_code, store_desc, store_format, region_desc, article, article_desc, brand_name, segment_desc, family_desc, delivery_channel, {_M.format('gross_sale_value')} AS gross_sales, {_M.format('total_discount')} AS discount,
+  {_M.format('gross_sale_value - total_discount')} AS net_sales, CAST(sum(billed_qty) AS DECIMAL(18,3)) AS quantity, count(DISTINCT bill_id) AS bills, count(DISTINCT mobile_number) AS customers, 'OFFLINE' AS channel FROM bl WHERE NOT sales_return GROUP BY 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11""")
+def daily_store_sales(s, d):
+    return marts.daily_store_sales(_lines(s, d))
+
+
+_BASE = f"""base AS (SELECT mobile_number, min(bill_date) AS first_bill_date, max(bill_date) AS last_bill_date, count(DISTINCT bill_id) AS total_bills, count(DISTINCT bill_date) AS total_visits, {_M.format('gross_sale_value')} AS total_spend, {_M.format('total_discount')} AS total_discount,
+  count(DISTINCT date_trunc('month', bill_date)) AS distinct_months, count(DISTINCT store_code) AS distinct_store_count, datediff('day', max(bill_date), DATE '{AS_OF}') AS recency_days, datediff('day', min(bill_date), DATE '{AS_OF}') AS tenure_days,
+  {_RATIO.format('sum(gross_sale_value)', 'count(DISTINCT bill_id)')} AS spend_per_bill, {_RATIO.format('sum(gross_sale_value)', 'count(DISTINCT bill_date)')} AS spend_per_visit, {_RATIO.format('count(*)', 'count(DISTINCT bill_id)')} AS avg_items_per_bill, count(DISTINCT article) AS distinct_article_count
+  FROM bl WHERE NOT sales_return GROUP BY 1)"""
+
+
+@query(A.head("bl") + f", {_BASE} SELECT * FROM base")
+def customer_base(s, d):
+    return marts.customer_base(_lines(s, d), AS_OF)
+
+
+_FAV_STORE = """fs AS (SELECT mobile_number, store_code AS fav_store_code, store_desc AS fav_store_name, store_format AS fav_store_type FROM (SELECT mobile_number, store_code, max(store_desc) AS store_desc, max(store_format) AS store_format,
+  row_number() OVER (PARTITION BY mobile_number ORDER BY count(DISTINCT bill_date) DESC, sum(gross_sale_value) DESC NULLS LAST, store_code) AS rn FROM bl WHERE NOT sales_return GROUP BY 1, 2) WHERE rn = 1)"""
+_FAV_DAY = """fd AS (SELECT mobile_number, day_of_week AS fav_day FROM (SELECT mobile_number, day_of_week, row_number() OVER (PARTITION BY mobile_number ORDER BY count(DISTINCT bill_id) DESC, day_of_week) AS rn FROM bl WHERE NOT sales_return GROUP BY 1, 2) WHERE rn = 1)"""
+_FAV_ART = """ag AS (SELECT mobile_number, article, max(article_desc) AS article_desc, row_number() OVER (PARTITION BY mobile_number ORDER BY sum(gross_sale_value) DESC NULLS LAST, article) AS rs, row_number() OVER (PARTITION BY mobile_number ORDER BY count(DISTINCT bill_id) DESC, article) AS rn
+  FROM bl WHERE NOT sales_return GROUP BY 1, 2), fa AS (SELECT mobile_number, max(article) FILTER (rs = 1) AS fav_article_by_spend, max(article_desc) FILTER (rs = 1) AS fav_article_by_spend_desc, max(article) FILTER (rn = 1) AS fav_article_by_nob, max(article_desc) FILTER (rn = 1) AS fav_article_by_nob_desc,
+  max(article) FILTER (rs = 2) AS second_fav_article_by_spend, max(article) FILTER (rn = 2) AS second_fav_article_by_nob FROM ag GROUP BY 1)"""
+_PRESENCE = "cp AS (SELECT mobile_number, CASE WHEN count(DISTINCT delivery_channel) > 1 THEN 'Omni' WHEN max(delivery_channel) = 'Online' THEN 'Online' ELSE 'Offline' END AS channel_presence FROM bl WHERE NOT sales_return GROUP BY 1)"
+
+
+@query(A.head("bl") + f", {_FAV_STORE} SELECT * FROM fs")
+def fav_store(s, d):
+    return marts.favourite_store(_lines(s, d))
+
+
+@query(A.head("bl") + f", {_FAV_DAY} SELECT * FROM fd")
+def fav_day(s, d):
+    return marts.favourite_day(_lines(s, d))
+
+
+@query(A.head("bl") + f", {_FAV_ART} SELECT * FROM fa")
+def fav_articles(s, d):
+    return marts.favourite_articles(_lines(s, d))
+
+
+@query(A.head("bl") + f", {_PRESENCE} SELECT * FROM cp")
+def channel_presence(s, d):
+    return marts.channel_presence(_lines(s, d))
+
+
+_FLAGS = """bs AS (SELECT bill_id, mobile_number, bill_date, bool_or(sales_return) AS r, bool_or(promo_indicator IS NOT DISTINCT FROM 'P') AS p, bool_or(weekend_flag) AS w, bool_or(wednesday_flag) AS wd, max(end_secs) - min(start_secs) AS t FROM bl GROUP BY 1, 2, 3),
+  bf AS (SELECT mobile_number, datediff('day', min(bill_date), max(bill_date)) AS dgbt_fs, coalesce(CAST((CAST(sum(t) FILTER (t > 0 AND t < 7200) AS HUGEINT) * 200 + count(*) FILTER (t > 0 AND t < 7200)) // nullif(2 * count(*) FILTER (t > 0 AND t < 7200), 0) / 100.0 AS DECIMAL(15,2)), 0) AS avg_billing_time_secs,
+  count(*) FILTER (r) AS return_bill_count, count(*) FILTER (p) AS promo_bill_count, count(*) FILTER (w) AS weekend_bill_count, count(*) FILTER (wd) AS wednesday_bill_count FROM bs GROUP BY 1)"""
+
+
+@query(A.head("bl") + f", {_FLAGS} SELECT * FROM bf")
+def bill_flags(s, d):
+    return marts.bill_flags(marts.bill_summary(_lines(s, d)))
+
+
+_BIG = "fav_store_type IN ('Large', 'LARGE', 'Hyper')"
+
+
+def _cells(spend, visits):
+    return f"CASE WHEN spend_per_bill >= {spend} AND total_visits > {visits} THEN 'HVHF' WHEN spend_per_bill < {spend} AND total_visits > {visits} THEN 'LVHF' WHEN spend_per_bill >= {spend} THEN 'HVLF' ELSE 'LVLF' END"
+
+
+_CTS = f"""{_BASE}, {_FLAGS}, {_FAV_STORE}, {_FAV_DAY}, {_FAV_ART}, {_PRESENCE}, cts AS (SELECT *, CAST(ntile(10) OVER (ORDER BY total_spend, mobile_number) AS INTEGER) AS spend_decile, CAST(ntile(10) OVER (ORDER BY total_bills, mobile_number) AS INTEGER) AS nob_decile,
+  CASE WHEN {_BIG} THEN {_cells(*A.L1['large'])} ELSE {_cells(*A.L1['small'])} END AS l1_segment,
+  CASE WHEN recency_days <= 30 AND total_visits >= CASE WHEN {_BIG} THEN 4 ELSE 5 END AND distinct_months >= 3 THEN 'STAR' WHEN recency_days <= 60 AND total_visits >= 4 AND distinct_months >= 3 THEN 'LOYAL' WHEN tenure_days <= 30 THEN 'New'
+  WHEN recency_days <= 30 AND dgbt_fs > 180 THEN 'Win Back' WHEN recency_days <= 60 THEN 'ACTIVE' WHEN recency_days <= 120 THEN 'Inactive' WHEN recency_days <= 180 THEN 'LAPSER' ELSE 'Deep Lapsed' END AS l2_segment
+  FROM base LEFT JOIN bf USING (mobile_number) LEFT JOIN fs USING (mobile_number) LEFT JOIN fd USING (mobile_number) LEFT JOIN fa USING (mobile_number) LEFT JOIN cp USING (mobile_number))"""
+
+
+def _cts(s, d, distributed=False):
+    return marts.transaction_summary(_lines(s, d), AS_OF, A.L1, distributed)
+
+
+@query(A.head("bl") + f", {_CTS} SELECT * FROM cts")
+def transaction_summary(s, d):
+    return _cts(s, d)
+
+
+@query(A.head("bl") + f", {_CTS} SELECT mobile_number, spend_decile, nob_decile FROM cts")
+def spend_deciles_distributed(s, d):
+    return _cts(s, d, True).select("mobile_number", "spend_decile", "nob_decile")
+
+
+@query(A.head("bl") + f", {_CTS} SELECT l1_segment, l2_segment, count(*) AS customers FROM cts GROUP BY 1, 2")
+def l1_l2_segments(s, d):
+    return _cts(s, d).groupBy("l1_segment", "l2_segment").agg(F.count("*").alias("customers"))
+
+
+_ONE = "one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mobile ORDER BY surrogate_id) AS rn FROM cih) WHERE rn = 1), seen AS (SELECT mobile, store_code AS pos_store FROM (SELECT *, row_number() OVER (PARTITION BY mobile ORDER BY last_bill_date DESC NULLS LAST, store_code) AS rn FROM ids) WHERE rn = 1)"
+_COLS = "display_name, NULL::VARCHAR AS first_name, NULL::VARCHAR AS last_name, email, city, pincode, region, registered_store, age, customer_group, NULL::VARCHAR AS occupation, whatsapp, dnd, NULL::VARCHAR AS gw_customer_flag, accepts_email_marketing, accepts_sms_marketing, primary_source, has_transactions"
+_UP = f"""{_ONE}, up AS (SELECT md5(mobile) AS unified_id, mobile AS canonical_mobile, coalesce(surrogate_id, 'POS_' || md5(mobile)) AS surrogate_id, name AS display_name, email, city, pincode, region, CASE WHEN surrogate_id IS NULL THEN pos_store ELSE registered_store END AS registered_store, age, customer_group, whatsapp, dnd,
+  accepts_email_marketing, accepts_sms_marketing, CASE WHEN surrogate_id IS NULL THEN 'POS' WHEN pos_store IS NOT NULL THEN 'CIH+POS' ELSE 'CIH' END AS primary_source, pos_store IS NOT NULL AS has_transactions FROM one FULL JOIN seen USING (mobile))"""
+
+
+def _profiles(s, d, strategy="cih_first"):
+    return identity.resolve(A.cih_profiles(s, d), A.bill_identifiers(s, d), strategy)
+
+
+def _behavior(s, d):
+    lines = _lines(s, d)
+    return marts.behavioral(_profiles(s, d), marts.transaction_summary(lines, AS_OF, A.L1), marts.channel_summary(lines))
+
+
+_CBA = f"""{_CTS}, {_CHANNEL}, cv AS (SELECT mobile_number, max(spend) FILTER (delivery_channel = 'Store') AS store_spend, max(spend) FILTER (delivery_channel = 'Online') AS online_spend, max(bills) FILTER (delivery_channel = 'Store') AS store_bills, max(bills) FILTER (delivery_channel = 'Online') AS online_bills FROM ch GROUP BY 1), {_UP},
+  cba AS (SELECT unified_id AS customer_id, canonical_mobile AS mobile, surrogate_id, {_COLS}, cts.* EXCLUDE (mobile_number), cv.* EXCLUDE (mobile_number),
+  CASE WHEN recency_days IS NULL THEN 'Registered' WHEN recency_days <= 30 THEN 'Active' WHEN recency_days <= 90 THEN 'At Risk' WHEN recency_days <= 180 THEN 'Lapsed' ELSE 'Churned' END AS lifecycle_stage,
+  CAST(ntile(5) OVER (ORDER BY coalesce(recency_days, 9999) DESC, unified_id) AS INTEGER) AS rfm_recency_score, CAST(ntile(5) OVER (ORDER BY coalesce(total_bills, 0), unified_id) AS INTEGER) AS rfm_frequency_score, CAST(ntile(5) OVER (ORDER BY coalesce(total_spend, 0), unified_id) AS INTEGER) AS rfm_monetary_score
+  FROM up LEFT JOIN cts ON canonical_mobile = cts.mobile_number LEFT JOIN cv ON canonical_mobile = cv.mobile_number)"""
+_ALL = A.head("bl", "cih", "ids") + ", " + _CBA
+
+
+@query(_ALL + " SELECT * FROM cba")
+def customer_behavioral(s, d):
+    return _behavior(s, d)
+
+
+@query(_ALL + " SELECT lifecycle_stage, rfm_recency_score, rfm_frequency_score, rfm_monetary_score, count(*) AS customers FROM cba GROUP BY ALL")
+def lifecycle_rfm(s, d):
+    return _behavior(s, d).groupBy("lifecycle_stage", "rfm_recency_score", "rfm_frequency_score", "rfm_monetary_score").agg(F.count("*").alias("customers"))
+
+
+@query(A.head("bl") + f", g AS (SELECT mobile_number, family_desc, count(DISTINCT bill_id) AS num_bills, {_M.format('gross_sale_value')} AS total_amount FROM bl WHERE NOT sales_return GROUP BY 1, 2) SELECT *, {_RATIO.format('total_amount', 'num_bills')} AS avg_bill_value FROM g")
+def family_nob(s, d):
+    return marts.intended_nob(_lines(s, d), "family_desc")
+
+
+@query(A.head("bl") + f", a AS (SELECT store_code, {_M.format('gross_sale_value')} AS actual FROM bl WHERE NOT sales_return GROUP BY 1), t AS (SELECT store_code, CAST(1000000 * (1 + CAST(store_code AS INTEGER)) AS DECIMAL(15,2)) AS target FROM loc) SELECT store_code, target, CAST(coalesce(actual, 0) AS DECIMAL(15,2)) AS actual, CAST(coalesce(actual, 0) AS DECIMAL(15,2)) - target AS variance, round(CAST(coalesce(actual, 0) * 100 / target AS DECIMAL(38,6)), 2)::DOUBLE AS achievement_pct FROM t LEFT JOIN a USING (store_code)")
+def target_achievement(s, d):
+    actual = marts.kept(_lines(s, d)).groupBy("store_code").agg(F.sum("gross_sale_value").cast(marts.MONEY).alias("actual"))
+    targets = A.locations(s, d).select("store_code", ((F.col("store_code").cast("int") + 1) * 1000000).cast(marts.MONEY).alias("target"))
+    return marts.target_achievement(actual, targets, ["store_code"]).withColumn("achievement_pct", F.col("achievement_pct").cast("double"))
+
+
+# -- identity --------------------------------------------------------------------------------------------------------
+
+_ID = A.head("bills", "cih", "ids")
+
+
+@query(f"{_ID}, {_UP} SELECT unified_id, canonical_mobile, surrogate_id, {_COLS} FROM up")
+def resolve_cih_first(s, d):
+    return _profiles(s, d)
+
+
+@query(f"""{_ID}, {_ONE}, up AS (SELECT md5(mobile) AS unified_id, mobile AS canonical_mobile, coalesce(surrogate_id, 'POS_' || md5(mobile)) AS surrogate_id, name AS display_name, email, city, pincode, region, coalesce(registered_store, pos_store) AS registered_store, age, customer_group, whatsapp, dnd,
+  accepts_email_marketing, accepts_sms_marketing, CASE WHEN surrogate_id IS NULL THEN 'POS' ELSE 'CIH+POS' END AS primary_source, true AS has_transactions FROM seen LEFT JOIN one USING (mobile)) SELECT unified_id, canonical_mobile, surrogate_id, {_COLS} FROM up""")
+def resolve_pos_first(s, d):
+    return _profiles(s, d, "pos_first")
+
+
+def _spine(s, d):
+    return identity.spine({"POS": A.bill_identifiers(s, d), "CIH": A.cih_profiles(s, d)})
+
+
+_SPINE = "sp AS (SELECT mobile, NULL::VARCHAR AS email, NULL::VARCHAR AS name, store_code, 'POS' AS source_system FROM ids UNION ALL SELECT mobile, email, name, NULL, 'CIH' FROM cih)"
+_EDGES = f"""{_SPINE}, e0 AS (SELECT unified_id, sp.* FROM sp JOIN up ON sp.mobile = up.canonical_mobile), ed AS (SELECT DISTINCT * FROM (SELECT unified_id, 'mobile' AS identifier_type, mobile AS identifier_value, 1.0::DOUBLE AS confidence_score, source_system FROM e0
+  UNION ALL SELECT unified_id, 'email', lower(trim(email)), 0.9, source_system FROM e0 WHERE trim(email) <> '' UNION ALL SELECT unified_id, 'name', trim(name), 0.7, source_system FROM e0 WHERE length(trim(name)) > 1 UNION ALL SELECT unified_id, 'store_affinity', store_code, 0.8, source_system FROM e0 WHERE store_code IS NOT NULL))"""
+
+
+@query(f"{_ID}, {_SPINE} SELECT *, md5(mobile) AS identifier_hash FROM sp")
+def identity_spine(s, d):
+    return _spine(s, d)
+
+
+def _edges(s, d):
+    return identity.edges(_spine(s, d), _profiles(s, d))
+
+
+@query(f"{_ID}, {_UP}, {_EDGES} SELECT * FROM ed")
+def identity_edges(s, d):
+    return _edges(s, d)
+
+
+def _graph(s, d):
+    return identity.graph_summary(_profiles(s, d), _edges(s, d))
+
+
+_GS = f"""{_EDGES}, st AS (SELECT unified_id, count(*) AS total_edge_count, count(DISTINCT identifier_type) AS distinct_id_types, count(DISTINCT source_system) AS source_system_count, string_agg(DISTINCT source_system, ', ' ORDER BY source_system) AS source_systems, count(DISTINCT identifier_value) FILTER (identifier_type = 'mobile') AS mobile_count,
+  count(DISTINCT identifier_value) FILTER (identifier_type = 'email') AS email_count, count(DISTINCT identifier_value) FILTER (identifier_type = 'store_affinity') AS store_count, round(avg(confidence_score), 4) AS avg_confidence FROM ed GROUP BY 1),
+  gs AS (SELECT unified_id, canonical_mobile, display_name, primary_source, has_transactions, round(((canonical_mobile IS NOT NULL)::INT + (email IS NOT NULL)::INT + (display_name IS NOT NULL)::INT + (pincode IS NOT NULL)::INT + (city IS NOT NULL)::INT + (age IS NOT NULL)::INT + (registered_store IS NOT NULL)::INT) / 7.0::DOUBLE, 4) AS completeness_score,
+  coalesce(total_edge_count, 0) AS total_edge_count, coalesce(distinct_id_types, 0) AS distinct_id_types, coalesce(source_system_count, 0) AS source_system_count, source_systems, coalesce(mobile_count, 0) AS mobile_count, coalesce(email_count, 0) AS email_count, coalesce(store_count, 0) AS store_count, avg_confidence FROM up LEFT JOIN st USING (unified_id))"""
+
+
+@query(f"{_ID}, {_UP}, {_GS} SELECT * FROM gs")
+def graph_summary(s, d):
+    return _graph(s, d)
+
+
+@query(f"{_ID}, {_UP}, {_GS} SELECT CASE WHEN completeness_score >= 0.8 THEN 'High' WHEN completeness_score >= 0.5 THEN 'Medium' ELSE 'Low' END AS tier, count(*) AS profiles, round(avg(total_edge_count), 4) AS avg_edges FROM gs GROUP BY 1")
+def quality_tiers(s, d):
+    return identity.quality_tiers(_graph(s, d))
+
+
+@query(f"{_ID}, {_UP} SELECT upper(trim(a.display_name)) AS name, a.pincode, a.unified_id AS id_1, b.unified_id AS id_2 FROM up2 a JOIN up2 b ON upper(trim(a.display_name)) = upper(trim(b.display_name)) AND a.pincode = b.pincode AND a.unified_id < b.unified_id".replace(", up AS", ", up AS").replace(" SELECT upper(trim(a", ", up2 AS (SELECT * REPLACE ('N' || substr(canonical_mobile, 9) AS display_name) FROM up WHERE pincode IS NOT NULL) SELECT upper(trim(a", 1))
+def merge_candidates(s, d):
+    p = _profiles(s, d).where("pincode IS NOT NULL").withColumn("display_name", F.concat(F.lit("N"), F.substr("canonical_mobile", F.lit(9))))
+    return identity.merge_candidates(p)
+
+
+@query(f"{_ID}, {_UP} SELECT lower(trim(email)) AS value, count(DISTINCT unified_id) AS profiles, array_to_string(list_sort(list(DISTINCT unified_id)), ',') AS unified_ids FROM up WHERE trim(email) <> '' GROUP BY 1 HAVING count(DISTINCT unified_id) > 1")
+def email_clusters(s, d):
+    return identity.clusters(_profiles(s, d), "email").withColumn("unified_ids", F.array_join("unified_ids", ","))
+
+
+@query("""WITH c AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'a' ELSE 'b' END AS brand, CAST(c_custkey AS VARCHAR) AS customer_id, 'u' || CAST(c_custkey // 4 AS VARCHAR) || '@x.com' AS email, '9' || lpad(CAST(c_custkey // 3 AS VARCHAR), 9, '0') AS phone FROM customer WHERE c_custkey % 5 <> 0)
+  SELECT a.brand AS brand_a, a.customer_id AS customer_a, b.brand AS brand_b, b.customer_id AS customer_b, 'email_hash' AS method, 1.0::DOUBLE AS confidence FROM c a JOIN c b ON a.email = b.email AND a.brand < b.brand
+  UNION ALL SELECT a.brand, a.customer_id, b.brand, b.customer_id, 'phone', 0.95 FROM c a JOIN c b ON a.phone = b.phone AND a.brand < b.brand""")
+def cross_brand_links(s, d):
+    k = F.col("c_custkey")
+    c = A.table(s, d, "customer").select(F.when(k % 2 == 0, "a").otherwise("b").alias("brand"), k.cast("string").alias("customer_id"), F.concat(F.lit("U"), F.floor(k / 4).cast("string"), F.lit("@x.com ")).alias("email"), F.concat(F.lit("+91 9"), F.lpad(F.floor(k / 3).cast("string"), 9, "0")).alias("phone"), (k % 5 != 0).alias("opt_in"))
+    return identity.cross_brand_links(c)
+
+
+@query(f"{_ID}, {_UP}, {_EDGES} SELECT unified_id, count(DISTINCT source_system) AS systems, string_agg(DISTINCT source_system, ', ' ORDER BY source_system) AS names FROM ed GROUP BY 1 HAVING count(DISTINCT source_system) >= 2")
+def cross_system_customers(s, d):
+    return identity.cross_system(_edges(s, d))
+
+
+@query(A.head("loc", "bills", "cih", "ids") + f", {_UP}, {_EDGES} SELECT identifier_value AS store_code, count(DISTINCT unified_id) AS customers, any_value(store_name) AS store_name, any_value(store_state) AS store_state FROM ed LEFT JOIN loc ON identifier_value = store_code WHERE identifier_type = 'store_affinity' GROUP BY 1")
+def store_affinity(s, d):
+    return identity.store_affinity(_edges(s, d), A.locations(s, d))
+
+
+@query(f"{_ID}, {_UP}, {_EDGES} SELECT up.unified_id, canonical_mobile, display_name FROM up WHERE unified_id IN (SELECT unified_id FROM ed WHERE identifier_type = 'email' AND identifier_value = 'u7@example.com')")
+def reverse_lookup(s, d):
+    return identity.reverse_lookup(_edges(s, d), _profiles(s, d), "email", "u7@example.com").select("unified_id", "canonical_mobile", "display_name")
+
+
+# -- predicates and trees --------------------------------------------------------------------------------------------
+
+
+def _brand(s, d):
+    return segment.Brand("main", {"profiles": lambda: _profiles(s, d), "behavior": lambda: _behavior(s, d), "locations": lambda: A.locations(s, d), "graph": lambda: _graph(s, d), "lines": lambda: _lines(s, d), "events": lambda: A.events(s, d)})
+
+
+def engine(s, d, dialect="pg"):
+    return segment.Engine(_brand(s, d), AS_OF, dialect)
+
+
+def attr(key, operator, value=None, second=None, **more):
+    return {"type": "attribute", "attribute_key": key, "operator": operator, "value": value, "second_value": second, **more}
+
+
+def tree(*conditions, op="and", **more):
+    return {"type": "group", "logical_operator": op, "conditions": list(conditions), **more}
+
+
+def _rule(name: str, definition: dict, where: str, dialect: str = "pg"):
+    """A query that gives the ids of a tree, and its SQL over the behaviour mart joined with profiles, graph and locations."""
+    Q[name] = lambda s, d: engine(s, d, dialect).segment(definition)
+    SQL[name] = A.head("bl", "cih", "ids") + f", {_CBA}, {_GS} SELECT customer_id FROM cba JOIN gs ON gs.unified_id = customer_id LEFT JOIN loc ON loc.store_code = registered_store WHERE {where}"
+
+
+_HIGH = A.HIGH_SPEND
+_TEMPLATE_SQL = {
+    "star-customers": "l2_segment = 'STAR'", "hvhf": "l1_segment = 'HVHF'", "at-risk-high-spenders": f"lifecycle_stage = 'At Risk' AND total_spend > {_HIGH}", "churned": "lifecycle_stage = 'Churned'", "new-first-time-buyers": "total_bills = 1 AND recency_days < 30", "weekend-shoppers": "weekend_bill_count > 3",
+    "promo-lovers": "promo_bill_count > 5", "omni-channel": "channel_presence = 'Omni'", "online-only": "channel_presence = 'Online'", "top-spend-decile": "spend_decile >= 9", "deep-lapsed-winback": "l2_segment IN ('Deep Lapsed', 'LAPSER')", "multi-store-shoppers": "distinct_store_count >= 3",
+    "sms-marketable": "(accepts_sms_marketing <> 'No' OR accepts_sms_marketing IS NULL) AND (dnd <> 'Y' OR dnd IS NULL)", "repeat-buyers-trending-up": "total_bills > 1 AND spend_decile >= 7", "cih-registered-no-purchase": "NOT cba.has_transactions AND cba.primary_source = 'CIH'",
+}
+for _name, _where in _TEMPLATE_SQL.items():
+    _def = TEMPLATES[_name]
+    if _name == "at-risk-high-spenders":
+        _def = tree(attr("lifecycle.lifecycle_stage", "equals", "At Risk"), attr("txn.total_spend", "greater_than", _HIGH))
+    _rule("template_" + _name.replace("-", "_"), _def, _where)
+
+_D = f"DATE '{AS_OF}'"
+_rule("pred_string", tree(attr("identity.primary_source", "equals", "cih+pos"), attr("demographic.name", "starts_with", "CUSTOMER#"), attr("geo.city", "contains", "ation_1"), attr("geo.city", "ends_with", "5", logical_operator="or")), "(lower(cba.primary_source) = 'cih+pos' AND lower(cba.display_name) LIKE 'customer#%' AND contains(lower(city), 'ation_1')) OR city LIKE '%5'")
+_rule("pred_in_list", tree(attr("demographic.customer_group", "in_list", ["household", "MACHINERY"]), attr("geo.city", "not_in_list", ["NATION_1", "nation_2"])), "lower(customer_group) IN ('household', 'machinery') AND (lower(city) NOT IN ('nation_1', 'nation_2') OR city IS NULL)")
+_rule("pred_numeric", tree(attr("txn.total_bills", "between", 5, 12), attr("txn.total_spend", "not_between", 100000, 500000), attr("temporal.recency_days", "less_than_or_equal", 120), attr("decile.spend_decile", "in_list", [3, 5, 7, 9])), "total_bills BETWEEN 5 AND 12 AND total_spend NOT BETWEEN 100000 AND 500000 AND recency_days <= 120 AND spend_decile IN (3, 5, 7, 9)")
+_rule("pred_date", tree(attr("temporal.last_bill_date", "in_last_n_days", 90), attr("temporal.first_bill_date", "before", "1996-01-01"), attr("temporal.last_bill_date", "day_of_week_is", 3, logical_operator="or")), f"(last_bill_date >= {_D} - 90 AND first_bill_date < DATE '1996-01-01') OR dayofweek(last_bill_date) = 3")
+_rule("pred_date_periods", tree(attr("temporal.last_bill_date", "is_this_quarter"), attr("temporal.last_bill_date", "is_this_year"), attr("temporal.first_bill_date", "is_anniversary", logical_operator="or"), attr("temporal.last_bill_date", "not_in_last_n_days", 400, logical_operator="or")), f"(date_trunc('quarter', last_bill_date) = date_trunc('quarter', {_D}) AND year(last_bill_date) = 2001) OR (month(first_bill_date) = 8 AND day(first_bill_date) = 2) OR last_bill_date < {_D} - 400")
+_rule("pred_null_safe", tree(attr("consent.dnd", "not_equals", "N"), attr("identity.email", "not_contains", "u1")), "(dnd <> 'N' OR dnd IS NULL) AND (NOT contains(email, 'u1') OR email IS NULL)")
+_rule("pred_athena_nulls", tree(attr("consent.dnd", "not_equals", "N"), attr("identity.email", "not_contains", "u1")), "dnd <> 'N' AND NOT contains(email, 'u1')", "athena")
+_rule("pred_empty", tree(attr("identity.email", "is_empty"), attr("txn.total_bills", "is_not_empty"), attr("geo.pincode", "exists")), "(email IS NULL OR email = '') AND total_bills IS NOT NULL AND pincode IS NOT NULL")
+_rule("pred_regex", tree(attr("identity.mobile", "regex_match", "^9000.*[13]$")), "regexp_matches(cba.mobile, '^9000.*[13]$')")
+_rule("group_left_fold", tree(attr("lifecycle.l1_segment", "equals", "HVHF"), attr("decile.spend_decile", "equals", 10, logical_operator="or"), attr("channel.channel_presence", "equals", "Omni", logical_operator="and"), tree(attr("geo.city", "equals", "NATION_3"), attr("geo.city", "equals", "NATION_4"), op="or", logical_operator_prefix="or")), "(((l1_segment = 'HVHF' OR spend_decile = 10) AND channel_presence = 'Omni') OR (city = 'NATION_3' OR city = 'NATION_4'))")
+_rule("negate", tree(attr("txn.total_bills", "greater_than", 8, negate=True), tree(attr("geo.city", "equals", "NATION_1"), attr("demographic.age", "less_than", 40), negate=True)), "NOT total_bills > 8 AND NOT (city = 'NATION_1' AND age < 40)")
+_rule("empty_group", tree(), "true")
+_rule("location_attributes", tree(attr("geo.store_format", "equals", "hyper"), attr("geo.zone", "not_equals", "REGION_0", logical_operator="or")), "store_format = 'Hyper' OR (lower(store_zone) <> 'region_0' OR store_zone IS NULL)")
+_rule("graph_attributes", tree(attr("identity_graph.source_system_count", "greater_than_or_equal", 2), attr("identity_graph.avg_confidence", "less_than", 0.85)), "source_system_count >= 2 AND avg_confidence < 0.85")
+_rule("bt_exists", tree(attr("bt.brand_name", "equals", "brand#7"), attr("bt.gross_sale_value", "greater_than", 90000, logical_operator="or")), "cba.mobile IN (SELECT mobile_number FROM bl WHERE brand_name = 'Brand#7') OR cba.mobile IN (SELECT mobile_number FROM bl WHERE gross_sale_value > 90000)")
+_rule("bt_not_exists", tree(attr("bt.delivery_channel", "equals", "Online", negate=True)), "cba.mobile NOT IN (SELECT mobile_number FROM bl WHERE delivery_channel = 'Online')")
+
+_EV = "(SELECT md5('9' || lpad(CAST(user_id AS VARCHAR), 9, '0')) FROM events WHERE {})"
+
+
+def ev(name, operator="has_performed", value=None, **more):
+    return {"type": "event", "event_name": name, "operator": operator, "value": value, **more}
+
+
+_rule("event_performed", tree(ev("purchase"), attr("decile.spend_decile", "equals", 1, logical_operator="or")), f"customer_id IN {_EV.format('event_type = ' + repr('purchase'))} OR spend_decile = 1")
+_rule("event_not_performed", tree(ev("signup", "has_not_performed"), ev("error")), f"customer_id NOT IN {_EV.format('event_type = ' + repr('signup'))} AND customer_id IN {_EV.format('event_type = ' + repr('error'))}")
+_rule("event_count", tree(ev("click", "performed_count_greater_than", 10)), f"customer_id IN {_EV.format('event_type = ' + repr('click') + ' GROUP BY 1 HAVING count(*) > 10')}")
+_rule("event_window", tree(ev("view", "performed_count_greater_than_or_equal", 2, time_window={"type": "between_dates", "start": "2024-01-05", "end": "2024-01-09"})), f"customer_id IN {_EV.format('event_type = ' + repr('view') + ' AND ts >= TIMESTAMP ' + repr('2024-01-05') + ' AND CAST(ts AS DATE) <= DATE ' + repr('2024-01-09') + ' GROUP BY 1 HAVING count(*) >= 2')}")
+_rule("event_props", tree(ev("click", property_filters=[{"property": "k", "operator": "greater_than", "value": 95}])), f"customer_id IN {_EV.format('event_type = ' + repr('click') + ' AND CAST(json_extract_string(props, ' + repr('$.k') + ') AS DOUBLE) > 95')}")
+_rule("event_first_last", tree(ev("error", "first_performed_before", "2024-01-03"), ev("view", "last_performed_after", "2024-01-29")), f"customer_id IN {_EV.format('event_type = ' + repr('error') + ' GROUP BY 1 HAVING min(CAST(ts AS DATE)) < DATE ' + repr('2024-01-03'))} AND customer_id IN {_EV.format('event_type = ' + repr('view') + ' GROUP BY 1 HAVING max(CAST(ts AS DATE)) > DATE ' + repr('2024-01-29'))}")
+
+
+def _with_segment(s, d):
+    e = engine(s, d)
+    e.brand.segments["churned"] = e.segment(TEMPLATES["churned"])
+    return e
+
+
+def member(segment_id, operator="is_member"):
+    return {"type": "segment_membership", "segment_id": segment_id, "operator": operator}
+
+
+@query(_ALL + " SELECT customer_id FROM cba WHERE lifecycle_stage = 'Churned' AND spend_decile >= 5")
+def segment_membership(s, d):
+    return _with_segment(s, d).segment(tree(member("churned"), attr("decile.spend_decile", "greater_than_or_equal", 5)))
+
+
+@query(_ALL + " SELECT customer_id FROM cba WHERE lifecycle_stage <> 'Churned' OR spend_decile = 1")
+def segment_not_member(s, d):
+    return _with_segment(s, d).segment(tree(member("churned", "is_not_member"), attr("decile.spend_decile", "equals", 1, logical_operator="or")))
+
+
+@query(_ALL + ", c AS (SELECT *, md5(mobile) AS corporate_id FROM cba) SELECT customer_id FROM c WHERE corporate_id IN (SELECT corporate_id FROM c WHERE spend_decile >= 8) OR city = 'NATION_2'")
+def cross_brand(s, d):
+    e = engine(s, d)
+    profiles = e.brand.table("profiles").withColumn("corporate_id", F.md5("canonical_mobile"))
+    e.brand.tables = {**e.brand.tables, "profiles": profiles}
+    e.brand.others["other"] = segment.Brand("other", e.brand.tables)
+    return e.segment(tree({"type": "cross_brand", "target_brand": "other", "condition": attr("decile.spend_decile", "greater_than_or_equal", 8)}, attr("geo.city", "equals", "NATION_2", logical_operator="or")))
+
+
+# -- audiences -------------------------------------------------------------------------------------------------------
+
+_ATRISK = TEMPLATES["churned"]
+
+
+@query(_ALL + " SELECT count(*) AS audience_count FROM cba WHERE lifecycle_stage = 'Churned'")
+def seg_count(s, d):
+    return engine(s, d).count(_ATRISK)
+
+
+@query(_ALL + " SELECT customer_id, mobile, display_name AS name, email, pincode, registered_store, city FROM cba WHERE lifecycle_stage = 'Churned' ORDER BY customer_id LIMIT 100")
+def seg_preview(s, d):
+    return engine(s, d).preview(_ATRISK)
+
+
+@query(_ALL + """ SELECT count(*) AS audience_size, coalesce(sum(total_bills), 0)::DOUBLE AS total_bills, coalesce(sum(total_spend), 0)::DOUBLE AS total_spend, coalesce(sum(total_visits), 0)::DOUBLE AS total_visits, round(avg(coalesce(total_spend, 0)::DOUBLE), 6) AS avg_spend, round(avg(coalesce(total_bills, 0)), 6) AS avg_bills,
+  round(avg(coalesce(total_visits, 0)), 6) AS avg_visits, round(sum(total_spend)::DOUBLE / sum(total_bills)::DOUBLE, 6) AS spend_per_bill, round(sum(total_spend)::DOUBLE / sum(total_visits)::DOUBLE, 6) AS spend_per_visit FROM cba WHERE lifecycle_stage = 'Churned'""")
+def seg_summary(s, d):
+    return engine(s, d).summary(_ATRISK)
+
+
+@query(_ALL + ' SELECT customer_id, total_spend AS "_txn.total_spend", CAST(row_number() OVER (ORDER BY total_spend DESC NULLS LAST, customer_id) AS INTEGER) AS rank_position FROM cba WHERE lifecycle_stage = \'Churned\' ORDER BY rank_position LIMIT 25')
+def seg_rank_topn(s, d):
+    return engine(s, d).segment({"root": _ATRISK, "rank": {"attribute_key": "txn.total_spend", "order": "desc", "limit": 25}})
+
+
+@query(_ALL + ' SELECT customer_id, total_bills AS "_txn.total_bills", row_number() OVER (ORDER BY total_bills ASC NULLS LAST, customer_id) AS rank_position FROM cba')
+def seg_rank_all(s, d):
+    return engine(s, d).segment({"root": tree(), "rank": {"attribute_key": "txn.total_bills", "order": "asc"}})
+
+
+@query(_ALL + ", t AS (SELECT customer_id, ntile(100) OVER (ORDER BY customer_id) AS b FROM cba) SELECT customer_id, CAST(CASE WHEN b <= 50 THEN 0 WHEN b <= 80 THEN 1 ELSE 2 END AS INTEGER) AS split FROM t")
+def seg_split_percent(s, d):
+    return engine(s, d).split_percent(tree(), [50, 30, 20])
+
+
+@query(_ALL + " SELECT customer_id, CASE WHEN lower(l1_segment) = 'hvhf' THEN 'HVHF' WHEN lower(l1_segment) = 'lvlf' THEN 'LVLF' ELSE 'Remainder' END AS split FROM cba")
+def seg_split_attribute(s, d):
+    return engine(s, d).split_attribute(tree(), "lifecycle.l1_segment", ["HVHF", "LVLF"])
+
+
+_SETS = [TEMPLATES["omni-channel"], TEMPLATES["top-spend-decile"], TEMPLATES["churned"]]
+_S = ["channel_presence = 'Omni'", "spend_decile >= 9", "lifecycle_stage = 'Churned'"]
+
+
+def _set(kind, s, d):
+    return engine(s, d).segment({"root": _SETS[0], "set_operation": kind, "set_members": _SETS[1:]})
+
+
+@query(_ALL + f" SELECT customer_id FROM cba WHERE {' OR '.join(_S)}")
+def set_union(s, d):
+    return _set("union", s, d)
+
+
+@query(_ALL + f" SELECT customer_id FROM cba WHERE {' AND '.join(_S)}")
+def set_overlap(s, d):
+    return _set("overlap", s, d)
+
+
+@query(_ALL + f" SELECT customer_id FROM cba WHERE {_S[0]} AND NOT coalesce({_S[1]}, false) AND NOT ({_S[2]})")
+def set_exclude(s, d):
+    return _set("exclude", s, d)
+
+
+@query(_ALL + " SELECT DISTINCT CAST(city AS VARCHAR) AS value FROM cba WHERE trim(city) <> ''")
+def distinct_values(s, d):
+    return engine(s, d).distinct_values("geo.city")
+
+
+@query(_ALL + " SELECT customer_id FROM cba ORDER BY total_spend DESC NULLS LAST, customer_id LIMIT 40")
+def seg_order_limit(s, d):
+    return engine(s, d).segment({"root": tree(), "order_by": "txn.total_spend", "order_direction": "desc", "limit": 40}).select("customer_id")
+
+
+# -- lake metrics ----------------------------------------------------------------------------------------------------
+
+
+def _transactions(s, d):
+    o = A.table(s, d, "orders")
+    k = F.col("o_orderkey")
+    return o.select(k.cast("string").alias("bill_id"), F.col("o_custkey").cast("string").alias("customer_id"), F.col("o_orderdate").cast("date").alias("bill_date"), F.when(k % 3 == 0, "online").otherwise("in_store").alias("channel"), (k % 10).cast("string").alias("store_id"), F.col("o_totalprice").alias("bill_total"), (F.col("o_totalprice") * 0.1).alias("discount_amount"), (k % 7 + 1).cast("int").alias("line_item_count"))
+
+
+_T = "t AS (SELECT CAST(o_custkey AS VARCHAR) AS customer_id, CAST(o_orderkey AS VARCHAR) AS bill_id, CAST(o_orderdate AS DATE) AS bill_date, o_orderkey % 3 <> 0 AS st, CAST(o_orderkey % 10 AS VARCHAR) AS store_id, o_totalprice AS bill_total, o_totalprice * 0.1 AS discount_amount, CAST(o_orderkey % 7 + 1 AS INTEGER) AS line_item_count FROM orders)"
+
+
+@query(f"""WITH {_T}, h AS (SELECT customer_id, store_id FROM (SELECT customer_id, store_id, row_number() OVER (PARTITION BY customer_id ORDER BY count(*) DESC, store_id) AS rn FROM t WHERE st GROUP BY 1, 2) WHERE rn = 1)
+  SELECT customer_id, count(DISTINCT bill_id) FILTER (st) AS total_store_visits, count(DISTINCT bill_id) FILTER (st AND bill_date >= {_D} - 90) AS store_visits_90d, max(bill_date) FILTER (st) AS last_store_visit_date, datediff('day', max(bill_date) FILTER (st), {_D}) AS days_since_last_store_visit, any_value(h.store_id) AS home_store_id,
+  count(DISTINCT t.store_id) FILTER (st) AS distinct_stores_visited, count(DISTINCT t.store_id) FILTER (st) > 1 AS is_multi_store_shopper, bool_and(st) AS is_store_only_customer, round(avg(CASE WHEN dayofweek(bill_date) IN (0, 6) THEN 100.0::DOUBLE ELSE 0 END) FILTER (st), 6) AS weekend_visit_pct, max(bill_total) FILTER (st) AS max_basket_value,
+  round(sum(bill_total) FILTER (st) / sum(line_item_count) FILTER (st), 4) AS avg_unit_price FROM t LEFT JOIN h USING (customer_id) GROUP BY 1""")
+def basket_metrics(s, d):
+    out = domain.metrics(_transactions(s, d), domain.basket(AS_OF), ["total_store_visits", "store_visits_90d", "last_store_visit_date", "days_since_last_store_visit", "home_store_id", "distinct_stores_visited", "is_multi_store_shopper", "is_store_only_customer", "weekend_visit_pct", "max_basket_value", "avg_unit_price"])
+    return out.withColumn("weekend_visit_pct", F.round("weekend_visit_pct", 6)).withColumn("avg_unit_price", F.round("avg_unit_price", 4))
+
+
+@query("""WITH l AS (SELECT CAST(o_custkey AS VARCHAR) AS customer_id, l_partkey AS sku_id, CASE l_partkey % 3 WHEN 0 THEN 'fresh_produce' WHEN 1 THEN 'packaged_food' ELSE 'non_food' END AS department, CASE l_partkey % 5 WHEN 0 THEN 'alcohol' WHEN 1 THEN 'baby' ELSE 'other' END AS category, CAST(l_extendedprice AS DECIMAL(15,2)) AS line_total, l_quantity AS quantity, l_tax > 0.05 AS pl, l_discount >= 0.05 AS pr FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+  SELECT customer_id, count(DISTINCT sku_id) AS distinct_skus_purchased, sum(quantity) AS total_quantity_purchased, round(sum(line_total) FILTER (department = 'fresh_produce')::DOUBLE * 100 / sum(line_total)::DOUBLE, 6) AS fresh_produce_pct, round(coalesce(sum(line_total) FILTER (pl), 0)::DOUBLE * 100 / sum(line_total)::DOUBLE, 6) AS private_label_pct, round(count(*) FILTER (pr) * 100.0::DOUBLE / count(*), 6) AS promo_items_pct, bool_or(category = 'alcohol') AS has_alcohol, bool_or(category = 'baby') AS has_baby_products FROM l GROUP BY 1""")
+def basket_line_metrics(s, d):
+    k = F.col("l_partkey")
+    lines = A.table(s, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("bill_id"), k.alias("sku_id"), F.when(k % 3 == 0, "fresh_produce").when(k % 3 == 1, "packaged_food").otherwise("non_food").alias("department"), F.when(k % 5 == 0, "alcohol").when(k % 5 == 1, "baby").otherwise("other").alias("category"), F.col("l_extendedprice").cast("decimal(15,2)").alias("line_total"), F.col("l_quantity").alias("quantity"), (F.col("l_tax") > 0.05).alias("is_private_label"), (F.col("l_discount") >= 0.05).alias("is_promo"))
+    names = ["distinct_skus_purchased", "total_quantity_purchased", "fresh_produce_pct", "private_label_pct", "promo_items_pct", "has_alcohol", "has_baby_products"]
+    out = domain.metrics(domain.with_customer(lines, _transactions(s, d)), domain.basket_lines(), names)
+    return out.withColumns({c: F.round(c, 6) for c in names if c.endswith("pct")})
+
+
+def _ubills(s, d):
+    o, k = A.table(s, d, "orders"), F.col("o_orderkey")
+    day = F.col("o_orderdate").cast("date")
+    return o.select(F.col("o_custkey").cast("string").alias("customer_id"), F.date_add(day, (k % 5).cast("int")).alias("bill_date"), F.date_add(day, 20).alias("due_date"), F.when(k % 9 != 0, F.date_add(day, (k % 31).cast("int"))).alias("payment_date"), F.col("o_totalprice").alias("bill_amount"), F.col("o_totalprice").alias("payment_amount"), (F.col("o_totalprice") * 0).alias("outstanding_amount"), (k % 4 == 0).alias("is_current"), F.col("o_totalprice").alias("consumption_kwh"), (k % 50 == 0).alias("disconnection_notice"))
+
+
+@query(f"""WITH u AS (SELECT CAST(o_custkey AS VARCHAR) AS customer_id, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 5 AS INTEGER) AS bill_date, CAST(o_orderdate AS DATE) + 20 AS due_date, CASE WHEN o_orderkey % 9 <> 0 THEN CAST(o_orderdate AS DATE) + CAST(o_orderkey % 31 AS INTEGER) END AS payment_date, o_orderkey FROM orders)
+  SELECT customer_id, count(*) AS total_bills_generated, max(bill_date) AS last_bill_date, max(payment_date) AS last_payment_date, round(count(*) FILTER (payment_date <= due_date) * 100.0::DOUBLE / nullif(count(payment_date), 0), 6) AS on_time_payment_rate, count(*) FILTER (payment_date > due_date AND bill_date >= {_D} - INTERVAL 12 MONTH) AS late_payment_count_12m,
+  round(avg(datediff('day', bill_date, payment_date)), 6) AS avg_days_to_pay, count(*) FILTER (o_orderkey % 50 = 0) AS disconnection_notice_count FROM u GROUP BY 1""")
+def on_time_rate(s, d):
+    out = domain.metrics(_ubills(s, d), domain.billing(AS_OF), ["total_bills_generated", "last_bill_date", "last_payment_date", "on_time_payment_rate", "late_payment_count_12m", "avg_days_to_pay", "disconnection_notice_count"])
+    return out.withColumn("on_time_payment_rate", F.round("on_time_payment_rate", 6)).withColumn("avg_days_to_pay", F.round("avg_days_to_pay", 6))
+
+
+def _digital(s, d):
+    e = A.table(s, d, "events")
+    return e.select(F.col("user_id").cast("string").alias("customer_id"), F.when(F.col("event_type") == "view", "portal").when(F.col("event_type") == "click", "app").otherwise("whatsapp_bot").alias("channel"), F.when(F.col("event_id") % 2 == 0, "login").otherwise("self_service").alias("action_type"), F.to_date("ts").alias("event_date"))
+
+
+@query("""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS customer_id, event_type AS t, event_id % 2 = 0 AS login, CAST(ts AS DATE) AS d FROM events) SELECT customer_id, count(*) FILTER (t = 'view' AND login AND d >= DATE '2024-03-31' - 90) AS portal_login_count_90d, count(*) FILTER (t = 'click' AND login AND d >= DATE '2024-03-31' - 90) AS app_login_count_90d, max(d) FILTER (login) AS last_digital_login_date,
+  count(*) FILTER (NOT login AND d >= DATE '2024-03-31' - 90) AS self_service_usage_count_90d, count(*) FILTER (t NOT IN ('view', 'click')) AS whatsapp_bot_interactions FROM e GROUP BY 1""")
+def digital_metrics(s, d):
+    return domain.metrics(_digital(s, d), domain.digital("2024-03-31"))
+
+
+@query("""WITH c AS (SELECT CAST(user_id AS VARCHAR) AS customer_id, event_id, ts, CASE event_id % 4 WHEN 0 THEN 'open' WHEN 1 THEN 'resolved' WHEN 2 THEN 'escalated' ELSE 'closed' END AS status, CASE event_id % 3 WHEN 0 THEN 'outage' WHEN 1 THEN 'billing_dispute' ELSE 'regulatory' END AS kind FROM events)
+  SELECT customer_id, count(*) AS total_complaints, count(*) FILTER (status IN ('open', 'escalated')) AS open_complaints, max(CAST(ts AS DATE)) AS last_complaint_date, round(avg(event_id % 40), 6) AS avg_resolution_time_hours, count(*) FILTER (event_id % 4 = 2) AS escalation_count, round(count(*) FILTER (event_id % 4 = 2) * 100.0::DOUBLE / count(*), 6) AS escalation_rate, count(*) FILTER (kind = 'billing_dispute') AS billing_dispute_count, bool_or(kind = 'regulatory') AS has_regulatory_complaint FROM c GROUP BY 1""")
+def complaint_metrics(s, d):
+    e, k = A.table(s, d, "events"), F.col("event_id")
+    rows = e.select(F.col("user_id").cast("string").alias("customer_id"), F.col("ts").cast("timestamp").alias("created_at"), (F.col("ts").cast("timestamp") + F.make_dt_interval(hours=(k % 40).cast("int"))).alias("resolved_at"), F.when(k % 4 == 0, "open").when(k % 4 == 1, "resolved").when(k % 4 == 2, "escalated").otherwise("closed").alias("status"), F.when(k % 3 == 0, "outage").when(k % 3 == 1, "billing_dispute").otherwise("regulatory").alias("complaint_type"), (k % 4 == 2).alias("is_escalated"))
+    out = domain.metrics(rows, domain.complaints("2024-02-01"), ["total_complaints", "open_complaints", "last_complaint_date", "avg_resolution_time_hours", "escalation_count", "escalation_rate", "billing_dispute_count", "has_regulatory_complaint"])
+    return out.withColumn("avg_resolution_time_hours", F.round("avg_resolution_time_hours", 6)).withColumn("escalation_rate", F.round("escalation_rate", 6))
+
+
+# -- helpers ---------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT c_custkey, md5(concat_ws('-', coalesce(CAST(c_custkey AS VARCHAR), '_dbt_utils_surrogate_key_null_'), coalesce(c_name, '_dbt_utils_surrogate_key_null_'), '_dbt_utils_surrogate_key_null_')) AS key FROM customer")
+def surrogate_key(s, d):
+    return A.table(s, d, "customer").select("c_custkey", sqlutils.surrogate_key(["c_custkey", "c_name", F.lit(None)]).alias("key"))
+
+
+@query("SELECT l_returnflag, sum(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS n_O, sum(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS n_F FROM lineitem GROUP BY 1")
+def pivot(s, d):
+    return A.table(s, d, "lineitem").groupBy("l_returnflag").agg(*sqlutils.pivot("l_linestatus", ["O", "F"], prefix="n_"))
+
+
+@query("SELECT c_custkey, 'c_name' AS prop, c_name AS val FROM customer UNION ALL SELECT c_custkey, 'c_mktsegment', c_mktsegment FROM customer UNION ALL SELECT c_custkey, 'c_nationkey', CAST(c_nationkey AS VARCHAR) FROM customer")
+def unpivot(s, d):
+    return sqlutils.unpivot(A.table(s, d, "customer"), ["c_custkey"], ["c_acctbal"], field_name="prop", value_name="val")
+
+
+@query("SELECT n_nationkey, n_name, CAST(NULL AS VARCHAR) AS r_name, 'n' AS _source_relation FROM nation UNION ALL SELECT NULL, NULL, r_name, 'r' FROM region")
+def union_relations(s, d):
+    return sqlutils.union_relations({"n": A.table(s, d, "nation"), "r": A.table(s, d, "region")}, exclude=["n_regionkey", "r_regionkey"])
+
+
+@query("SELECT unnest(generate_series(1, 1000)) AS generated_number")
+def generate_series(s, d):
+    return sqlutils.generate_series(s, 1000)
+
+
+@query("SELECT CAST(unnest(generate_series(TIMESTAMP '2020-01-01', TIMESTAMP '2020-12-31', INTERVAL 1 DAY)) AS DATE) AS date_day")
+def date_spine(s, d):
+    return sqlutils.date_spine(s, "day", "2020-01-01", "2021-01-01")
+
+
+@query("SELECT c_custkey, c_acctbal / nullif(c_nationkey, 0) AS q, c_acctbal + c_nationkey AS total, c_acctbal - c_nationkey AS diff FROM customer")
+def safe_arithmetic(s, d):
+    a, n = F.col("c_acctbal"), F.col("c_nationkey")
+    return A.table(s, d, "customer").select("c_custkey", sqlutils.safe_divide(a, n).alias("q"), sqlutils.safe_add(a, n).alias("total"), sqlutils.safe_subtract(a, n).alias("diff"))
+
+
+@query("SELECT p_partkey, CAST((CASE WHEN p_size % 10 = 0 THEN 1 ELSE 0 END) + least(ceil((p_size - 0) / 10.0), 6) AS BIGINT) AS bucket FROM part")
+def width_bucket(s, d):
+    return A.table(s, d, "part").select("p_partkey", sqlutils.width_bucket(F.col("p_size"), 0, 50, 5).alias("bucket"))
+
+
+@query("SELECT c_custkey, round(2 * 3961 * asin(sqrt(pow(sin(radians(lat2 - lat1) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon1) / 2), 2))) * 1.60934, 3) AS km FROM (SELECT c_custkey, (c_custkey % 170 - 85)::DOUBLE AS lat1, (c_custkey % 350 - 175)::DOUBLE AS lon1, 48.0::DOUBLE AS lat2, 11.0::DOUBLE AS lon2 FROM customer)")
+def haversine(s, d):
+    k = F.col("c_custkey")
+    return A.table(s, d, "customer").select("c_custkey", F.round(sqlutils.haversine_distance((k % 170 - 85).cast("double"), (k % 350 - 175).cast("double"), F.lit(48.0), F.lit(11.0), "km"), 3).alias("km"))
+
+
+@query("""SELECT page_id, split_part(split_part(replace(replace(replace(url, 'android-app://', ''), 'http://', ''), 'https://', ''), '/', 1), '?', 1) AS host, nullif(split_part(split_part(url, 'page=', 2), '&', 1), '') AS page, split_part(CASE WHEN p <= 0 THEN '' ELSE substr(r, p + 1) END, '?', 1) AS path
+  FROM (SELECT *, coalesce(nullif(strpos(r, '/'), 0), strpos(r, '?') - 1) AS p FROM (SELECT page_id, url, replace(replace(url, 'http://', ''), 'https://', '') AS r FROM pages))""")
+def url_parts(s, d):
+    u = F.col("url")
+    return A.table(s, d, "pages").select("page_id", sqlutils.url_host(u).alias("host"), sqlutils.url_path(u).alias("path"), sqlutils.url_parameter(u, "page").alias("page"))
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS rn FROM events) WHERE rn = 1")
+def deduplicate(s, d):
+    return sqlutils.deduplicate(A.table(s, d, "events"), ["user_id"], [F.desc("ts"), F.asc("event_id")]).select("user_id", "event_id", "event_type")
+
+
+@query("SELECT c_custkey, nullif(CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_name END, '') AS name FROM customer")
+def nullcheck(s, d):
+    return sqlutils.nullcheck(A.table(s, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.col("c_name")).alias("name")))
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rn, CAST(ntile(7) OVER (ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS tile FROM orders")
+def global_rank(s, d):
+    ranked = windows.global_rank(A.table(s, d, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.asc("o_orderkey")], "rn", "n")
+    return ranked.select("o_orderkey", "rn", windows.tile(F.col("rn"), F.col("n"), 7).alias("tile"))
+
+
+# -- data tests ------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def dq_unique_combination(s, d):
+    return dq.unique_combination(A.table(s, d, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice < 1000 OR o_totalprice > 400000")
+def dq_accepted_range(s, d):
+    return dq.accepted_range(A.table(s, d, "orders"), "o_totalprice", 1000, 400000).select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT o_orderstatus, count(*) AS n_records FROM orders WHERE o_orderstatus NOT IN ('O', 'F') GROUP BY 1")
+def dq_accepted_values(s, d):
+    return dq.accepted_values(A.table(s, d, "orders"), "o_orderstatus", ["O", "F"])
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
+def dq_relationships(s, d):
+    return dq.relationships_where(A.table(s, d, "customer").select("c_custkey"), "c_custkey", A.table(s, d, "orders"), "o_custkey", to_condition="o_totalprice > 300000")
+
+
+@query("SELECT a.k AS o_orderstatus, a.n AS count_a, coalesce(b.n, 0) AS count_b, abs(a.n - coalesce(b.n, 0)) AS diff_count FROM (SELECT o_orderstatus AS k, count(*) AS n FROM orders GROUP BY 1) a LEFT JOIN (SELECT o_orderstatus AS k, count(*) AS n FROM orders WHERE o_totalprice > 200000 GROUP BY 1) b USING (k) WHERE abs(a.n - coalesce(b.n, 0)) > 0")
+def dq_equal_rowcount(s, d):
+    o = A.table(s, d, "orders")
+    return dq.equal_rowcount(o, o.where("o_totalprice > 200000"), ["o_orderstatus"])
+
+
+@query("SELECT o_orderkey, o_custkey, 'a_minus_b' AS which_diff FROM orders WHERE o_custkey % 10 = 0")
+def dq_equality(s, d):
+    o = A.table(s, d, "orders").select("o_orderkey", "o_custkey")
+    return dq.equality(o, o.where("o_custkey % 10 <> 0"))
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT *, lead(lo) OVER (PARTITION BY o_custkey ORDER BY lo, hi, o_orderkey) AS nx FROM (SELECT o_custkey, o_orderkey, o_orderkey * 10 AS lo, o_orderkey * 10 + o_orderkey % 9000 AS hi FROM orders)) WHERE NOT (lo < hi AND (hi <= nx OR nx IS NULL))")
+def dq_exclusive_ranges(s, d):
+    k = F.col("o_orderkey")
+    rows = A.table(s, d, "orders").select("o_custkey", "o_orderkey", (k * 10).alias("lo"), (k * 10 + k % 9000).alias("hi"))
+    return dq.mutually_exclusive_ranges(rows, "lo", "hi", "o_custkey").select("o_custkey", "o_orderkey")
+
+
+@query("SELECT event_id FROM (SELECT event_id, lag(event_id) OVER (ORDER BY event_id) AS p FROM events WHERE event_id % 5 <> 3) WHERE p IS NOT NULL AND event_id <> p + 1")
+def dq_sequential_values(s, d):
+    return dq.sequential_values(A.table(s, d, "events").where("event_id % 5 <> 3"), "event_id").select("event_id")
+
+
+@query("SELECT user_id, max(ts) AS most_recent FROM events GROUP BY 1 HAVING max(ts) < TIMESTAMP '2024-01-29'")
+def dq_recency(s, d):
+    return dq.recency(A.table(s, d, "events"), "ts", "2024-01-30", "day", 1, ["user_id"])
+
+
+@query("SELECT 'x' AS k, avg(CASE WHEN c_custkey % 4 = 0 THEN 0.0::DOUBLE ELSE 1 END) AS not_null_proportion FROM customer")
+def dq_not_null_proportion(s, d):
+    rows = A.table(s, d, "customer").select(F.lit("x").alias("k"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_name")).alias("v"))
+    return dq.not_null_proportion(rows, "v", 0.9, group_by=["k"])
+
+
+@query("SELECT o_orderkey FROM orders WHERE NOT (o_totalprice > 50000)")
+def dq_expression_is_true(s, d):
+    return dq.expression_is_true(A.table(s, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice > 50000").select("o_orderkey")
+
+
+@query("SELECT p_brand, 0::BIGINT AS filler FROM part GROUP BY 1 HAVING count(CASE WHEN p_size > 49 THEN 1 END) = 0")
+def dq_at_least_one(s, d):
+    return dq.at_least_one(A.table(s, d, "part").withColumn("v", F.when(F.col("p_size") > 49, 1)), "v", ["p_brand"])
+
+
+# -- deltas ----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT c_custkey, c_name, CASE WHEN c_custkey % 7 = 0 THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey % 7 = 0")
+def row_hash_delta(s, d):
+    old = A.table(s, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    new = old.withColumn("c_mktsegment", F.when(F.col("c_custkey") % 7 == 0, "NEW").otherwise(F.col("c_mktsegment")))
+    return sinks.changed_rows(new, old, ["c_custkey"]).drop("row_hash")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 7 = 0")
+def upsert(s, d):
+    c = A.table(s, d, "customer").select("c_custkey", "c_mktsegment")
+    return sinks.upsert(c.where("c_custkey % 2 = 0"), c.where("c_custkey % 7 = 0").withColumn("c_mktsegment", F.lit("NEW")), ["c_custkey"])
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(Q)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
