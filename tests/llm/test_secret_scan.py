@@ -1,0 +1,40 @@
+import hashlib
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from cohortmill.llm import secret_scan
+
+PATTERNS = [("assign", r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12), ("access", r"AKIA[A-Z0-9]+", 0, 18), ("hex", r"[0-9a-f]+", 0, 16)]
+
+
+def brute(text):
+    found = [(m.start(), k, m.end()) for k, (_, p, g, n) in enumerate(PATTERNS) for m in re.finditer(p, text) if len(m.group(g)) >= n]
+    return sorted(found)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["token", "Secret", "API_key", "=", ": ", '"', "AKIA", "A1B2C3D4E5F6G7H8", "deadbeef01", "é", " ", "abc.def-ghi"]), max_size=14).map("".join))
+def test_base_spans(text):
+    assert secret_scan.base_spans(text) == brute(text)
+
+
+def test_digest_and_novel_spans(spark):
+    key = "qZ7wX2pL9vT4mK8rB3nY"
+    texts = ['é token = "abcdefghijkl" x', f"bearer {key}", "password: hunter2", None, "", "bearer the_token_name_here", "deadbeefdeadbeef" * 2000, f"authorization {key} " + f"seen before {key} " * 3]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("spans", F.lit(0))
+    got = {r.doc_id: r for r in secret_scan.digest(secret_scan.scan(df)).collect()}
+    assert got[0].n_assign == 1 and got[0].spans == "assign:2:23"
+    assert got[0].base_sha256 == hashlib.sha256(b"assign:2:23").hexdigest()
+    assert got[1].spans == "novel:7:27" and got[1].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert got[2].spans == got[3].spans == got[4].spans == got[5].spans == ""
+    assert got[6].n_hex == 1 and got[6].spans == "hex:0:32000"
+    assert got[7].spans == ""  # what stands nearby again is not novel
+    assert secret_scan.digest(secret_scan.scan(df.limit(0))).count() == 0
+
+
+def test_rows_that_repeat_count_each(spark):
+    df = spark.createDataFrame([(1, "token=abcdefghijklm"), (1, "token=abcdefghijklm")], "doc_id long, text string")
+    assert [r.n_assign for r in secret_scan.digest(secret_scan.scan(df)).collect()] == [1, 1]
