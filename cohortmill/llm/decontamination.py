@@ -1,11 +1,12 @@
 """Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
 
 Every run of `n` words of a test item (all of its words, if fewer) is a gram. One pass over the corpus counts in how many
-documents each gram stands; the rarest `seed_share` of each item's grams, ties included, are its seeds, so every item has
-some, however often it was copied. A second pass looks the seeds up in all texts. A seed at word i of the text and word j
-of the item proposes the passage where the item would lie, with room for insertions; overlapping proposals merge. Each
-passage is aligned with its item by words (match 2, mismatch and gap -1); the alignment score over the item's own is the
-passage's score, and those of least_score or more are reported. Edited copies keep seeds between edits.
+documents each gram stands; the rarest `seed_share` of each item's grams that occur at all, ties included, are rare. A
+second pass looks all grams up in all texts. A gram at word i of the text and word j of the item proposes the passage
+where the item would lie, with room for insertions; overlapping proposals merge. A passage is a seed if it holds a rare
+gram, or two different grams of the item: copies make their own grams common, so rarity alone would lose what is copied
+most. Each such passage is aligned with its item by words (match 2, mismatch and gap -1); the alignment score over the
+item's own is the passage's score, and those of least_score or more are reported. Edited copies keep seeds between edits.
 
 The benchmark is broadcast in parts of at most `part_bytes` of text each, so its size has no bound: more parts, more
 passes. Neither pass shuffles a text; the counts of a pass are as many as the grams of a part.
@@ -18,7 +19,7 @@ characters, A-Z lower-cased. Extra columns are ignored by contamination() and ke
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,7 @@ class Part:
     hashes: np.ndarray
     bounds: np.ndarray
     grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    rare: dict[int, np.ndarray] = field(default_factory=dict)
 
     @staticmethod
     def of(ids: list, texts: list[str | None], n: int) -> Part:
@@ -92,19 +94,17 @@ def gram_counts(docs: DataFrame, part: Part) -> dict[int, np.ndarray]:
 
 
 def seeds(part: Part, counts: dict[int, np.ndarray], share: float) -> Part:
-    """The part with each item's rarest grams alone, as many as that share of them, ties included."""
-    kept = {}
-    for size, (keys, first, item, word) in part.grams.items():
+    """The part with its rare grams marked: that share of each item's grams that the corpus holds, the rarest, ties
+    included."""
+    rare = {}
+    for size, (_, first, item, _) in part.grams.items():
         n = np.repeat(counts[size], np.diff(first))
-        rare = np.zeros(len(n), bool)
+        rare[size] = np.zeros(len(n), bool)
         for i in np.unique(item):
-            own = np.flatnonzero(item == i)
-            most = np.sort(n[own])[max(0, int(np.ceil(share * len(own))) - 1)]
-            rare[own] = n[own] <= most
-        g = np.repeat(keys, np.diff(first))[rare]
-        keys, first = np.unique(g, return_index=True)
-        kept[size] = (keys, np.append(first, len(g)), item[rare], word[rare])
-    return Part(part.ids, part.hashes, part.bounds, kept)
+            own = np.flatnonzero((item == i) & (n > 0))
+            if len(own):
+                rare[size][own] = n[own] <= np.sort(n[own])[max(0, int(np.ceil(share * len(own))) - 1)]
+    return Part(part.ids, part.hashes, part.bounds, part.grams, rare)
 
 
 def align(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +132,8 @@ def align(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndar
 
 
 def _passages(part: Part, h: np.ndarray, doc: np.ndarray, n_docs: int) -> list[tuple[int, int, int, int]]:
-    """(text, item, first word, last word) of the merged proposals, words by their place in h."""
+    """(text, item, first word, last word) of the merged proposals that hold a rare gram or two different ones, words by
+    their place in h."""
     first = np.searchsorted(doc, np.arange(n_docs + 1))
     found = []
     for size in part.grams:
@@ -145,17 +146,20 @@ def _passages(part: Part, h: np.ndarray, doc: np.ndarray, n_docs: int) -> list[t
         pad = length // 4 + 4
         d = doc[own]
         begin, end = np.maximum(own - word[j] - pad, first[d]), np.minimum(own - word[j] + length + pad, first[d + 1])
-        found.append(np.stack([d, item[j], begin, end], 1))
+        found.append(np.stack([d, item[j], begin, end, word[j], part.rare[size][j] if part.rare else np.ones(len(j), bool)], 1))
     if not found or not sum(map(len, found)):
         return []
     rows = np.unique(np.concatenate(found), axis=0)
     out: list[tuple[int, int, int, int]] = []
-    for d, i, a, b in rows.tolist():
+    places: list[set[int]] = []
+    for d, i, a, b, j, rare in rows.tolist():
         if out and out[-1][:2] == (d, i) and a <= out[-1][3]:
             out[-1] = (d, i, out[-1][2], max(b, out[-1][3]))
         else:
             out.append((d, i, a, b))
-    return out
+            places.append(set())
+        places[-1] |= {j, -1} if rare else {j}
+    return [x for x, p in zip(out, places) if len(p) > 1]
 
 
 def _matches(part: Part, texts: pa.Array, least_score: float, batch: int = 128) -> list[tuple[int, int, float, int, int, np.ndarray, np.ndarray]]:
