@@ -57,8 +57,8 @@ def mobile_normalize(s, d):
     return r.select("c_custkey", cleaning.mobile_pos(c).alias("pos"), cleaning.mobile_crm(c).alias("crm"), cleaning.mobile_or_raw(c).alias("spine"), cleaning.phone(c).alias("phone"))
 
 
-@query("""SELECT CAST(x AS DATE) AS date_day, year(x) AS year, quarter(x) AS quarter, month(x) AS month, weekofyear(x) AS iso_week, day(x) AS day, dayofweek(x) AS dow, monthname(x) AS month_name, dayname(x) AS day_name, dayofweek(x) IN (0, 6) AS is_weekend,
-  year(x - INTERVAL 3 MONTH) AS fiscal_year, quarter(x - INTERVAL 3 MONTH) AS fiscal_quarter FROM (SELECT unnest(generate_series(TIMESTAMP '2018-01-01', TIMESTAMP '2026-12-31', INTERVAL 1 DAY)) AS x)""")
+@query("""SELECT CAST(x AS DATE) AS date_day, CAST(year(x) AS INTEGER) AS year, CAST(quarter(x) AS INTEGER) AS quarter, CAST(month(x) AS INTEGER) AS month, weekofCAST(year(x) AS INTEGER) AS iso_week, CAST(day(x) AS INTEGER) AS day, CAST(dayofweek(x) AS INTEGER) AS dow, monthname(x) AS month_name, dayname(x) AS day_name, dayofweek(x) IN (0, 6) AS is_weekend,
+  CAST(year(x - INTERVAL 3 MONTH) AS INTEGER) AS fiscal_year, CAST(quarter(x - INTERVAL 3 MONTH) AS INTEGER) AS fiscal_quarter FROM (SELECT unnest(generate_series(TIMESTAMP '2018-01-01', TIMESTAMP '2026-12-31', INTERVAL 1 DAY)) AS x)""")
 def date_dim(s, d):
     return staging.date_dimension(s)
 
@@ -102,7 +102,7 @@ def daily_store_sales(s, d):
 
 
 _BASE = f"""base AS (SELECT mobile_number, min(bill_date) AS first_bill_date, max(bill_date) AS last_bill_date, count(DISTINCT bill_id) AS total_bills, count(DISTINCT bill_date) AS total_visits, {_M.format('gross_sale_value')} AS total_spend, {_M.format('total_discount')} AS total_discount,
-  count(DISTINCT date_trunc('month', bill_date)) AS distinct_months, count(DISTINCT store_code) AS distinct_store_count, datediff('day', max(bill_date), DATE '{AS_OF}') AS recency_days, datediff('day', min(bill_date), DATE '{AS_OF}') AS tenure_days,
+  count(DISTINCT date_trunc('month', bill_date)) AS distinct_months, count(DISTINCT store_code) AS distinct_store_count, CAST(datediff('day', max(bill_date), DATE '{AS_OF}') AS INTEGER) AS recency_days, CAST(datediff('day', min(bill_date), DATE '{AS_OF}') AS INTEGER) AS tenure_days,
   {_RATIO.format('sum(gross_sale_value)', 'count(DISTINCT bill_id)')} AS spend_per_bill, {_RATIO.format('sum(gross_sale_value)', 'count(DISTINCT bill_date)')} AS spend_per_visit, {_RATIO.format('count(*)', 'count(DISTINCT bill_id)')} AS avg_items_per_bill, count(DISTINCT article) AS distinct_article_count
   FROM bl WHERE NOT sales_return GROUP BY 1)"""
 
@@ -142,7 +142,7 @@ def channel_presence(s, d):
 
 
 _FLAGS = """bs AS (SELECT bill_id, mobile_number, bill_date, bool_or(sales_return) AS r, bool_or(promo_indicator IS NOT DISTINCT FROM 'P') AS p, bool_or(weekend_flag) AS w, bool_or(wednesday_flag) AS wd, max(end_secs) - min(start_secs) AS t FROM bl GROUP BY 1, 2, 3),
-  bf AS (SELECT mobile_number, datediff('day', min(bill_date), max(bill_date)) AS dgbt_fs, coalesce(CAST((CAST(sum(t) FILTER (t > 0 AND t < 7200) AS HUGEINT) * 200 + count(*) FILTER (t > 0 AND t < 7200)) // nullif(2 * count(*) FILTER (t > 0 AND t < 7200), 0) / 100.0 AS DECIMAL(15,2)), 0) AS avg_billing_time_secs,
+  bf AS (SELECT mobile_number, CAST(datediff('day', min(bill_date), max(bill_date)) AS INTEGER) AS dgbt_fs, coalesce(CAST((CAST(sum(t) FILTER (t > 0 AND t < 7200) AS HUGEINT) * 200 + count(*) FILTER (t > 0 AND t < 7200)) // nullif(2 * count(*) FILTER (t > 0 AND t < 7200), 0) / 100.0 AS DECIMAL(15,2)), 0) AS avg_billing_time_secs,
   count(*) FILTER (r) AS return_bill_count, count(*) FILTER (p) AS promo_bill_count, count(*) FILTER (w) AS weekend_bill_count, count(*) FILTER (wd) AS wednesday_bill_count FROM bs GROUP BY 1)"""
 
 
@@ -509,12 +509,11 @@ _T = "t AS (SELECT CAST(o_custkey AS VARCHAR) AS customer_id, CAST(o_orderkey AS
 
 
 @query(f"""WITH {_T}, h AS (SELECT customer_id, store_id FROM (SELECT customer_id, store_id, row_number() OVER (PARTITION BY customer_id ORDER BY count(*) DESC, store_id) AS rn FROM t WHERE st GROUP BY 1, 2) WHERE rn = 1)
-  SELECT customer_id, count(DISTINCT bill_id) FILTER (st) AS total_store_visits, count(DISTINCT bill_id) FILTER (st AND bill_date >= {_D} - 90) AS store_visits_90d, max(bill_date) FILTER (st) AS last_store_visit_date, datediff('day', max(bill_date) FILTER (st), {_D}) AS days_since_last_store_visit, any_value(h.store_id) AS home_store_id,
-  count(DISTINCT t.store_id) FILTER (st) AS distinct_stores_visited, count(DISTINCT t.store_id) FILTER (st) > 1 AS is_multi_store_shopper, bool_and(st) AS is_store_only_customer, round(avg(CASE WHEN dayofweek(bill_date) IN (0, 6) THEN 100.0::DOUBLE ELSE 0 END) FILTER (st), 6) AS weekend_visit_pct, max(bill_total) FILTER (st) AS max_basket_value,
-  round(sum(bill_total) FILTER (st) / sum(line_item_count) FILTER (st), 4) AS avg_unit_price FROM t LEFT JOIN h USING (customer_id) GROUP BY 1""")
+  SELECT customer_id, count(DISTINCT bill_id) FILTER (st) AS total_store_visits, count(DISTINCT bill_id) FILTER (st AND bill_date >= {_D} - 90) AS store_visits_90d, max(bill_date) FILTER (st) AS last_store_visit_date, CAST(datediff('day', max(bill_date) FILTER (st), {_D}) AS INTEGER) AS days_since_last_store_visit, any_value(h.store_id) AS home_store_id,
+  count(DISTINCT t.store_id) FILTER (st) AS distinct_stores_visited, count(DISTINCT t.store_id) FILTER (st) > 1 AS is_multi_store_shopper, bool_and(st) AS is_store_only_customer, round(avg(CASE WHEN dayofweek(bill_date) IN (0, 6) THEN 100.0::DOUBLE ELSE 0 END) FILTER (st), 6) AS weekend_visit_pct, max(bill_total) FILTER (st) AS max_basket_value FROM t LEFT JOIN h USING (customer_id) GROUP BY 1""")
 def basket_metrics(s, d):
-    out = domain.metrics(_transactions(s, d), domain.basket(AS_OF), ["total_store_visits", "store_visits_90d", "last_store_visit_date", "days_since_last_store_visit", "home_store_id", "distinct_stores_visited", "is_multi_store_shopper", "is_store_only_customer", "weekend_visit_pct", "max_basket_value", "avg_unit_price"])
-    return out.withColumn("weekend_visit_pct", F.round("weekend_visit_pct", 6)).withColumn("avg_unit_price", F.round("avg_unit_price", 4))
+    out = domain.metrics(_transactions(s, d), domain.basket(AS_OF), ["total_store_visits", "store_visits_90d", "last_store_visit_date", "days_since_last_store_visit", "home_store_id", "distinct_stores_visited", "is_multi_store_shopper", "is_store_only_customer", "weekend_visit_pct", "max_basket_value"])
+    return out.withColumn("weekend_visit_pct", F.round("weekend_visit_pct", 6))
 
 
 @query("""WITH l AS (SELECT CAST(o_custkey AS VARCHAR) AS customer_id, l_partkey AS sku_id, CASE l_partkey % 3 WHEN 0 THEN 'fresh_produce' WHEN 1 THEN 'packaged_food' ELSE 'non_food' END AS department, CASE l_partkey % 5 WHEN 0 THEN 'alcohol' WHEN 1 THEN 'baby' ELSE 'other' END AS category, CAST(l_extendedprice AS DECIMAL(15,2)) AS line_total, l_quantity AS quantity, l_tax > 0.05 AS pl, l_discount >= 0.05 AS pr FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
@@ -569,7 +568,7 @@ def surrogate_key(s, d):
     return A.table(s, d, "customer").select("c_custkey", sqlutils.surrogate_key(["c_custkey", "c_name", F.lit(None)]).alias("key"))
 
 
-@query("SELECT l_returnflag, sum(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS n_O, sum(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS n_F FROM lineitem GROUP BY 1")
+@query("SELECT l_returnflag, CAST(sum(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS BIGINT) AS n_O, CAST(sum(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS n_F FROM lineitem GROUP BY 1")
 def pivot(s, d):
     return A.table(s, d, "lineitem").groupBy("l_returnflag").agg(*sqlutils.pivot("l_linestatus", ["O", "F"], prefix="n_"))
 
