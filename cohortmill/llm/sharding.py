@@ -7,8 +7,8 @@ room; a hub that needs several shards fills its shards one after the other. Requ
 shard's quota. Rounds end when no move is granted, or after `rounds`. Documents without links fill what is left, so that
 counts differ by one at most (law `rows`).
 
-Ranks are exact and distributed: rows are numbered within (key, bucket), and the buckets' sizes, a table bounded by
-keys x BUCKETS, are added up in front. Nothing else is broadcast, and no group is gathered anywhere.
+Ranks are exact and distributed: rows are numbered within (key, bucket), and the buckets' sizes are added up in front.
+Only tables of shards x BUCKETS rows are broadcast, and no group is gathered anywhere.
 
 Defined results: a null text has size 8 and crc32 0 and is linked with nothing; rows that repeat count each; empty tables
 give an empty result. Ties go to the lower shard. Extra columns are kept by shard_documents; clashing ones are replaced.
@@ -24,13 +24,14 @@ from cohortmill.llm import store
 BUCKETS = 64
 
 
-def ranked(df: DataFrame, key: str, bucket: Column, order: list[Column], name: str) -> DataFrame:
-    """df with the row's number (from 0) within its key, by bucket, then order. Buckets are numbers below BUCKETS."""
+def ranked(df: DataFrame, key: str, bucket: Column, order: list[Column], name: str, few_keys: bool = True) -> DataFrame:
+    """df with the row's number (from 0) within its key, by bucket, then order. Buckets are numbers below BUCKETS. The
+    sizes of the buckets are broadcast only where the keys are few (shards)."""
     rows = df.withColumn("_bucket", bucket.cast("int"))
     sizes = rows.groupBy(key, "_bucket").agg(F.count("*").alias("_n"))
     sizes = sizes.select(key, "_bucket", (F.sum("_n").over(Window.partitionBy(key).orderBy("_bucket")) - F.col("_n")).alias("_before"))
     rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy(key, "_bucket").orderBy(*order)) - 1)
-    return rows.join(F.broadcast(sizes), [key, "_bucket"]).withColumn(name, F.col("_at") + F.col("_before")).drop("_at", "_before", "_bucket")
+    return rows.join(F.broadcast(sizes) if few_keys else sizes, [key, "_bucket"]).withColumn(name, F.col("_at") + F.col("_before")).drop("_at", "_before", "_bucket")
 
 
 def spread(c: Column) -> Column:
@@ -59,7 +60,7 @@ def propagate(docs: DataFrame, links: DataFrame, n_shards: int, rounds: int = 4)
         # A row asks in its hub with most members. Its number in the hub picks the hub's shard with room for that number.
         first = Window.partitionBy("row").orderBy(F.desc("members"), "hub")
         asking = links.join(state.where("NOT stay"), "row").withColumn("_p", F.row_number().over(first)).where("_p = 1").select("row", "hub", "members", "shard")
-        asking = ranked(asking, "hub", spread(F.col("row")), [F.col("row")], "number")
+        asking = ranked(asking, "hub", spread(F.col("row")), [F.col("row")], "number", few_keys=False)
         asking = asking.join(wished.select("hub", F.col("shard").alias("to"), "room", "room_before"), "hub").where("number >= room_before AND number < room_before + room")
         # Requests are granted hub by hub, the widest class of hubs first.
         order = F.least(F.lit(BUCKETS - 1), F.lit(BUCKETS // 2) - F.floor(F.log2(F.col("members"))) + F.pmod(F.xxhash64("hub"), F.lit(BUCKETS // 2)))
