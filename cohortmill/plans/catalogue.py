@@ -57,7 +57,7 @@ def mobile_normalize(s, d):
     return r.select("c_custkey", cleaning.mobile_pos(c).alias("pos"), cleaning.mobile_crm(c).alias("crm"), cleaning.mobile_or_raw(c).alias("spine"), cleaning.phone(c).alias("phone"))
 
 
-@query("""SELECT CAST(x AS DATE) AS date_day, CAST(year(x) AS INTEGER) AS year, CAST(quarter(x) AS INTEGER) AS quarter, CAST(month(x) AS INTEGER) AS month, weekofCAST(year(x) AS INTEGER) AS iso_week, CAST(day(x) AS INTEGER) AS day, CAST(dayofweek(x) AS INTEGER) AS dow, monthname(x) AS month_name, dayname(x) AS day_name, dayofweek(x) IN (0, 6) AS is_weekend,
+@query("""SELECT CAST(x AS DATE) AS date_day, CAST(year(x) AS INTEGER) AS year, CAST(quarter(x) AS INTEGER) AS quarter, CAST(month(x) AS INTEGER) AS month, CAST(weekofyear(x) AS INTEGER) AS iso_week, CAST(day(x) AS INTEGER) AS day, CAST(dayofweek(x) AS INTEGER) AS dow, monthname(x) AS month_name, dayname(x) AS day_name, dayofweek(x) IN (0, 6) AS is_weekend,
   CAST(year(x - INTERVAL 3 MONTH) AS INTEGER) AS fiscal_year, CAST(quarter(x - INTERVAL 3 MONTH) AS INTEGER) AS fiscal_quarter FROM (SELECT unnest(generate_series(TIMESTAMP '2018-01-01', TIMESTAMP '2026-12-31', INTERVAL 1 DAY)) AS x)""")
 def date_dim(s, d):
     return staging.date_dimension(s)
