@@ -7,14 +7,18 @@ of the difference changes one cell, so the Hamming distance of two sketches is a
 Candidates: sizes are cut into bands. A band has P cells for its sets' elements, 64 bits each. Two similar sets differ in
 d cells at most, so among the first d + 1 cells that aren't empty in one of them, one agrees (pigeonhole). Each set gives
 those cells' values as keys, d taken for its largest partner in the band, in its own band and, if a larger partner can lie
-there, in the next. A set with too few cells in use gives all of them, and again under another hash, where only pairs of
-such sets need it; after `FAMILIES` hashes it gives its elements one by one. So no similar pair is missed.
+there, in the next, and some keys more (SLACK). A set with too few cells in use gives all of them, and again under another
+hash, where only pairs of such sets need it; after `FAMILIES` hashes it gives its elements one by one. So no similar pair
+is missed.
 
 Verification runs in two rounds. First each key's sets are compared with the key's smallest set: bit sketches (BITS cells
 of one bit) drop what is too far, the rest is verified on the sets, and links are contracted to components. Then, in keys
-whose sets still fall into several components, pairs across components are compared by bit sketches in blocks of bounded
-size, and what is near enough is verified. Links within a component change nothing, so no link between components is lost.
-Equal sets are one vertex from the start: a task gives each distinct set once, and keys drop repeats.
+whose sets still fall into several components, pairs across components are compared: all of them in keys of few sets;
+in busy keys only sets that the calm keys don't serve, by bit sketches in blocks of bounded size. What is near enough is
+verified. Links within a component change nothing, so no link between components is lost.
+Equal sets are one vertex from the start: a task gives each distinct set once, and keys drop repeats. Sets are never
+stored whole: sketches and keys come from one pass over the texts each, and the sets of the vertices to be verified, those
+of pairs that the sketches let through, from another.
 
 Defined results: null, empty and blank texts have no shingles and form components of their own; a text with fewer words
 than n has its whole sequence as one shingle. Rows repeat as often as in the input (repeated ids fall together if their
@@ -37,8 +41,10 @@ from cohortmill.llm.text import mix, shingle_sets, slices, text_bytes, words
 FAMILIES = 3
 BITS = 1024
 BLOCK = 1024
+#: A key of more sets is busy; sets give one key in SLACK more than they need, so that most can do without busy keys.
+BUSY = 24
+SLACK = 4
 _U = np.uint64
-#: Similarity 4/5: 5 * intersection >= 4 * union.
 
 
 def _bands(most: int = 1 << 40) -> np.ndarray:
@@ -55,19 +61,27 @@ BANDS = _bands()
 def _cells(band: int) -> int:
     """Cells of a band: some more than the largest difference asks for."""
     d = 2 * (int(BANDS[band + 1]) - 1) // 9
-    return 1 if d == 0 else int(1.25 * (d + 1)) + 4
+    return 1 if d == 0 else int(1.5 * (d + 1)) + 4
 
 
-def set_keys(values: np.ndarray) -> np.ndarray:
-    """Keys of one set, given as its distinct 64-bit elements."""
+def set_keys(values: np.ndarray) -> tuple[np.ndarray, int]:
+    """Keys of one set, given as its distinct 64-bit elements, and its slack: of any similar set's keys it shares more.
+
+    A set gives its first need + need // SLACK cells in use; with fewer cells in use it counts as having too few. Of two
+    similar sets take the one whose last given cell comes first (a set with too few cells gives all, so it is the other):
+    need - 1 of its cells differ at most, so its need // SLACK + 1 others are keys of both. The smallest partner in the
+    band has the smallest need."""
     n = len(values)
     own = int(np.searchsorted(BANDS, n, side="right")) - 1
-    out = []
+    out, slack = [], n
     for band in (own, own + 1):
         largest = min(n * 5 // 4, int(BANDS[band + 1]) - 1)
         if largest < BANDS[band]:
             break
         need = (n + largest) // 9 + 1
+        given = need + need // SLACK
+        partner = max(-(-n * 4 // 5), int(BANDS[band]))
+        slack = min(slack, ((partner + min(partner * 5 // 4, int(BANDS[band + 1]) - 1)) // 9 + 1) // SLACK)
         cells = _cells(band)
         for family in range(FAMILIES):
             h = values if family == 0 else mix(values + _U(family * 0x632BE59BD9B4E019 % 2**64))
@@ -75,13 +89,13 @@ def set_keys(values: np.ndarray) -> np.ndarray:
             order = np.argsort(cell, kind="stable")
             sorted_cell = cell[order]
             first = np.flatnonzero(np.concatenate([[True], sorted_cell[1:] != sorted_cell[:-1]]))
-            value = np.bitwise_xor.reduceat(mix(h)[order], first)[:need]
-            out.append(mix(value + sorted_cell[first][:need] * _U(0x9E3779B97F4A7C15) + _U((band * 8 + family) * 0xD1342543DE82EF95 % 2**64)))
-            if len(first) >= need:
+            value = np.bitwise_xor.reduceat(mix(h)[order], first)[:given]
+            out.append(mix(value + sorted_cell[first][:given] * _U(0x9E3779B97F4A7C15) + _U((band * 8 + family) * 0xD1342543DE82EF95 % 2**64)))
+            if len(first) >= given:
                 break
         else:
             out.append(mix(values + _U((band * 8 + FAMILIES) * 0xD1342543DE82EF95 % 2**64)))
-    return np.concatenate(out)
+    return np.concatenate(out), slack
 
 
 def bit_sketches(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -101,65 +115,88 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return out.view(_U)[:, 0]
 
 
+def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slices of (doc_id, text) with their texts' sets: elements, bounds, fingerprints (vertices), and which rows are the
+    first of their set in this task (an empty set never is)."""
+    known: set[int] = set()
+    for batch in slices(batches):
+        _, _, doc, h = words(*text_bytes(batch.column(1)))
+        values, bounds = shingle_sets(h, doc, batch.num_rows, n)
+        size = np.diff(bounds)
+        sums = np.concatenate([[_U(0)], np.cumsum(mix(values ^ _U(0x5851F42D4C957F2D)))])
+        vertex = mix(sums[bounds[1:]] - sums[bounds[:-1]] + size.astype(_U)).view(np.int64)
+        fresh = np.zeros(batch.num_rows, bool)
+        for i, v in enumerate(vertex.tolist()):
+            fresh[i] = size[i] > 0 and v not in known
+            known.add(v)
+        if len(known) > 1 << 20:
+            known.clear()
+        yield batch, values, bounds, vertex, fresh
+
+
 def shingle_table(docs: DataFrame, n: int = 5) -> DataFrame:
-    """doc_id, n_shingles, vertex (fingerprint of the set, null for an empty one) and, once a task and distinct set, the
-    sketch and the set's elements (40 bits each; null in further rows)."""
+    """doc_id, n_shingles, vertex (fingerprint of the set, null for an empty one) and, once a task and distinct set, its
+    bit sketch."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: set[int] = set()
-        for batch in slices(batches):
-            _, _, doc, h = words(*text_bytes(batch.column(1)))
-            values, bounds = shingle_sets(h, doc, batch.num_rows, n)
+        for batch, values, bounds, vertex, fresh in _sets(batches, n):
+            sketches = [s.tobytes() if f else None for s, f in zip(bit_sketches(values, bounds), fresh)]
             size = np.diff(bounds)
-            sums = np.concatenate([[_U(0)], np.cumsum(mix(values ^ _U(0x5851F42D4C957F2D)))])
-            vertex = mix(sums[bounds[1:]] - sums[bounds[:-1]] + size.astype(_U)).view(np.int64)
-            sketch = bit_sketches(values, bounds)
-            fresh = np.zeros(batch.num_rows, bool)
-            for i, v in enumerate(vertex.tolist()):
-                fresh[i] = size[i] > 0 and v not in known
-                known.add(v)
-            if len(known) > 1 << 20:
-                known.clear()
-            sketches = [s.tobytes() if f else None for s, f in zip(sketch, fresh)]
-            sets = [_packed(values[a:b]) if f else None for a, b, f in zip(bounds[:-1], bounds[1:], fresh)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(vertex, mask=size == 0), pa.array(sketches, pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "n_shingles", "vertex", "sketch", "elements"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(vertex, mask=size == 0), pa.array(sketches, pa.binary())], ["doc_id", "n_shingles", "vertex", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, vertex long, sketch binary, elements binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, vertex long, sketch binary")
 
 
-def _keys(sets: DataFrame) -> DataFrame:
-    """key, vertex: 40-bit elements spread over 64 bits again give the cells."""
+def _keys(docs: DataFrame, n: int) -> DataFrame:
+    """key, vertex, slack of each distinct set of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, vertices = [], []
-            for v, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                k = set_keys(mix(_unpacked(raw)))
-                keys.append(k)
-                vertices.append(np.full(len(k), v))
-                if sum(map(len, keys[-64:])) > 1 << 16 or len(keys) > 2000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(vertices))], ["key", "vertex"])
-                    keys, vertices = [], []
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(vertices))], ["key", "vertex"])
+        for _, values, bounds, vertex, fresh in _sets(batches, n):
+            made = [set_keys(values[bounds[i] : bounds[i + 1]]) for i in np.flatnonzero(fresh)]
+            if made:
+                times = [len(k) for k, _ in made]
+                slack = np.minimum([s for _, s in made], 1 << 15).astype(np.int16)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k for k, _ in made]).view(np.int64)), pa.array(np.repeat(vertex[fresh], times)), pa.array(np.repeat(slack, times))], ["key", "vertex", "slack"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "key long, vertex long, slack short")
+
+
+def _elements(docs: DataFrame, n: int, vertices: DataFrame, bloom_bits: int) -> DataFrame:
+    """vertex, elements: the sets of at least the given vertices, read from the texts again instead of being stored. A
+    Bloom filter of fixed size (bloom_bits, broadcast) drops most others; once it fills up at very large inputs, it only
+    drops fewer."""
+    place = F.explode(F.array(F.col("vertex").bitwiseAND(bloom_bits - 1), F.shiftrightunsigned("vertex", 32).bitwiseAND(bloom_bits - 1)))
+    bits = vertices.select(place.alias("at")).groupBy(F.shiftrightunsigned("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("bits")).toArrow()
+    bloom = np.zeros(bloom_bits >> 6, np.int64)
+    bloom[bits["word"].to_numpy()] = bits["bits"].to_numpy()
+    held = docs.sparkSession.sparkContext.broadcast(bloom.view(_U))
 
-    return sets.select("vertex", "elements").mapInArrow(run, "key long, vertex long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bloom = held.value
+        for _, values, bounds, vertex, fresh in _sets(batches, n):
+            v = vertex.view(_U)
+            for at in (v & _U(bloom_bits - 1), (v >> _U(32)) & _U(bloom_bits - 1)):
+                fresh &= (bloom[(at >> _U(6)).astype(np.int64)] >> (at & _U(63)) & _U(1)).astype(bool)
+            rows = [_packed(values[bounds[i] : bounds[i + 1]]) for i in np.flatnonzero(fresh)]
+            yield pa.RecordBatch.from_arrays([pa.array(vertex[fresh]), pa.array(rows, pa.binary())], ["vertex", "elements"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "vertex long, elements binary").dropDuplicates(["vertex"])
 
 
 def _shared(keys: DataFrame) -> DataFrame:
-    """key, vertex, star: the rows of keys with two distinct sets or more; star is the key's smallest vertex."""
+    """key, vertex, slack, star: the rows of keys with two distinct sets or more; star is the key's smallest vertex."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key0, low0, last0, told = None, None, None, False
+        key0, low0, last0, slack0, told = None, None, None, 0, False
         for batch in batches:
-            k, v = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            k, v, slack = (batch.column(i).to_numpy() for i in range(3))
             if not len(k):
                 continue
             new = np.concatenate([[True], (k[1:] != k[:-1]) | (v[1:] != v[:-1])])
             if key0 is not None and k[0] == key0 and v[0] == last0:
                 new[0] = False
-            k, v = k[new], v[new]
+            k, v, slack = k[new], v[new], slack[new]
             if not len(k):
                 continue
             head = np.concatenate([[True], k[1:] != k[:-1]])
@@ -174,15 +211,17 @@ def _shared(keys: DataFrame) -> DataFrame:
                 many[0] = True
             keep = np.repeat(many, size)
             star = np.repeat(low, size)
-            ko, vo, so = k[keep], v[keep], star[keep]
+            ko, vo, lo, so = k[keep], v[keep], slack[keep], star[keep]
             if goes_on and not told:  # the row that was alone so far
-                ko, vo, so = np.append(ko, key0), np.append(vo, low0), np.append(so, low0)
+                ko, vo, lo, so = np.append(ko, key0), np.append(vo, low0), np.append(lo, slack0).astype(np.int16), np.append(so, low0)
             # A run that may go on in the next batch: its smallest row was told if it has others by now.
             told = bool(many[-1])
+            if not (goes_on and len(first) == 1):
+                slack0 = slack[first[-1]]
             key0, low0, last0 = k[-1], low[-1], v[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(ko), pa.array(vo), pa.array(so)], ["key", "vertex", "star"])
+            yield pa.RecordBatch.from_arrays([pa.array(ko), pa.array(vo), pa.array(lo), pa.array(so)], ["key", "vertex", "slack", "star"])
 
-    return keys.repartition("key").sortWithinPartitions("key", "vertex").mapInArrow(run, "key long, vertex long, star long")
+    return keys.repartition("key").sortWithinPartitions("key", "vertex").mapInArrow(run, "key long, vertex long, slack short, star long")
 
 
 def _near(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -190,15 +229,17 @@ def _near(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndar
     return np.bitwise_count(a.view(_U) ^ b.view(_U)).sum(-1, dtype=np.int64) * 9 <= n + m
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b of the pairs (a, b) whose bit sketches allow it and whose sets are similar."""
+def _sides(pairs: DataFrame, of: DataFrame, columns: list[str]) -> DataFrame:
+    """pairs (a, b) with the columns of both vertices."""
+    for side in ("a", "b"):
+        pairs = pairs.join(of.select(F.col("vertex").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns)), side)
+    return pairs
 
-    def sides(frame: DataFrame, columns: list[str]) -> DataFrame:
-        for side in ("a", "b"):
-            frame = frame.join(sets.select(F.col("vertex").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns)), side)
-        return frame
 
-    def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _allowed(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sizes and bit sketches allow similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             at = {n: t.column(i) for i, n in enumerate(t.schema.names)}
             if not t.num_rows:
@@ -208,7 +249,16 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             ok = _near(x, y, n, m) & (5 * np.minimum(n, m) >= 4 * np.maximum(n, m))
             yield pa.RecordBatch.from_arrays([at["a"], at["b"]], ["a", "b"]).filter(pa.array(ok))
 
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _sides(pairs, sketches, ["sketch", "n_shingles"]).mapInArrow(run, "a long, b long")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, n: int, bloom_bits: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar, as a table."""
+    pairs = store.materialize(pairs, "jaccard-pairs")
+    ends = pairs.select(F.col("a").alias("vertex")).unionByName(pairs.select(F.col("b").alias("vertex")))
+    sets = store.materialize(_elements(docs, n, ends, bloom_bits), "jaccard-elements")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             at = {n: t.column(i) for i, n in enumerate(t.schema.names)}
             ok = []
@@ -218,8 +268,10 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 ok.append(5 * both >= 4 * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([at["a"], at["b"]], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    kept = sides(pairs, ["sketch", "n_shingles"]).mapInArrow(far, "a long, b long")
-    return sides(kept, ["elements"]).mapInArrow(similar, "a long, b long")
+    links = store.materialize(_sides(pairs, sets, ["elements"]).mapInArrow(run, "a long, b long"), "jaccard-links")
+    store.drop(pairs)
+    store.drop(sets)
+    return links
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
@@ -245,12 +297,53 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     return state.select(F.col("v").alias("vertex"), "root")
 
 
-def _across(shared: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b: pairs of one key and different components that the bit sketches allow. Keys are cut into blocks by size of
-    the sets; a group holds two blocks at most."""
-    rooted = shared.select("key", "vertex").join(roots, "vertex", "left").select("key", "vertex", F.coalesce("root", "vertex").alias("root"))
+def _across(shared: DataFrame, roots: DataFrame, sketches: DataFrame) -> DataFrame:
+    """a, b: pairs of one key and different components. Keys that aren't busy give all such pairs, BUSY sets at most
+    in each. Of a busy key only sets matter that have more busy keys than slack: every other set shares a key that isn't
+    busy with each similar set."""
+    busy = store.materialize(shared.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BUSY), "jaccard-busy")
+    calm = shared.join(busy.select("key"), "key", "left_anti").select("key", "vertex")
+    in_busy = shared.join(busy, "key").select("key", "vertex", "slack", "n")
+    bound = in_busy.groupBy("vertex").agg(F.count("*").alias("times"), F.min("slack").alias("slack")).where("times > slack").select("vertex")
+    tied = store.materialize(in_busy.join(bound, "vertex", "left_semi").select("key", "vertex", "n"), "jaccard-tied")
+    return _calm_pairs(calm, roots).unionByName(_busy_pairs(tied, roots, sketches)).distinct()
+
+
+def _calm_pairs(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """a, b: pairs of one key and different components, from keys of bounded size, sorted by key."""
+    rooted = rows.join(roots, "vertex", "left").select("key", "vertex", F.coalesce("root", "vertex").alias("root"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = [np.zeros(0, np.int64)] * 3
+        for batch in _with_end(batches):
+            k, v, r = rest if batch is None else (np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate(rest))
+            # The last key of a batch may go on in the next one.
+            cut = len(k) if batch is None or not len(k) else int(np.searchsorted(k, k[-1]))
+            rest = [k[cut:], v[cut:], r[cut:]]
+            k, v, r = k[:cut], v[:cut], r[:cut]
+            a, b = [], []
+            for step in range(1, BUSY):
+                at = np.flatnonzero((k[step:] == k[:-step]) & (r[step:] != r[:-step])) if len(k) > step else np.zeros(0, int)
+                a.append(v[at])
+                b.append(v[at + step])
+            a, b = np.concatenate(a), np.concatenate(b)
+            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+    return rooted.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+
+
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def _busy_pairs(tied: DataFrame, roots: DataFrame, sketches: DataFrame) -> DataFrame:
+    """a, b: pairs of one key and different components that the bit sketches allow. Keys are cut into blocks; a group
+    holds two blocks at most."""
+    rooted = tied.join(roots, "vertex", "left").select("key", "vertex", F.coalesce("root", "vertex").alias("root"))
     open_keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high").select("key", "n")
-    rows = rooted.join(open_keys, "key").join(sets.select("vertex", "sketch", "n_shingles"), "vertex")
+    rows = rooted.join(open_keys, "key").join(sketches, "vertex")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("vertex"), blocks).cast("int")
     # A row meets every block of its key once: in the cell of both blocks, the smaller first.
@@ -301,24 +394,23 @@ def _across(shared: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
             yield pairs(pa.Table.from_batches(held))
 
     cells = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return cells.mapInArrow(run, "a long, b long").distinct()
+    return cells.mapInArrow(run, "a long, b long")
 
 
-def similar_components(docs: DataFrame, n: int = 5) -> DataFrame:
+def similar_components(docs: DataFrame, n: int = 5, bloom_bits: int = 1 << 24) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that links of similarity 4/5 lead to."""
     table = store.materialize(shingle_table(docs, n), "jaccard-sets")
-    sets = table.where("elements IS NOT NULL").select("vertex", "n_shingles", "sketch", "elements")
-    shared = store.materialize(_shared(_keys(sets)), "jaccard-shared")
+    shared = store.materialize(_shared(_keys(docs, n)), "jaccard-shared")
     # A set that several tasks gave is one vertex: of its rows only one joins.
-    once = store.materialize(sets.join(shared.select("vertex").distinct(), "vertex", "left_semi").dropDuplicates(["vertex"]), "jaccard-compared")
+    sketches = store.materialize(table.where("sketch IS NOT NULL").select("vertex", "n_shingles", "sketch").dropDuplicates(["vertex"]), "jaccard-sketches")
     stars = shared.where("vertex <> star").select(F.col("star").alias("a"), F.col("vertex").alias("b")).distinct()
-    links = store.materialize(_verified(stars, once), "jaccard-links")
+    links = _verified(_allowed(stars, sketches), docs, n, bloom_bits)
     roots = components(links)
-    more = store.materialize(_verified(_across(shared, roots, once), once), "jaccard-links")
+    more = _verified(_allowed(_across(shared, roots, sketches), sketches), docs, n, bloom_bits)
     if more.limit(1).count():
         # The first components are stars already; only what joins them is new.
         roots = components(roots.where("vertex <> root").select(F.col("vertex").alias("a"), F.col("root").alias("b")).unionByName(more))
-    for t in (shared, once, links, more):
+    for t in (shared, sketches, links, more):
         store.drop(t)
     known = table.where("vertex IS NOT NULL").groupBy("vertex").agg(F.min("doc_id").alias("least"))
     known = known.join(roots, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
