@@ -11,11 +11,12 @@ there, in the next, and some keys more (SLACK). A set with too few cells in use
 hash, where only pairs of such sets need it; after `FAMILIES` hashes it gives its elements one by one. So no similar pair
 is missed.
 
-Verification runs in two rounds. First each key's sets are compared with the key's smallest set: bit sketches (BITS cells
-of one bit) drop what is too far, the rest is verified on the sets, and links are contracted to components. Then, in keys
-whose sets still fall into several components, pairs across components are compared: all of them in keys of few sets;
-in busy keys only sets that the calm keys don't serve, by bit sketches in blocks of bounded size. What is near enough is
-verified. Links within a component change nothing, so no link between components is lost.
+Verification runs in three rounds. First each key's sets are compared with the key's smallest set: bit sketches (BITS
+cells of one bit) drop what is too far, the rest is verified on the sets, and links are contracted to components. Then, in
+busy keys whose sets still fall into several components, each component's nearest pair towards another one is verified.
+Last, all pairs across components that are left: all of them in keys of few sets; in busy keys those of sets that other
+keys don't serve, by bit sketches in blocks of bounded size. Links within a component change nothing, so no link between
+components is lost.
 Equal sets are one vertex from the start: a task gives each distinct set once, and keys drop repeats. Sets are never
 stored whole: sketches and keys come from one pass over the texts each, and the sets of the vertices to be verified, those
 of pairs that the sketches let through, from another.
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortmill.llm import store
@@ -40,7 +41,7 @@ from cohortmill.llm.text import mix, shingle_sets, slices, text_bytes, words
 
 FAMILIES = 3
 BITS = 1024
-BLOCK = 1024
+BLOCK = 8192
 #: A key of more sets is busy; sets give one key in SLACK more than they need, so that most can do without busy keys.
 BUSY = 24
 SLACK = 4
@@ -297,16 +298,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     return state.select(F.col("v").alias("vertex"), "root")
 
 
-def _across(shared: DataFrame, roots: DataFrame, sketches: DataFrame) -> DataFrame:
-    """a, b: pairs of one key and different components. Keys that aren't busy give all such pairs, BUSY sets at most
-    in each. Of a busy key only sets matter that have more busy keys than slack: every other set shares a key that isn't
-    busy with each similar set."""
-    busy = store.materialize(shared.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BUSY), "jaccard-busy")
-    calm = shared.join(busy.select("key"), "key", "left_anti").select("key", "vertex")
-    in_busy = shared.join(busy, "key").select("key", "vertex", "slack", "n")
-    bound = in_busy.groupBy("vertex").agg(F.count("*").alias("times"), F.min("slack").alias("slack")).where("times > slack").select("vertex")
-    tied = store.materialize(in_busy.join(bound, "vertex", "left_semi").select("key", "vertex", "n"), "jaccard-tied")
-    return _calm_pairs(calm, roots).unionByName(_busy_pairs(tied, roots, sketches)).distinct()
+def _tied(shared: DataFrame, busy: DataFrame) -> DataFrame:
+    """key, vertex: rows of busy keys that calm keys and the rest of the busy ones can't stand in for. Similar sets share
+    more keys than the slack of either; so each set can drop as many of its keys, the busiest first: the least busy key
+    that both share is then never dropped."""
+    rows = shared.join(busy, "key").select("key", "vertex", "slack", "n")
+    place = F.row_number().over(Window.partitionBy("vertex").orderBy(F.desc("n"), "key"))
+    return rows.withColumn("place", place).where("place > slack").select("key", "vertex")
 
 
 def _calm_pairs(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -338,9 +336,9 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
-def _busy_pairs(tied: DataFrame, roots: DataFrame, sketches: DataFrame) -> DataFrame:
-    """a, b: pairs of one key and different components that the bit sketches allow. Keys are cut into blocks; a group
-    holds two blocks at most."""
+def _busy_pairs(tied: DataFrame, roots: DataFrame, sketches: DataFrame, nearest: bool) -> DataFrame:
+    """a, b: pairs of one key and different components that the bit sketches allow; with nearest, of each component in a
+    group only the pair with most room. Keys are cut into blocks; a group holds two blocks at most."""
     rooted = tied.join(roots, "vertex", "left").select("key", "vertex", F.coalesce("root", "vertex").alias("root"))
     open_keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high").select("key", "n")
     rows = rooted.join(open_keys, "key").join(sketches, "vertex")
@@ -364,16 +362,28 @@ def _busy_pairs(tied: DataFrame, roots: DataFrame, sketches: DataFrame) -> DataF
                     continue
                 v, r, n, s, o = (x[i:j] for x in (at["vertex"], at["root"], at["n_shingles"], sketch, at["own"]))
                 same = at["low"][i] == at["high"][i]
-                left = np.arange(j - i) if same else np.flatnonzero(o == at["low"][i])
-                right = left if same else np.flatnonzero(o == at["high"][i])
+                left = np.arange(j - i) if same or nearest else np.flatnonzero(o == at["low"][i])
+                right = left if same or nearest else np.flatnonzero(o == at["high"][i])
+                best: dict[int, tuple[int, int, int]] = {}
                 for x in left:
                     y = right[(r[right] != r[x]) & (5 * np.minimum(n[right], n[x]) >= 4 * np.maximum(n[right], n[x]))]
-                    if same:
+                    if same and not nearest:
                         y = y[v[y] > v[x]]
-                    if len(y):
-                        y = y[_near(s[y], s[x][None, :], n[y], n[x])]
+                    if not len(y):
+                        continue
+                    room = n[y] + n[x] - 9 * np.bitwise_count(s[y].view(_U) ^ s[x].view(_U)).sum(1, dtype=np.int64)
+                    if nearest:
+                        k = int(room.argmax())
+                        if room[k] >= 0:
+                            best[r[x]] = max(best.get(r[x], (-1, 0, 0)), (int(room[k]), int(v[x]), int(v[y[k]])))
+                    else:
+                        y = y[room >= 0]
                         out_a.append(np.minimum(v[y], v[x]))
                         out_b.append(np.maximum(v[y], v[x]))
+                if best:
+                    found = np.array([b[1:] for b in best.values()], np.int64)
+                    out_a.append(found.min(1))
+                    out_b.append(found.max(1))
             a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (out_a, out_b))
             both = np.unique(np.stack([a, b], 1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
@@ -406,11 +416,20 @@ def similar_components(docs: DataFrame, n: int = 5, bloom_bits: int = 1 << 24) -
     stars = shared.where("vertex <> star").select(F.col("star").alias("a"), F.col("vertex").alias("b")).distinct()
     links = _verified(_allowed(stars, sketches), docs, n, bloom_bits)
     roots = components(links)
-    more = _verified(_allowed(_across(shared, roots, sketches), sketches), docs, n, bloom_bits)
-    if more.limit(1).count():
-        # The first components are stars already; only what joins them is new.
-        roots = components(roots.where("vertex <> root").select(F.col("vertex").alias("a"), F.col("root").alias("b")).unionByName(more))
-    for t in (shared, sketches, links, more):
+    store.drop(links)
+    busy = store.materialize(shared.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BUSY), "jaccard-busy")
+    tied = store.materialize(_tied(shared, busy), "jaccard-tied")
+    calm = shared.join(busy.select("key"), "key", "left_anti").select("key", "vertex")
+    for last in (False, True):
+        pairs = _busy_pairs(tied, roots, sketches, nearest=not last).distinct()
+        if last:
+            pairs = pairs.unionByName(_calm_pairs(calm, roots)).distinct()
+        more = _verified(_allowed(pairs, sketches), docs, n, bloom_bits)
+        if more.limit(1).count():
+            # The components so far are stars already; only what joins them is new.
+            roots = components(roots.where("vertex <> root").select(F.col("vertex").alias("a"), F.col("root").alias("b")).unionByName(more))
+        store.drop(more)
+    for t in (shared, sketches, busy, tied):
         store.drop(t)
     known = table.where("vertex IS NOT NULL").groupBy("vertex").agg(F.min("doc_id").alias("least"))
     known = known.join(roots, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
