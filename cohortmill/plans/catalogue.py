@@ -288,7 +288,8 @@ def quality_tiers(s, d):
     return identity.quality_tiers(_graph(s, d))
 
 
-@query(f"{_ID}, {_UP} SELECT upper(trim(a.display_name)) AS name, a.pincode, a.unified_id AS id_1, b.unified_id AS id_2 FROM up2 a JOIN up2 b ON upper(trim(a.display_name)) = upper(trim(b.display_name)) AND a.pincode = b.pincode AND a.unified_id < b.unified_id".replace(", up AS", ", up AS").replace(" SELECT upper(trim(a", ", up2 AS (SELECT * REPLACE ('N' || substr(canonical_mobile, 9) AS display_name) FROM up WHERE pincode IS NOT NULL) SELECT upper(trim(a", 1))
+@query(f"""{_ID}, {_UP}, up2 AS (SELECT unified_id, pincode, upper('N' || substr(canonical_mobile, 9)) AS name FROM up WHERE pincode IS NOT NULL)
+  SELECT a.name, a.pincode, a.unified_id AS id_1, b.unified_id AS id_2 FROM up2 a JOIN up2 b ON a.name = b.name AND a.pincode = b.pincode AND a.unified_id < b.unified_id""")
 def merge_candidates(s, d):
     p = _profiles(s, d).where("pincode IS NOT NULL").withColumn("display_name", F.concat(F.lit("N"), F.substr("canonical_mobile", F.lit(9))))
     return identity.merge_candidates(p)
