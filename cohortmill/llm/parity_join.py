@@ -12,7 +12,7 @@ hash, where only pairs of such sets need it; after `FAMILIES` hashes it gives it
 is missed.
 
 Verification runs in three rounds. First each key's sets are compared with the key's smallest set: bit sketches (BITS
-cells of one bit) drop what is too far, the rest is verified on the sets, and links are contracted to components. Then, in
+cells of one bit; for large sets also 2 to 4 bits an element) drop what is too far, the rest is verified on the sets, and links are contracted to components. Then, in
 busy keys whose sets still fall into several components, each component's nearest pair towards another one is verified.
 Last, all pairs across components that are left: all of them in keys of few sets; in busy keys those of sets that other
 keys don't serve, by bit sketches in blocks of bounded size. Links within a component change nothing, so no link between
@@ -106,6 +106,23 @@ def bit_sketches(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(slot, minlength=n * BITS) & 1).astype(np.uint8).reshape(n, BITS), axis=1)
 
 
+def wide_sketch(values: np.ndarray) -> bytes | None:
+    """Parities of a large set's elements in 2 to 4 bits for each of them, a power of two; None where BITS are as many.
+    Halves XORed onto each other are the sketch of half as many bits, so any two sets can be compared."""
+    if 2 * len(values) <= BITS:
+        return None
+    bits = 1 << (2 * len(values) - 1).bit_length()
+    slot = (mix(values) >> _U(30)).astype(np.int64) % bits
+    return np.packbits((np.bincount(slot, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def wide_distance(x: bytes, y: bytes) -> int:
+    """Hamming distance of two wide sketches, the longer one folded to the length of the other."""
+    length = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(np.frombuffer(z, np.uint8).reshape(-1, length), axis=0) for z in (x, y))
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
+
+
 def _packed(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(np.sort(values >> _U(24)).view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
 
@@ -137,16 +154,18 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.Record
 
 def shingle_table(docs: DataFrame, n: int = 5) -> DataFrame:
     """doc_id, n_shingles, vertex (fingerprint of the set, null for an empty one) and, once a task and distinct set, its
-    bit sketch."""
+    bit sketch and, for a large set, its wide one."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, values, bounds, vertex, fresh in _sets(batches, n):
             sketches = [s.tobytes() if f else None for s, f in zip(bit_sketches(values, bounds), fresh)]
+            wide = [wide_sketch(values[i:j]) if f else None for i, j, f in zip(bounds[:-1], bounds[1:], fresh)]
             size = np.diff(bounds)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(vertex, mask=size == 0), pa.array(sketches, pa.binary())], ["doc_id", "n_shingles", "vertex", "sketch"])
+            columns = [batch.column(0), pa.array(size), pa.array(vertex, mask=size == 0), pa.array(sketches, pa.binary()), pa.array(wide, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "vertex", "sketch", "wide"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, vertex long, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, vertex long, sketch binary, wide binary")
 
 
 def _keys(docs: DataFrame, n: int) -> DataFrame:
@@ -238,7 +257,8 @@ def _sides(pairs: DataFrame, of: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _allowed(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sizes and bit sketches allow similarity."""
+    """The pairs (a, b) whose sizes and bit sketches allow similarity. Sets of much more than BITS elements fill a bit
+    sketch with noise; pairs of them are held against their wide sketches too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
@@ -250,7 +270,15 @@ def _allowed(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
             ok = _near(x, y, n, m) & (5 * np.minimum(n, m) >= 4 * np.maximum(n, m))
             yield pa.RecordBatch.from_arrays([at["a"], at["b"]], ["a", "b"]).filter(pa.array(ok))
 
-    return _sides(pairs, sketches, ["sketch", "n_shingles"]).mapInArrow(run, "a long, b long")
+    def run_wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            at = {n: t.column(i) for i, n in enumerate(t.schema.names)}
+            total = at["n_shingles_a"].to_numpy() + at["n_shingles_b"].to_numpy()
+            ok = [x is None or y is None or wide_distance(x, y) * 9 <= k for x, y, k in zip(at["wide_a"].to_pylist(), at["wide_b"].to_pylist(), total.tolist())]
+            yield pa.RecordBatch.from_arrays([at["a"], at["b"]], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    near = _sides(pairs, sketches, ["sketch", "n_shingles"]).mapInArrow(run, "a long, b long")
+    return _sides(near, sketches, ["wide", "n_shingles"]).mapInArrow(run_wide, "a long, b long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, bloom_bits: int) -> DataFrame:
@@ -341,7 +369,7 @@ def _busy_pairs(tied: DataFrame, roots: DataFrame, sketches: DataFrame, nearest:
     group only the pair with most room. Keys are cut into blocks; a group holds two blocks at most."""
     rooted = tied.join(roots, "vertex", "left").select("key", "vertex", F.coalesce("root", "vertex").alias("root"))
     open_keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high").select("key", "n")
-    rows = rooted.join(open_keys, "key").join(sketches, "vertex")
+    rows = rooted.join(open_keys, "key").join(sketches.select("vertex", "n_shingles", "sketch"), "vertex")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("vertex"), blocks).cast("int")
     # A row meets every block of its key once: in the cell of both blocks, the smaller first.
@@ -412,7 +440,7 @@ def similar_components(docs: DataFrame, n: int = 5, bloom_bits: int = 1 << 24) -
     table = store.materialize(shingle_table(docs, n), "jaccard-sets")
     shared = store.materialize(_shared(_keys(docs, n)), "jaccard-shared")
     # A set that several tasks gave is one vertex: of its rows only one joins.
-    sketches = store.materialize(table.where("sketch IS NOT NULL").select("vertex", "n_shingles", "sketch").dropDuplicates(["vertex"]), "jaccard-sketches")
+    sketches = store.materialize(table.where("sketch IS NOT NULL").select("vertex", "n_shingles", "sketch", "wide").dropDuplicates(["vertex"]), "jaccard-sketches")
     stars = shared.where("vertex <> star").select(F.col("star").alias("a"), F.col("vertex").alias("b")).distinct()
     links = _verified(_allowed(stars, sketches), docs, n, bloom_bits)
     roots = components(links)

@@ -96,6 +96,29 @@ def test_bit_sketches_bound_the_difference():
         assert np.bitwise_count(s[0] ^ s[1]).sum() <= 2 * d
 
 
+def test_wide_sketches_bound_the_difference_and_tell_large_sets_apart():
+    rng = np.random.default_rng(11)
+    for n, more, d in ((3000, 0, 500), (2100, 200, 300), (4096, 1, 0), (3000, 0, 1500)):
+        a = rng.integers(0, 2**63, n, dtype=np.uint64)
+        b = np.concatenate([a[d:], rng.integers(0, 2**63, d + more, dtype=np.uint64)])
+        far = parity_join.wide_distance(parity_join.wide_sketch(a), parity_join.wide_sketch(b))
+        assert far <= 2 * d + more
+        assert d < 1500 or far * 9 > len(a) + len(b)
+    assert parity_join.wide_sketch(a[:512]) is None
+
+
+def test_large_texts_that_share_passages_equal_brute_force(spark):
+    rng = random.Random(8)
+    fresh = lambda k: [f"w{rng.randint(0, 9000)}" for _ in range(k)]
+    passage, rows = fresh(1200), []
+    for i in range(6):
+        text = passage + fresh(rng.choice([250, 700, 1500]))
+        rows += [(10 * i + k, " ".join(edited(rng, text, share))) for k, share in enumerate((0, 0.005, 0.018, 0.03))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in parity_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    expected = brute(rows)
+    assert got == expected and 6 <= len({c for _, c in expected.values()}) < len(rows)
+
+
 def test_components_of_a_long_chain(spark):
     n = 200
     links = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001)], "a long, b long")
