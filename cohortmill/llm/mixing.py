@@ -4,10 +4,11 @@ Each source's documents form blocks of `block_rows` rows. Time is a sequence of
 weight w may run its block k from slot floor(k / w) (release) and must have run it by slot ceil((k + 1) / w) (deadline);
 running the released block with the earliest deadline first keeps each source within one block of w * t at every slot t.
 
-Weights are integers that add up to `resolution`, so the schedule repeats after that many slots: one cycle is laid out by
-a fold over `resolution` slots and joined to the documents by (source, block within the cycle). When a source has no
-whole block left, the schedule goes on in a next phase without it, the weights of the others in their old ratio; there
-are no more phases than sources. Every row is kept, once.
+Weights are exact: the given numbers, as they are written, become integers in the same ratio (`parts`), and releases and
+deadlines are whole-number arithmetic on them. After as many slots as the parts add up to, every source has run its part
+and the schedule repeats; so of each phase that many slots are laid out, or the whole phase where that is shorter, from
+the sources' numbers of blocks alone. When a source has run its last block, the schedule goes on in a next phase without
+it, the weights of the others in their old ratio; there are no more phases than sources. Every row is kept, once.
 
 Defined results: null sources are a source of their own, named ''. Rows of one source are taken in the order of a hash
 of the id, then the id; rows that repeat keep their own places. An empty input gives an empty output. Weights are for
@@ -17,7 +18,11 @@ where their names clash with those that are made here (the made ones are in the
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Mapping
+from decimal import Decimal
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,38 +31,67 @@ from pyspark.sql import functions as F
 BUCKETS = 256
 
 
-def _apportion(weights: list[float], resolution: int) -> list[int]:
-    """Integers of at least 1 that add up to resolution, in the ratio of the weights (largest remainders)."""
-    total = sum(weights)
-    exact = [w / total * resolution for w in weights]
-    out = [max(1, int(x)) for x in exact]
-    order = sorted(range(len(out)), key=lambda i: (out[i] - exact[i], i))
-    while sum(out) < resolution:
-        for i in order[: resolution - sum(out)]:
-            out[i] += 1
-    while sum(out) > resolution:
-        out[max(range(len(out)), key=lambda i: (out[i] - exact[i] if out[i] > 1 else float("-inf"), -i))] -= 1
+#: Slots up to which the layout is broadcast; a longer one is joined by a shuffle.
+BROADCAST_SLOTS = 100_000
+
+
+def whole_parts(weights: Mapping[str, Fraction]) -> dict[str, int]:
+    """The smallest integers in exactly the ratio of the weights."""
+    unit = math.lcm(*(w.denominator for w in weights.values()))
+    parts = {s: int(w * unit) for s, w in weights.items()}
+    shared = math.gcd(*parts.values())
+    return {s: p // shared for s, p in parts.items()}
+
+
+def earliest_deadlines(parts: list[int], blocks: list[int]) -> list[int]:
+    """Which source runs in each slot: over one cycle (as many slots as the parts add up to), or up to the slot in which
+    a source runs its last block, if that comes first."""
+    total, run, out = sum(parts), [0] * len(parts), []
+    ready: list[tuple[int, int, int]] = []
+    waiting = [(0, i) for i in range(len(parts))]
+    while len(out) < total:
+        while waiting and waiting[0][0] <= len(out):
+            i = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, (-(-(run[i] + 1) * total // parts[i]), -parts[i], i))
+        i = heapq.heappop(ready)[2]
+        out.append(i)
+        run[i] += 1
+        if run[i] == blocks[i]:
+            break
+        heapq.heappush(waiting, (run[i] * total // parts[i], i))
     return out
 
 
-def phases(blocks: Mapping[str, int], weights: Mapping[str, float], resolution: int) -> list[dict]:
-    """Of the sources that still have blocks: their integer weights and the whole cycles that each phase runs. The last
-    cycle of a phase is the one in which a source runs out; what it leaves free is closed up afterwards."""
+def phases(blocks: Mapping[str, int], weights: Mapping[str, Fraction]) -> list[dict]:
+    """Of the sources that still have blocks: their integer weights, the layout that the phase repeats (who runs, and
+    with which of its blocks in the layout), the slots that the phase runs, and the blocks of each source before and in it."""
     left, first, out = {s: n for s, n in blocks.items() if n > 0}, {s: 0 for s in blocks}, []
     while left:
         names = sorted(left)
-        parts = dict(zip(names, _apportion([weights[s] for s in names], max(resolution, len(names)))))
-        cycles = min(-(-left[s] // parts[s]) for s in names)
-        out.append({"parts": parts, "cycles": cycles, "first": {s: first[s] for s in names}})
-        for s in names:
-            first[s] += cycles * parts[s]
-            left[s] -= cycles * parts[s]
+        parts = whole_parts({s: weights[s] for s in names})
+        who = earliest_deadlines([parts[s] for s in names], [left[s] for s in names])
+        seen, k, at = [0] * len(names), [], [[] for _ in names]
+        for t, i in enumerate(who):
+            k.append(seen[i])
+            seen[i] += 1
+            at[i].append(t)
+        # The phase ends after the first last block of a source. Sources that the layout leaves out can't be the first.
+        ends = [(left[s] - 1) // seen[i] * len(who) + at[i][(left[s] - 1) % seen[i]] + 1 for i, s in enumerate(names) if seen[i]]
+        slots = len(who) if len(who) < sum(parts.values()) else min(ends)
+        cycles, rest = divmod(slots, len(who))
+        ran = [cycles * n for n in seen]
+        for i in who[:rest]:
+            ran[i] += 1
+        out.append({"names": names, "parts": [parts[s] for s in names], "who": who, "k": k, "per": seen, "slots": slots, "first": [first[s] for s in names], "ran": ran})
+        for s, n in zip(names, ran):
+            first[s] += n
+            left[s] -= n
         left = {s: n for s, n in left.items() if n > 0}
     return out
 
 
 def cycle_slots(parts: Column, total: Column) -> Column:
-    """Earliest deadline first over one cycle. parts: array of the integer weights; gives, for each slot, the place of
+    """earliest_deadlines over one cycle, as a column. parts: array of the integer weights; gives, for each slot, the place of
     the source that runs and the number of its block within the cycle."""
     state = F.struct(F.transform(parts, lambda p: F.lit(0)).alias("run"), F.array().cast("array<struct<who:int,k:int>>").alias("out"))
 
@@ -73,9 +107,15 @@ def cycle_slots(parts: Column, total: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), (total - 1).cast("int")), state, step, lambda s: s["out"])
 
 
+def _exact(weight: float) -> Fraction:
+    """The number as it is written: 0.1 is one tenth."""
+    return Fraction(weight) if isinstance(weight, (int, Fraction, Decimal)) else Fraction(repr(float(weight)))
+
+
 def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, source: str = "source", doc_id: str = "doc_id", block_rows: int = 4, resolution: int = 240, default_weight: float = 1.0, max_sources: int = 10_000) -> DataFrame:
-    """docs with a struct `mix`: phase, weight (the phase's share), block (of the source, from 0), release, deadline and
-    slot (within the phase), position (from 0, without gaps, over all rows). Order by mix.position to get the mixture."""
+    """docs with a struct `mix`: phase, weight (the source's exact share in it), block (of the source, from 0), release, deadline and
+    slot (within the phase), position (from 0, without gaps, over all rows). Order by mix.position to get the mixture.
+    resolution: slots of the layout that one row of its table holds; it has no bearing on the result."""
     key = F.coalesce(F.col(source).cast("string"), F.lit(""))
     rows = docs.select(F.struct("*").alias("_row"), key.alias("_source"), F.xxhash64(F.col(doc_id)).alias("_hash"))
     rows = rows.withColumn("_bucket", F.pmod("_hash", F.lit(BUCKETS)).cast("int"))
@@ -85,29 +125,30 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, sou
     if len(counts) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
     spark = docs.sparkSession
-    given = {s: float((weights or {}).get(s, default_weight)) for s in counts}
+    given = {s: _exact((weights or {}).get(s, default_weight)) for s in counts}
     if any(w <= 0 for w in given.values()):
         raise ValueError("weights must be above 0")
-    plan = phases({s: -(-n // block_rows) for s, n in counts.items()}, given, resolution)
-    lines, start = [], 0
+    plan = phases({s: -(-n // block_rows) for s, n in counts.items()}, given)
+    layout, turns, start = [], [], 0
     for p, x in enumerate(plan):
-        names = list(x["parts"])
-        lines.append((p, names, [x["parts"][s] for s in names], [x["first"][s] for s in names], sum(x["parts"].values()), x["cycles"], start))
-        start += x["cycles"] * sum(x["parts"].values())
-    table = spark.createDataFrame(lines, "phase int, names array<string>, parts array<int>, first array<long>, total int, cycles long, start long")
-    slots = table.select("*", F.posexplode(cycle_slots(F.col("parts"), F.col("total"))).alias("slot", "run")).where("run.who IS NOT NULL").select(
-        F.element_at("names", F.col("run.who") + 1).alias("_source"), "phase", F.col("run.k").alias("k"), F.col("slot").cast("long").alias("slot"), "total", "start", "cycles",
-        F.element_at("parts", F.col("run.who") + 1).alias("part"), F.element_at("first", F.col("run.who") + 1).alias("first"),
-    )
-    turns = slots.select("_source", "phase", "first", "part", "cycles", "total", "start").distinct()
+        total, length = sum(x["parts"]), len(x["who"])
+        if total * (2 + max(x["ran"])) >= 10**38 or total >= 10**28:
+            raise ValueError("the weights have too many digits for exact deadlines")
+        layout += [(p, i, [x["names"][w] for w in x["who"][i : i + resolution]], x["k"][i : i + resolution]) for i in range(0, length, resolution)]
+        turns += [(s, p, first, ran, per, length, start, w / total, Decimal(w), Decimal(total)) for s, first, ran, per, w in zip(x["names"], x["first"], x["ran"], x["per"], x["parts"]) if ran]
+        start += x["slots"]
+    turns = spark.createDataFrame(turns, "_source string, phase int, first long, ran long, per long, length long, start long, weight double, part decimal(28,0), total decimal(28,0)")
+    layout = spark.createDataFrame(layout, "phase int, begin long, who array<string>, k array<long>")
+    slots = layout.select("phase", "begin", F.posexplode(F.arrays_zip("who", "k")).alias("at", "run"))
+    slots = slots.select(F.col("run.who").alias("_source"), "phase", F.col("run.k").alias("_k"), (F.col("begin") + F.col("at")).alias("slot"))
     numbered = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_source", "_bucket").orderBy("_hash", F.col(f"_row.{doc_id}"))))
     numbered = numbered.join(F.broadcast(sizes.select("_source", "_bucket", "before")), ["_source", "_bucket"]).withColumn("_n", F.col("_n") - 1 + F.col("before"))
     numbered = numbered.withColumn("_block", F.floor(F.col("_n") / block_rows)).drop("before", "_bucket", "_hash")
-    # (phase, source) and (phase, source, k) are bounded by max_sources and resolution, never by the rows.
-    held = numbered.join(F.broadcast(turns), "_source").where("_block >= first AND _block < first + cycles * part")
-    held = held.withColumn("_k", ((F.col("_block") - F.col("first")) % F.col("part")).cast("int")).withColumn("_cycle", F.floor((F.col("_block") - F.col("first")) / F.col("part")))
-    held = held.join(F.broadcast(slots.select("_source", "phase", F.col("k").alias("_k"), "slot")), ["_source", "phase", "_k"])
-    held = held.withColumn("_at", F.col("slot") + F.col("_cycle") * F.col("total"))
+    # (phase, source) is bounded by max_sources; (phase, source, k) by the digits of the weights, or else by the blocks.
+    held = numbered.join(F.broadcast(turns), "_source").where("_block >= first AND _block < first + ran")
+    held = held.withColumn("_k", (F.col("_block") - F.col("first")) % F.col("per")).withColumn("_cycle", ((F.col("_block") - F.col("first") - F.col("_k")) / F.col("per")).cast("long"))
+    held = held.join(F.broadcast(slots) if sum(len(x["who"]) for x in plan) <= BROADCAST_SLOTS else slots, ["_source", "phase", "_k"])
+    held = held.withColumn("_at", F.col("slot") + F.col("_cycle") * F.col("length"))
     # Close the gaps: rows per slot group, added up in front, then the rank within the slot.
     held = held.withColumn("_place", (F.col("start") + F.col("_at")) * block_rows + F.col("_n") % block_rows)
     total = start * block_rows
@@ -115,10 +156,10 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, sou
     held = held.withColumn("_range", F.floor(F.col("_place") / width).cast("int"))
     before = held.groupBy("_range").agg(F.count("*").alias("_m")).withColumn("_before", F.sum("_m").over(Window.partitionBy(F.lit(0)).orderBy("_range")) - F.col("_m")).drop("_m")
     placed = held.withColumn("_r", F.row_number().over(Window.partitionBy("_range").orderBy("_place"))).join(F.broadcast(before), "_range")
-    block = F.col("_block") - F.col("first")
+    placed = placed.withColumn("_own", (F.col("_block") - F.col("first")).cast("decimal(18,0)"))
     made = F.struct(
-        "phase", (F.col("part") / F.col("total")).alias("weight"), F.col("_block").alias("block"), F.floor(block * F.col("total") / F.col("part")).alias("release"),
-        F.ceil((block + 1) * F.col("total") / F.col("part")).alias("deadline"), F.col("_at").alias("slot"), (F.col("_before") + F.col("_r") - 1).alias("position"),
+        "phase", "weight", F.col("_block").alias("block"), F.expr("(_own * total) DIV part").alias("release"),
+        F.expr("((_own + 1) * total + part - 1) DIV part").alias("deadline"), F.col("_at").alias("slot"), (F.col("_before") + F.col("_r") - 1).alias("position"),
     )
     return placed.select("_row.*", made.alias("mix"))
 

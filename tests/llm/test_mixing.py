@@ -1,4 +1,5 @@
 import collections
+from fractions import Fraction
 
 from pyspark.sql import functions as F
 
@@ -57,3 +58,54 @@ def test_defined_cases(spark):
 def test_no_python_in_the_plan(spark):
     plan = mixing.mix_sources(frame(spark, {"a": 4}))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def check_exact(spark, counts, weights, given, **more):
+    """Every source stays within one block of its given weight, in exact arithmetic, as long as all sources have blocks."""
+    rows = sorted(mixing.mix_sources(frame(spark, counts), weights, block_rows=1, **more).select("source", "mix.*").collect(), key=lambda r: r.position)
+    assert [r.position for r in rows] == list(range(sum(counts.values())))
+    first = [r for r in rows if r.phase == 0]
+    assert [r.slot for r in first] == list(range(len(first)))
+    share = {s: Fraction(w) / sum(map(Fraction, given.values())) for s, w in given.items()}
+    ran = collections.Counter()
+    for t, r in enumerate(first):
+        w = share[r.source]
+        assert r.weight == float(w) and r.release == r.block // w and r.deadline == -(-(r.block + 1) // w)
+        assert r.release <= t < r.deadline
+        ran[r.source] += 1
+        assert all(abs(ran[s] - x * (t + 1)) < 1 for s, x in share.items())
+    assert any(ran[s] == n for s, n in counts.items())
+    return first
+
+
+def test_given_weights_are_exact(spark):
+    named = {"src0": 4.0, "src1": 3.0, "src2": 2.0}
+    counts = {f"src{i}": 40 * int(named.get(f"src{i}", 1)) for i in range(20)}
+    first = check_exact(spark, counts, named, {s: named.get(s, 1) for s in counts})
+    assert len(first) > 26 * 39
+    # A weight below 1/240, and one whose cycle is longer than the phase.
+    check_exact(spark, {"a": 3, "b": 1200}, {"a": 1, "b": 999}, {"a": 1, "b": 999})
+    check_exact(spark, {"a": 90, "b": 50, "c": 70}, {"a": 0.1, "b": 1 / 3, "c": 0.7}, {"a": "0.1", "b": repr(1 / 3), "c": "0.7"})
+
+
+def test_weights_count_with_many_sources(spark):
+    counts = {f"s{i}": 3 for i in range(250)} | {"big": 60}
+    check_exact(spark, counts, {"big": 20.0}, {s: 20 if s == "big" else 1 for s in counts})
+
+
+def test_one_layout_however_it_is_split_or_joined(spark, monkeypatch):
+    counts, weights = {"a": 31, "b": 57, "c": 8}, {"a": 0.37, "b": 1.21, "c": 0.013}
+
+    def mixed(**more):
+        return sorted(tuple(r) for r in mixing.mix_sources(frame(spark, counts), weights, block_rows=2, **more).select("doc_id", "mix.*").collect())
+
+    whole = mixed()
+    assert mixed(resolution=7) == whole
+    monkeypatch.setattr(mixing, "BROADCAST_SLOTS", 0)
+    assert mixed() == whole
+
+
+def test_layout_equals_the_cycle_as_a_column(spark):
+    parts = [7, 3, 1, 13]
+    got = spark.range(1).select(mixing.cycle_slots(F.array(*map(F.lit, parts)), F.lit(sum(parts))).alias("c")).first().c
+    assert mixing.earliest_deadlines(parts, [100] * 4) == [x.who for x in got]
