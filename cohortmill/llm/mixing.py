@@ -164,6 +164,6 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, sou
     return placed.select("_row.*", made.alias("mix"))
 
 
-def in_mixed_order(mixed: DataFrame, columns: list[str]) -> DataFrame:
+def in_mixed_order(mixed: DataFrame, columns: list[str | Column]) -> DataFrame:
     """The columns, range-partitioned and sorted by position: files written from it hold the mixture in their order."""
     return mixed.repartitionByRange(F.col("mix.position")).sortWithinPartitions("mix.position").select(columns)

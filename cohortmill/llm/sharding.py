@@ -1,11 +1,11 @@
 """Sharding: balanced label propagation under capacity quotas, then gapless slots.
 
 Documents are linked through hubs: all members of a hub are neighbours of each other (equal texts share the hub of their
-text; an edge list makes a hub of each edge). A document's label is its shard. In each round every linked document counts
+text; an edge list makes a hub of each edge; shared_lines makes one of each line). A document's label is its shard. In each round every linked document counts
 its neighbours by shard, through the counts of its hubs, and asks for the shard that holds most of them among those with
 room; a hub that needs several shards fills its shards one after the other. Requests are granted hub by hub up to each
 shard's quota. Rounds end when no move is granted, or after `rounds`. Documents without links fill what is left, so that
-counts differ by one at most (law `rows`).
+counts differ by one at most (law `rows`). Slots within a shard follow a hash of the row, or a given order.
 
 Ranks are exact and distributed: rows are numbered within (key, bucket), and the buckets' sizes are added up in front.
 Only tables of shards x BUCKETS rows are broadcast, and no group is gathered anywhere.
@@ -93,28 +93,45 @@ def _text_hub() -> Column:
     return F.when(F.col("text").isNotNull(), F.concat_ws("-", F.xxhash64("text").cast("string"), F.crc32(F.col("text").cast("binary")).cast("string"), F.octet_length("text").cast("string")))
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 24, links: DataFrame | None = None, law: str = "rows") -> DataFrame:
+def shared_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, hub: a hub for each line that isn't blank, without the blanks around it. All lines of all texts are taken;
+    those that stand in one document only link nothing."""
+    lines = F.array_distinct(F.transform(F.split("text", r"\R"), lambda x: F.trim(x)))
+    return docs.select("doc_id", F.explode(lines).alias("line")).where("line <> ''").select("doc_id", F.xxhash64("line").alias("hub"))
+
+
+def _order_bucket(narrow: DataFrame) -> Column:
+    """Buckets of equal width in the rows' order; nulls are in the last one."""
+    low, high = narrow.agg(F.min("order"), F.max("order")).first()
+    width = (high or 0) - (low or 0) + 1
+    return F.coalesce(F.least(F.floor((F.col("order") - F.lit(low or 0)) / F.lit(float(width)) * BUCKETS), F.lit(BUCKETS - 1)), F.lit(BUCKETS - 1))
+
+
+def shard_documents(docs: DataFrame, n_shards: int = 24, links: DataFrame | None = None, law: str = "rows", order: str | None = None) -> DataFrame:
     """docs with size, text_crc32, law, shard, slot (gapless from 0 in each shard) and grown_shard (null under this law).
-    links: (doc_id, hub) further links beside equal texts."""
+    links: (doc_id, hub) further links beside equal texts. order: a column of whole numbers that the slots of each shard
+    follow, nulls last; without it they follow a hash of the row."""
     if law != "rows":
         raise ValueError("only the law `rows` is built")
     made = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     text = F.coalesce("text", F.lit(""))
-    narrow = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), _text_hub().alias("hub"))
+    place = [F.col(order).cast("long").alias("order")] if order else []
+    narrow = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), _text_hub().alias("hub"), *place)
     # Rows that repeat an id are told apart by their number.
-    narrow = narrow.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id").orderBy("hub")))
+    narrow = narrow.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id").orderBy("hub", *(["order"] if order else []))))
     narrow = store.materialize(narrow.withColumn("row", F.concat_ws("/", F.col("doc_id").cast("string"), "copy")), "shard-rows")
     hubs = narrow.where("hub IS NOT NULL").select("row", "hub")
     if links is not None:
         more = links.select("doc_id", F.concat(F.lit("link-"), F.col("hub").cast("string")).alias("hub")).distinct()
         hubs = hubs.unionByName(narrow.select("doc_id", "row").join(more, "doc_id").select("row", "hub"))
     placed = narrow.join(propagate(narrow, hubs, n_shards), "row")
-    placed = ranked(placed, "shard", spread(F.col("row")), [F.xxhash64("row"), F.col("row")], "slot")
+    bucket = _order_bucket(narrow) if order else spread(F.col("row"))
+    placed = ranked(placed, "shard", bucket, [*([F.col("order").asc_nulls_last()] if order else []), F.xxhash64("row"), F.col("row")], "slot")
     placed = placed.select("doc_id", "copy", "size", "text_crc32", F.lit(law).alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
     rest = [c for c in docs.columns if c not in made]
     if rest == ["doc_id"] or rest == ["doc_id", "text"]:
         return placed.drop("copy")
-    whole = docs.select(*rest).withColumn("copy", F.row_number().over(Window.partitionBy("doc_id").orderBy(_text_hub()))) if _repeats(narrow) else docs.select(*rest).withColumn("copy", F.lit(1))
+    whole = docs.select(*rest).withColumn("copy", F.row_number().over(Window.partitionBy("doc_id").orderBy(_text_hub(), *([F.col(order).cast("long")] if order else [])))) if _repeats(narrow) else docs.select(*rest).withColumn("copy", F.lit(1))
     return whole.join(placed, ["doc_id", "copy"]).drop("copy")
 
 

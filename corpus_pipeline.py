@@ -1,13 +1,14 @@
 """The corpus pipeline: documents without toxic, repeated and benchmark texts, mixed by source weights, in shards.
 
 Every stage takes what its predecessor kept, as rows of `documents`; the last one adds the shard. Stages call operators of
-cohortmill.llm and nothing else. Mixing takes effect as the order of the rows: its files, read in order, hold the sources
-at their target weights in every stretch.
+cohortmill.llm and nothing else. Mixing numbers the rows (mix_position), and the slots of each shard follow these numbers.
+Documents that share a line are linked, and links draw documents into one shard.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cohortmill.llm import decontamination, mixing, parity_join, sharding, store, toxicity
 
@@ -36,13 +37,13 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order in which the sources' blocks run."""
-    return mixing.in_mixed_order(mixing.mix_sources(docs, SOURCE_WEIGHTS), docs.columns)
+    """All documents, in the order in which the sources' blocks run, with their number in it (mix_position)."""
+    return mixing.in_mixed_order(mixing.mix_sources(docs, SOURCE_WEIGHTS), [*docs.columns, F.col("mix.position").alias("mix_position")])
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their shard and their slot in it."""
-    return sharding.shard_documents(docs, SHARDS)
+    """All documents with their shard, shared lines kept together, and their slot in it, in the order of the mixture."""
+    return sharding.shard_documents(docs, SHARDS, sharding.shared_lines(docs), order="mix_position")
 
 
 STAGES = [

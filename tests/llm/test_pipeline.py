@@ -1,3 +1,5 @@
+import collections
+
 import corpus_pipeline
 from cohortmill.llm import decontamination, parity_join
 
@@ -17,3 +19,20 @@ def test_stages_over_the_smallest_tables(spark, smallest):
     assert len(rows) > 0.6 * docs.count()
     sizes = out.groupBy("shard").count().toPandas()["count"]
     assert sizes.max() - sizes.min() <= 1
+
+
+def test_mixture_and_links_reach_the_shards(spark):
+    rows = [(i, f"own {i}\nline of group {i // 5}" if i < 300 else f"own {i}", "en", f"src{i % 4}") for i in range(720)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    mixed = corpus_pipeline.mix(spark, docs, "")
+    out = corpus_pipeline.shard(spark, mixed, "").collect()
+    assert sorted(r.mix_position for r in out) == list(range(720))
+    shards = collections.defaultdict(list)
+    for r in sorted(out, key=lambda r: r.slot):
+        shards[r.shard].append(r.mix_position)
+    assert len(shards) == corpus_pipeline.SHARDS and all(x == sorted(x) and len(x) == 30 for x in shards.values())
+    where = collections.defaultdict(set)
+    for r in out:
+        if r.doc_id < 300:
+            where[r.doc_id // 5].add(r.shard)
+    assert sum(len(s) > 1 for s in where.values()) <= 6

@@ -51,3 +51,21 @@ def test_repeated_ids_extra_columns_few_and_no_rows(spark):
     rows = sharding.shard_documents(df, 24).collect()
     assert len(rows) == 4 and rows[0].lang == "en" and max(collections.Counter(r.shard for r in rows).values()) == 1
     assert sharding.shard_documents(df.limit(0), 24).count() == 0
+
+
+def test_slots_follow_an_order(spark):
+    df = spark.createDataFrame([(i, f"t{i}", (i * 37) % 200 if i != 9 else None) for i in range(200)] + [(200, "t200", 10**12)], "doc_id long, text string, at long")
+    rows = sharding.shard_documents(df, 3, order="at").collect()
+    check(rows, {i: f"t{i}" for i in range(201)}, 3)
+    for s in range(3):
+        at = [r.at for r in sorted((r for r in rows if r.shard == s), key=lambda r: r.slot)]
+        known = [x for x in at if x is not None]
+        assert known == sorted(known) and None not in at[:-1]
+
+
+def test_shared_lines_are_links(spark):
+    df = spark.createDataFrame([(1, "a b\nc"), (2, "x\r\n  c \n\n c"), (3, None), (4, " \n")], "doc_id long, text string")
+    hubs = collections.defaultdict(list)
+    for r in sharding.shared_lines(df).collect():
+        hubs[r.hub].append(r.doc_id)
+    assert sorted(map(sorted, hubs.values())) == [[1], [1, 2], [2]]
