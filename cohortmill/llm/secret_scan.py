@@ -1,7 +1,8 @@
 """Secret scans: three base patterns, and candidates that zstandard can't shrink given what surrounds them.
 
 A candidate is a run of 12 or more secret-like characters, with a letter and a digit or with both cases, that follows a
-sensitive word within `reach` characters. Its novelty is what it adds to the compressed size when the compressor is
+sensitive word within `reach` characters, or such a run that directly follows another candidate on the next line. It is
+taken whole, whatever its length. Its novelty is what it adds to the compressed size when the compressor is
 primed with common identifiers, the text around the candidate and nothing else: strings that recur nearby, words, names
 and paths cost little, keys cost nearly all of their entropy. Candidates of at least `least_ratio` marginal bytes per
 byte are reported as kind `novel`, unless a base span covers some of it.
@@ -33,9 +34,12 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")  # maximal runs of 16+ are just the matches of [0-9a-f]+ of that length
 #: Words that make what follows sensitive.
-_SENSITIVE = re.compile(r"passw|passphrase|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|authorization|bearer|AKIA", re.IGNORECASE | re.ASCII)
+_SENSITIVE = re.compile(r"passw|passphrase|secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key|credential|authorization|bearer|AKIA", re.IGNORECASE | re.ASCII)
 _HINTS = (b"passw", b"passphrase", b"secret", b"token", b"key", b"credential", b"authorization", b"bearer", b"akia")
+_SHORTEST = 12
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=~!@#$%^&*-]{12,}")
+#: What may stand between a candidate and its next line: quotes, joining signs, blanks, a line end (also written as \\n).
+_NEXT_LINE = re.compile(r"""[ \t"',;\\]*(?:\r?\n|\\n)[ \t"']*""")
 #: What code and configuration say around secrets; primes the compressor.
 IDENTIFIERS = (
     "password passwd secret token api_key apikey access_key secret_key private_key public_key client_id client_secret authorization bearer credential username user_name database connection_string "
@@ -60,18 +64,33 @@ def novelty(candidate: bytes, around: bytes, identifiers: bytes, level: int = 3)
     return len(tool.compress(candidate)) - len(tool.compress(b""))
 
 
+def candidates(text: str, at: int, reach: int, seen: set[int]) -> Iterator[re.Match]:
+    """Candidates that begin within reach of a place, each with the candidate lines that directly follow it. seen: where
+    those that were given before begin; what follows them was given too."""
+    near = at + reach
+    while m := _CANDIDATE.search(text, at, near + _SHORTEST):
+        a = m.start()
+        # The letter of a written line end or tab isn't part of what follows it.
+        m = _CANDIDATE.match(text, a + (text[max(0, a - 1) : a + 1] in ("\\n", "\\r", "\\t"))) or m
+        at = m.end()
+        while m and m.start() not in seen:
+            seen.add(m.start())
+            yield m
+            at = m.end()
+            m = (gap := _NEXT_LINE.match(text, at)) and _CANDIDATE.match(text, gap.end())
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, int]], identifiers: bytes, reach: int, window: int, least_ratio: float) -> list[tuple[int, int, int, int]]:
     """(start, kind, end, marginal bytes) of what the base patterns leave."""
     found: dict[int, tuple[int, int, int, int]] = {}
     busy = [(a, b) for a, _, b in taken]
+    seen: set[int] = set()
     for word in _SENSITIVE.finditer(text):
-        for m in _CANDIDATE.finditer(text, word.end(), min(len(text), word.end() + reach + 512)):
+        for m in candidates(text, word.end(), reach, seen):
             a, b = m.span()
-            if a > word.end() + reach:
-                break
             value = m.group()
             mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value) or value.lower() != value != value.upper() and not value[1:].islower()
-            if a in found or not mixed or any(x < b and a < y for x, y in busy):
+            if not mixed or any(x < b and a < y for x, y in busy):
                 continue
             around = text[max(0, a - window) : a] + text[b : b + window]
             gain = novelty(value.encode(), around.encode("utf-8", "replace"), identifiers)

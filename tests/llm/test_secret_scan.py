@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -38,3 +40,27 @@ def test_digest_and_novel_spans(spark):
 def test_rows_that_repeat_count_each(spark):
     df = spark.createDataFrame([(1, "token=abcdefghijklm"), (1, "token=abcdefghijklm")], "doc_id long, text string")
     assert [r.n_assign for r in secret_scan.digest(secret_scan.scan(df)).collect()] == [1, 1]
+
+
+def _key(n, seed):
+    return "".join(random.Random(seed).choices(string.ascii_letters + "+/", k=n - 1)) + "7"
+
+
+def _novel(text):
+    return [(a, b) for a, _, b, _ in secret_scan.novel_spans(text, secret_scan.base_spans(text), secret_scan.IDENTIFIERS.encode(), 32, 512, 0.7)]
+
+
+def test_long_keys_are_whole():
+    for n in (20, 600, 5000):
+        assert _novel(f"Authorization: Bearer {_key(n, n)} end") == [(22, 22 + n)]
+    far = "bearer" + " " * 33 + _key(40, 1)
+    assert _novel(far) == [] and _novel(far.replace(" ", "", 1)) == [(38, 78)]
+
+
+def test_all_lines_of_a_key():
+    lines = [_key(64, i) for i in range(20)]
+    for end in ("\n", "\r\n", "\\n", '",\n  "'):
+        text = "-----BEGIN RSA PRIVATE KEY-----" + end + end.join(lines) + end + "-----END RSA PRIVATE KEY-----\n\n" + _key(64, 99)
+        assert [text[a:b] for a, b in _novel(text)][:20] == lines
+    assert _novel("no header\n" + "\n".join(lines)) == []
+    assert [b - a for a, b in _novel("api key: " + lines[0] + "\n\n" + lines[1])] == [64]
