@@ -12,19 +12,22 @@ hash, where only pairs of such sets need it; after `FAMILIES` hashes it gives it
 is missed.
 
 Verification runs in three rounds. First each key's sets are compared with the key's smallest set: bit sketches (BITS
-cells of one bit; for large sets also 2 to 4 bits an element) drop what is too far, the rest is verified on the sets, and links are contracted to components. Then, in
-busy keys whose sets still fall into several components, each component's nearest pair towards another one is verified.
-Last, all pairs across components that are left: all of them in keys of few sets; in busy keys those of sets that other
-keys don't serve, by bit sketches in blocks of bounded size. Links within a component change nothing, so no link between
-components is lost.
+cells of one bit; for large sets also 2 to 4 bits an element) drop what is too far, the rest is verified on the sets, and
+links are contracted to components. Only keys whose sets still fall into several components are open, and each set drops
+as many of its open keys as its slack allows. Busy open keys that share sets are put into groups, which hold each set once:
+the many keys of one common passage become one group. In each group, blocks of sets of similar size meet, and bit
+sketches compare the sets of different components: in the second round each component's nearest pair is verified, in the
+last one all pairs that are left, those of the other open keys included. Links within a component change nothing, so
+no link between components is lost.
 Equal sets are one vertex from the start: a task gives each distinct set once, and keys drop repeats. Sets are never
 stored whole: sketches and keys come from one pass over the texts each, and the sets of the vertices to be verified, those
-of pairs that the sketches let through, from another.
+of pairs that the sketches let through, from the texts of one document for each of them.
 
 Defined results: null, empty and blank texts have no shingles and form components of their own; a text with fewer words
 than n has its whole sequence as one shingle. Rows repeat as often as in the input (repeated ids fall together if their
-sets do). An empty table gives an empty result. Extra columns are ignored. Hashes have 64 bits for keys and sets'
-fingerprints, 40 for the elements compared in verification.
+sets do). Rows with a null id take part; a component of such rows alone has a null component_id. An empty table gives an
+empty result. Extra columns are ignored by similar_components and kept by keep_one, whatever their names. Elements,
+keys and fingerprints are hashes of 64 bits.
 """
 
 from __future__ import annotations
@@ -35,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortmill.llm import store
 from cohortmill.llm.text import mix, shingle_sets, slices, text_bytes, words
@@ -123,14 +127,9 @@ def wide_distance(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
 
 
-def _packed(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(np.sort(values >> _U(24)).view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-
-
-def _unpacked(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return out.view(_U)[:, 0]
+def _fingerprints(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    sums = np.concatenate([[_U(0)], np.cumsum(mix(values ^ _U(0x5851F42D4C957F2D)))])
+    return mix(sums[bounds[1:]] - sums[bounds[:-1]] + np.diff(bounds).astype(_U)).view(np.int64)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -141,8 +140,7 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.Record
         _, _, doc, h = words(*text_bytes(batch.column(1)))
         values, bounds = shingle_sets(h, doc, batch.num_rows, n)
         size = np.diff(bounds)
-        sums = np.concatenate([[_U(0)], np.cumsum(mix(values ^ _U(0x5851F42D4C957F2D)))])
-        vertex = mix(sums[bounds[1:]] - sums[bounds[:-1]] + size.astype(_U)).view(np.int64)
+        vertex = _fingerprints(values, bounds)
         fresh = np.zeros(batch.num_rows, bool)
         for i, v in enumerate(vertex.tolist()):
             fresh[i] = size[i] > 0 and v not in known
@@ -182,26 +180,18 @@ def _keys(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "key long, vertex long, slack short")
 
 
-def _elements(docs: DataFrame, n: int, vertices: DataFrame, bloom_bits: int) -> DataFrame:
-    """vertex, elements: the sets of at least the given vertices, read from the texts again instead of being stored. A
-    Bloom filter of fixed size (bloom_bits, broadcast) drops most others; once it fills up at very large inputs, it only
-    drops fewer."""
-    place = F.explode(F.array(F.col("vertex").bitwiseAND(bloom_bits - 1), F.shiftrightunsigned("vertex", 32).bitwiseAND(bloom_bits - 1)))
-    bits = vertices.select(place.alias("at")).groupBy(F.shiftrightunsigned("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("bits")).toArrow()
-    bloom = np.zeros(bloom_bits >> 6, np.int64)
-    bloom[bits["word"].to_numpy()] = bits["bits"].to_numpy()
-    held = docs.sparkSession.sparkContext.broadcast(bloom.view(_U))
+def _elements(docs: DataFrame, n: int, table: DataFrame, vertices: DataFrame) -> DataFrame:
+    """vertex, elements: the sets of at least the given vertices, read again from the texts of one document for each."""
+    ids = table.join(vertices.distinct(), "vertex", "left_semi").groupBy("vertex").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
+    texts = docs.select("doc_id", "text")
+    texts = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom = held.value
         for _, values, bounds, vertex, fresh in _sets(batches, n):
-            v = vertex.view(_U)
-            for at in (v & _U(bloom_bits - 1), (v >> _U(32)) & _U(bloom_bits - 1)):
-                fresh &= (bloom[(at >> _U(6)).astype(np.int64)] >> (at & _U(63)) & _U(1)).astype(bool)
-            rows = [_packed(values[bounds[i] : bounds[i + 1]]) for i in np.flatnonzero(fresh)]
+            rows = [values[bounds[i] : bounds[i + 1]].tobytes() for i in np.flatnonzero(fresh)]
             yield pa.RecordBatch.from_arrays([pa.array(vertex[fresh]), pa.array(rows, pa.binary())], ["vertex", "elements"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "vertex long, elements binary").dropDuplicates(["vertex"])
+    return texts.mapInArrow(run, "vertex long, elements binary").dropDuplicates(["vertex"])
 
 
 def _shared(keys: DataFrame) -> DataFrame:
@@ -281,18 +271,18 @@ def _allowed(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return _sides(near, sketches, ["wide", "n_shingles"]).mapInArrow(run_wide, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, n: int, bloom_bits: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, n: int, table: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar, as a table."""
     pairs = store.materialize(pairs, "jaccard-pairs")
     ends = pairs.select(F.col("a").alias("vertex")).unionByName(pairs.select(F.col("b").alias("vertex")))
-    sets = store.materialize(_elements(docs, n, ends, bloom_bits), "jaccard-elements")
+    sets = store.materialize(_elements(docs, n, table, ends), "jaccard-elements")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             at = {n: t.column(i) for i, n in enumerate(t.schema.names)}
             ok = []
             for x, y in zip(at["elements_a"].to_pylist(), at["elements_b"].to_pylist()):
-                x, y = _unpacked(x), _unpacked(y)
+                x, y = np.frombuffer(x, _U), np.frombuffer(y, _U)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(5 * both >= 4 * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([at["a"], at["b"]], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -326,13 +316,29 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     return state.select(F.col("v").alias("vertex"), "root")
 
 
-def _tied(shared: DataFrame, busy: DataFrame) -> DataFrame:
-    """key, vertex: rows of busy keys that calm keys and the rest of the busy ones can't stand in for. Similar sets share
-    more keys than the slack of either; so each set can drop as many of its keys, the busiest first: the least busy key
-    that both share is then never dropped."""
-    rows = shared.join(busy, "key").select("key", "vertex", "slack", "n")
+def _open(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, vertex, n: rows of the keys whose sets fall into several components, as far as they are needed. Similar sets
+    share more keys than the slack of either, and if their components differ, all of these are open; so each set drops
+    as many of its open keys, the busiest first: the least busy key that both share is then never dropped."""
+    rooted = shared.join(roots, "vertex", "left").select("key", "vertex", "slack", F.coalesce("root", "vertex").alias("root"))
+    keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high")
     place = F.row_number().over(Window.partitionBy("vertex").orderBy(F.desc("n"), "key"))
-    return rows.withColumn("place", place).where("place > slack").select("key", "vertex")
+    return shared.join(keys.select("key", "n"), "key").withColumn("place", place).where("place > slack").select("key", "vertex", "n")
+
+
+def _groups(busy: DataFrame) -> DataFrame:
+    """group, vertex: groups that hold every two sets of each busy key. Keys that share sets mostly have the same ones (those
+    with one common passage), so a group holds all sets of keys that hang together, each once; where such a group would
+    need more comparisons than its keys on their own (they hang together in a long chain), each key is a group."""
+    keys = busy.groupBy("key").agg(F.min("vertex").alias("low"), F.count("*").cast("double").alias("n"))
+    hang = components(busy.join(keys, "key").where("vertex <> low").select(F.col("low").alias("a"), F.col("vertex").alias("b")).distinct())
+    cost = keys.join(hang, F.col("low") == hang.vertex).groupBy("root").agg(F.sum(F.col("n") * F.col("n")).alias("apart"))
+    size = hang.groupBy("root").agg(F.count("*").cast("double").alias("m"))
+    plan = cost.join(size, "root").select("root", (F.col("m") * F.col("m") > F.col("apart")).alias("split"))
+    planned = store.materialize(hang.join(plan, "root"), "jaccard-groups")
+    whole = planned.where("NOT split").select(F.col("root").alias("group"), "vertex")
+    split = busy.join(planned.where("split").select("vertex"), "vertex").select(F.col("key").alias("group"), "vertex")
+    return whole.unionByName(split)
 
 
 def _calm_pairs(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -364,65 +370,83 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
-def _busy_pairs(tied: DataFrame, roots: DataFrame, sketches: DataFrame, nearest: bool) -> DataFrame:
-    """a, b: pairs of one key and different components that the bit sketches allow; with nearest, of each component in a
-    group only the pair with most room. Keys are cut into blocks; a group holds two blocks at most."""
-    rooted = tied.join(roots, "vertex", "left").select("key", "vertex", F.coalesce("root", "vertex").alias("root"))
-    open_keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high").select("key", "n")
-    rows = rooted.join(open_keys, "key").join(sketches.select("vertex", "n_shingles", "sketch"), "vertex")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("vertex"), blocks).cast("int")
-    # A row meets every block of its key once: in the cell of both blocks, the smaller first.
-    rows = rows.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "vertex", "root", "n_shingles", "sketch")
+def _blocked(rows: DataFrame, block: int) -> DataFrame:
+    """rows (group, n_shingles, vertex, ...) in cells (group, low, high) of two blocks at most; own: the row's block. Blocks
+    follow the sizes, about `block` rows each, and only blocks with sizes that can be similar meet."""
+    sizes = rows.groupBy("group", "n_shingles").agg(F.count("*").alias("_m"))
+    upto = F.sum("_m").over(Window.partitionBy("group").orderBy("n_shingles"))
+    sizes = sizes.withColumn("_before", upto - F.col("_m"))
+    place = F.col("_before") + F.pmod(F.xxhash64("vertex"), F.col("_m"))
+    rows = rows.join(sizes, ["group", "n_shingles"]).withColumn("own", F.floor(place / block).cast("long")).drop("_m", "_before")
+    spans = rows.groupBy("group", "own").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
+    lower = spans.select("group", F.col("own").alias("low"), "most")
+    cells = lower.join(spans.select("group", F.col("own").alias("high"), "least"), "group").where("low <= high AND 4 * least <= 5 * most").select("group", "low", "high")
+    sides = cells.select("*", F.explode(F.when(F.col("low") == F.col("high"), F.array("low")).otherwise(F.array("low", "high"))).alias("own"))
+    return rows.join(sides, ["group", "own"])
+
+
+def _near_pairs(n: np.ndarray, root: np.ndarray, sketch: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(x, those y of right, their room): pairs of different components that sizes and bit sketches allow. left and right
+    are places in order of size; without right, all pairs within left come once."""
+    size = n[right]
+    for i, x in enumerate(left):
+        begin = i + 1 if left is right else int(np.searchsorted(size, -(-4 * n[x] // 5)))
+        y = right[begin : np.searchsorted(size, 5 * n[x] // 4, side="right")]
+        y = y[root[y] != root[x]]
+        if len(y):
+            room = n[y] + n[x] - 9 * np.bitwise_count(sketch[y] ^ sketch[x]).sum(1, dtype=np.int64)
+            ok = room >= 0
+            if ok.any():
+                yield x, y[ok], room[ok]
+
+
+def _group_pairs(groups: DataFrame, roots: DataFrame, sketches: DataFrame, nearest: bool) -> DataFrame:
+    """a, b: pairs of one group and different components that the bit sketches allow; with nearest, of each component in
+    a cell only the pair with most room."""
+    rooted = groups.join(roots, "vertex", "left").select("group", "vertex", F.coalesce("root", "vertex").alias("root"))
+    wide = rooted.groupBy("group").agg(F.min("root").alias("first"), F.max("root").alias("last")).where("first <> last").select("group")
+    rows = rooted.join(wide, "group", "left_semi").join(sketches.select("vertex", "n_shingles", "sketch"), "vertex")
+    names = ["group", "low", "high", "own", "vertex", "root", "n_shingles", "sketch"]
+
+    def pairs(t: pa.Table) -> pa.RecordBatch:
+        at = {c: t[c].to_numpy() for c in names[:-1]}
+        sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), _U).reshape(t.num_rows, BITS // 64)
+        v, root, n = at["vertex"], at["root"], at["n_shingles"]
+        turn = np.flatnonzero(np.concatenate([[True], (np.stack([at[c][1:] != at[c][:-1] for c in names[:3]]).any(0))]))
+        out_a, out_b = [], []
+        for i, j in zip(turn, np.append(turn[1:], t.num_rows)):
+            rows = i + np.argsort(n[i:j], kind="stable")
+            left = rows if at["low"][i] == at["high"][i] else rows[at["own"][rows] == at["low"][i]]
+            right = left if at["low"][i] == at["high"][i] else rows[at["own"][rows] == at["high"][i]]
+            best: dict[int, tuple[int, int, int]] = {}
+            for x, y, room in _near_pairs(n, root, sketch, left, right):
+                if not nearest:
+                    out_a.append(np.minimum(v[y], v[x]))
+                    out_b.append(np.maximum(v[y], v[x]))
+                    continue
+                k = int(room.argmax())
+                best[root[x]] = max(best.get(root[x], (-1, 0, 0)), (int(room[k]), int(v[x]), int(v[y[k]])))
+                order = np.argsort(-room, kind="stable")
+                for k in order[np.unique(root[y[order]], return_index=True)[1]]:
+                    best[root[y[k]]] = max(best.get(root[y[k]], (-1, 0, 0)), (int(room[k]), int(v[x]), int(v[y[k]])))
+            if best:
+                found = np.array([b[1:] for b in best.values()], np.int64)
+                out_a.append(found.min(1))
+                out_b.append(found.max(1))
+        a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (out_a, out_b))
+        both = np.unique(np.stack([a, b], 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Rows come sorted by cell; a cell is held until the next begins, and has 2 * BLOCK rows or so.
+        # Rows come sorted by cell; a cell is held until the next begins, and has about two blocks of rows.
         held: list[pa.RecordBatch] = []
-
-        def pairs(t: pa.Table) -> pa.RecordBatch:
-            at = {c: t[c].to_numpy() for c in ("own", "vertex", "root", "n_shingles", "low", "high", "key")}
-            sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, BITS // 8)
-            out_a, out_b = [], []
-            change = np.flatnonzero(np.concatenate([[True], (at["key"][1:] != at["key"][:-1]) | (at["low"][1:] != at["low"][:-1]) | (at["high"][1:] != at["high"][:-1])]))
-            for i, j in zip(change, np.append(change[1:], t.num_rows)):
-                if j - i < 2:
-                    continue
-                v, r, n, s, o = (x[i:j] for x in (at["vertex"], at["root"], at["n_shingles"], sketch, at["own"]))
-                same = at["low"][i] == at["high"][i]
-                left = np.arange(j - i) if same or nearest else np.flatnonzero(o == at["low"][i])
-                right = left if same or nearest else np.flatnonzero(o == at["high"][i])
-                best: dict[int, tuple[int, int, int]] = {}
-                for x in left:
-                    y = right[(r[right] != r[x]) & (5 * np.minimum(n[right], n[x]) >= 4 * np.maximum(n[right], n[x]))]
-                    if same and not nearest:
-                        y = y[v[y] > v[x]]
-                    if not len(y):
-                        continue
-                    room = n[y] + n[x] - 9 * np.bitwise_count(s[y].view(_U) ^ s[x].view(_U)).sum(1, dtype=np.int64)
-                    if nearest:
-                        k = int(room.argmax())
-                        if room[k] >= 0:
-                            best[r[x]] = max(best.get(r[x], (-1, 0, 0)), (int(room[k]), int(v[x]), int(v[y[k]])))
-                    else:
-                        y = y[room >= 0]
-                        out_a.append(np.minimum(v[y], v[x]))
-                        out_b.append(np.maximum(v[y], v[x]))
-                if best:
-                    found = np.array([b[1:] for b in best.values()], np.int64)
-                    out_a.append(found.min(1))
-                    out_b.append(found.max(1))
-            a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (out_a, out_b))
-            both = np.unique(np.stack([a, b], 1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
-
         for batch in batches:
             if not batch.num_rows:
                 continue
             cell = np.stack([batch.column(c).to_numpy() for c in range(3)], 1)
             turn = np.flatnonzero((cell[1:] != cell[:-1]).any(1)) + 1
             cut = int(turn[-1]) if len(turn) else 0
-            if held and (cut or (held[-1].column(0)[-1], held[-1].column(1)[-1], held[-1].column(2)[-1]) != (batch.column(0)[0], batch.column(1)[0], batch.column(2)[0])):
+            if held and (cut or any(held[-1].column(c)[-1] != batch.column(c)[0] for c in range(3))):
                 yield pairs(pa.Table.from_batches([*held, batch.slice(0, cut)]))
                 held = []
             elif cut:
@@ -431,34 +455,40 @@ def _busy_pairs(tied: DataFrame, roots: DataFrame, sketches: DataFrame, nearest:
         if held:
             yield pairs(pa.Table.from_batches(held))
 
-    cells = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return cells.mapInArrow(run, "a long, b long")
+    cells = _blocked(rows, BLOCK).select(names).repartition("group", "low", "high").sortWithinPartitions("group", "low", "high")
+    return cells.mapInArrow(run, "a long, b long").distinct()
 
 
-def similar_components(docs: DataFrame, n: int = 5, bloom_bits: int = 1 << 24) -> DataFrame:
-    """doc_id, n_shingles, component_id: the smallest doc_id that links of similarity 4/5 lead to."""
+def _vertices(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """The shingle table, and vertex, root of the vertices that have links."""
     table = store.materialize(shingle_table(docs, n), "jaccard-sets")
     shared = store.materialize(_shared(_keys(docs, n)), "jaccard-shared")
     # A set that several tasks gave is one vertex: of its rows only one joins.
     sketches = store.materialize(table.where("sketch IS NOT NULL").select("vertex", "n_shingles", "sketch", "wide").dropDuplicates(["vertex"]), "jaccard-sketches")
     stars = shared.where("vertex <> star").select(F.col("star").alias("a"), F.col("vertex").alias("b")).distinct()
-    links = _verified(_allowed(stars, sketches), docs, n, bloom_bits)
+    links = _verified(_allowed(stars, sketches), docs, n, table)
     roots = components(links)
     store.drop(links)
-    busy = store.materialize(shared.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BUSY), "jaccard-busy")
-    tied = store.materialize(_tied(shared, busy), "jaccard-tied")
-    calm = shared.join(busy.select("key"), "key", "left_anti").select("key", "vertex")
+    rows = store.materialize(_open(shared, roots), "jaccard-open")
+    store.drop(shared)
+    groups = store.materialize(_groups(rows.where(F.col("n") > BUSY)), "jaccard-cells")
     for last in (False, True):
-        pairs = _busy_pairs(tied, roots, sketches, nearest=not last).distinct()
+        pairs = _group_pairs(groups, roots, sketches, nearest=not last)
         if last:
-            pairs = pairs.unionByName(_calm_pairs(calm, roots)).distinct()
-        more = _verified(_allowed(pairs, sketches), docs, n, bloom_bits)
+            pairs = pairs.unionByName(_calm_pairs(rows.where(F.col("n") <= BUSY).select("key", "vertex"), roots)).distinct()
+        more = _verified(_allowed(pairs, sketches), docs, n, table)
         if more.limit(1).count():
             # The components so far are stars already; only what joins them is new.
             roots = components(roots.where("vertex <> root").select(F.col("vertex").alias("a"), F.col("root").alias("b")).unionByName(more))
         store.drop(more)
-    for t in (shared, sketches, busy, tied):
+    for t in (sketches, rows, groups):
         store.drop(t)
+    return table, roots
+
+
+def similar_components(docs: DataFrame, n: int = 5) -> DataFrame:
+    """doc_id, n_shingles, component_id: the smallest doc_id that links of similarity 4/5 lead to."""
+    table, roots = _vertices(docs, n)
     known = table.where("vertex IS NOT NULL").groupBy("vertex").agg(F.min("doc_id").alias("least"))
     known = known.join(roots, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -466,8 +496,37 @@ def similar_components(docs: DataFrame, n: int = 5, bloom_bits: int = 1 << 24) -
     return table.select("doc_id", "n_shingles", "vertex").join(named, "vertex", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _with_vertex(docs: DataFrame, n: int, name: str) -> DataFrame:
+    """docs with the fingerprint of each row's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            _, _, doc, h = words(*text_bytes(batch.column(batch.schema.get_field_index("text"))))
+            values, bounds = shingle_sets(h, doc, batch.num_rows, n)
+            yield batch.append_column(name, pa.array(_fingerprints(values, bounds), mask=np.diff(bounds) == 0))
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+
+
 def keep_one(docs: DataFrame, n: int = 5) -> DataFrame:
-    """The rows of docs, all columns, whose doc_id is the smallest of its component; one row of each id."""
-    kept = store.materialize(similar_components(docs, n).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_times")), "jaccard-kept")
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
-    return out.dropDuplicates(["doc_id"]) if kept.where("_times > 1").limit(1).count() else out
+    """The rows of docs, all columns: of each component one row, that of the smallest doc_id (null ids come last); if several
+    rows have this id, the one with the smallest fingerprint. Rows without words are linked with nothing, and all stay."""
+    table, roots = _vertices(docs, n)
+    rows = table.where("vertex IS NOT NULL").groupBy("doc_id", "vertex").agg(F.count("*").alias("times"))
+    rows = rows.join(roots, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "vertex", "times")).alias("kept")
+    kept = rows.groupBy("root").agg(first).select("kept.doc_id", "kept.vertex", "kept.times")
+    kept = store.materialize(kept.unionByName(table.where("vertex IS NULL").select("doc_id", "vertex", F.lit(1).cast("long").alias("times"))), "jaccard-kept")
+    again = table.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL")
+    if not again.limit(1).count():
+        return docs.join(kept.select("doc_id"), "doc_id", "left_semi")
+    # Ids don't tell rows apart: the id and the set do, and of equal rows any one stays.
+    name = "_vertex"
+    while any(c.startswith(name) for c in docs.columns):
+        name += "_"
+    marked = _with_vertex(docs, n, name)
+    chosen = kept.where("vertex IS NOT NULL").select(F.col("doc_id").alias(f"{name}_id"), F.col("vertex").alias(f"{name}_of"), "times")
+    same = F.col("doc_id").eqNullSafe(F.col(f"{name}_id")) & (F.col(name) == F.col(f"{name}_of"))
+    once = marked.join(chosen.where("times = 1").drop("times"), same, "left_semi")
+    often = marked.join(chosen.where("times > 1").drop("times"), same, "left_semi").dropDuplicates(["doc_id", name])
+    return once.unionByName(often).unionByName(marked.where(F.col(name).isNull())).select(docs.columns)

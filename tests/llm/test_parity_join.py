@@ -131,3 +131,44 @@ def test_empty_and_repeated_rows(spark):
     assert collections.Counter((r.doc_id, r.component_id) for r in parity_join.similar_components(df).collect()) == {(1, 0): 2, (0, 0): 1}
     assert parity_join.similar_components(df.limit(0)).count() == 0
     assert [r.doc_id for r in parity_join.keep_one(df).collect()] == [0]
+
+
+def test_null_and_repeated_ids(spark):
+    a, b, c = "a b c d e f", "p q r s t u", "k l m n o p"
+    rows = [(None, a, 1), (3, a, 2), (5, b, 3), (5, c, 4), (5, c, 5), (7, c, 6), (None, "x y", 7), (None, "x  y", 8), (None, None, 9), (1, "", 10), (1, " ", 11)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _vertex_id long")
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in parity_join.similar_components(df).collect())
+    assert got == {(None, 2, 3): 1, (3, 2, 3): 1, (5, 2, 5): 3, (7, 2, 5): 1, (None, 1, None): 2, (None, 0, None): 1, (1, 0, 1): 2}
+    kept = parity_join.keep_one(df)
+    assert kept.columns == df.columns
+    seen = collections.Counter((r.doc_id, r.text) for r in kept.collect())
+    single = seen.pop((None, "x y"), 0) + seen.pop((None, "x  y"), 0)
+    assert single == 1 and seen == {(3, a): 1, (5, b): 1, (5, c): 1, (None, None): 1, (1, ""): 1, (1, " "): 1}
+    assert parity_join.keep_one(df.limit(0)).count() == 0
+
+
+def test_many_texts_around_one_passage_and_small_blocks(spark, monkeypatch):
+    """Keys of a passage that dissimilar texts share, with near copies among them; blocks smaller than the group."""
+    monkeypatch.setattr(parity_join, "BLOCK", 40)
+    monkeypatch.setattr(parity_join, "BUSY", 3)
+    rng = random.Random(21)
+    fresh = lambda k: [f"w{rng.randint(0, 4000)}" for _ in range(k)]
+    passage, rows = fresh(60), []
+    for i in range(100):
+        text = fresh(rng.choice([10, 30, 50, 90])) + passage
+        rows += [(10 * i + k, " ".join(edited(rng, text, share))) for k, share in enumerate((0, 0.01, 0.03)[: rng.choice([1, 2, 3])])]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in parity_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == brute(rows)
+
+
+def test_blocks_hold_every_similar_pair_of_sizes(spark):
+    rng = random.Random(2)
+    rows = [(g, v, rng.randint(1, 300)) for v in range(600) for g in (1, 2)]
+    got = parity_join._blocked(spark.createDataFrame(rows, "group long, vertex long, n_shingles long"), 50).collect()
+    cells = collections.defaultdict(list)
+    for r in got:
+        cells[r.group, r.low, r.high].append(r)
+    met = {(g, *sorted((x.vertex, y.vertex))) for (g, low, high), rs in cells.items() for x in rs if x.own == low for y in rs if y.own == high}
+    size = {(g, v): n for g, v, n in rows}
+    need = {(g, a, b) for g in (1, 2) for a in range(600) for b in range(a + 1, 600) if 5 * min(size[g, a], size[g, b]) >= 4 * max(size[g, a], size[g, b])}
+    assert need <= met and max(map(len, cells.values())) < 300
