@@ -258,17 +258,12 @@ def _allowed(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
             x, y = (np.frombuffer(b"".join(at[f"sketch_{s}"].to_pylist()), np.uint8).reshape(-1, BITS // 8) for s in "ab")
             n, m = (at[f"n_shingles_{s}"].to_numpy() for s in "ab")
             ok = _near(x, y, n, m) & (5 * np.minimum(n, m) >= 4 * np.maximum(n, m))
+            for i in np.flatnonzero(ok):
+                v, w = (at[f"wide_{s}"][int(i)].as_py() for s in "ab")
+                ok[i] = v is None or w is None or wide_distance(v, w) * 9 <= n[i] + m[i]
             yield pa.RecordBatch.from_arrays([at["a"], at["b"]], ["a", "b"]).filter(pa.array(ok))
 
-    def run_wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            at = {n: t.column(i) for i, n in enumerate(t.schema.names)}
-            total = at["n_shingles_a"].to_numpy() + at["n_shingles_b"].to_numpy()
-            ok = [x is None or y is None or wide_distance(x, y) * 9 <= k for x, y, k in zip(at["wide_a"].to_pylist(), at["wide_b"].to_pylist(), total.tolist())]
-            yield pa.RecordBatch.from_arrays([at["a"], at["b"]], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    near = _sides(pairs, sketches, ["sketch", "n_shingles"]).mapInArrow(run, "a long, b long")
-    return _sides(near, sketches, ["wide", "n_shingles"]).mapInArrow(run_wide, "a long, b long")
+    return _sides(pairs, sketches, ["sketch", "wide", "n_shingles"]).mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, table: DataFrame) -> DataFrame:
@@ -296,16 +291,17 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, table: DataFrame) -> Da
 def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """vertex, root: of the vertices that have links, the smallest vertex that links lead to. Each round takes the
     smallest root among the neighbours and then the root of that root, until nothing changes."""
-    edges = store.materialize(links.select(F.col(a).alias("v"), F.col(b).alias("w")).unionByName(links.select(F.col(b).alias("v"), F.col(a).alias("w"))).distinct(), "cc-edges")
+    edges = store.materialize(links.select(F.col(a).alias("v"), F.col(b).alias("w")).unionByName(links.select(F.col(b).alias("v"), F.col(a).alias("w"))), "cc-edges")
     state = store.materialize(edges.groupBy("v").agg(F.least(F.col("v"), F.min("w")).alias("root")), "cc-state")
     for _ in range(rounds):
         near = edges.join(state.select(F.col("v").alias("w"), "root"), "w").groupBy("v").agg(F.min("root").alias("near"))
         # The smallest root also goes to the old root itself (hooking), so chains of roots shrink as fast as paths.
-        seen = state.join(near, "v").select("v", "root", F.least("root", "near").alias("low"))
-        hooked = seen.select("v", "low").unionByName(seen.select(F.col("root").alias("v"), "low")).groupBy("v").agg(F.min("low").alias("low"))
-        jumped = hooked.join(hooked.select(F.col("v").alias("low"), F.col("low").alias("further")), "low", "left").select("v", F.coalesce("further", "low").alias("root"))
+        seen = state.join(near, "v").select("v", F.col("root").alias("old"), F.least("root", "near").alias("low"))
+        hooked = seen.unionByName(seen.select(F.col("old").alias("v"), F.lit(None).cast("long").alias("old"), "low"))
+        hooked = hooked.groupBy("v").agg(F.min("low").alias("low"), F.max("old").alias("old"))
+        jumped = hooked.join(hooked.select(F.col("v").alias("low"), F.col("low").alias("further")), "low", "left").select("v", "old", F.coalesce("further", "low").alias("root"))
         after = store.materialize(jumped, "cc-state")
-        changed = after.join(state.withColumnRenamed("root", "old"), "v").where("root <> old").limit(1).count()
+        changed = after.where("root <> old").limit(1).count()
         store.drop(state)
         state = after
         if not changed:
@@ -327,18 +323,19 @@ def _open(shared: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _groups(busy: DataFrame) -> DataFrame:
-    """group, vertex: groups that hold every two sets of each busy key. Keys that share sets mostly have the same ones (those
-    with one common passage), so a group holds all sets of keys that hang together, each once; where such a group would
-    need more comparisons than its keys on their own (they hang together in a long chain), each key is a group."""
-    keys = busy.groupBy("key").agg(F.min("vertex").alias("low"), F.count("*").cast("double").alias("n"))
-    hang = components(busy.join(keys, "key").where("vertex <> low").select(F.col("low").alias("a"), F.col("vertex").alias("b")).distinct())
-    cost = keys.join(hang, F.col("low") == hang.vertex).groupBy("root").agg(F.sum(F.col("n") * F.col("n")).alias("apart"))
-    size = hang.groupBy("root").agg(F.count("*").cast("double").alias("m"))
-    plan = cost.join(size, "root").select("root", (F.col("m") * F.col("m") > F.col("apart")).alias("split"))
-    planned = store.materialize(hang.join(plan, "root"), "jaccard-groups")
-    whole = planned.where("NOT split").select(F.col("root").alias("group"), "vertex")
-    split = busy.join(planned.where("split").select("vertex"), "vertex").select(F.col("key").alias("group"), "vertex")
-    return whole.unionByName(split)
+    """group, vertex: groups that hold every two sets of each busy key (rows key, vertex, n). Keys of one common passage
+    have nearly the same sets, and their sets have the same busiest key. So each key joins the group of the busiest key
+    of its smallest set, and a group holds its sets once; where that would need more comparisons than its keys on their
+    own, each of them is a group."""
+    keys = busy.groupBy("key").agg(F.min("vertex").alias("vertex"), F.count("*").cast("double").alias("m"))
+    home = busy.groupBy("vertex").agg(F.max(F.struct("n", "key")).alias("top")).select("vertex", F.col("top.key").alias("home"))
+    keys = keys.join(home, "vertex").select("key", "home", "m")
+    rows = store.materialize(busy.join(keys, "key").select("key", "vertex", "home"), "jaccard-homes")
+    whole = rows.select(F.col("home").alias("group"), "vertex").distinct()
+    size = whole.groupBy("group").agg(F.count("*").cast("double").alias("size"))
+    apart = keys.groupBy(F.col("home").alias("group")).agg(F.sum(F.col("m") * F.col("m")).alias("apart"))
+    split = store.materialize(size.join(apart, "group").where("size * size > apart").select("group"), "jaccard-split")
+    return whole.join(split, "group", "left_anti").unionByName(rows.join(split, rows.home == split.group, "left_semi").select(F.col("key").alias("group"), "vertex"))
 
 
 def _calm_pairs(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -387,11 +384,14 @@ def _blocked(rows: DataFrame, block: int) -> DataFrame:
 
 def _near_pairs(n: np.ndarray, root: np.ndarray, sketch: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(x, those y of right, their room): pairs of different components that sizes and bit sketches allow. left and right
-    are places in order of size; without right, all pairs within left come once."""
+    are places in order of size. Where they are the same, the sets of the largest component only come as y: each pair
+    comes once or twice."""
+    if left is right:
+        names, back, times = np.unique(root[left], return_inverse=True, return_counts=True)
+        left = left[back != times.argmax()]
     size = n[right]
-    for i, x in enumerate(left):
-        begin = i + 1 if left is right else int(np.searchsorted(size, -(-4 * n[x] // 5)))
-        y = right[begin : np.searchsorted(size, 5 * n[x] // 4, side="right")]
+    for x in left:
+        y = right[np.searchsorted(size, -(-4 * n[x] // 5)) : np.searchsorted(size, 5 * n[x] // 4, side="right")]
         y = y[root[y] != root[x]]
         if len(y):
             room = n[y] + n[x] - 9 * np.bitwise_count(sketch[y] ^ sketch[x]).sum(1, dtype=np.int64)
@@ -400,12 +400,10 @@ def _near_pairs(n: np.ndarray, root: np.ndarray, sketch: np.ndarray, left: np.nd
                 yield x, y[ok], room[ok]
 
 
-def _group_pairs(groups: DataFrame, roots: DataFrame, sketches: DataFrame, nearest: bool) -> DataFrame:
-    """a, b: pairs of one group and different components that the bit sketches allow; with nearest, of each component in
-    a cell only the pair with most room."""
-    rooted = groups.join(roots, "vertex", "left").select("group", "vertex", F.coalesce("root", "vertex").alias("root"))
-    wide = rooted.groupBy("group").agg(F.min("root").alias("first"), F.max("root").alias("last")).where("first <> last").select("group")
-    rows = rooted.join(wide, "group", "left_semi").join(sketches.select("vertex", "n_shingles", "sketch"), "vertex")
+def _cell_pairs(cells: DataFrame, roots: DataFrame, nearest: bool) -> DataFrame:
+    """a, b: pairs of one cell and different components that the bit sketches allow; with nearest, of each component in
+    the cell only the pair with most room."""
+    rows = cells.join(roots, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
     names = ["group", "low", "high", "own", "vertex", "root", "n_shingles", "sketch"]
 
     def pairs(t: pa.Table) -> pa.RecordBatch:
@@ -455,8 +453,8 @@ def _group_pairs(groups: DataFrame, roots: DataFrame, sketches: DataFrame, neare
         if held:
             yield pairs(pa.Table.from_batches(held))
 
-    cells = _blocked(rows, BLOCK).select(names).repartition("group", "low", "high").sortWithinPartitions("group", "low", "high")
-    return cells.mapInArrow(run, "a long, b long").distinct()
+    rows = rows.select(names).repartition("group", "low", "high").sortWithinPartitions("group", "low", "high")
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def _vertices(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
@@ -467,21 +465,24 @@ def _vertices(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     sketches = store.materialize(table.where("sketch IS NOT NULL").select("vertex", "n_shingles", "sketch", "wide").dropDuplicates(["vertex"]), "jaccard-sketches")
     stars = shared.where("vertex <> star").select(F.col("star").alias("a"), F.col("vertex").alias("b")).distinct()
     links = _verified(_allowed(stars, sketches), docs, n, table)
-    roots = components(links)
-    store.drop(links)
+    # Labels so far: the smallest star that a set is linked with. Sets of one label are linked; that is all that is needed.
+    roots = links.groupBy(F.col("b").alias("vertex")).agg(F.min("a").alias("root"))
+    roots = store.materialize(roots.unionByName(links.select(F.col("a").alias("vertex")).distinct().join(roots, "vertex", "left_anti").withColumn("root", F.col("vertex"))), "jaccard-labels")
     rows = store.materialize(_open(shared, roots), "jaccard-open")
     store.drop(shared)
-    groups = store.materialize(_groups(rows.where(F.col("n") > BUSY)), "jaccard-cells")
+    groups = _groups(rows.where(F.col("n") > BUSY))
+    cells = store.materialize(_blocked(groups.join(sketches.select("vertex", "n_shingles", "sketch"), "vertex"), BLOCK), "jaccard-cells")
     for last in (False, True):
-        pairs = _group_pairs(groups, roots, sketches, nearest=not last)
+        pairs = _cell_pairs(cells, roots, nearest=not last)
         if last:
             pairs = pairs.unionByName(_calm_pairs(rows.where(F.col("n") <= BUSY).select("key", "vertex"), roots)).distinct()
         more = _verified(_allowed(pairs, sketches), docs, n, table)
-        if more.limit(1).count():
-            # The components so far are stars already; only what joins them is new.
-            roots = components(roots.where("vertex <> root").select(F.col("vertex").alias("a"), F.col("root").alias("b")).unionByName(more))
+        if not last or more.limit(1).count():
+            # Components that are known are stars already; only what joins them is new.
+            known = roots.where("vertex <> root").select(F.col("vertex").alias("a"), F.col("root").alias("b")) if last else links
+            roots = components(known.unionByName(more))
         store.drop(more)
-    for t in (sketches, rows, groups):
+    for t in (links, sketches, rows, cells):
         store.drop(t)
     return table, roots
 
