@@ -57,6 +57,11 @@ def surrogate_key(columns: Sequence[str | Column], null_as: str = NULL_KEY) -> C
     return F.md5(F.concat_ws("-", *parts))
 
 
+def surrogate_key_removed(*_: object) -> None:
+    """The old name of surrogate_key, whose nulls and blanks were one key: it raises, so that no caller keeps it unaware."""
+    raise ValueError("use surrogate_key(columns); for keys that don't tell nulls from blanks, null_as=''")
+
+
 def column_values(df: DataFrame, column: str, where: str | None = None, max_records: int | None = None, default: list | None = None) -> list:
     """Distinct values, the most frequent first; ties by value. The list goes to the driver: give max_records for wide columns."""
     if column not in df.columns:

@@ -11,15 +11,18 @@ def first_rows(df: DataFrame, keys: list[str], order: list[Column], n: int = 1,
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= n)
 
 
-def global_rank(df: DataFrame, order: list[Column], name: str = "rn", total: str | None = None) -> DataFrame:
-    """df with each row's number (from 1) in the order, which must be unique; total adds the number of rows.
+def global_rank(df: DataFrame, order: list[Column], name: str = "rn", total: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """df with each row's number (from 1) in the order, which must be unique; total adds the number of rows; keep names
+    the columns that are kept (all, if none are named).
 
     Rows are range-partitioned and sorted; a partition's rows get their number in it, and the sizes of the partitions
-    before it, one row each, come by a broadcast join. No task holds more than its range.
+    before it, one row each, come by a broadcast join. No task holds more than its range. The sorted rows are cached, as
+    both sides must see the same ranges; Spark drops them with clearCache or when it needs the room.
     """
     ranges = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
     # Numbers within a partition: monotonically_increasing_id counts from the partition's number times 2**33.
-    rows = ranges.withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("long"), 33)).persist()
+    rows = ranges.withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("long"), 33))
+    rows = (rows.select(*keep, "_part", "_at") if keep else rows).persist()
     sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
     out = rows.join(F.broadcast(before), "_part").withColumn(name, F.col("_at") + F.col("_before") + 1)
@@ -35,9 +38,25 @@ def tile(rank: Column, total: Column, k: int) -> Column:
     return F.when(rank <= wide, F.ceil(rank / (q + 1))).otherwise(r + F.ceil((rank - wide) / F.greatest(q, F.lit(1)))).cast("int")
 
 
-def ntile(df: DataFrame, k: int, order: list[Column], name: str, distributed: bool = False) -> DataFrame:
-    """NTILE(k) over the whole table: by a window where one task can sort the table, else by global_rank."""
+def ntile(df: DataFrame, k: int, order: list[Column], name: str, distributed: bool = True) -> DataFrame:
+    """NTILE(k) over the whole table by global_rank; distributed=False sorts it in one task."""
     if not distributed:
         return df.withColumn(name, F.ntile(k).over(Window.orderBy(*order)))
     ranked = global_rank(df, order, "_rank", "_total_rows")
     return ranked.withColumn(name, tile(F.col("_rank"), F.col("_total_rows"), k)).drop("_rank", "_total_rows")
+
+
+def ntiles(df: DataFrame, key: str, tiles: dict[str, tuple[int, Column]], distributed: bool = True) -> DataFrame:
+    """df with several NTILEs, each (k, order), ties by the key, which must be unique. df is computed once, by checkpoint(),
+    so each rank reads a finished table; only the ranked columns are sorted, and the buckets are joined by key."""
+    if not distributed:
+        for name, (k, order) in tiles.items():
+            df = ntile(df, k, [order, F.asc(key)], name, False)
+        return df
+    if not df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        df.sparkSession.sparkContext.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir"))
+    df = base = df.checkpoint()
+    for name, (k, order) in tiles.items():
+        ranked = global_rank(base, [order, F.asc(key)], "_rank", "_total_rows", [key])
+        df = df.join(ranked.select(key, tile(F.col("_rank"), F.col("_total_rows"), k).alias(name)), key)
+    return df

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -98,3 +98,29 @@ def with_customer(lines: DataFrame, transactions: DataFrame) -> DataFrame:
 def month_predicate(column: str, since: str) -> Column:
     """Partitions (yyyy-mm) that can hold dates from `since` on."""
     return F.col(column) >= F.lit(str(since)[:7])
+
+
+#: Tables that the metrics of rule trees read, by the prefix of their keys.
+PREFIXES = {"basket": ("transactions", "line_items"), "store": ("transactions",), "product": ("line_items",), "billing": ("utility_billing",), "complaint": ("complaints",), "complaints": ("complaints",), "digital": ("digital_interactions",)}
+
+
+def _of(source: str, as_of: str) -> dict[str, Column]:
+    return {"transactions": basket, "utility_billing": billing, "complaints": complaints, "digital_interactions": digital}[source](as_of) if source != "line_items" else basket_lines()
+
+
+def metric(key: str, as_of: str) -> tuple[str, str, Column, str] | None:
+    """Table, name, aggregate and catalogue type of a metric's key (basket.total_store_visits); None for other keys."""
+    prefix, _, name = key.partition(".")
+    for source in PREFIXES.get(prefix, ()):
+        if (column := _of(source, as_of).get(name)) is not None:
+            text = name in ("home_store_id", "last_complaint_type", "last_complaint_status")
+            kind = "boolean" if name.startswith(("is_", "has_")) else "date" if name.endswith("_date") else "string" if text else "float"
+            return source, name, column, kind
+    return None
+
+
+def source_rows(source: str, table: Callable[[str], DataFrame]) -> DataFrame:
+    """The rows that a metric table is aggregated from; line items take their customer from store bills."""
+    if source == "line_items":
+        return with_customer(table("line_items"), table("transactions").where("channel = 'in_store'"))
+    return table(source)

@@ -130,7 +130,7 @@ def cross_system(links: DataFrame, least: int = 2) -> DataFrame:
 def store_affinity(links: DataFrame, locations: DataFrame) -> DataFrame:
     """Profiles by store, for current stores."""
     g = links.where("identifier_type = 'store_affinity'").groupBy(F.col("identifier_value").alias("store_code")).agg(F.count_distinct("unified_id").alias("customers"))
-    return g.join(F.broadcast(locations.where("is_latest").select("store_code", "store_name", "store_state")), "store_code", "left")
+    return g.join(locations.where("is_latest").select("store_code", "store_name", "store_state"), "store_code", "left")
 
 
 def quality_tiers(summary: DataFrame, high: float = 0.8, medium: float = 0.5) -> DataFrame:
@@ -138,20 +138,32 @@ def quality_tiers(summary: DataFrame, high: float = 0.8, medium: float = 0.5) ->
     return summary.groupBy(tier.alias("tier")).agg(F.count("*").alias("profiles"), F.round(F.avg("total_edge_count"), 4).alias("avg_edges"))
 
 
+def customer_360(profiles: DataFrame, locations: DataFrame, behavior: DataFrame, graph: DataFrame) -> DataFrame:
+    """Each profile with its current store, behaviour and graph summary; people without them keep their row."""
+    loc = locations.where("is_latest").groupBy("store_code").agg(F.max("store_name").alias("primary_store_name"), F.max("store_state").alias("primary_store_city"))
+    ba = behavior.select("customer_id", "lifecycle_stage", "total_bills", "total_spend", "promo_bill_count", "tenure_days", "recency_days", "l1_segment")
+    gs = graph.select("unified_id", "completeness_score", "source_systems", "store_count")
+    p = profiles.select("unified_id", "canonical_mobile", "display_name", "email", F.trim("registered_store").alias("store_code"))
+    return p.join(loc, "store_code", "left").join(ba, p.unified_id == ba.customer_id, "left").drop("customer_id").join(gs, "unified_id", "left").withColumnRenamed("store_code", "primary_store_code")
+
+
 def connected_people(pairs: DataFrame, rounds: int = 50) -> DataFrame:
     """id, root: smallest id in reach over pairs (id_1, id_2). Every round takes the smallest root of the neighbours and
     the root of that root; the table is written each time through checkpoint()."""
     both = pairs.select(F.col("id_1").alias("id"), F.col("id_2").alias("to")).unionByName(pairs.select(F.col("id_2").alias("id"), F.col("id_1").alias("to"))).distinct().checkpoint()
     state = both.groupBy("id").agg(F.least(F.col("id"), F.min("to")).alias("root")).checkpoint()
     for _ in range(rounds):
+        # The smaller root also goes to the old root, so chains of roots shrink as fast as paths.
         near = both.join(state.select(F.col("id").alias("to"), "root"), "to").groupBy("id").agg(F.min("root").alias("near"))
-        low = state.join(near, "id").select("id", F.least("root", "near").alias("root"), F.col("root").alias("old"))
+        seen = state.join(near, "id").select("id", F.least("root", "near").alias("low"), F.col("root").alias("old"))
+        low = seen.unionByName(seen.select(F.col("old").alias("id"), "low", F.lit(None).cast(seen.schema["old"].dataType).alias("old")))
+        low = low.groupBy("id").agg(F.min("low").alias("root"), F.max("old").alias("old"))
         hop = low.select(F.col("id").alias("root"), F.col("root").alias("further"))
         after = low.join(hop, "root", "left").select("id", "old", F.coalesce("further", "root").alias("root")).checkpoint()
-        if not after.where("root <> old").limit(1).count():
-            break
         state = after.drop("old")
-    return state
+        if not after.where("root <> old").limit(1).count():
+            return state
+    raise RuntimeError(f"the groups did not settle in {rounds} rounds")
 
 
 def elected(people: DataFrame, roots: DataFrame) -> DataFrame:

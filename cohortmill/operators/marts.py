@@ -12,8 +12,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortmill.functions.cleaning import day
-from cohortmill.functions.windows import first_rows, ntile
+from cohortmill.functions.cleaning import day, seconds_of_day
+from cohortmill.functions.windows import first_rows, ntiles
 
 MONEY = "decimal(15,2)"
 #: Thresholds of the first segmentation: spend per bill and visits, for large stores and for the others.
@@ -42,6 +42,38 @@ def bill_summary(lines: DataFrame) -> DataFrame:
     )
 
 
+def bill_summary_full(lines: DataFrame) -> DataFrame:
+    """Bill grain by all ten keys, returns included, with amounts, times, gift and liquidity flags. billing_time_secs is null
+    where the times aren't hh:mm:ss, and negative across midnight."""
+    flag = lambda c, name: F.bool_or(F.coalesce(c, F.lit(False))).alias(name)
+    money = lambda c: F.sum(c).cast(MONEY).alias(c)
+    out = lines.groupBy("bill_date", "store_code", "store_format", "till_no", "bill_no", "bill_id", "mobile_number", "region", "city", "delivery_channel").agg(
+        F.max("store_desc").alias("store_desc"), F.count("*").alias("line_item_count"), money("gross_sale_value"), money("total_discount"), money("total_mrp_value"), F.min("bill_start_time").alias("bill_start_time"), F.max("bill_end_time").alias("bill_end_time"),
+        F.bool_or("sales_return").alias("sales_return"), flag(F.col("promo_indicator") == "P", "promo_applied"), flag(F.col("gift_item_indicator") == "Y", "gift_indicator"), flag(F.trim("liquidity_type") == "LQ", "liquidity_indicator"),
+        F.bool_or("weekend_flag").alias("weekend_flag"), F.bool_or("wednesday_flag").alias("wednesday_flag"), F.max("day_of_week").alias("day_of_week"),
+    )
+    return out.withColumn("billing_time_secs", seconds_of_day(F.col("bill_end_time")) - seconds_of_day(F.col("bill_start_time")))
+
+
+def daily_store_sales_full(lines: DataFrame) -> DataFrame:
+    """Day x store x article with all codes and descriptions, without returns. Bills are counted over the (keys, bill)
+    grain, so no row is expanded for the distinct count."""
+    keys = ["bill_date", "store_code", "article", "article_desc", "segment", "segment_desc", "family", "family_desc", "class", "class_desc", "brick", "brick_desc", "brand", "brand_name", "store_format", "region", "region_desc", "city", "city_desc"]
+    bill = kept(lines).where("article IS NOT NULL").groupBy(*keys, "bill_id").agg(F.sum("billed_qty").alias("q"), F.sum("gross_sale_value").alias("g"), F.sum("total_discount").alias("d"), F.count("*").alias("n"))
+    out = bill.groupBy(*keys).agg(
+        F.sum("q").cast("decimal(18,3)").alias("quantity"), F.sum("g").cast(MONEY).alias("gross_sales"), F.sum("d").cast(MONEY).alias("discount_amount"), F.sum(F.col("g") - F.coalesce("d", F.lit(0))).cast(MONEY).alias("net_sales"),
+        F.sum("n").alias("line_item_count"), F.count("bill_id").alias("num_bills"),
+    )
+    return out.withColumn("sales_channel", F.lit("OFFLINE")).withColumnsRenamed({"segment": "segment_code", "region": "region_code"})
+
+
+def total_sales(lines: DataFrame, keys: list[str], cost: str | None = None) -> DataFrame:
+    """Sales, net sales and quantity by the keys, without returns; with a cost column also cost and margin."""
+    net = F.col("gross_sale_value") - F.col("total_discount")
+    out = kept(lines).groupBy(*keys).agg(F.sum("gross_sale_value").cast(MONEY).alias("total_sales"), F.sum(net).cast(MONEY).alias("net_sales"), F.sum("billed_qty").cast("decimal(18,3)").alias("quantity"), *([F.sum(cost).cast(MONEY).alias("total_cost")] if cost else []))
+    return out.withColumn("margin", (F.col("net_sales") - F.col("total_cost")).cast(MONEY)) if cost else out
+
+
 def channel_summary(lines: DataFrame) -> DataFrame:
     g = kept(lines).groupBy("mobile_number", "delivery_channel").agg(F.count_distinct("bill_id").alias("bills"), F.size(F.collect_set("bill_date")).cast("long").alias("visits"), F.sum("gross_sale_value").cast(MONEY).alias("spend"))
     return g.withColumn("spend_per_bill", ratio(F.col("spend"), F.col("bills"))).withColumn("spend_per_visit", ratio(F.col("spend"), F.col("visits")))
@@ -88,9 +120,51 @@ def bill_flags(summary: DataFrame) -> DataFrame:
     )
 
 
+def bill_grain(lines: DataFrame) -> DataFrame:
+    """Customer x bill, returns included; _items, _spend and what begins with _ counts lines that aren't returns."""
+    sale = ~F.coalesce("sales_return", F.lit(False))
+    own = lambda f, c: f(F.when(sale, F.col(c)))
+    return lines.groupBy("mobile_number", "bill_id").agg(
+        F.min("bill_date").alias("bill_date"), own(F.min, "bill_date").alias("_d"), own(F.min, "store_code").alias("_s"), own(F.max, "store_desc").alias("_desc"), own(F.max, "store_format").alias("_format"), own(F.min, "day_of_week").alias("_day"),
+        own(F.sum, "gross_sale_value").alias("_spend"), own(F.sum, "total_discount").alias("_discount"), F.count(F.when(sale, 1)).alias("_items"), own(F.min, "delivery_channel").alias("_lo"), own(F.max, "delivery_channel").alias("_hi"),
+        F.bool_or("sales_return").alias("has_return"), F.bool_or(F.col("promo_indicator").eqNullSafe("P")).alias("has_promo"), F.bool_or("weekend_flag").alias("weekend_flag"), F.bool_or("wednesday_flag").alias("wednesday_flag"),
+        (F.max("end_secs") - F.min("start_secs")).alias("billing_time_secs"),
+    )
+
+
+def customer_grain(bills: DataFrame, as_of: str) -> DataFrame:
+    """What customer_base (but for articles), bill_flags, favourite_day and channel_presence say, in one aggregation of the
+    bill grain. Customers with returns only are left out."""
+    sold = F.col("_items") > 0
+    one = lambda c: F.sum(F.when(F.col(c), 1).otherwise(0)).alias
+    t = F.col("billing_time_secs")
+    timed = F.when((t > 0) & (t < 7200), t)
+    out = bills.groupBy("mobile_number").agg(
+        F.min("_d").alias("first_bill_date"), F.max("_d").alias("last_bill_date"), F.count(F.when(sold, 1)).alias("total_bills"), F.size(F.collect_set("_d")).cast("long").alias("total_visits"), F.sum("_spend").cast(MONEY).alias("total_spend"), F.sum("_items").alias("_n"),
+        F.sum("_discount").cast(MONEY).alias("total_discount"), F.size(F.collect_set(F.trunc("_d", "month"))).cast("long").alias("distinct_months"), F.size(F.collect_set("_s")).cast("long").alias("distinct_store_count"),
+        F.datediff(F.max("bill_date"), F.min("bill_date")).alias("dgbt_fs"), F.coalesce(F.round(F.sum(timed).cast("decimal(20,2)") / F.nullif(F.count(timed), F.lit(0)).cast("decimal(20,0)"), 2), F.lit(0)).cast("decimal(15,2)").alias("avg_billing_time_secs"),
+        one("has_return")("return_bill_count"), one("has_promo")("promo_bill_count"), one("weekend_flag")("weekend_bill_count"), one("wednesday_flag")("wednesday_bill_count"),
+        F.mode("_day", True).alias("fav_day"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"),
+    ).where("total_bills > 0")
+    out = out.withColumn("recency_days", F.datediff(day(as_of), "last_bill_date")).withColumn("tenure_days", F.datediff(day(as_of), "first_bill_date"))
+    out = out.withColumn("spend_per_bill", ratio(F.col("total_spend"), F.col("total_bills"))).withColumn("spend_per_visit", ratio(F.col("total_spend"), F.col("total_visits")))
+    presence = F.when(F.col("_lo") != F.col("_hi"), "Omni").when(F.col("_hi") == "Online", "Online").otherwise("Offline")
+    return out.withColumn("avg_items_per_bill", ratio(F.col("_n"), F.col("total_bills"))).withColumn("channel_presence", presence).drop("_n", "_lo", "_hi")
+
+
 def favourite_store(lines: DataFrame) -> DataFrame:
     """The store with most visits, then most spend."""
     g = kept(lines).groupBy("mobile_number", "store_code").agg(F.max("store_desc").alias("fav_store_name"), F.max("store_format").alias("fav_store_type"), F.size(F.collect_set("bill_date")).alias("v"), F.sum("gross_sale_value").alias("s"))
+    return _first_store(g)
+
+
+def favourite_store_of_bills(bills: DataFrame) -> DataFrame:
+    """favourite_store from the bill grain."""
+    sold = bills.where("_items > 0").groupBy("mobile_number", F.col("_s").alias("store_code"))
+    return _first_store(sold.agg(F.max("_desc").alias("fav_store_name"), F.max("_format").alias("fav_store_type"), F.size(F.collect_set("_d")).alias("v"), F.sum("_spend").alias("s")))
+
+
+def _first_store(g: DataFrame) -> DataFrame:
     return first_rows(g, ["mobile_number"], [F.desc("v"), F.desc_nulls_last("s"), F.asc("store_code")]).select("mobile_number", F.col("store_code").alias("fav_store_code"), "fav_store_name", "fav_store_type")
 
 
@@ -99,15 +173,19 @@ def favourite_day(lines: DataFrame) -> DataFrame:
     return first_rows(g, ["mobile_number"], [F.desc("b"), F.asc("day_of_week")]).select("mobile_number", F.col("day_of_week").alias("fav_day"))
 
 
-def favourite_articles(lines: DataFrame) -> DataFrame:
-    """First and second article by spend and by number of bills, from one pass over customer x article."""
+def favourite_articles(lines: DataFrame, count: bool = False) -> DataFrame:
+    """First and second article by spend and by number of bills, from one pass over customer x article; count adds the
+    number of articles."""
     g = article_grain(lines)
     rank = lambda *order: F.row_number().over(Window.partitionBy("mobile_number").orderBy(*order, F.asc("article")))
-    g = g.withColumn("rs", rank(F.desc_nulls_last("spend"))).withColumn("rn", rank(F.desc("nob"))).where("rs <= 2 OR rn <= 2")
+    g = g.withColumn("rs", rank(F.desc_nulls_last("spend"))).withColumn("rn", rank(F.desc("nob")))
+    if not count:
+        g = g.where("rs <= 2 OR rn <= 2")
     pick = lambda r, n, c, name: F.max(F.when(F.col(r) == n, F.col(c))).alias(name)
     return g.groupBy("mobile_number").agg(
         pick("rs", 1, "article", "fav_article_by_spend"), pick("rs", 1, "article_desc", "fav_article_by_spend_desc"), pick("rn", 1, "article", "fav_article_by_nob"), pick("rn", 1, "article_desc", "fav_article_by_nob_desc"),
         pick("rs", 2, "article", "second_fav_article_by_spend"), pick("rn", 2, "article", "second_fav_article_by_nob"),
+        *([F.count("*").alias("distinct_article_count")] if count else []),
     )
 
 
@@ -138,12 +216,12 @@ def l2_segment(visits: tuple[int, int] = (4, 5), months: int = 3, days: tuple[in
 
 
 def transaction_summary(lines: DataFrame, as_of: str, l1: Mapping[str, tuple[float, int]] = L1_DEFAULT, distributed: bool = False) -> DataFrame:
-    """The customer transaction summary. All parts share the key mobile_number, so the joins keep its partitioning."""
-    out = customer_base(lines, as_of).join(bill_flags(bill_summary(lines)), "mobile_number", "left")
-    for part in (favourite_store(lines), favourite_day(lines), favourite_articles(lines), channel_presence(lines)):
-        out = out.join(part, "mobile_number", "left")
-    out = ntile(out, 10, [F.asc("total_spend"), F.asc("mobile_number")], "spend_decile", distributed)
-    out = ntile(out, 10, [F.asc("total_bills"), F.asc("mobile_number")], "nob_decile", distributed)
+    """The customer transaction summary, from two grains: bills and customer x article. All parts share the key
+    mobile_number, so the joins keep its partitioning. The deciles are one task's sort of the customer grain; with more
+    customers than that task can sort, distributed=True ranks them by ranges, for one more write of the grain."""
+    bills = bill_grain(lines)
+    out = customer_grain(bills, as_of).join(favourite_store_of_bills(bills), "mobile_number", "left").join(favourite_articles(lines, count=True), "mobile_number", "left")
+    out = ntiles(out, "mobile_number", {"spend_decile": (10, F.asc("total_spend")), "nob_decile": (10, F.asc("total_bills"))}, distributed)
     return out.withColumn("l1_segment", l1_segment(l1)).withColumn("l2_segment", l2_segment())
 
 
@@ -160,9 +238,7 @@ def behavioral(profiles: DataFrame, transactions: DataFrame, channels: DataFrame
     out = p.join(transactions.withColumnRenamed("mobile_number", "mobile"), "mobile", "left").join(channel_pivot(channels).withColumnRenamed("mobile_number", "mobile"), "mobile", "left")
     out = out.withColumn("lifecycle_stage", lifecycle(F.col("recency_days")))
     scores = {"rfm_recency_score": F.desc(F.coalesce("recency_days", F.lit(9999))), "rfm_frequency_score": F.asc(F.coalesce("total_bills", F.lit(0))), "rfm_monetary_score": F.asc(F.coalesce("total_spend", F.lit(0)))}
-    for name, order in scores.items():
-        out = ntile(out, 5, [order, F.asc("customer_id")], name, distributed)
-    return out
+    return ntiles(out, "customer_id", {name: (5, order) for name, order in scores.items()}, distributed)
 
 
 def intended_nob(lines: DataFrame, level: str) -> DataFrame:

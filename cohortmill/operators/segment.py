@@ -12,11 +12,12 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortmill.functions.cleaning import day
+from cohortmill.functions.cleaning import day, select_or_null
 from cohortmill.functions.windows import first_rows, global_rank, tile
+from cohortmill.operators import domain
 from cohortmill.operators.predicates import predicate
 from cohortmill.plans import rules
 from cohortmill.plans.catalog import attribute, listing
@@ -25,6 +26,15 @@ SUM_METRICS = ("total_bills", "total_spend", "total_visits")
 METRICS = (*SUM_METRICS, "avg_spend", "avg_bills", "avg_visits", "spend_per_bill", "spend_per_visit")
 
 
+_COUNTS = {
+    "equals": lambda n, v: n == v,
+    "greater_than": lambda n, v: n > v,
+    "less_than": lambda n, v: n < v,
+    "greater_than_or_equal": lambda n, v: n >= v,
+    "less_than_or_equal": lambda n, v: n <= v,
+}
+
+
 @dataclass
 class Brand:
     """A tenant's tables: profiles, behaviour, locations, graph, lines, events (a frame or a function that builds it)."""
@@ -53,6 +63,8 @@ class _Needs:
     aliases: set[str] = field(default_factory=set)
     lines: dict[str, Column] = field(default_factory=dict)
     events: dict[str, dict[str, Column]] = field(default_factory=dict)
+    here: list[Column] = field(default_factory=list)
+    metrics: dict[str, dict[str, Column]] = field(default_factory=dict)
     members: dict[str, str] = field(default_factory=dict)
     brands: dict[str, rules.CrossBrand] = field(default_factory=dict)
 
@@ -66,6 +78,10 @@ class Engine:
     # -- compiling ---------------------------------------------------------------------------------------------------
 
     def _leaf(self, key: str, operator: str, value, second, needs: _Needs) -> Column:
+        if found := domain.metric(key, self.as_of):
+            source, name, column, kind = found
+            needs.metrics.setdefault(source, {})[name] = column
+            return predicate(F.col(f"_{source}_{name}"), kind, operator, value, second, as_of=day(self.as_of), dialect=self.dialect)
         a = attribute(key)
         test = lambda c: predicate(c, a.kind, operator, value, second, as_of=day(self.as_of), dialect=self.dialect)
         if a.alias == "bt":
@@ -75,7 +91,33 @@ class Engine:
         needs.aliases.add(a.alias)
         return test(a.expr())
 
+    def _purchase(self, e: rules.Event, needs: _Needs) -> Column:
+        """Events of a brand without an event table, read off the behaviour mart: purchases by total_bills, with the window on the last
+        bill's date; use of promotions by promo_bill_count, without windows."""
+        needs.aliases.add("ba")
+        if e.properties:
+            raise ValueError(f"{e.name!r} has no properties in the mart")
+        promo = e.name in ("promo_usage", "cashback")
+        if not promo and e.name not in ("purchase", "transaction"):
+            raise ValueError(f"unknown event {e.name!r}")
+        n, last, w = F.coalesce("promo_bill_count" if promo else "total_bills", F.lit(0)), F.col("last_bill_date"), e.window
+        inside = {
+            "all_time": lambda: F.lit(True), "last_n_days": lambda: last >= F.date_sub(day(self.as_of), int(w.n)), "after_date": lambda: last > day(w.start),
+            "before_date": lambda: last < day(w.end), "between_dates": lambda: last.between(day(w.start), day(w.end)),
+        }[w.kind if not promo else "all_time"]()
+        inside = F.coalesce(inside, F.lit(False))
+        if e.operator == "has_performed":
+            return (n > 0) & inside
+        if e.operator == "has_not_performed":
+            return ~((n > 0) & inside)
+        compare = _COUNTS.get(e.operator.removeprefix("performed_count_"))
+        if compare is None or not e.operator.startswith("performed_count_"):
+            raise ValueError(f"unknown event operator {e.operator!r}")
+        return compare(n, int(e.value)) & inside
+
     def _event(self, e: rules.Event, needs: _Needs) -> Column:
+        if "events" not in self.brand.tables:
+            return self._purchase(e, needs)
         ts = F.col("event_ts")
         here = F.col("event_name") == e.name
         w = e.window
@@ -90,6 +132,7 @@ class Engine:
             numeric = p.operator.startswith(("greater", "less")) or isinstance(p.value, (int, float)) and not isinstance(p.value, bool)
             here &= predicate(value.try_cast("double") if numeric else value, "float" if numeric else "string", p.operator, p.value, as_of=day(self.as_of), dialect=self.dialect)
         n = f"_event{len(needs.events)}"
+        needs.here.append(here)
         needs.events[n] = {f"{n}_n": F.count(F.when(here, 1)), f"{n}_first": F.min(F.when(here, F.to_date(ts))), f"{n}_last": F.max(F.when(here, F.to_date(ts)))}
         count, first, last = F.coalesce(F.col(f"{n}_n"), F.lit(0)), F.col(f"{n}_first"), F.col(f"{n}_last")
         op = e.operator
@@ -97,9 +140,8 @@ class Engine:
             return count > 0
         if op == "has_not_performed":
             return count == 0
-        compare = {"equals": lambda v: count == v, "greater_than": lambda v: count > v, "less_than": lambda v: count < v, "greater_than_or_equal": lambda v: count >= v, "less_than_or_equal": lambda v: count <= v}
-        if op.startswith("performed_count_") and op.removeprefix("performed_count_") in compare:
-            return compare[op.removeprefix("performed_count_")](int(e.value))
+        if op.startswith("performed_count_") and op.removeprefix("performed_count_") in _COUNTS:
+            return _COUNTS[op.removeprefix("performed_count_")](count, int(e.value))
         if op == "performed_in_last_n_days":
             return F.coalesce(last >= F.date_sub(day(self.as_of), int(e.value)), F.lit(False))
         for side, c in (("first", first), ("last", last)):
@@ -166,12 +208,17 @@ class Engine:
         if needs.lines:
             lines = self.brand.table("lines")
             if any("store_business_region" in str(c) for c in needs.lines.values()):
-                lines = lines.join(F.broadcast(self.brand.table("locations").select("store_code", "store_business_region").dropDuplicates(["store_code"])), "store_code", "left")
+                lines = lines.join(self.brand.table("locations").select("store_code", "store_business_region").dropDuplicates(["store_code"]), "store_code", "left")
+            # Lines for which no condition holds change no flag: they go before the shuffle.
+            lines = lines.where(reduce(lambda a, b: a | b, needs.lines.values()))
             flags = lines.groupBy(F.right("mobile_number", F.lit(10)).alias("_mobile")).agg(*(F.bool_or(c).alias(n) for n, c in needs.lines.items()))
             p = p.withColumn("_mobile", F.right("canonical_mobile", F.lit(10))).join(flags, "_mobile", "left")
         if needs.events:
-            counted = self.brand.table("events").groupBy("customer_id").agg(*(c.alias(n) for e in needs.events.values() for n, c in e.items()))
+            counted = self.brand.table("events").where(reduce(lambda a, b: a | b, needs.here)).groupBy("customer_id").agg(*(c.alias(n) for e in needs.events.values() for n, c in e.items()))
             p = p.join(counted, "customer_id", "left")
+        for source, asked in needs.metrics.items():
+            made = domain.metrics(domain.source_rows(source, self.brand.table), asked)
+            p = p.join(made.select("customer_id", *(F.col(m).alias(f"_{source}_{m}") for m in asked)), "customer_id", "left")
         for segment, name in needs.members.items():
             p = p.join(self.brand.segments[segment].select("customer_id").distinct().withColumn(name, F.lit(True)), "customer_id", "left")
         for name, node in needs.brands.items():
@@ -198,8 +245,11 @@ class Engine:
         out = self.frame(d.root, carry).select("customer_id", *(f"`_{k}`" for k in carry)).dropDuplicates(["customer_id"])
         if d.set_operation:
             ids = set_operation(d.set_operation, [out.select("customer_id"), *(self._member(m) for m in d.set_members)])
-            whole = self.frame(rules.Group(), carry).select("customer_id", *(f"`_{k}`" for k in carry))
-            out = whole.join(ids, "customer_id", "left_semi").dropDuplicates(["customer_id"])
+            if carry:
+                whole = self.frame(rules.Group(), carry).select("customer_id", *(f"`_{k}`" for k in carry))
+                out = whole.join(ids, "customer_id", "left_semi").dropDuplicates(["customer_id"])
+            else:
+                out = ids
         if d.rank_by:
             out = ranked(out, f"_{d.rank_by}", d.rank_top, d.rank_limit)
         if d.order_by:
@@ -221,9 +271,13 @@ class Engine:
         return self.segment(d).agg(F.count("*").alias("audience_count"))
 
     def preview(self, d, limit: int = 100) -> DataFrame:
-        """The first rows by customer_id, with contact columns."""
+        """The first rows by customer_id, with contact columns (those of the dialect)."""
         d = rules.parse_definition(d) if isinstance(d, dict) else d
-        rows = self.frame(d.root).select("customer_id", F.col("canonical_mobile").alias("mobile"), F.col("display_name").alias("name"), "email", "pincode", "registered_store", "city")
+        frame = self.frame(d.root)
+        if self.dialect == "athena":
+            rows = frame.select("customer_id", "email", *select_or_null(frame, ["first_name", "last_name", "city", "state"]))
+        else:
+            rows = frame.select("customer_id", F.col("canonical_mobile").alias("mobile"), F.col("display_name").alias("name"), "email", "pincode", "registered_store", "city")
         if d.set_operation or d.rank_by or d.limit is not None:
             rows = rows.join(self.segment(d).select("customer_id"), "customer_id", "left_semi")
         return rows.orderBy("customer_id").limit(limit)
@@ -314,11 +368,11 @@ def ranked(rows: DataFrame, column: str, top: bool = True, limit: int | None = N
 
 
 def set_operation(kind: str, segments: Sequence[DataFrame]) -> DataFrame:
-    """union, overlap, exclude or exclude_overlap (the first without the others) of customer_id sets."""
-    if not segments:
-        raise ValueError("no segments")
+    """union, overlap, exclude or exclude_overlap (the first without the others) of customer_id sets; of no sets, an empty one."""
     if kind not in ("union", "overlap", "exclude", "exclude_overlap"):
         raise ValueError(f"unknown set operation {kind!r}")
+    if not segments:
+        return SparkSession.active().createDataFrame([], "customer_id string")
     frames = [s.select("customer_id").distinct() for s in segments]
     if kind == "union":
         return reduce(lambda a, b: a.unionByName(b), frames).distinct()

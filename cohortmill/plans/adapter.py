@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,22 @@ HIGH_SPEND = 1500000
 FORMATS = ["Hyper", "Large", "Super", "Daily"]
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors see: under spark.checkpoint.dir, or a temporary one in local mode."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="cohortmill-")
+    return f"{named.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def checkpoints(spark: SparkSession) -> None:
+    """Let checkpoint() write under the folder that the session names."""
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(scratch(spark))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -50,7 +69,7 @@ def bill_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_partkey").cast("string").alias("article"), F.col("p_name").alias("article_desc"), F.col("p_brand").alias("brand_name"), F.col("p_type").alias("segment_desc"), F.concat_ws("/", "p_type", (F.col("p_size") % 5).cast("string")).alias("family_desc"), F.col("p_brand").alias("brick_desc"))
     out = l.join(bills(spark, sf_dir), "_order").join(p, "l_partkey").drop("_order", "l_partkey")
-    out = out.join(F.broadcast(locations(spark, sf_dir).select("store_code", F.col("store_name").alias("store_desc"), "store_format", F.col("store_state").alias("region_desc"))), "store_code", "left")
+    out = out.join(locations(spark, sf_dir).select("store_code", F.col("store_name").alias("store_desc"), "store_format", F.col("store_state").alias("region_desc")), "store_code", "left")
     return out.withColumns(calendar_flags(F.col("bill_date")))
 
 

@@ -129,10 +129,11 @@ TEMPLATES = {
     "repeat-buyers-trending-up": _t(("lifecycle.is_repeat_buyer", "is_true", True), ("decile.spend_decile", "greater_than_or_equal", 7)),
     "cih-registered-no-purchase": _t(("identity.has_transactions", "is_false", False), ("identity.primary_source", "equals", "CIH")),
 }
-#: Audiences that the sinks export: a filter over the behaviour mart.
+#: Audiences that the sinks export: filters over the behaviour mart. The mart has no survey scores, churn risk or feedback
+#: flags; the nearest of its columns stand for them.
 EXPORTS = {
-    "high_value_active": "l1_segment = 'HVHF' AND lifecycle_stage = 'Active'",
-    "at_risk_customers": "lifecycle_stage = 'At Risk' AND spend_decile >= 8",
-    "promo_responsive": "promo_bill_count > 5",
-    "new_customers": "tenure_days <= 30",
+    "high_value_promoters": "l1_segment = 'HVHF' AND lifecycle_stage IN ('Active', 'At Risk') AND promo_bill_count > 0",
+    "at_risk_customers": "recency_days > 90 AND lifecycle_stage IN ('Lapsed', 'Churned')",
+    "new_customers_no_feedback": "tenure_days <= 30",
+    "promo_responsive": "promo_bill_count >= 2 AND lifecycle_stage IN ('Active', 'At Risk')",
 }

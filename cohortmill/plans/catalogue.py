@@ -176,6 +176,7 @@ def transaction_summary(s, d):
 
 @query(A.head("bl") + f", {_CTS} SELECT mobile_number, spend_decile, nob_decile FROM cts")
 def spend_deciles_distributed(s, d):
+    A.checkpoints(s)
     return _cts(s, d, True).select("mobile_number", "spend_decile", "nob_decile")
 
 

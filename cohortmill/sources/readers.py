@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import os
 import re
+import sys
 import zipfile
 from collections.abc import Iterator, Mapping, Sequence
 
@@ -46,8 +47,9 @@ def read_positional(spark: SparkSession, path: str, columns: Sequence[str], sep:
 
 
 def read_zipped_csv(spark: SparkSession, path: str, columns: Sequence[str], sep: str = ",") -> DataFrame:
-    """CSV files in zip archives, one level of folders or none, each archive read by the task that gets it. Files that
-    can't be read are skipped; columns as in read_csv, with _source_file."""
+    """CSV files in zip archives, one level of folders or none, each archive read by the task that gets it, so an archive
+    must fit a task's memory. One that can't be read gives no rows and a line in the executor's log; columns as in
+    read_csv, with _source_file."""
     want = [c.lower() for c in columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,7 +59,8 @@ def read_zipped_csv(spark: SparkSession, path: str, columns: Sequence[str], sep:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
                     archive = zipfile.ZipFile(io.BytesIO(content))
-                except zipfile.BadZipFile:
+                except zipfile.BadZipFile as e:
+                    print(f"skipped {name}: {e}", file=sys.stderr)
                     continue
                 for member in sorted(archive.namelist()):
                     if not member.lower().endswith(".csv"):
@@ -105,16 +108,28 @@ def fuzzy_renames(columns: Sequence[str], rules: Mapping[str, str]) -> dict[str,
     return out
 
 
-def read_sheet(spark: SparkSession, path: str, columns: Sequence[str] | None = None, sheet: int | str = 0) -> DataFrame:
-    """A workbook of bounded size, through pandas at the edge (there is no native reader); all columns as strings."""
+def read_sheet(spark: SparkSession, path: str, columns: Sequence[str] | None = None, sheet: int | str = 0, places: Mapping[int, str] | None = None, first_row: int = 1) -> DataFrame:
+    """A workbook of bounded size, through pandas at the edge (there is no native reader); all columns as strings.
+    places: names by column number, for sheets without usable headers, whose data begin at first_row (from 0)."""
     import pandas as pd
 
-    pdf = pd.read_excel(path, sheet_name=sheet, dtype=str)
-    pdf.columns = [str(c).strip().lower() for c in pdf.columns]
+    if places is not None:
+        raw = pd.read_excel(path, sheet_name=sheet, dtype=str, header=None)
+        pdf = raw.iloc[first_row:, [i for i in places if i < raw.shape[1]]]
+        pdf.columns = [places[i] for i in pdf.columns]
+    else:
+        pdf = pd.read_excel(path, sheet_name=sheet, dtype=str)
+        pdf.columns = [str(c).strip().lower() for c in pdf.columns]
     df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), strings(list(pdf.columns)))
     return df.select(*select_or_null(df, list(columns))) if columns else df
 
 
+def with_year(df: DataFrame, columns: Sequence[str], of: str, name: str = "year") -> DataFrame:
+    """The columns as dates (null where they aren't), and the year of one of them."""
+    out = df.withColumns({c: F.coalesce(F.expr(f"try_to_date(`{c}`)"), F.substring(c, 1, 10).try_cast("date")) for c in columns})
+    return out.withColumn(name, F.year(of))
+
+
 def expand_env(text: str, env: Mapping[str, str] | None = None) -> str:
     """${NAME} and ${NAME:-default} by the environment."""
     env = os.environ if env is None else env

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import urllib.request
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +14,19 @@ from cohortmill.functions.sqlutils import row_hash
 from cohortmill.operators.staging import scrubbed
 
 
-def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
-    """With a header; one file only for audiences that one task can hold."""
-    (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, single: bool = False) -> int:
+    """With a header; one file only for audiences that one task can hold. Gives the number of rows, counted as they are
+    written."""
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    (df.coalesce(1) if single else df).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option("header", True).csv(path)
+    return seen.get["n"]
+
+
+def export_path(folder: str, audience: str, at: str) -> str:
+    """{folder}/{audience}_{yyyymmdd_hhmmss}.csv"""
+    return f"{folder.rstrip('/')}/{audience}_{at}.csv"
 
 
 def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), mode: str = "overwrite") -> None:
@@ -64,6 +74,17 @@ def webhook(df: DataFrame, send: Callable[[list[dict]], bool], batch_size: int =
     return {"synced": r[0], "failed": r[1]}
 
 
+#: Fields that exports send, with their source columns and expressions. Fixed values where the mart has the column.
+MAPPINGS = {
+    "user_lifecycle": ("lifecycle_stage", None),
+    "promo_share": ("promo_bill_count", "CAST(ROUND(promo_bill_count * 100.0 / total_bills) AS INT)"),
+    "value_segment": ("l1_segment", None),
+    "total_spend_rounded": ("total_spend", "ROUND(total_spend, 0)"),
+    "days_since_signup": ("tenure_days", None),
+    "preferred_store": ("fav_store_code", None),
+}
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], update: bool = True) -> DataFrame:
     """The old rows with the new ones put over them by key; update=False keeps the old ones."""
     if update:
@@ -84,11 +105,19 @@ def audit(spark: SparkSession, path: str, audience: str, synced: int, failed: in
 
 
 ADAPTERS: dict[str, Callable] = {
-    "csv": lambda df, options: write_csv(df, options["path"], options.get("single", False)) or {"synced": df.count(), "failed": 0},
+    "csv": lambda df, options: {"synced": write_csv(df, options["path"], options.get("single", False)), "failed": 0},
     "webhook": lambda df, options: webhook(df, options.get("send") or post(options["url"], options["token"]), options.get("batch_size", 100)),
 }
 
 
+def audience_rows(behavior: DataFrame, identity: DataFrame, audience_filter: str, mappings: Mapping[str, tuple[str, str | None]] = MAPPINGS) -> DataFrame:
+    """customer_id, mobile, email and the mapped attributes of an audience: the behaviour mart's rows of the filter that
+    have an identity. mappings: destination field -> (source column, expression over it or None)."""
+    ids = identity.select(F.col("unified_id").alias("customer_id"), F.col("canonical_mobile").alias("mobile"), "email")
+    fields = [F.expr(how or column).alias(name) for name, (column, how) in mappings.items()]
+    return behavior.where(audience_filter).select("customer_id", *fields).join(ids, "customer_id")
+
+
 def export(df: DataFrame, audience_filter: str, destinations: list[dict], columns: list[str] | None = None) -> list[dict]:
     """Rows of the filter to every destination; unknown kinds are reported and left out."""
     rows = df.where(audience_filter)
