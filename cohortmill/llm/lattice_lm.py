@@ -3,24 +3,30 @@
 Words are runs of non-blank characters, A-Z lower-cased. A word is a path through the lattice of vocabulary pieces over
 the UTF-8 bytes of its mark (U+2581) and letters; single bytes are pieces too, so every word has a path. The first piece
 of a word starts with the mark; then pieces follow each other until a stop. A log-space forward recursion adds up all
-paths. The vocabulary's own scores (ranks) give the prior over pieces; expectation-maximisation over all
-distinct training words turns it into probabilities. A word seen in training also has its own discounted
-relative frequency (D = n1 / (n1 + 2 n2), the mass left goes to the lattice), so both parts are distributions over words
-and the text's probability is a product over its words and its end.
+paths, and nothing else scores a word: its own frequency has no part in it. The vocabulary's own order of scores gives the
+prior over pieces; expectation-maximisation over the training words, each as often as it occurs, makes unigram
+probabilities of it. The probability of a text is the product over its words, each with the chance that a text goes on
+before it, times the chance that it ends there.
+
+The recursion for an end needs only as many columns before it as the longest piece has bytes, so a word may have any
+length: up to `WINDOW` bytes the lattice of many words is made at once; longer ones are read in a rolling window. For the
+expected counts such words are cut into parts of WINDOW bytes that count as words of their own.
 
 Work is shared by word, not by token: a chunk of documents (about `chunk_bytes` of text, one Arrow task) gives its
 distinct words once, with counts, and its tokens as numbers. Words meet their corpus counts in a shuffle by word; scores
 return to their chunks in a shuffle by chunk, and a segment sum gives each document's score. Nothing of the corpus goes
-to the driver but six sums and one vector of the vocabulary's size.
+to the driver but four sums and one vector of the vocabulary's size for each round.
 
 Base score: sum over tokens of log10((c + 0.5) / (N + 0.5 (V + 1))) with the training counts c.
 
-Defined results: null and empty texts have one token, the end. Rows repeat as often as in the input. An empty table gives
-an empty result. Without training rows, N = V = 0 and only the prior scores. Other columns are ignored.
+Defined results: null and empty texts have one token, the end. Rows repeat as often as in the input, with the same score
+for the same text; ids may be null, repeat, and have any type. An empty table gives an empty result. Without training
+rows, N = V = 0 and only the prior scores. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,13 +34,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cohortmill.llm import store
 from cohortmill.llm.text import Hashed, slices, strings, text_bytes, words
 
 MARK = "▁".encode()
 CHUNK_BYTES = 8 << 20
-LONGEST_WORD = 512  # longer words are cut into parts of this size for the lattice; each part goes on from the one before
+WINDOW = 512
 
 
 @dataclass
@@ -135,10 +142,10 @@ class Lattice:
 
 
 def lattices(vocabulary: Vocabulary, log_prob: np.ndarray, texts: pa.Array, most: int = 1 << 14) -> Iterator[tuple[np.ndarray, Lattice]]:
-    """The words' indices and lattice, by length. What is longer than LONGEST_WORD bytes is left out."""
+    """The indices and lattice of the words of up to WINDOW bytes, by length."""
     data, off = text_bytes(texts)
     size = np.diff(off)
-    for n in np.unique(size[(size > 0) & (size <= LONGEST_WORD)]):
+    for n in np.unique(size[(size > 0) & (size <= WINDOW)]):
         at = np.flatnonzero(size == n)
         step = max(1, most * 8 // int(n))
         for i in range(0, len(at), step):
@@ -149,27 +156,74 @@ def lattices(vocabulary: Vocabulary, log_prob: np.ndarray, texts: pa.Array, most
             yield own, Lattice(vocabulary, log_prob, marked)
 
 
+def rolling(vocabulary: Vocabulary, log_prob: np.ndarray, word: bytes) -> float:
+    """Natural log probability of one word of any length, the stop included: the forward recursion, with the values of the
+    last places only, as many as the longest piece has bytes. Arcs are looked up for a block of places at a time."""
+    text = np.frombuffer(MARK + word, np.uint8)
+    reach, size = max(vocabulary.by_size), len(text)
+    ahead = {0: 0.0}
+    for low in range(len(MARK), size + 1, WINDOW):
+        high = min(low + WINDOW, size + 1)
+        start = max(0, low - reach)
+        hashed = Hashed(text[start : high - 1], fold=False)
+        arcs: list[list[tuple[int, float]]] = [[] for _ in range(low, high)]
+        for n, (keys, number) in vocabulary.by_size.items():
+            end = np.arange(max(low, n), high)
+            begin = end - n
+            own = (begin == 0) | (begin >= len(MARK))
+            begin, end = begin[own], end[own]
+            if not len(end):
+                continue
+            h = hashed.of(begin - start, end - start)
+            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            good = (keys[at] == h) & (vocabulary.first[number[at]] == (begin == 0))
+            for i, j, p in zip(begin[good].tolist(), end[good].tolist(), log_prob[number[at[good]]].tolist()):
+                arcs[j - low].append((i, p))
+        for end in range(low, high):
+            paths = [ahead[i] + p for i, p in arcs[end - low] if i in ahead]
+            if paths:
+                top = max(paths)
+                ahead[end] = top + math.log(sum(math.exp(p - top) for p in paths))
+        ahead = {i: v for i, v in ahead.items() if i >= high - reach}
+    return ahead[size] + float(log_prob[-1])
+
+
 def marginals(vocabulary: Vocabulary, log_prob: np.ndarray, texts: pa.Array) -> np.ndarray:
-    """Natural log probability of each word. A word beyond LONGEST_WORD bytes has the probability of its bytes as single
-    pieces, a lower bound: its lattice would not fit a task."""
+    """Natural log probability of each word."""
     out = np.zeros(len(texts))
     for own, lattice in lattices(vocabulary, log_prob, texts):
         out[own] = lattice.marginal()
     data, off = text_bytes(texts)
-    single = np.zeros(256)
-    for keys, at in [vocabulary.by_size[1]]:
-        for i in at:
-            single[vocabulary.pieces[i][0]] = log_prob[i]
-    start = [i for i, p in enumerate(vocabulary.pieces) if p == MARK]
-    for i in np.flatnonzero(np.diff(off) > LONGEST_WORD):
-        out[i] = log_prob[start[0]] + single[data[off[i] : off[i + 1]]].sum() + log_prob[-1]
+    for i in np.flatnonzero(np.diff(off) > WINDOW):
+        out[i] = rolling(vocabulary, log_prob, data[off[i] : off[i + 1]].tobytes())
     return out
 
 
+def parts(texts: pa.Array, count: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The words with those beyond WINDOW bytes cut (between letters), and their counts."""
+    size = np.diff(text_bytes(texts)[1])
+    if not (size > WINDOW).any():
+        return texts, count
+    cut, times = [], []
+    for i in np.flatnonzero(size > WINDOW):
+        word, n = texts[int(i)].as_py().encode(), len(cut)
+        at = 0
+        while at < len(word):
+            end = min(at + WINDOW, len(word))
+            while end < len(word) and (word[end] & 0xC0) == 0x80:
+                end -= 1
+            cut.append(word[at:end].decode())
+            at = end
+        times += [count[i]] * (len(cut) - n)
+    short = np.flatnonzero(size <= WINDOW)
+    return pa.concat_arrays([texts.take(pa.array(short)), pa.array(cut, texts.type)]), np.concatenate([count[short], times])
+
+
 def _chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
-    """One row for each chunk: its documents, their tokens as numbers of the chunk's words, the words and their counts
+    """One row for each chunk: its documents' ids, their tokens as numbers of the chunk's words, the words and their counts
     (in training documents)."""
-    schema = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("tokens", pa.binary()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
+    kind = docs.schema["doc_id"].dataType
+    schema = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(to_arrow_type(kind))), ("held_out", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("tokens", pa.binary()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -180,16 +234,19 @@ def _chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             h = np.concatenate([x[3] for x in held])
+            ids = pa.chunked_array([x[0] for x in held]).combine_chunks()
             distinct, first, back = np.unique(h, return_index=True, return_inverse=True)
             train = np.concatenate([np.repeat(~x[1], x[2]) for x in held])
             counts = np.bincount(back, train, len(distinct)).astype(np.int64)
             texts = pa.chunked_array([x[4] for x in held]).combine_chunks().take(pa.array(first)) if len(h) else pa.array([], pa.string())
-            return pa.RecordBatch.from_arrays([pa.array([number]), *(pa.array([np.concatenate([x[k] for x in held])], schema.field(k + 1).type) for k in range(3)), pa.array([back.astype(np.int32).tobytes()], pa.binary()), pa.array([texts.to_pylist()], schema.field(5).type), pa.array([counts], schema.field(6).type)], schema=schema)
+            listed = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids.cast(schema.field(1).type.value_type))
+            return pa.RecordBatch.from_arrays([pa.array([number]), listed, *(pa.array([np.concatenate([x[k] for x in held])], schema.field(k + 1).type) for k in (1, 2)), pa.array([back.astype(np.int32).tobytes()], pa.binary()), pa.array([texts.to_pylist()], schema.field(5).type), pa.array([counts], schema.field(6).type)], schema=schema)
 
         for batch in slices(batches):
             data, off = text_bytes(batch.column(1))
             start, end, doc, h = words(data, off)
-            held.append((batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False), np.bincount(doc, minlength=batch.num_rows).astype(np.int32), h, strings(data, start, end)))
+            out = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            held.append((batch.column(0), out, np.bincount(doc, minlength=batch.num_rows).astype(np.int32), h, strings(data, start, end)))
             room += len(data)
             if room >= chunk_bytes:
                 yield flush()
@@ -198,13 +255,12 @@ def _chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, "chunk long, ids array<long>, held_out array<boolean>, sizes array<int>, tokens binary, words array<string>, counts array<long>")
+    return docs.mapInArrow(run, f"chunk long, ids array<{kind.simpleString()}>, held_out array<boolean>, sizes array<int>, tokens binary, words array<string>, counts array<long>")
 
 
-def fit(counted: DataFrame, vocabulary: Vocabulary, rounds: int = 2, prior_words: float = 20.0) -> np.ndarray:
-    """Log probabilities of the pieces by expectation-maximisation over all distinct training words. The lattice stands
-    in for what the discount takes from each seen word, the same for all, so each word counts once. The prior weighs as
-    prior_words words."""
+def fit(counted: DataFrame, vocabulary: Vocabulary, rounds: int = 3, prior_words: float = 20.0) -> np.ndarray:
+    """Log probabilities of the pieces by expectation-maximisation over all training words (word, count), each as often as it
+    occurs. The prior weighs as prior_words words."""
     prob = vocabulary.prior
     for _ in range(rounds):
         held = counted.sparkSession.sparkContext.broadcast((vocabulary, np.log(prob)))
@@ -213,14 +269,15 @@ def fit(counted: DataFrame, vocabulary: Vocabulary, rounds: int = 2, prior_words
             v, log_prob = held.value  # noqa: B023
             total = np.zeros(len(log_prob))
             for batch in slices(batches, "word"):
-                for own, lattice in lattices(v, log_prob, batch.column(0)):
-                    total += lattice.expected(np.ones(len(own)))
+                texts, count = parts(batch.column(0), batch.column(1).to_numpy(zero_copy_only=False).astype(float))
+                for own, lattice in lattices(v, log_prob, texts):
+                    total += lattice.expected(count[own])
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["piece", "uses"])
 
         # As many rows as pieces at most.
         uses = np.zeros(len(prob))
-        for r in counted.where("count > 0").select("word").mapInArrow(expect, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect():
+        for r in counted.where("count > 0").select("word", "count").mapInArrow(expect, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect():
             uses[r.piece] = r.uses
         prob = np.empty_like(uses)
         for part in (vocabulary.first, ~vocabulary.first):
@@ -236,27 +293,27 @@ def score(docs: DataFrame, held_out: Column, vocabulary_path: str, chunk_bytes:
     spark: SparkSession = docs.sparkSession
     vocabulary = read_vocabulary(vocabulary_path)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    chunks = store.materialize(_chunks(docs.select(F.col("doc_id").cast("long"), "text", held_out.alias("held_out")), chunk_bytes), "lm-chunks")
+    held_out = F.coalesce(held_out, F.lit(False))
+    chunks = store.materialize(_chunks(docs.select("doc_id", "text", held_out.alias("held_out")), chunk_bytes), "lm-chunks")
     used = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w")).select("chunk", "at", F.col("w.words").alias("word"), F.col("w.counts").alias("count"))
     counted = store.materialize(used.groupBy("word").agg(F.sum("count").alias("count")), "lm-words")
     ends = chunks.agg(F.sum(F.size(F.filter("held_out", lambda h: ~h))).alias("n")).first().n or 0
     c = F.col("count")
-    seen = counted.where(c > 0).agg(F.count("*").alias("v"), F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.count(F.when(c == 1, 1)).alias("n1"), F.count(F.when(c == 2, 1)).alias("n2")).first()
+    seen = counted.where(c > 0).agg(F.count("*").alias("v"), F.coalesce(F.sum("count"), F.lit(0)).alias("n")).first()
     total, distinct = seen.n + ends, seen.v + (ends > 0)
-    cut = min(0.95, max(0.05, seen.n1 / (seen.n1 + 2 * seen.n2))) if seen.n1 else 0.5
-    held = spark.sparkContext.broadcast((vocabulary, fit(counted, vocabulary)))
-    # Of all tokens: the mass that discounting takes from the seen words, for the lattice. The end is a token of its own.
-    left = (cut * seen.v + 0.5) / (total + 1.0)
+    # Words are dealt by their bytes into as many tasks as the session shuffles into, whatever the file's size is.
+    spread = counted.repartition(F.col("word"))
+    held = spark.sparkContext.broadcast((vocabulary, fit(spread, vocabulary)))
+    # A text goes on with another word, or ends: from the training texts' numbers of words.
+    goes_on, stops = np.log((seen.n + 0.5) / (total + 1.0)), np.log10((ends + 0.5) / (total + 1.0))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, log_prob = held.value
         for batch in slices(batches, "word"):
-            count = batch.column(1).to_numpy(zero_copy_only=False).astype(float)
-            spelled = marginals(v, log_prob, batch.column(0)) + np.log(left)
-            own = np.log(np.maximum(count - cut, 1e-300) / (total + 1.0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.where(count > 0, np.logaddexp(own, spelled), spelled) / np.log(10))], ["word", "count", "log_prob"])
+            spelled = (marginals(v, log_prob, batch.column(0)) + goes_on) / np.log(10)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spelled)], ["word", "count", "log_prob"])
 
-    rated = counted.mapInArrow(rate, "word string, count long, log_prob double")
+    rated = spread.mapInArrow(rate, "word string, count long, log_prob double")
     back = used.select("chunk", "at", "word").join(rated, "word").select("chunk", "at", "count", "log_prob")
 
     def put_together(t: pa.Table, w: pa.Table) -> pa.Table:
@@ -271,10 +328,10 @@ def score(docs: DataFrame, held_out: Column, vocabulary_path: str, chunk_bytes:
         def sums(x: np.ndarray) -> np.ndarray:
             return np.bincount(doc, x[token], len(sizes)) if len(token) else np.zeros(len(sizes))
 
-        end_base, end_score = np.log10((ends + 0.5) / (total + 0.5 * (distinct + 1))), np.log10((ends + 0.5) / (total + 1.0))
+        end_base = np.log10((ends + 0.5) / (total + 0.5 * (distinct + 1)))
         known = sums(count > 0).astype(np.int64) + (ends > 0)
-        return pa.table([ids, out, sizes.astype(np.int64) + 1, known, np.full(len(sizes), total), sums(base) + end_base, sums(log_prob) + end_score], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        return pa.table([ids, out, sizes.astype(np.int64) + 1, known, np.full(len(sizes), total), sums(base) + end_base, sums(log_prob) + stops], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     whole = spark.read.schema(chunks.schema).parquet(chunks._stored_at)
-    got = whole.select("chunk", "ids", "held_out", "sizes", "tokens").groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(put_together, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return got.withColumn("doc_id", F.col("doc_id").cast(kind))
+    got = whole.select("chunk", "ids", "held_out", "sizes", "tokens").groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(put_together, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return got
