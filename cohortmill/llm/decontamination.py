@@ -1,34 +1,41 @@
 """Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
 
 Every run of `n` words of a test item (all of its words, if fewer) is a gram. One pass over the corpus counts in how many
-documents each gram stands; the rarest `seed_share` of each item's grams that occur at all, ties included, are rare. A
-second pass looks all grams up in all texts. A gram at word i of the text and word j of the item proposes the passage
-where the item would lie, with room for insertions; overlapping proposals merge. A passage is a seed if it holds a rare
-gram, or two different grams of the item: copies make their own grams common, so rarity alone would lose what is copied
-most. Each such passage is aligned with its item by words (match 2, mismatch and gap -1); the alignment score over the
-item's own is the passage's score, and those of least_score or more are reported. Edited copies keep seeds between edits.
+documents each gram stands. A gram's frequency is this count plus that of the items that hold it. An item's seeds are its grams
+that the corpus holds at all and that are rare: by up to `ALWAYS`, or by up to `SPREAD` times the frequency at which the rarest
+`seed_share` of its grams end. Rarity is relative within an item, so an item that is copied often keeps seeds (with SPREAD, also
+those that only its commoner version has), and an opening that many items share gives none. A second pass looks up the seeds only:
+a seed at word i of the text and word j of the item proposes the passage where the item would lie, with room for
+insertions; overlapping proposals merge. Each passage is aligned with its item by words (match 2, mismatch and gap -1); the
+alignment score over the item's own is the passage's score, and those of least_score or more are reported. A passage of
+over four times the item's length is aligned in windows of that length which overlap by half: an alignment that reaches
+least_score (0.5 or more) spans less than twice the item, so some window holds it whole, and no array is wider than that.
 
 The benchmark is broadcast in parts of at most `part_bytes` of text each, so its size has no bound: more parts, more
 passes. Neither pass shuffles a text; the counts of a pass are as many as the grams of a part.
 
-Defined results: null and empty texts and items match nothing. Rows repeat as often as in the input. An empty benchmark
-or table gives an empty result. Ties between alignments of one item go to the first passage. Words are runs of non-blank
-characters, A-Z lower-cased. Extra columns are ignored by contamination() and kept by decontaminate().
+Defined results: null and empty texts and items match nothing. Rows of either table repeat as often as in the input: items
+that repeat an id, or have none, are items of their own. Ids may have any type. An empty benchmark or table gives an empty
+result. Ties between alignments of one item go to the first passage. Words are runs of non-blank characters, A-Z lower-cased.
+Extra columns are ignored by contamination() and kept by decontaminate().
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cohortmill.llm.text import grams, slices, text_bytes, words
 
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Bounds of rarity.
+ALWAYS, SPREAD = 64, 8
 
 
 @dataclass
@@ -40,7 +47,6 @@ class Part:
     hashes: np.ndarray
     bounds: np.ndarray
     grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
-    rare: dict[int, np.ndarray] = field(default_factory=dict)
 
     @staticmethod
     def of(ids: list, texts: list[str | None], n: int) -> Part:
@@ -88,23 +94,29 @@ def gram_counts(docs: DataFrame, part: Part) -> dict[int, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), size)), pa.array(at), pa.array(total[at])], ["size", "gram", "n"])
 
     out = {size: np.zeros(len(g[0]), np.int64) for size, g in part.grams.items()}
-    for r in docs.select("text").mapInArrow(count, "size long, gram long, n long").groupBy("size", "gram").agg(F.sum("n").alias("n")).collect():
-        out[r.size][r.gram] = r.n
+    got = docs.select("text").mapInArrow(count, "size long, gram long, n long").groupBy("size", "gram").agg(F.sum("n").alias("n")).toArrow()
+    size, gram, n = (got[c].to_numpy() for c in ("size", "gram", "n"))
+    for k, total in out.items():
+        total[gram[size == k]] = n[size == k]
     return out
 
 
-def seeds(part: Part, counts: dict[int, np.ndarray], share: float) -> Part:
-    """The part with its rare grams marked: that share of each item's grams that the corpus holds, the rarest, ties
-    included."""
-    rare = {}
-    for size, (_, first, item, _) in part.grams.items():
-        n = np.repeat(counts[size], np.diff(first))
-        rare[size] = np.zeros(len(n), bool)
-        for i in np.unique(item):
-            own = np.flatnonzero((item == i) & (n > 0))
-            if len(own):
-                rare[size][own] = n[own] <= np.sort(n[own])[max(0, int(np.ceil(share * len(own))) - 1)]
-    return Part(part.ids, part.hashes, part.bounds, part.grams, rare)
+def seeds(part: Part, counts: dict[int, np.ndarray], share: float, always: int = ALWAYS, spread: int = SPREAD) -> Part:
+    """The part with its seeds only, by the documents and items that hold its grams."""
+    kept = {}
+    for size, (keys, first, item, word) in part.grams.items():
+        gram = np.repeat(np.arange(len(keys)), np.diff(first))
+        once = np.unique(gram * len(part.ids) + item) // max(1, len(part.ids))
+        often = counts[size] + np.bincount(once, minlength=len(keys))
+        held = np.flatnonzero(counts[size][gram] > 0)
+        order = held[np.lexsort((often[gram[held]], item[held]))]
+        begin = np.flatnonzero(np.concatenate([[True], item[order][1:] != item[order][:-1]])) if len(order) else np.zeros(0, int)
+        number = np.diff(np.append(begin, len(order)))
+        most = often[gram[order[begin + np.maximum(0, np.ceil(share * number).astype(int) - 1)]]] if len(order) else np.zeros(0, int)
+        rare = np.sort(order[often[gram[order]] <= np.repeat(np.maximum(spread * most, always), number)])
+        own, at = np.unique(gram[rare], return_index=True)
+        kept[size] = (keys[own], np.append(at, len(rare)), item[rare], word[rare])
+    return Part(part.ids, part.hashes, part.bounds, kept)
 
 
 def align(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -131,11 +143,10 @@ def align(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndar
     return best, end
 
 
-def _passages(part: Part, h: np.ndarray, doc: np.ndarray, n_docs: int) -> list[tuple[int, int, int, int]]:
-    """(text, item, first word, last word) of the merged proposals that hold a rare gram or two different ones, words by
-    their place in h."""
+def _passages(part: Part, h: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
+    """text, item, first word, last word of the merged proposals as rows, words by their place in h; long ones in windows."""
     first = np.searchsorted(doc, np.arange(n_docs + 1))
-    found = []
+    found = [np.zeros((0, 4), np.int64)]
     for size in part.grams:
         at, k = part.hits(h, doc, size)
         _, place, item, word = part.grams[size]
@@ -146,30 +157,36 @@ def _passages(part: Part, h: np.ndarray, doc: np.ndarray, n_docs: int) -> list[t
         pad = length // 4 + 4
         d = doc[own]
         begin, end = np.maximum(own - word[j] - pad, first[d]), np.minimum(own - word[j] + length + pad, first[d + 1])
-        found.append(np.stack([d, item[j], begin, end, word[j], part.rare[size][j] if part.rare else np.ones(len(j), bool)], 1))
-    if not found or not sum(map(len, found)):
-        return []
+        found.append(np.stack([d, item[j], begin, end], 1))
     rows = np.unique(np.concatenate(found), axis=0)
-    out: list[tuple[int, int, int, int]] = []
-    places: list[set[int]] = []
-    for d, i, a, b, j, rare in rows.tolist():
-        if out and out[-1][:2] == (d, i) and a <= out[-1][3]:
-            out[-1] = (d, i, out[-1][2], max(b, out[-1][3]))
-        else:
-            out.append((d, i, a, b))
-            places.append(set())
-        places[-1] |= {j, -1} if rare else {j}
-    return [x for x, p in zip(out, places) if len(p) > 1]
-
-
-def _matches(part: Part, texts: pa.Array, least_score: float, batch: int = 128) -> list[tuple[int, int, float, int, int, np.ndarray, np.ndarray]]:
+    if not len(rows):
+        return rows
+    # Proposals of one text and item that overlap are one passage.
+    turn = np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(1)])
+    far = np.cumsum(turn) * (len(h) + 1)
+    reached = np.maximum.accumulate(rows[:, 3] + far)
+    new = np.flatnonzero(turn | np.concatenate([[True], rows[1:, 2] + far[1:] > reached[:-1]]))
+    out = np.column_stack([rows[new, :3], np.maximum.reduceat(rows[:, 3], new)])
+    length = np.diff(part.bounds)[out[:, 1]]
+    windows = np.maximum(1, -(-(out[:, 3] - out[:, 2]) // (2 * length)) - 1)
+    of = np.repeat(np.arange(len(out)), windows)
+    begin = out[of, 2] + 2 * length[of] * (np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows))
+    return np.column_stack([out[of, :2], begin, np.minimum(out[of, 3], begin + 4 * length[of])])
+
+
+def _matches(part: Part, texts: pa.Array, least_score: float, cells: int = 1 << 18) -> list[tuple[int, int, float, int, int]]:
     """(text, item, score, first byte, end byte) of the passages that reach least_score."""
     data, off = text_bytes(texts)
     start, end, doc, h = words(data, off)
-    todo = sorted(_passages(part, h, doc, len(texts)), key=lambda x: (part.bounds[x[1] + 1] - part.bounds[x[1]], x[3] - x[2]))
-    out = []
-    for i in range(0, len(todo), batch):
-        some = todo[i : i + batch]
+    todo = _passages(part, h, doc, len(texts))
+    width = todo[:, 3] - todo[:, 2]
+    todo = todo[np.lexsort((width, np.diff(part.bounds)[todo[:, 1]]))]
+    out, i = [], 0
+    while i < len(todo):
+        # As many pairs as `cells` columns hold; the widest of the next ones counts.
+        widest = np.maximum.accumulate(todo[i : i + 128, 3] - todo[i : i + 128, 2])
+        some = todo[i : i + max(1, int(np.searchsorted(widest * np.arange(1, len(widest) + 1), cells, side="right")))].tolist()
+        i += len(some)
         a, b = [part.hashes[part.bounds[k] : part.bounds[k + 1]] for _, k, _, _ in some], [h[x:y] for _, _, x, y in some]
         best, stop = align(a, b)
         score = best / (MATCH * np.array([len(x) for x in a]))
@@ -201,8 +218,10 @@ def _seeded(docs: DataFrame, benchmark: DataFrame, n: int, seed_share: float, pa
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 3, seed_share: float = 0.6, least_score: float = 0.5, part_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, item_id, score, begin, end (code points): each item's best passage in each document that holds it."""
+    if least_score < 0.5:
+        raise ValueError("least_score is 0.5 or more")
     kind, item = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    out = None
+    item_type, out = benchmark.schema["item_id"].dataType, None
     for part in _seeded(docs, benchmark, n, seed_share, part_bytes):
         held = docs.sparkSession.sparkContext.broadcast(part)
 
@@ -215,13 +234,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 3, seed_share:
                 rows = sorted(best.values())
                 texts = {d: (batch.column(1)[d].as_py() or "").encode() for d in {m[0] for m in rows}}
                 at = [[len(texts[m[0]][: m[k]].decode("utf-8", "ignore")) for m in rows] for k in (3, 4)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([m[0] for m in rows], pa.int64())), pa.array([held.value.ids[m[1]] for m in rows], pa.int64()), pa.array([m[2] for m in rows], pa.float64()), pa.array(at[0], pa.int64()), pa.array(at[1], pa.int64())], ["doc_id", "item_id", "score", "begin", "end"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([m[0] for m in rows], pa.int64())), pa.array([held.value.ids[m[1]] for m in rows], to_arrow_type(item_type)), pa.array([m[2] for m in rows], pa.float64()), pa.array(at[0], pa.int64()), pa.array(at[1], pa.int64())], ["doc_id", "item_id", "score", "begin", "end"])
 
-        got = docs.select("doc_id", "text").mapInArrow(find, f"doc_id {kind}, item_id long, score double, begin long, end long")
+        got = docs.select("doc_id", "text").mapInArrow(find, f"doc_id {kind}, item_id {item}, score double, begin long, end long")
         out = got if out is None else out.unionByName(got)
     if out is None:
         return docs.sparkSession.createDataFrame([], f"doc_id {kind}, item_id {item}, score double, begin long, end long")
-    return out.withColumn("item_id", F.col("item_id").cast(item))
+    return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 3, seed_share: float = 0.6, least_score: float = 0.5, part_bytes: int = 16 << 20) -> DataFrame:

@@ -10,8 +10,8 @@ counts differ by one at most (law `rows`). Slots within a shard follow a hash of
 Ranks are exact and distributed: rows are numbered within (key, bucket), and the buckets' sizes are added up in front.
 Only tables of shards x BUCKETS rows are broadcast, and no group is gathered anywhere.
 
-Defined results: a null text has size 8 and crc32 0 and is linked with nothing; rows that repeat count each; empty tables
-give an empty result. Ties go to the lower shard. Extra columns are kept by shard_documents; clashing ones are replaced.
+Defined results: a null text has size 8 and crc32 0 and is linked with nothing; rows that repeat count each, those with a null
+id among them (links by id don't reach these); empty tables give an empty result. Ties go to the lower shard. Extra columns are kept by shard_documents; clashing ones are replaced.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from cohortmill.llm import store
 
 BUCKETS = 64
+#: Rows of a bucket where all rows are numbered in one order.
+WIDE = 1 << 17
 
 
 def ranked(df: DataFrame, key: str, bucket: Column, order: list[Column], name: str, few_keys: bool = True) -> DataFrame:
@@ -81,8 +83,14 @@ def propagate(docs: DataFrame, links: DataFrame, n_shards: int, rounds: int = 4)
         gaps.append((s, at, at + n))
         at += n
     gap = docs.sparkSession.createDataFrame(gaps, "shard int, low long, high long")
-    rest = docs.select("row").join(state.where("stay").select("row"), "row", "left_anti").withColumn("all", F.lit(0))
-    rest = ranked(rest, "all", spread(F.col("row")), [F.xxhash64("row"), F.col("row")], "turn")
+    rest = docs.select("row").join(state.where("stay").select("row"), "row", "left_anti")
+    # One key, so more buckets: about WIDE rows each, whatever their number.
+    buckets = max(BUCKETS, -(-total // WIDE))
+    rest = rest.withColumn("_bucket", F.pmod(F.xxhash64("row", F.lit(5)), F.lit(buckets)))
+    sizes = rest.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    sizes = sizes.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_before"))
+    rest = rest.withColumn("turn", F.row_number().over(Window.partitionBy("_bucket").orderBy(F.xxhash64("row"), "row")) - 1)
+    rest = rest.join(sizes, "_bucket").select("row", (F.col("turn") + F.col("_before")).alias("turn"))
     # Each turn falls into one of n_shards ranges: a lookup in a table of n_shards rows.
     rest = rest.join(F.broadcast(gap), (F.col("turn") >= F.col("low")) & (F.col("turn") < F.col("high"))).select("row", "shard")
     return state.where("stay").select("row", "shard").unionByName(rest)
@@ -119,7 +127,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, links: DataFrame | None
     narrow = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), _text_hub().alias("hub"), *place)
     # Rows that repeat an id are told apart by their number.
     narrow = narrow.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id").orderBy("hub", *(["order"] if order else []))))
-    narrow = store.materialize(narrow.withColumn("row", F.concat_ws("/", F.col("doc_id").cast("string"), "copy")), "shard-rows")
+    narrow = store.materialize(narrow.withColumn("row", F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "copy")), "shard-rows")
     hubs = narrow.where("hub IS NOT NULL").select("row", "hub")
     if links is not None:
         more = links.select("doc_id", F.concat(F.lit("link-"), F.col("hub").cast("string")).alias("hub")).distinct()
@@ -131,8 +139,15 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, links: DataFrame | None
     rest = [c for c in docs.columns if c not in made]
     if rest == ["doc_id"] or rest == ["doc_id", "text"]:
         return placed.drop("copy")
-    whole = docs.select(*rest).withColumn("copy", F.row_number().over(Window.partitionBy("doc_id").orderBy(_text_hub(), *([F.col(order).cast("long")] if order else [])))) if _repeats(narrow) else docs.select(*rest).withColumn("copy", F.lit(1))
-    return whole.join(placed, ["doc_id", "copy"]).drop("copy")
+    # Copies of an id are numbered again, in a column whose name nothing has, and ids meet null-safely.
+    name = "_copy"
+    while any(c.startswith(name) for c in docs.columns):
+        name += "_"
+    again = F.row_number().over(Window.partitionBy("doc_id").orderBy(_text_hub(), *([F.col(order).cast("long")] if order else [])))
+    whole = docs.select(*rest, (again if _repeats(narrow) else F.lit(1)).alias(name))
+    placed = placed.withColumnsRenamed({"doc_id": f"{name}_id", "copy": f"{name}_of"})
+    met = whole.join(placed, F.col("doc_id").eqNullSafe(F.col(f"{name}_id")) & (F.col(name) == F.col(f"{name}_of")))
+    return met.select(*rest, *made)
 
 
 def _repeats(narrow: DataFrame) -> bool:

@@ -1,4 +1,5 @@
 import collections
+import random
 import zlib
 
 from pyspark.sql import functions as F
@@ -69,3 +70,46 @@ def test_shared_lines_are_links(spark):
     for r in sharding.shared_lines(df).collect():
         hubs[r.hub].append(r.doc_id)
     assert sorted(map(sorted, hubs.values())) == [[1], [1, 2], [2]]
+
+
+def test_null_ids_and_clashing_names(spark):
+    rows = [(None, "a", 1, 5), (None, "a", 2, 6), (None, None, 3, 7), (1, "b", 4, 8), (1, "b", 5, 9), (2, "c", 6, 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, copy int, _copy_id int")
+    got = sharding.shard_documents(df, 3).collect()
+    assert sorted((r.doc_id or 0, r.text or "", r.copy, r._copy_id) for r in got) == sorted((i or 0, t or "", c, x) for i, t, c, x in rows)
+    for s in range(3):
+        assert sorted(r.slot for r in got if r.shard == s) == [0, 1]
+
+
+def test_fewer_cut_edges_than_hashing_and_than_no_rounds(spark):
+    """Planted communities: propagation keeps most pairs of a hub together, against shards by hash."""
+    rng = random.Random(3)
+    n, shards = 600, 6
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(n)], "doc_id long, text string")
+    links = [(i, i // 12) for i in range(n)] + [(rng.randrange(n), 1000 + k // 2) for k in range(120)]
+    table = spark.createDataFrame(links, "doc_id long, hub long")
+
+    def cut(shard_of):
+        hubs = collections.defaultdict(list)
+        for i, h in set(links):
+            hubs[h].append(shard_of[i])
+        return sum(len(s) * (len(s) - 1) // 2 - sum(c * (c - 1) // 2 for c in collections.Counter(s).values()) for s in hubs.values())
+
+    placed = {r.doc_id: r.shard for r in sharding.shard_documents(df, shards, table).collect()}
+    hashed = {i: zlib.crc32(str(i).encode()) % shards for i in range(n)}
+    sizes = collections.Counter(placed.values())
+    assert max(sizes.values()) - min(sizes.values()) <= 1
+    assert cut(placed) < 0.35 * cut(hashed)
+    # Plain propagation: each row takes its hubs' commonest shard, shards filled up to the quota.
+    plain, room = dict(hashed), {s: n // shards for s in range(shards)}
+    by_hub = collections.defaultdict(list)
+    for i, h in links:
+        by_hub[h].append(i)
+    done = set()
+    for members in sorted(by_hub.values(), key=len, reverse=True):
+        best = max(room, key=lambda s: (room[s], -s))
+        for i in members:
+            if i not in done and room[best] > 0:
+                plain[i], room[best] = best, room[best] - 1
+                done.add(i)
+    assert cut(placed) < 1.5 * cut(plain)
