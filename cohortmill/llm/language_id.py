@@ -5,14 +5,13 @@ markup and digits carry no weight. Each text gives its 1-, 2- and 3-grams, hashe
 distributed pass over all labelled rows; the matrix of log probabilities (languages x buckets) is broadcast, and each
 batch is scored by gathers and segment sums in numpy.
 
-Defined results: a null text, or one without any letter, is `und` with score 0; without training rows every text is
+Defined results: a null text, or one without any letter (Unicode category L), is `und` with score 0; without training rows every text is
 `und`. Ties go to the alphabetically first language. Rows repeat as often as in the input; columns other than the id
 and the text are neither read nor returned.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +23,6 @@ from pyspark.sql import functions as F
 ORDERS = (1, 2, 3)
 #: At this many characters the posterior stops to sharpen: neighbouring n-grams aren't independent.
 EFFECTIVE_LENGTH = 64
-_LETTER = re.compile(r"[^\W\d_]")
 _BLANK = np.array([not (97 <= c <= 122 or 65 <= c <= 90) for c in range(128)])
 SLICE_CHARS = 1 << 18
 
@@ -138,7 +136,7 @@ def predict(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text:
                 total = total * (np.minimum(n, EFFECTIVE_LENGTH) / n) + model.prior[:, None]
                 p = np.exp(total - total.max(0))
                 best[a:b], prob[a:b] = total.argmax(0), p.max(0) / p.sum(0)
-            none = np.array([not x or not _LETTER.search(x) for x in texts], bool)
+            none = np.array([not x or not any(map(str.isalpha, x)) for x in texts], bool)
             best[none], prob[none] = len(matrix), 0.0
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[best], pa.string()), pa.array(prob)], ["doc_id", "lang_pred", "score"])
 

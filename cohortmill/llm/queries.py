@@ -35,7 +35,8 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.digest(secret_scan.scan(_read(spark, sf_dir, "documents")))
+    docs = _read(spark, sf_dir, "documents")
+    return secret_scan.digest(secret_scan.scan(docs, secret_scan.learn_identifiers(docs)))
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ A candidate is a run of 12 or more secret-like characters, with a letter and a d
 sensitive word within `reach` characters, or such a run that directly follows another candidate on the next line. It is
 taken whole, whatever its length. Its novelty is what it adds to the compressed size when the compressor is
 primed with common identifiers, the text around the candidate and nothing else: strings that recur nearby, words, names
-and paths cost little, keys cost nearly all of their entropy. Candidates of at least `least_ratio` marginal bytes per
+and paths cost little, keys cost nearly all of their entropy. The identifiers are the commonest names of the corpus (learn_identifiers) after a fixed list. Candidates of at least `least_ratio` marginal bytes per
 byte are reported as kind `novel`, unless a base span covers some of it.
 
 The base patterns (assign, access, hex) are fixed. Every text is scanned whole; a scan over bytes finds the texts that
@@ -18,6 +18,7 @@ are neither read nor returned.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,23 +84,42 @@ def candidates(text: str, at: int, reach: int, seen: set[int]) -> Iterator[re.Ma
 def novel_spans(text: str, taken: list[tuple[int, int, int]], identifiers: bytes, reach: int, window: int, least_ratio: float) -> list[tuple[int, int, int, int]]:
     """(start, kind, end, marginal bytes) of what the base patterns leave."""
     found: dict[int, tuple[int, int, int, int]] = {}
-    busy = [(a, b) for a, _, b in taken]
+    # Spans that are taken, merged, as sorted starts and ends.
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, _, b in taken:
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     seen: set[int] = set()
     for word in _SENSITIVE.finditer(text):
         for m in candidates(text, word.end(), reach, seen):
             a, b = m.span()
             value = m.group()
             mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value) or value.lower() != value != value.upper() and not value[1:].islower()
-            if not mixed or any(x < b and a < y for x, y in busy):
+            # The first span that ends behind a is the only one that can begin before b and overlap first.
+            at = bisect_right(ends, a)
+            if not mixed or (at < len(starts) and starts[at] < b):
                 continue
             around = text[max(0, a - window) : a] + text[b : b + window]
             gain = novelty(value.encode(), around.encode("utf-8", "replace"), identifiers)
             if gain >= least_ratio * len(value.encode()):
                 found[a] = (a, 3, b, gain)
-                busy.append((a, b))
+                starts.insert(at, a)
+                ends.insert(at, b)
     return sorted(found.values())
 
 
+def learn_identifiers(docs: DataFrame, most: int = 512, fallback: str = IDENTIFIERS) -> str:
+    """The primer: the `most` names (letters, digits, underscores; 3 to 40) that stand most often in all texts, the most
+    frequent last, where the compressor reaches them best, after the fixed list."""
+    names = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), r"[^A-Za-z0-9_]+")).alias("name")).where(F.length("name").between(3, 40) & ~F.col("name").rlike("[0-9].*[0-9]"))
+    top = names.groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(most).collect()
+    return " ".join([fallback, *(r.name for r in reversed(top))])
+
+
 def scan(docs: DataFrame, identifiers: str = IDENTIFIERS, reach: int = 32, window: int = 512, least_ratio: float = 0.7) -> DataFrame:
     """doc_id and spans: array of (start, kind, end, novelty: marginal bytes, null for base kinds)."""
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -10,7 +10,8 @@ the batch. The best k of each cell are merged over the blocks.
 Vectors are integers, floor(scale * component), so scores are exact. Defined results: vectors that are null or hold null
 or non-finite components take no part; vectors are compared with those of their own length only; ties go to the smaller
 id; a query never meets rows with its own id; a query row that repeats gives its list once; fewer candidates than k give
-shorter lists; empty tables give none. Extra columns are ignored. The products must stay below 2**53.
+shorter lists; empty tables give none. Vectors without components take no part. Extra columns are ignored. Where products
+can reach 2**53 a cell is scored in whole numbers of any size; a score beyond 64 bits is an OverflowError.
 """
 
 from __future__ import annotations
@@ -29,7 +30,9 @@ def quantised(vectors: DataFrame, scale: int = 64, vec_id: str = "vec_id", embed
     """vec_id, v: array of floor(scale * x); only vectors whose components are all finite."""
     x = F.col(embedding).cast("array<double>")
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
-    return vectors.where(F.col(vec_id).isNotNull() & x.isNotNull() & finite).select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * scale)).alias("v"))
+    # Doubles from 2**53 on are whole; floor() would squeeze them into 64 bits.
+    whole = F.transform(x, lambda c: F.when(F.abs(c * scale) < 2.0**53, F.floor(F.when(F.abs(c * scale) < 2.0**53, c * scale)).cast("double")).otherwise(c * scale))
+    return vectors.where(F.col(vec_id).isNotNull() & x.isNotNull() & (F.size(x) > 0) & finite).select(F.col(vec_id).cast("long").alias("vec_id"), whole.alias("v"))
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -78,6 +81,19 @@ def threshold_search(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarra
     return scores, found
 
 
+def exact_search(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """threshold_search for components so large that doubles round their products: plain scores in whole numbers."""
+    whole = [[int(x) for x in r] for r in rows.tolist()]
+    scores, found = np.zeros((len(queries), k), np.int64), np.full((len(queries), k), -1)
+    for i, (q, own) in enumerate(zip(queries.tolist(), query_ids.tolist())):
+        q = [int(x) for x in q]
+        best = sorted((-sum(a * b for a, b in zip(q, r)), j) for r, j in zip(whole, ids.tolist()) if j != own)[:k]
+        if any(abs(s) >= 2**63 for s, _ in best):
+            raise OverflowError("a score needs more than 64 bits")
+        scores[i, : len(best)], found[i, : len(best)] = [-s for s, _ in best], [j for _, j in best]
+    return scores, found
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, block_rows: int = 8192, chunk_rows: int = 2048) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best rows for each row that is_query (a condition on vec_id) selects."""
     rows = quantised(vectors, scale)
@@ -92,8 +108,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, bl
         if not q.num_rows or not c.num_rows:
             return _OUT.empty_table()
         qid, cid = q["vec_id"].to_numpy(), c["vec_id"].to_numpy()
-        scores, found = threshold_search(_matrix(q["v"]), qid, _matrix(c["v"]), cid, k)
-        at = np.isfinite(scores)
+        x, y = _matrix(q["v"]), _matrix(c["v"])
+        if np.abs(x).max() * np.abs(y).max() * x.shape[1] < 2.0**53:
+            scores, found = threshold_search(x, qid, y, cid, k)
+            at = np.isfinite(scores)
+        else:
+            scores, found = exact_search(x, qid, y, cid, k)
+            at = np.arange(k) < np.minimum(k, (cid != qid[:, None]).sum(1))[:, None]
         return pa.table([np.repeat(qid, at.sum(1)), np.repeat(q["query"].to_numpy(), at.sum(1)), found[at], scores[at].astype(np.int64)], schema=_OUT)
 
     left = left.withColumn("query", F.xxhash64("v"))

@@ -11,12 +11,16 @@ Each match has a context window: inside quotation marks, or beside a word that r
 beside a word of address ("you") as aimed. A logistic regression over sums of matches (exact, misspelled, quoted, aimed,
 and for the text's length) gives the score.
 
+Learned terms have `letters` (3 to 40) letters; with max_terms only the heaviest of them stay (by default all do: the sample
+bounds them). Words end at ASCII marks, general punctuation (dashes, curly quotes, ellipses) and guillemets.
+
 The models are fitted on a sample of at most `max_per_class` labelled rows of each class, the smallest hashes of their
 ids: this bound is a parameter. For the regression each half of the sample is read with the lexicon of the other half.
 
 Defined results: null and empty texts score as a text without matches. Without both classes in the sample the score is
 the share of toxic rows (0.5 with no rows). Rows repeat as often as in the input; other columns are neither read nor
 returned. A document with several labels is toxic if one of them says so; null labels are left out.
+Documents that repeat an id are learned from once, with the first of their texts in order.
 """
 
 from __future__ import annotations
@@ -195,6 +199,9 @@ class Lexicon:
         return (min(near)[2], min(near)[0]) if near else None
 
 
+_LATIN_MARKS = np.array([0xA0, 0xA1, 0xAB, 0xBB, 0xBF], np.uint8)
+
+
 def _folded(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The folded bytes, and where words end: @ and $ belong to a word only between two letters."""
     apart = _APART[data]
@@ -202,21 +209,44 @@ def _folded(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     sign = sign[(sign > 0) & (sign < len(data) - 1)]
     sign = sign[~apart[sign - 1] & ~apart[sign + 1]]
     apart[sign] = False
+    # Punctuation of two and three bytes: U+2000 to U+203F (E2 80), and guillemets, inverted marks and fixed blanks (C2).
+    wide = np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x80)) if len(data) > 2 else np.zeros(0, int)
+    apart[wide[:, None] + np.arange(3)] = True
+    pair = np.flatnonzero((data[:-1] == 0xC2) & np.isin(data[1:], _LATIN_MARKS)) if len(data) > 1 else np.zeros(0, int)
+    apart[pair[:, None] + np.arange(2)] = True
     return _FOLD[data], apart
 
 
 _ADDRESS, _REPORT = _word_hashes(ADDRESS), _word_hashes(REPORT)
 
 
+def _places(raw: bytes, mark: str) -> np.ndarray:
+    """Where the mark stands, in order."""
+    mark, out, at = mark.encode(), [], 0
+    while (at := raw.find(mark, at)) >= 0:
+        out.append(at)
+        at += 1
+    return np.array(out, np.int64)
+
+
 def _quoted(data: np.ndarray, off: np.ndarray, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Whether each place lies between quotation marks of one line."""
-    out = np.zeros(len(at), bool)
-    for i, (p, d) in enumerate(zip(at, doc)):
-        line = data[off[d] : off[d + 1]].tobytes()
-        p = p - off[d]
-        a, b = line.rfind(b"\n", 0, p) + 1, line.find(b"\n", p)
-        left, right = line[a:p].decode("utf-8", "ignore"), line[p : b if b >= 0 else len(line)].decode("utf-8", "ignore")
-        out[i] = (left.count('"') % 2 == 1 and '"' in right) or any(left.rfind(x) > left.rfind(y) and y in right for x, y in ("“”", "„“", "«»", "‹›"))
+    """Whether each place lies between quotation marks of one line: after an odd number of plain ones, or after an opening
+    one that isn't closed yet, with a closing one behind. Marks are found once, so a line with many matches costs no more."""
+    raw = data.tobytes()
+    ends = np.concatenate([[-1], _places(raw, "\n"), [len(raw)]])
+    line = np.searchsorted(ends, at, side="left")
+    low, high = np.maximum(ends[line - 1] + 1, off[doc]), np.minimum(ends[line], off[doc + 1])
+    plain = _places(raw, '"')
+    before = np.searchsorted(plain, at) - np.searchsorted(plain, low)
+    out = (before % 2 == 1) & (np.searchsorted(plain, high) > np.searchsorted(plain, at))
+    for opening, closing in ("“”", "„“", "«»", "‹›"):
+        x, y = _places(raw, opening), _places(raw, closing)
+        if not len(x) or not len(y):
+            continue
+        last = lambda p: np.where((i := np.searchsorted(p, at)) > 0, p[np.maximum(i - 1, 0)], -1)
+        opened, closed, behind = last(x), last(y), np.searchsorted(y, at)
+        here = (behind < len(y)) & (y[np.minimum(behind, len(y) - 1)] < high)
+        out |= (opened >= low) & ((closed < low) | (opened > closed)) & here
     return out
 
 
@@ -265,7 +295,7 @@ def features(texts: pa.Array, lexicon: Lexicon) -> tuple[np.ndarray, list[list[t
     return out, spans
 
 
-def learn_lexicon(counts: list[tuple[str, int, int]], toxic: int, clean: int, least_z: float = 3.5, least_weight: float = 1.5, max_terms: int = 4000) -> Lexicon:
+def learn_lexicon(counts: list[tuple[str, int, int]], toxic: int, clean: int, least_z: float = 3.5, least_weight: float = 1.5, max_terms: int | None = None) -> Lexicon:
     """counts: term, toxic and clean documents with it. A term enters if its share of toxic documents is above the
     sample's by least_z standard errors and its log odds are least_weight or more; the weight is the log odds."""
     share = toxic / max(1, toxic + clean)
@@ -310,13 +340,13 @@ def bounded_sample(docs: DataFrame, labels: DataFrame, label: str, max_per_class
     # Two top-n selections of fixed size, so this side of the join is bounded by 2 * max_per_class ids.
     chosen = known.where("y = 1").orderBy("h", "doc_id").limit(max_per_class).unionByName(known.where("y = 0").orderBy("h", "doc_id").limit(max_per_class))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    return rows.dropDuplicates(["doc_id"]).select("doc_id", "text", "y", F.pmod(F.shiftright("h", 7), F.lit(2)).cast("int").alias("half"))
+    return rows.groupBy("doc_id", "y", "h").agg(F.min("text").alias("text")).select("doc_id", "text", "y", F.pmod(F.shiftright("h", 7), F.lit(2)).cast("int").alias("half"))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_per_class: int = 4000) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_per_class: int = 4000, letters: tuple[int, int] = (3, 40)) -> ToxicityModel:
     sample = store.materialize(bounded_sample(docs, labels, label, max_per_class), "toxic-sample")
     size = {(r.half, r.y): r["count"] for r in sample.groupBy("half", "y").count().collect()}
-    words = sample.select("half", "y", F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"))).alias("term")).where("length(term) BETWEEN 3 AND 40")
+    words = sample.select("half", "y", F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"))).alias("term")).where(F.length("term").between(*letters))
     counted = words.groupBy("term").agg(*(F.count(F.when((F.col("half") == h) & (F.col("y") == y), 1)).alias(f"n{h}{y}") for h in (0, 1) for y in (0, 1)))
     # Bounded like the sample; terms of two toxic documents at least can enter.
     counts = [tuple(r) for r in counted.where("n01 + n11 >= 2 AND n01 + n11 > (n00 + n10) / 4").collect()]

@@ -64,3 +64,31 @@ def test_all_lines_of_a_key():
         assert [text[a:b] for a, b in _novel(text)][:20] == lines
     assert _novel("no header\n" + "\n".join(lines)) == []
     assert [b - a for a, b in _novel("api key: " + lines[0] + "\n\n" + lines[1])] == [64]
+
+
+def test_novelty_spans_equal_a_plain_loop():
+    """All runs of candidate characters in reach of a sensitive word, tried one by one against every span that is taken."""
+    rng = random.Random(5)
+    alphabet = "abcdefgh0123456789XYZ+/="
+    pieces = ["secret ", "token: ", "the ", "private key\n", "x\n", "password=hunter2hunter2 ", '"', "deadbeefdeadbeef00 "]
+    for _ in range(60):
+        text = "".join(rng.choice(pieces) if rng.random() < 0.6 else "".join(rng.choice(alphabet) for _ in range(rng.randint(5, 40))) + rng.choice([" ", "\n"]) for _ in range(30))
+        base = secret_scan.base_spans(text)
+        got = secret_scan.novel_spans(text, base, b"", 32, 512, 0.7)
+        busy, seen, expected = [(a, b) for a, _, b in base], set(), []
+        for word in secret_scan._SENSITIVE.finditer(text):
+            for m in secret_scan.candidates(text, word.end(), 32, seen):
+                a, b = m.span()
+                v = m.group()
+                mixed = any(c.isdigit() for c in v) and any(c.isalpha() for c in v) or v.lower() != v != v.upper() and not v[1:].islower()
+                gain = secret_scan.novelty(v.encode(), (text[max(0, a - 512) : a] + text[b : b + 512]).encode(), b"")
+                if mixed and not any(x < b and a < y for x, y in busy) and gain >= 0.7 * len(v):
+                    expected.append((a, 3, b, gain))
+                    busy.append((a, b))
+        assert got == sorted(expected)
+
+
+def test_identifiers_are_the_commonest_names(spark):
+    df = spark.createDataFrame([("alpha beta_x alpha 12345 a1b2 zz",), ("alpha beta_x", ), (None,)], "text string")
+    assert secret_scan.learn_identifiers(df, 2, "fixed") == "fixed beta_x alpha"
+    assert secret_scan.learn_identifiers(df.limit(0), 2, "fixed") == "fixed"

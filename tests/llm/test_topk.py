@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cohortmill.llm import topk
@@ -39,3 +40,15 @@ def test_few_and_no_rows(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (0, [1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(df, F.col("vec_id") % 20 == 0).collect()] == [(0, 1, 1, 8192)]
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_empty_vectors_and_components_of_any_size(spark):
+    rows = [(0, []), (20, [2.0**27, 3.0, 2.0**26]), (1, [2.0**20, -1.0, 5.0]), (2, [2.0**20, -1.0, 5.015625]), (3, []), (4, [-(2.0**20), 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.top_k(df, F.col("vec_id") % 20 == 0).collect()]
+    q = [int(64 * x) for x in rows[1][1]]
+    scores = sorted(((-sum(a * int(np.floor(64 * b)) for a, b in zip(q, v)), i) for i, v in rows if i in (1, 2, 4)))
+    assert sorted(got) == [(20, r + 1, i, -s) for r, (s, i) in enumerate(scores)]
+    huge = spark.createDataFrame([(0, [1e30]), (1, [1e30])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(huge, F.col("vec_id") % 20 == 0).collect()

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -7,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cohortmill.llm import toxicity
+from cohortmill.llm.text import text_bytes
 
 
 def distance(a, b):
@@ -90,3 +92,45 @@ def test_defined_cases(spark):
     one = spark.createDataFrame([(1, 1), (2, None), (9, 0)], "doc_id long, toxic int")
     assert all(np.isfinite(r.score) for r in toxicity.score(docs, toxicity.train(docs, one)).collect())
     assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def plain_quoted(line, p):
+    """The same by plain strings: p counts code points."""
+    left, right = line[:p], line[p:]
+    return (left.count('"') % 2 == 1 and '"' in right) or any(left.rfind(x) > left.rfind(y) and y in right for x, y in ("“”", "„“", "«»", "‹›"))
+
+
+def test_quotation_equals_plain_strings():
+    rng = random.Random(12)
+    texts = ["".join(rng.choice(['"', "“", "”", "„", "«", "»", "‹", "›", "w", "ü", " ", "\n"]) for _ in range(rng.randint(0, 60))) for _ in range(120)]
+    data, off = text_bytes(pa.array(texts))
+    at, doc, expected = [], [], []
+    for d, t in enumerate(texts):
+        begin = 0
+        for line in t.split("\n"):
+            for p, c in enumerate(line):
+                if c in "wü":
+                    at.append(off[d] + len(t[: begin + p].encode()))
+                    doc.append(d)
+                    expected.append(plain_quoted(line, p))
+            begin += len(line) + 1
+    got = toxicity._quoted(data, off, np.array(at), np.array(doc))
+    assert got.tolist() == expected and any(expected) and not all(expected)
+
+
+def test_words_end_at_punctuation_of_more_bytes():
+    lexicon = toxicity.Lexicon(["scum", "worthless"], [3.0, 2.0])
+    texts = ["you “scum” …", "«worthless»", "scum—really", "ünscum", "Scum\u00a0x"]
+    _, spans = toxicity.features(pa.array(texts), lexicon)
+    assert [[lexicon.terms[m[1]] for m in s] for s in spans] == [["scum"], ["worthless"], ["scum"], [], ["scum"]]
+
+
+def test_score_of_a_small_text_by_hand():
+    lexicon = toxicity.Lexicon(["scum", "worthless"], [3.0, 2.0])
+    x, _ = toxicity.features(pa.array(['you scum are wortless ok fine ok fine ok fine ok fine "scum" he', None]), lexicon)
+    n = 14
+    expected = [math.log1p(3), math.log1p(2), math.log1p(3), math.log1p(5), 3.0, 5 / math.sqrt(1 + n), math.log1p(n) / 10]
+    assert np.allclose(x[0], expected) and not x[1].any()
+    w = np.array([0.5, -1, 0.25, 2, 0.1, 1, -0.3, 0.7])
+    model = toxicity.ToxicityModel(lexicon, w)
+    assert math.isclose(model.score(x)[0], 1 / (1 + math.exp(-(sum(a * b for a, b in zip(expected, w)) + 0.7))))
