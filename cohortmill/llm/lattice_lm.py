@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from cohortmill.llm import store
-from cohortmill.llm.text import Hashed, slices, strings, text_bytes, words
+from cohortmill.llm.text import Hashed, mix, slices, strings, text_bytes, words
 
 MARK = "▁".encode()
 CHUNK_BYTES = 8 << 20
@@ -55,12 +55,21 @@ class Vocabulary:
     def __post_init__(self):
         end = np.cumsum([len(p) for p in self.pieces], dtype=np.int64)
         size = np.array([len(p) for p in self.pieces], np.int64)
-        h = Hashed(np.frombuffer(b"".join(self.pieces), np.uint8), fold=False).of(end - size, end)
+        raw = Hashed(np.frombuffer(b"".join(self.pieces), np.uint8), fold=False).raw(end - size, end)
+        h = mix(raw)
         self.by_size = {}
+        #: By size and whether the piece comes first: which upper 16 bits of the unmixed hashes occur, hashes, numbers.
+        self.tables = {}
         for n in np.unique(size):
             at = np.flatnonzero(size == n)
             at = at[np.argsort(h[at])]
             self.by_size[int(n)] = (h[at], at)
+            for first in (True, False):
+                own = at[self.first[at] == first]
+                if len(own):
+                    occurs = np.zeros(1 << 16, bool)
+                    occurs[raw[own] >> np.uint64(48)] = True
+                    self.tables[int(n), first] = (occurs, h[own], own)
 
 
 def read_vocabulary(path: str) -> Vocabulary:
@@ -94,20 +103,22 @@ class Lattice:
         self.n, self.size = marked.shape
         self.marked, self.log_prob, self.vocabulary = marked, log_prob, vocabulary
         hashed = Hashed(marked.reshape(-1), fold=False)
-        row = np.arange(self.n) * self.size
+        # Column p of the words lies at every size-th place from p on.
+        column = lambda x, p: x[p :: self.size][: self.n]
         self.arcs: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(self.size + 1)]
-        for end in range(len(MARK), self.size + 1):
-            for n, (keys, number) in vocabulary.by_size.items():
-                begin = end - n
-                if begin < 0 or 0 < begin < len(MARK):
+        for (n, first), (occurs, keys, number) in vocabulary.tables.items():
+            for begin in [0] if first else range(len(MARK), self.size - n + 1):
+                end = begin + n
+                if end > self.size:
                     continue
-                h = hashed.of(row + begin, row + end)
-                at = np.searchsorted(keys, h)
-                at[at == len(keys)] = 0
-                piece = number[at]
-                own = np.flatnonzero((keys[at] == h) & (vocabulary.first[piece] == (begin == 0)))
+                raw = (column(hashed.sums, end) - column(hashed.sums, begin)) * column(hashed.inverse, begin)
+                own = np.flatnonzero(occurs[raw >> np.uint64(48)])
                 if len(own):
-                    self.arcs[end].append((begin, own, piece[own]))
+                    h = mix(raw[own])
+                    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                    good = keys[at] == h
+                    if good.any():
+                        self.arcs[end].append((begin, own[good], number[at[good]]))
 
     def forward(self) -> np.ndarray:
         a = np.full((self.size + 1, self.n), -np.inf)

@@ -87,8 +87,11 @@ class Hashed:
         self.sums = np.zeros(len(data) + 1, _U)
         np.cumsum(byte_codes(fold)[data] * power[: len(data)], out=self.sums[1:])
 
+    def raw(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (self.sums[end] - self.sums[start]) * self.inverse[start]
+
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.inverse[start])
+        return mix(self.raw(start, end))
 
 
 def word_bounds(data: np.ndarray, off: np.ndarray, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
