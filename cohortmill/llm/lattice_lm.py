@@ -230,9 +230,21 @@ def parts(texts: pa.Array, count: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     return pa.concat_arrays([texts.take(pa.array(short)), pa.array(cut, texts.type)]), np.concatenate([count[short], times])
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers below 2**31 in order, zstandard over their four byte planes: small numbers leave two of them empty."""
+    return pa.compress(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True) if len(numbers) else b""
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.int32)
+    planes = pa.decompress(data, decompressed_size=4 * n, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, n).T).view("<i4").ravel()
+
+
 def _chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
-    """One row for each chunk: its documents' ids, their tokens as numbers of the chunk's words, the words and their counts
-    (in training documents)."""
+    """One row for each chunk: its documents' ids, their tokens as numbers of the chunk's words (packed), the words, commonest
+    first, and their counts (in training documents)."""
     kind = docs.schema["doc_id"].dataType
     schema = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(to_arrow_type(kind))), ("held_out", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("tokens", pa.binary()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 
@@ -246,12 +258,17 @@ def _chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
         def flush() -> pa.RecordBatch:
             h = np.concatenate([x[3] for x in held])
             ids = pa.chunked_array([x[0] for x in held]).combine_chunks()
-            distinct, first, back = np.unique(h, return_index=True, return_inverse=True)
+            _, first, back, uses = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+            # The commonest words get the smallest numbers, which pack best.
+            order = np.argsort(-uses, kind="stable")
+            number_of = np.empty(len(order), np.int64)
+            number_of[order] = np.arange(len(order))
+            first, back = first[order], number_of[back]
             train = np.concatenate([np.repeat(~x[1], x[2]) for x in held])
-            counts = np.bincount(back, train, len(distinct)).astype(np.int64)
+            counts = np.bincount(back, train, len(first)).astype(np.int64)
             texts = pa.chunked_array([x[4] for x in held]).combine_chunks().take(pa.array(first)) if len(h) else pa.array([], pa.string())
             listed = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids.cast(schema.field(1).type.value_type))
-            return pa.RecordBatch.from_arrays([pa.array([number]), listed, *(pa.array([np.concatenate([x[k] for x in held])], schema.field(k + 1).type) for k in (1, 2)), pa.array([back.astype(np.int32).tobytes()], pa.binary()), pa.array([texts.to_pylist()], schema.field(5).type), pa.array([counts], schema.field(6).type)], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array([number]), listed, *(pa.array([np.concatenate([x[k] for x in held])], schema.field(k + 1).type) for k in (1, 2)), pa.array([packed(back)], pa.binary()), pa.array([texts.to_pylist()], schema.field(5).type), pa.array([counts], schema.field(6).type)], schema=schema)
 
         for batch in slices(batches):
             data, off = text_bytes(batch.column(1))
@@ -331,7 +348,7 @@ def score(docs: DataFrame, held_out: Column, vocabulary_path: str, chunk_bytes:
         count[at], log_prob[at] = w["count"].to_numpy(), w["log_prob"].to_numpy()
         base = np.log10((count + 0.5) / (total + 0.5 * (distinct + 1)))
         ids, out, sizes = t["ids"].combine_chunks().flatten(), t["held_out"].combine_chunks().flatten(), t["sizes"].combine_chunks().flatten().to_numpy()
-        token = np.frombuffer(t["tokens"][0].as_py(), np.int32)
+        token = unpacked(t["tokens"][0].as_py(), int(sizes.sum()))
         doc = np.repeat(np.arange(len(sizes)), sizes)
 
         def sums(x: np.ndarray) -> np.ndarray:

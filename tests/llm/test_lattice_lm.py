@@ -131,3 +131,9 @@ def test_ids_of_any_kind(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert lattice_lm.score(df, F.lit(False), PATH).count() == 0
+
+
+def test_packed_numbers_come_back():
+    for numbers in ([], [0], [5, 0, 255, 256, 65536, 2**31 - 1], list(range(3000))):
+        data = lattice_lm.packed(np.array(numbers, np.int64))
+        assert lattice_lm.unpacked(data, len(numbers)).tolist() == numbers
