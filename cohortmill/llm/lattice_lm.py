@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from cohortmill.llm import store
-from cohortmill.llm.text import Hashed, mix, slices, strings, text_bytes, words
+from cohortmill.llm.text import Hashed, gathered, mix, slices, strings, text_bytes, words
 
 MARK = "▁".encode()
 CHUNK_BYTES = 8 << 20
@@ -266,15 +266,18 @@ def _chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
             first, back = first[order], number_of[back]
             train = np.concatenate([np.repeat(~x[1], x[2]) for x in held])
             counts = np.bincount(back, train, len(first)).astype(np.int64)
-            texts = pa.chunked_array([x[4] for x in held]).combine_chunks().take(pa.array(first)) if len(h) else pa.array([], pa.string())
+            shift = np.cumsum([0, *(len(x[4]) for x in held)])
+            start, end = (np.concatenate([x[k] + at for x, at in zip(held, shift)])[first] for k in (5, 6))
+            texts = strings(np.concatenate([x[4] for x in held]), start, end)
+            listed_texts = pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts)
             listed = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids.cast(schema.field(1).type.value_type))
-            return pa.RecordBatch.from_arrays([pa.array([number]), listed, *(pa.array([np.concatenate([x[k] for x in held])], schema.field(k + 1).type) for k in (1, 2)), pa.array([packed(back)], pa.binary()), pa.array([texts.to_pylist()], schema.field(5).type), pa.array([counts], schema.field(6).type)], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array([number]), listed, *(pa.array([np.concatenate([x[k] for x in held])], schema.field(k + 1).type) for k in (1, 2)), pa.array([packed(back)], pa.binary()), listed_texts, pa.array([counts], schema.field(6).type)], schema=schema)
 
         for batch in slices(batches):
             data, off = text_bytes(batch.column(1))
             start, end, doc, h = words(data, off)
             out = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            held.append((batch.column(0), out, np.bincount(doc, minlength=batch.num_rows).astype(np.int32), h, strings(data, start, end)))
+            held.append((batch.column(0), out, np.bincount(doc, minlength=batch.num_rows).astype(np.int32), h, data, start, end))
             room += len(data)
             if room >= chunk_bytes:
                 yield flush()
@@ -296,7 +299,7 @@ def fit(counted: DataFrame, vocabulary: Vocabulary, rounds: int = 3, prior_words
         def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             v, log_prob = held.value  # noqa: B023
             total = np.zeros(len(log_prob))
-            for batch in slices(batches, "word"):
+            for batch in gathered(batches, "word"):
                 texts, count = parts(batch.column(0), batch.column(1).to_numpy(zero_copy_only=False).astype(float))
                 for own, lattice in lattices(v, log_prob, texts):
                     total += lattice.expected(count[own])
@@ -335,7 +338,7 @@ def score(docs: DataFrame, held_out: Column, vocabulary_path: str, chunk_bytes:
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, log_prob = held.value
-        for batch in slices(batches, "word"):
+        for batch in gathered(batches, "word"):
             spelled = (marginals(v, log_prob, batch.column(0)) + goes_on) / np.log(10)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spelled)], ["word", "count", "log_prob"])
 

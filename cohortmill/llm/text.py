@@ -79,6 +79,21 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             begin = end
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str, size: int = 4 * SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices put together up to about size bytes (a row counts 8 more): short texts come in batches of few bytes."""
+    held: list[pa.RecordBatch] = []
+    room = 0
+    for batch in slices(batches, column, size):
+        n = int(text_bytes(batch.column(batch.schema.get_field_index(column)))[1][-1]) + 8 * batch.num_rows
+        if held and room + n > size:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, room = [], 0
+        held.append(batch)
+        room += n
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 class Hashed:
     """Prefix sums over the bytes of a slice; of() hashes the substrings [start, end)."""
 

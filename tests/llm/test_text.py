@@ -6,7 +6,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cohortmill.llm.text import shingle_sets, slices, strings, text_bytes, words
+from cohortmill.llm.text import gathered, shingle_sets, slices, strings, text_bytes, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -40,3 +40,11 @@ def test_slices_keep_every_row():
     batch = pa.RecordBatch.from_pydict({"text": texts})
     cut = list(slices(iter([batch]), size=4000))
     assert [t for b in cut for t in b.column(0).to_pylist()] == texts and len(cut) > 10
+
+
+def test_gathered_batches_keep_all_rows_in_order():
+    rows = [None, "", "a", "bcd" * 40, "e", "f" * 500, ""] * 9
+    batches = [pa.RecordBatch.from_arrays([pa.array(rows[i : i + 5], pa.string())], ["word"]) for i in range(0, len(rows), 5)]
+    got = list(gathered(iter([batches[0].slice(0, 0), *batches]), "word", 200))
+    assert [x for b in got for x in b.column(0).to_pylist()] == rows
+    assert 1 < len(got) < len(rows) and not list(gathered(iter([]), "word"))
