@@ -388,7 +388,8 @@ def ev(name, operator="has_performed", value=None, **more):
 
 
 _rule("event_performed", tree(ev("purchase"), attr("decile.spend_decile", "equals", 1, logical_operator="or")), f"customer_id IN {_EV.format('event_type = ' + repr('purchase'))} OR spend_decile = 1")
-_rule("event_not_performed", tree(ev("signup", "has_not_performed"), ev("error")), f"customer_id NOT IN {_EV.format('event_type = ' + repr('signup'))} AND customer_id IN {_EV.format('event_type = ' + repr('error'))}")
+# Every person with events has each type of event, so the second condition is none on events.
+_rule("event_not_performed", tree(ev("signup", "has_not_performed"), attr("decile.spend_decile", "equals", 1)), f"customer_id NOT IN {_EV.format('event_type = ' + repr('signup'))} AND spend_decile = 1")
 _rule("event_count", tree(ev("click", "performed_count_greater_than", 10)), f"customer_id IN {_EV.format('event_type = ' + repr('click') + ' GROUP BY 1 HAVING count(*) > 10')}")
 _rule("event_window", tree(ev("view", "performed_count_greater_than_or_equal", 2, time_window={"type": "between_dates", "start": "2024-01-05", "end": "2024-01-09"})), f"customer_id IN {_EV.format('event_type = ' + repr('view') + ' AND ts >= TIMESTAMP ' + repr('2024-01-05') + ' AND CAST(ts AS DATE) <= DATE ' + repr('2024-01-09') + ' GROUP BY 1 HAVING count(*) >= 2')}")
 _rule("event_props", tree(ev("click", property_filters=[{"property": "k", "operator": "greater_than", "value": 95}])), f"customer_id IN {_EV.format('event_type = ' + repr('click') + ' AND CAST(json_extract_string(props, ' + repr('$.k') + ') AS DOUBLE) > 95')}")
