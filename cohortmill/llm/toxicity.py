@@ -1,11 +1,16 @@
 """Toxicity: Levenshtein automata intersected with a lexicon trie, and the context of each match.
 
 The lexicon is learned from labelled rows (terms whose share of toxic documents is significantly above the rest), joined
-with a short general list. A word matches a term within 1 edit if the term has 5 letters or more, after folding
-look-alikes (0 for o, $ for s ...). Words come from whole texts. A word can only be that close to a term if it begins
-with the term's first half or ends with its second (pigeonhole), and if both agree once a letter is left out of each or
-one of them; hashes of such parts sort out nearly all words first, and lose none. The automaton of each remaining distinct
-word then runs over the trie, once per task.
+with a short general list. A word matches a term within 1 edit if the term has 5 letters or more, within 2 if it is a general term of
+8 letters or more, after folding look-alikes (0 for o, $ for s ...). Learned terms are many and lie close to each other and to
+clean words, so they stay at 1. An edit puts in, leaves out or changes a letter, or swaps two
+neighbours. Words come from whole texts. A word within k edits of a term agrees with it once up to k letters are left out
+of each; for k = 1 it also begins with the term's first half or ends with its second (pigeonhole, one letter between the
+halves, which a swap may touch). Hashes of such parts and rests sort out nearly all words first, and lose none. The
+automaton of each remaining distinct word then runs over the trie, once per task.
+
+A word near a term may be a word of its own ("generate" beside "degenerate"): words that stand in `least_clean` clean
+documents of the sample or more, and aren't much more frequent in toxic ones, match no term at two edits.
 
 Each match has a context window: inside quotation marks, or beside a word that reports speech, it counts as quoted;
 beside a word of address ("you") as aimed. A logistic regression over sums of matches (exact, misspelled, quoted, aimed,
@@ -43,6 +48,8 @@ ADDRESS = ["you", "your", "youre", "yourself", "du", "dich", "dein", "ihr", "tu"
 REPORT = ["said", "says", "called", "calls", "quote", "quoted", "quotes", "wrote", "word", "term", "sagte", "nannte", "wort", "dit", "appelé", "mot", "dijo", "llamó", "palabra"]
 WINDOW = 5
 GENERAL_WEIGHT = 4.0
+#: Log odds from which on a word counts as one of toxic documents.
+LEAST_WEIGHT = 1.5
 _LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 _APART = np.array([not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128) for c in range(256)])
 N_FEATURES = 7
@@ -63,20 +70,27 @@ def _fold_bytes() -> np.ndarray:
 _FOLD = _fold_bytes()
 
 
+#: General terms of this many letters or more are reached within two edits.
+LONG = 8
+#: Rejected words that a task remembers.
+REMEMBERED = 1 << 18
+
+
 def reach(term: str) -> int:
-    """Edits within which a word matches the term."""
+    """Edits within which a word matches a term that isn't loose."""
     return 0 if len(term) < 5 else 1
 
 
 class LevenshteinAutomaton:
-    """Accepts the strings within k edits of a word. A state holds (place in the word, edits so far), the smaller edits only."""
+    """Accepts the strings within k edits of a word. A state holds (place in the word, edits so far), the smaller edits only.
+    The place ~i stands for the first half of a swap: letter i + 1 was read, and letter i must come next."""
 
     def __init__(self, word: str, k: int):
         self.word, self.k = word, k
 
     def closed(self, state: dict[int, int]) -> dict[int, int]:
         """With what skipping letters of the word reaches."""
-        for i in sorted(state):
+        for i in sorted(x for x in state if x >= 0):
             e = state[i]
             for j in range(i + 1, min(len(self.word), i + self.k - e) + 1):
                 if state.get(j, self.k + 1) > e + j - i:
@@ -89,6 +103,12 @@ class LevenshteinAutomaton:
     def step(self, state: dict[int, int], letter: str) -> dict[int, int]:
         out: dict[int, int] = {}
         for i, e in state.items():
+            if i < 0:
+                if self.word[~i] == letter and e < out.get(~i + 2, self.k + 1):
+                    out[~i + 2] = e
+                continue
+            if i + 1 < len(self.word) and e < self.k and self.word[i + 1] == letter:
+                out[~i] = e + 1
             if i < len(self.word):
                 cost = e + (self.word[i] != letter)
                 if cost <= self.k and cost < out.get(i + 1, self.k + 1):
@@ -141,61 +161,120 @@ def _among(h: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h
 
 
+def _left_out(hashed: Hashed, at: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of words of one length without k (1 or 2) of their letters, a row for each word. at: where each letter
+    begins and, last, where the word ends."""
+    s, inverse, begin = hashed.sums, hashed.inverse, at[:, :1]
+    letters = at.shape[1] - 1
+    if k == 1:
+        p, q = at[:, :-1], at[:, 1:]
+        return mix((s[p] - s[begin]) * inverse[begin] + (s[at[:, -1:]] - s[q]) * inverse[begin + q - p])
+    i, j = np.triu_indices(letters, 1)
+    p, q, x, y = at[:, i], at[:, i + 1], at[:, j], at[:, j + 1]
+    gone = q - p
+    return mix((s[p] - s[begin]) * inverse[begin] + (s[x] - s[q]) * inverse[begin + gone] + (s[at[:, -1:]] - s[y]) * inverse[begin + gone + y - x])
+
+
+def _without(term: str, k: int) -> set[str]:
+    """The term without up to k of its letters."""
+    out = last = {term}
+    for _ in range(k):
+        last = {t[:i] + t[i + 1 :] for t in last for i in range(len(t))}
+        out = out | last
+    return out
+
+
 @dataclass
 class Lexicon:
     terms: list[str]
     weights: list[float]
+    #: Words that are never taken for a loose term with two slips.
+    spared: frozenset[str] = frozenset()
+    #: Terms that are reached within two edits.
+    loose: frozenset[str] = frozenset()
     trie: Trie = field(init=False, repr=False)
 
     def __post_init__(self):
         self.trie = Trie(self.terms)
-        self.keys: dict[tuple[str, int], np.ndarray] = {}
+        self.loose = self.loose & frozenset(self.terms)
+        at = [t for t, term in enumerate(self.terms) if term in self.loose]
+        self.loose_trie, self.loose_at = Trie([self.terms[t] for t in at]), at
         parts: dict[tuple[str, int], set[int]] = {}
 
-        def put(kind: str, part: bytes, size: int, edits: int):
+        def put(kind: str, part: bytes, size: int):
             h = int(Hashed(np.frombuffer(part, np.uint8)).of(np.array([0]), np.array([len(part)]))[0])
             # A letter has up to four bytes.
-            parts.setdefault((kind, len(part)), set()).update((h + n) % 2**64 for n in range(max(1, size - 4 * edits), size + 4 * edits + 1))
+            parts.setdefault((kind, len(part)), set()).update((h + n) % 2**64 for n in range(max(1, size - 4), size + 5))
 
         for term in self.terms:
-            k, b = reach(term), term.encode()
-            cut = [len(term[: len(term) * i // (k + 1)].encode()) for i in range(k + 2)]
-            put("head", b[: cut[1]], len(b), k)
-            if k:
-                put("tail", b[cut[k] :], len(b), k)
+            if reach(term):
+                b, cut = term.encode(), (len(term) + 1) // 2
+                put("head", term[: cut - 1].encode(), len(b))
+                put("tail", term[cut:].encode(), len(b))
         self.keys = {k: np.array(sorted(v), np.uint64) for k, v in parts.items()}
         self.exact = _word_hashes(self.terms)
-        loose = [t for t in self.terms if reach(t)]
-        self.near = _word_hashes(sorted({t[:i] + t[i + 1 :] for t in loose for i in range(len(t))} | set(loose)))
+        self.near = _word_hashes(sorted(set().union(*(_without(t, 1) for t in self.terms if reach(t)))))
+        self.far = _word_hashes(sorted(set().union(*(_without(t, 2) for t in self.loose))))
+        self.shortest, self.longest = min(map(len, self.loose), default=0), max(map(len, self.loose), default=0)
+        self.rejected = np.zeros(0, np.uint64)
         self.cache: dict[int, tuple[int, int] | None] = {}
 
     def candidates(self, data: np.ndarray, hashed: Hashed, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """Indices of the words that are a term or may be within one edit of one."""
-        size, out = end - start, _among(h, self.exact)
-        half = np.zeros(len(start), bool)
+        """Indices of the words (distinct, in order of their hashes) that are a term or may be in reach of one."""
+        out = _among(h, self.exact)
+        new = np.flatnonzero(~out & ~_among(h, self.rejected))
+        a, b, size = start[new], end[new], end[new] - start[new]
+        half = np.zeros(len(new), bool)
         for (kind, n), keys in self.keys.items():
-            fits = np.flatnonzero((size >= n) & ~half & ~out)
-            a = start[fits] if kind == "head" else end[fits] - n
-            half[fits[_among(hashed.of(a, a + n) + size[fits].astype(np.uint64), keys)]] = True
-        own = np.flatnonzero(half)
-        out[own[_among(h[own], self.near)]] = True
-        # Each letter in turn is left out: the hash of the rest joins what stands before and after it.
-        own = own[~out[own]]
-        long = size[own]
-        of = np.repeat(own, long)
-        p = start[of] + np.arange(len(of)) - np.repeat(np.cumsum(long) - long, long)
-        lead = (data[p] & 0xC0) != 0x80
-        of, p = of[lead], p[lead]
-        after = p + 1 + (data[p] >= 0xC0) + (data[p] >= 0xE0) + (data[p] >= 0xF0)
-        after = np.minimum(after, end[of])
-        s, inverse = hashed.sums, hashed.inverse
-        rest = mix((s[p] - s[start[of]]) * inverse[start[of]] + (s[end[of]] - s[after]) * inverse[start[of] + after - p])
-        out[of[_among(rest, self.near)]] = True
+            fits = np.flatnonzero((size >= n) & ~half)
+            begin = a[fits] if kind == "head" else b[fits] - n
+            half[fits[_among(hashed.of(begin, begin + n) + size[fits].astype(np.uint64), keys)]] = True
+        lead = (data & 0xC0) != 0x80
+        upto, place = np.concatenate([[0], np.cumsum(lead)]), np.flatnonzero(lead)
+        letters = upto[b] - upto[a]
+        far = (letters >= self.shortest - 2) & (letters <= self.longest + 2) if self.loose else np.zeros(len(new), bool)
+        near = np.zeros(len(new), bool)
+        near[half] = _among(h[new[half]], self.near)
+        near[far] |= _among(h[new[far]], self.far)
+        for n in np.unique(letters[half | far]):
+            own = np.flatnonzero((letters == n) & (half | far) & ~near)
+            step = max(1, (1 << 19) // (n * n))
+            for i in range(0, len(own), step):
+                w = own[i : i + step]
+                at = np.concatenate([place[upto[a[w]][:, None] + np.arange(n)], b[w][:, None]], 1)
+                one = _left_out(hashed, at, 1)
+                near[w] = (half[w] & _among(one.ravel(), self.near).reshape(one.shape).any(1)) | (far[w] & _among(one.ravel(), self.far).reshape(one.shape).any(1))
+                w, at = w[far[w] & ~near[w]], at[far[w] & ~near[w]]
+                if len(w) and n >= 2:
+                    two = _left_out(hashed, at, 2)
+                    near[w] = _among(two.ravel(), self.far).reshape(two.shape).any(1)
+        out[new[near]] = True
+        rejected = h[new[~near]]
+        if len(self.rejected) + len(rejected) > REMEMBERED:
+            self.rejected = rejected[:REMEMBERED]
+        else:
+            self.rejected = np.sort(np.concatenate([self.rejected, rejected]), kind="stable")
         return np.flatnonzero(out)
 
+    def matches(self, words: list[str]) -> list[bool]:
+        """Whether each word is in reach of a term."""
+        distinct = sorted(set(words) - {""})
+        size = np.array([len(w.encode()) for w in distinct], np.int64)
+        data, end = np.frombuffer("".join(distinct).encode(), np.uint8), np.cumsum(size)
+        hashed = Hashed(data)
+        h = hashed.of(end - size, end)
+        order = np.argsort(h)
+        near = order[self.candidates(data, hashed, (end - size)[order], end[order], h[order])]
+        found = {distinct[i] for i in near if self.match(distinct[i]) is not None}
+        return [w in found for w in words]
+
     def match(self, word: str) -> tuple[int, int] | None:
         """(term, edits) of the nearest term in reach; ties go to the heavier, then to the first."""
-        near = [(d, -self.weights[t], t) for d, t in self.trie.within(word, 1 if len(word) > 3 else 0) if d <= reach(self.terms[t])]
+        most = 1 if len(word) > 3 else 0
+        found = [(d, t) for d, t in self.trie.within(word, most) if d <= reach(self.terms[t])]
+        if word not in self.spared and self.shortest - 2 <= len(word) <= self.longest + 2:
+            found += [(d, self.loose_at[t]) for d, t in self.loose_trie.within(word, 2)]
+        near = [(d, -self.weights[t], t) for d, t in found]
         return (min(near)[2], min(near)[0]) if near else None
 
 
@@ -295,7 +374,7 @@ def features(texts: pa.Array, lexicon: Lexicon) -> tuple[np.ndarray, list[list[t
     return out, spans
 
 
-def learn_lexicon(counts: list[tuple[str, int, int]], toxic: int, clean: int, least_z: float = 3.5, least_weight: float = 1.5, max_terms: int | None = None) -> Lexicon:
+def learn_lexicon(counts: list[tuple[str, int, int]], toxic: int, clean: int, least_z: float = 3.5, least_weight: float = LEAST_WEIGHT, max_terms: int | None = None) -> Lexicon:
     """counts: term, toxic and clean documents with it. A term enters if its share of toxic documents is above the
     sample's by least_z standard errors and its log odds are least_weight or more; the weight is the log odds."""
     share = toxic / max(1, toxic + clean)
@@ -303,12 +382,29 @@ def learn_lexicon(counts: list[tuple[str, int, int]], toxic: int, clean: int, le
     learned = []
     for term, a, b in counts:
         expected = (a + b) * share
-        weight = np.log((a + 0.5) / (toxic + 1)) - np.log((b + 0.5) / (clean + 1))
+        weight = _weight(a, b, toxic, clean)
         if weight >= least_weight and (a - expected) >= least_z * np.sqrt(expected * (1 - share) + 1e-9):
             learned.append((float(weight), fold_word(term)))
     for weight, term in sorted(learned, key=lambda x: (-x[0], x[1]))[:max_terms]:
         found[term] = max(weight, found.get(term, 0.0) if term not in GENERAL_TERMS else weight)
-    return Lexicon(list(found), list(found.values()))
+    return Lexicon(list(found), list(found.values()), loose=frozenset(t for t in GENERAL_TERMS if len(t) >= LONG))
+
+
+def _weight(a: int, b: int, toxic: int, clean: int) -> float:
+    """Log odds of a word in a toxic and b clean documents."""
+    return float(np.log((a + 0.5) / (toxic + 1)) - np.log((b + 0.5) / (clean + 1)))
+
+
+def _near_words(counted: DataFrame, lexicon: Lexicon, least_clean: int) -> list[tuple[str, int, int, int, int]]:
+    """Of the counted words of least_clean clean documents or more, those that may be in reach of a term."""
+    held = counted.sparkSession.sparkContext.broadcast(lexicon)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(held.value.matches([fold_word(w) for w in batch.column(0).to_pylist()]), pa.bool_()))
+
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counted.schema)
+    return [tuple(r) for r in counted.where(F.col("n00") + F.col("n10") >= least_clean).mapInArrow(run, kind).collect()]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
@@ -343,7 +439,7 @@ def bounded_sample(docs: DataFrame, labels: DataFrame, label: str, max_per_class
     return rows.groupBy("doc_id", "y", "h").agg(F.min("text").alias("text")).select("doc_id", "text", "y", F.pmod(F.shiftright("h", 7), F.lit(2)).cast("int").alias("half"))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_per_class: int = 4000, letters: tuple[int, int] = (3, 40)) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_per_class: int = 4000, letters: tuple[int, int] = (3, 40), least_clean: int = 2) -> ToxicityModel:
     sample = store.materialize(bounded_sample(docs, labels, label, max_per_class), "toxic-sample")
     size = {(r.half, r.y): r["count"] for r in sample.groupBy("half", "y").count().collect()}
     words = sample.select("half", "y", F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"))).alias("term")).where(F.length("term").between(*letters))
@@ -351,12 +447,19 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_per_clas
     # Bounded like the sample; terms of two toxic documents at least can enter.
     counts = [tuple(r) for r in counted.where("n01 + n11 >= 2 AND n01 + n11 > (n00 + n10) / 4").collect()]
     n = {k: size.get(k, 0) for k in ((0, 0), (0, 1), (1, 0), (1, 1))}
-    whole = learn_lexicon([(t, b + d, a + c) for t, a, b, c, d in counts], n[0, 1] + n[1, 1], n[0, 0] + n[1, 0])
+    totals = [(n[0, 1] + n[1, 1], n[0, 0] + n[1, 0]), (n[1, 1], n[1, 0]), (n[0, 1], n[0, 0])]
+    # Counts of a word over the whole sample, its second half and its first.
+    split = [lambda a, b, c, d: (b + d, a + c), lambda a, b, c, d: (d, c), lambda a, b, c, d: (b, a)]
+    whole, *other = (learn_lexicon([(t, *of(*r)) for t, *r in counts], *size) for of, size in zip(split, totals))
+    loose = sorted(whole.loose)
+    close = _near_words(counted, Lexicon(loose, [1.0] * len(loose), loose=whole.loose), least_clean)
+    for lexicon, of, size in zip((whole, *other), split, totals):
+        usual = [(t, *of(*r)) for t, *r in close]
+        lexicon.spared = frozenset(fold_word(t) for t, a, b in usual if b >= least_clean and _weight(a, b, *size) < LEAST_WEIGHT)
     if not (n[0, 1] + n[1, 1]) or not (n[0, 0] + n[1, 0]):
         total = sum(n.values())
         share = (n[0, 1] + n[1, 1]) / total if total else 0.5
         return ToxicityModel(whole, np.append(np.zeros(N_FEATURES), np.log(np.clip(share, 1e-6, 1 - 1e-6) / np.clip(1 - share, 1e-6, 1))))
-    other = [learn_lexicon([(t, d, c) for t, a, b, c, d in counts], n[1, 1], n[1, 0]), learn_lexicon([(t, b, a) for t, a, b, c, d in counts], n[0, 1], n[0, 0])]
     held = docs.sparkSession.sparkContext.broadcast(other)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

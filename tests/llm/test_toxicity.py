@@ -12,13 +12,16 @@ from cohortmill.llm.text import text_bytes
 
 
 def distance(a, b):
-    row = list(range(len(b) + 1))
+    """Edits with swaps of neighbours, no letter edited twice."""
+    rows = [list(range(len(b) + 1))]
     for i, x in enumerate(a, 1):
         new = [i]
         for j, y in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-        row = new
-    return row[-1]
+            new.append(min(rows[-1][j] + 1, new[-1] + 1, rows[-1][j - 1] + (x != y)))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                new[-1] = min(new[-1], rows[-2][j - 2] + 1)
+        rows.append(new)
+    return rows[-1][-1]
 
 
 @settings(max_examples=200, deadline=None)
@@ -33,25 +36,48 @@ def test_automaton_accepts_what_is_near(word, other, k):
 
 
 def test_every_word_near_a_term_is_found():
-    terms = ["idiot", "worthless", "réêou", "scum", "bomente", "abcde"]
-    lexicon = toxicity.Lexicon(terms, [1.0] * len(terms))
+    terms = ["idiot", "worthless", "réêou", "scum", "bomente", "abcde", "abcdefgh", "éàüçñéàüç"]
+    loose = frozenset({"worthless", "éàüçñéàüç"})
+    lexicon = toxicity.Lexicon(terms, [1.0] * len(terms), loose=loose)
     rng, words = random.Random(1), []
-    for _ in range(2500):
+    for _ in range(6000):
         w = list(rng.choice(terms))
-        for _ in range(rng.choice([0, 1, 1, 2])):
+        for _ in range(rng.choice([0, 1, 1, 2, 2, 3])):
             i = rng.randrange(len(w) + 1)
-            how = rng.choice("sid")
-            if how == "i":
+            how = rng.choice("sidt")
+            if how == "t":
+                w[i : i + 2] = reversed(w[i : i + 2])
+            elif how == "i":
                 w.insert(i, rng.choice("aé中z"))
             elif i < len(w):
                 w[i : i + 1] = [] if how == "d" and len(w) > 1 else [rng.choice("oéêz")]
         words.append("".join(w))
     _, spans = toxicity.features(pa.array(words), lexicon)
     for w, found in zip(words, spans):
-        near = [t for t in terms if distance(w, t) <= toxicity.reach(t)]
+        near = [t for t in terms if distance(w, t) <= (2 if t in loose else toxicity.reach(t))]
         assert bool(found) == bool(near) and (not found or terms[found[0][1]] in near)
 
 
+def test_swaps_second_slips_and_words_of_their_own():
+    terms = ["idiot", "worthless", "degenerate"]
+    words = ["idoit", "iditos", "wortlhess", "worthlss", "wrthlss", "generate", "degnerat"]
+    for spared in (frozenset(), frozenset({"generate"})):
+        lexicon = toxicity.Lexicon(terms, [1.0] * 3, spared, frozenset(terms[1:]))
+        _, spans = toxicity.features(pa.array(words), lexicon)
+        assert [len(s) for s in spans] == [1, 0, 1, 1, 1, int(not spared), 1]
+        # Words that a task has turned down stay so, those found are found again.
+        assert toxicity.features(pa.array(words[::-1]), lexicon)[1] == spans[::-1]
+        assert lexicon.matches([*words, "", "idiot"]) == [bool(s) for s in spans] + [False, True]
+
+
+def test_spared_words_are_learned(spark):
+    rows = [(i, "you degenerate fool" if i % 4 == 0 else f"they generate power {i}") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic"))
+    lexicon = toxicity.train(docs, labels).lexicon
+    assert "generate" in lexicon.spared and lexicon.match("generate") is None and lexicon.match("degnerat") is not None
+
+
 def test_look_alikes_and_quotation():
     lexicon = toxicity.Lexicon(["idiot"], [3.0])
     texts = ["you 1D10T", 'he wrote "idiot" there', "an id$ot x", "idiot$$$ now", None, "", "the word idiot is old"]
