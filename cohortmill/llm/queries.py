@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortmill.llm import decontamination, language_id, lattice_lm, mixing, parity_join, quality_mil, secret_scan, sharding, store, topk, toxicity
+from cohortmill.llm import decontamination, language_id, lattice_lm, merkle, mixing, parity_join, quality_mil, secret_scan, sharding, store, topk, toxicity
 
 #: Target weights of the sources in op7; sources that aren't named weigh 1.
 SOURCE_WEIGHTS = {"src0": 4.0, "src1": 3.0, "src2": 2.0}
@@ -72,6 +72,17 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    tampered = merkle.leaf_digest(*(F.col(c) for c in ("doc_id", "source", "lang", "n_chars")), merkle.lower_ascii(F.col("text")))
+    carried = {"doc_id": F.col("doc_id"), "tampered": F.when(fold(3) == 0, tampered)}
+    leaf = merkle.leaf_digest(*(F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")))
+    out = merkle.manifest(docs, leaf, F.col("lang"), F.col("doc_id"), carried)
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("path"))
+    out = out.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def queries():
     return {
         "op1_language_id": op1_language_id,
@@ -84,6 +95,7 @@ def queries():
         "op8_toxicity": op8_toxicity,
         "op9_quality": op9_quality,
         "op10_topk": op10_topk,
+        "op11_merkle": op11_merkle,
     }
 
 
@@ -99,4 +111,41 @@ def oracle_sql() -> dict[str, str]:
             ), r AS (
               SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
             ) SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+        "op11_merkle": """
+            WITH RECURSIVE v AS (
+              SELECT doc_id, lang, 3 AS fields, concat(
+                coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+                coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-')) AS head,
+                text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+                -- CRC-32 of the decimal id, bit by bit.
+                xor(list_reduce(list_prepend(4294967295::BIGINT, [CAST(ascii(c) AS BIGINT) FOR c IN string_split(CAST(doc_id AS VARCHAR), '')]),
+                  lambda a, b: list_reduce(list_prepend(xor(a, b), [CAST(i AS BIGINT) FOR i IN range(8)]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) AS crc
+              FROM documents
+            ), leaves AS (
+              SELECT *, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+                CASE WHEN crc % 3 = 0 THEN sha256(head || coalesce(strlen(low) || ':' || low, '-')) END AS tampered FROM v
+            ), up AS (
+              SELECT lang, 0 AS level, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, leaf AS h, count(*) OVER (PARTITION BY lang) AS n FROM leaves
+              UNION ALL
+              SELECT lang, level + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 7) // 8 FROM up WHERE n > 1 GROUP BY lang, level, i // 8
+            ), sub AS (
+              SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place FROM up WHERE n = 1
+            ), top AS (
+              SELECT 0 AS level, place AS i, subroot AS h, count(*) OVER () AS n FROM sub
+              UNION ALL
+              SELECT level + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 7) // 8 FROM top WHERE n > 1 GROUP BY level, i // 8
+            ), runs AS (
+              SELECT lang, false AS above, level, i // 8 AS run, list(h ORDER BY i) AS hs FROM up WHERE n > 1 GROUP BY ALL
+              UNION ALL SELECT NULL, true, level, i // 8, list(h ORDER BY i) FROM top WHERE n > 1 GROUP BY ALL
+            ), paths AS (
+              SELECT doc_id, leaf, leaves.lang, false AS above, 0 AS level, row_number() OVER (PARTITION BY leaves.lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, '' AS sib, coalesce(tampered, leaf) AS h, place, subroot FROM leaves JOIN sub ON leaves.lang IS NOT DISTINCT FROM sub.lang
+              UNION ALL
+              SELECT doc_id, leaf, p.lang, CASE WHEN r.hs IS NULL THEN true ELSE p.above END, CASE WHEN r.hs IS NULL THEN 0 ELSE p.level + 1 END, CASE WHEN r.hs IS NULL THEN place ELSE i // 8 END,
+                sib || CASE WHEN r.hs IS NULL THEN '' ELSE array_to_string(list_filter(r.hs, lambda x, k: k <> i % 8 + 1), '') END,
+                CASE WHEN r.hs IS NULL THEN h ELSE sha256(array_to_string(list_transform(r.hs, lambda x, k: CASE WHEN k = i % 8 + 1 THEN h ELSE x END), '')) END, place, subroot
+              FROM paths p LEFT JOIN runs r ON p.above = r.above AND (p.above OR p.lang IS NOT DISTINCT FROM r.lang) AND p.level = r.level AND p.i // 8 = r.run
+              WHERE r.hs IS NOT NULL OR NOT p.above
+            ), root AS (SELECT h AS root FROM top WHERE n = 1)
+            SELECT doc_id, leaf, subroot, root, sha256(sib) AS proof_sha256, h AS folded_root, h = root AS verified
+            FROM paths p, root WHERE above AND NOT EXISTS (SELECT 1 FROM runs r WHERE r.above AND r.level = p.level AND r.run = p.i // 8)""",
     }
