@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortmill.llm import decontamination, language_id, lattice_lm, merkle, mixing, parity_join, quality_mil, secret_scan, sharding, store, topk, toxicity
+from cohortmill.llm import decontamination, hard_negatives, language_id, lattice_lm, merkle, mixing, parity_join, quality_mil, secret_scan, sharding, store, topk, toxicity
 
 #: Target weights of the sources in op7; sources that aren't named weigh 1.
 SOURCE_WEIGHTS = {"src0": 4.0, "src1": 3.0, "src2": 2.0}
@@ -83,6 +83,12 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    turned = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors.withColumn("label", turned), F.col("vec_id") % 50 == 0)
+
+
 def queries():
     return {
         "op1_language_id": op1_language_id,
@@ -96,6 +102,7 @@ def queries():
         "op9_quality": op9_quality,
         "op10_topk": op10_topk,
         "op11_merkle": op11_merkle,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
@@ -148,4 +155,19 @@ def oracle_sql() -> dict[str, str]:
             ), root AS (SELECT h AS root FROM top WHERE n = 1)
             SELECT doc_id, leaf, subroot, root, sha256(sib) AS proof_sha256, h AS folded_root, h = root AS verified
             FROM paths p, root WHERE above AND NOT EXISTS (SELECT 1 FROM runs r WHERE r.above AND r.level = p.level AND r.run = p.i // 8)""",
+        "op13_hard_negatives": """
+            WITH v AS (
+              SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS q FROM embeddings
+              WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+            ), s AS (
+              SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+              FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0
+            ), p AS (
+              SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+              QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+            ), n AS (
+              SELECT anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score,
+                CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+              FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+            ) SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3""",
     }

@@ -9,7 +9,7 @@ the batch. The best k of each cell are merged over the blocks.
 
 Vectors are integers, floor(scale * component), so scores are exact. Defined results: vectors that are null or hold null
 or non-finite components take no part; vectors are compared with those of their own length only; ties go to the smaller
-id; a query never meets rows with its own id; a query row that repeats gives its list once; fewer candidates than k give
+id, and ids must be whole numbers (others are a ValueError); a query never meets rows with its own id; a query row that repeats gives its list once; fewer candidates than k give
 shorter lists; empty tables give none. Vectors without components take no part. Extra columns are ignored. Where products
 can reach 2**53 a cell is scored in whole numbers of any size; a score beyond 64 bits is an OverflowError.
 """
@@ -26,13 +26,15 @@ from pyspark.sql import functions as F
 _OUT = pa.schema([("query_id", pa.int64()), ("query", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
-def quantised(vectors: DataFrame, scale: int = 64, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """vec_id, v: array of floor(scale * x); only vectors whose components are all finite."""
+def quantised(vectors: DataFrame, scale: int = 64, vec_id: str = "vec_id", embedding: str = "embedding", keep: tuple[str, ...] = ()) -> DataFrame:
+    """vec_id, v: array of floor(scale * x), and the columns to keep; only vectors whose components are all finite."""
+    if vectors.schema[vec_id].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise ValueError(f"{vec_id} must hold whole numbers")
     x = F.col(embedding).cast("array<double>")
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     # Doubles from 2**53 on are whole; floor() would squeeze them into 64 bits.
     whole = F.transform(x, lambda c: F.when(F.abs(c * scale) < 2.0**53, F.floor(F.when(F.abs(c * scale) < 2.0**53, c * scale)).cast("double")).otherwise(c * scale))
-    return vectors.where(F.col(vec_id).isNotNull() & x.isNotNull() & (F.size(x) > 0) & finite).select(F.col(vec_id).cast("long").alias("vec_id"), whole.alias("v"))
+    return vectors.where(F.col(vec_id).isNotNull() & x.isNotNull() & (F.size(x) > 0) & finite).select(F.col(vec_id).cast("long").alias("vec_id"), whole.alias("v"), *keep)
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
