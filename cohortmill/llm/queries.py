@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortmill.llm import decontamination, hard_negatives, language_id, lattice_lm, merkle, mixing, parity_join, quality_mil, secret_scan, sharding, store, topk, toxicity
+from cohortmill.llm import decontamination, hard_negatives, language_id, lattice_lm, merkle, mixing, parity_join, quality_mil, quality_rules, secret_scan, sharding, store, topk, toxicity
 
 #: Target weights of the sources in op7; sources that aren't named weigh 1.
 SOURCE_WEIGHTS = {"src0": 4.0, "src1": 3.0, "src2": 2.0}
@@ -83,6 +83,11 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return quality_rules.judge(docs, quality_rules.learn_references(docs))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     turned = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -102,6 +107,7 @@ def queries():
         "op9_quality": op9_quality,
         "op10_topk": op10_topk,
         "op11_merkle": op11_merkle,
+        "op12_quality_rules": op12_quality_rules,
         "op13_hard_negatives": op13_hard_negatives,
     }
 
