@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortmill.functions.cleaning import day
+from cohortmill.functions.windows import neighbour
 
 
 def not_null(df: DataFrame, column: str) -> DataFrame:
@@ -100,8 +101,12 @@ def mutually_exclusive_ranges(df: DataFrame, lower: str, upper: str, partition_b
     compare = {"not_allowed": lambda a, b: a == b, "allowed": lambda a, b: a <= b, "required": lambda a, b: a < b}
     if gaps not in compare:
         raise ValueError("gaps is not_allowed, allowed or required")
-    w = (Window.partitionBy(partition_by) if partition_by else Window.partitionBy()).orderBy(F.asc_nulls_last(lower), F.asc_nulls_last(upper))
-    rows = df.withColumn("next_lower", F.lead(lower).over(w)).withColumn("_last", F.row_number().over(w.orderBy(F.desc_nulls_first(lower), F.desc_nulls_first(upper))) == 1)
+    if partition_by:
+        w = Window.partitionBy(partition_by).orderBy(F.asc_nulls_last(lower), F.asc_nulls_last(upper))
+        back = Window.partitionBy(partition_by).orderBy(F.desc_nulls_first(lower), F.desc_nulls_first(upper))
+        rows = df.withColumn("next_lower", F.lead(lower).over(w)).withColumn("_last", F.row_number().over(back) == 1)
+    else:
+        rows = neighbour(df, [F.asc_nulls_last(lower), F.asc_nulls_last(upper)], lower, "next_lower", last="_last")
     ordered = F.coalesce(F.col(lower) <= F.col(upper) if zero_length else F.col(lower) < F.col(upper), F.lit(False))
     meets = F.coalesce(compare[gaps](F.col(upper), F.col("next_lower")), F.col("_last"), F.lit(False))
     return rows.where(~(ordered & meets)).drop("_last")
@@ -122,8 +127,10 @@ def relationships_where(df: DataFrame, column: str, to: DataFrame, field: str, f
 
 def sequential_values(df: DataFrame, column: str, interval: int = 1, part: str | None = None, group_by: Sequence[str] = ()) -> DataFrame:
     """Rows that don't follow the one before by the interval (of the date part, if given)."""
-    w = Window.partitionBy(*group_by).orderBy(column)
-    rows = df.withColumn("previous", F.lag(column).over(w))
+    if group_by:
+        rows = df.withColumn("previous", F.lag(column).over(Window.partitionBy(*group_by).orderBy(column)))
+    else:
+        rows = neighbour(df, [F.asc(column)], column, "previous", back=True)
     step = F.col("previous") + F.expr(f"INTERVAL {int(interval)} {part}") if part else F.col("previous") + interval
     return rows.where(F.col("previous").isNotNull() & ~(F.col(column) == step))
 

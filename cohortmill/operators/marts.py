@@ -120,18 +120,40 @@ def bill_flags(summary: DataFrame) -> DataFrame:
     )
 
 
-def bill_grain(lines: DataFrame) -> DataFrame:
-    """Customer x bill, returns included; _items, _spend and what begins with _ counts lines that aren't returns."""
+def bill_channel_grain(lines: DataFrame) -> DataFrame:
+    """Customer x bill x channel, returns included; _items, _spend and what begins with _ counts lines that aren't returns."""
     sale = ~F.coalesce("sales_return", F.lit(False))
     own = lambda f, c: f(F.when(sale, F.col(c)))
-    return lines.groupBy("mobile_number", "bill_id").agg(
+    return lines.groupBy("mobile_number", "bill_id", "delivery_channel").agg(
         F.min("bill_date").alias("bill_date"), own(F.min, "bill_date").alias("_d"), own(F.min, "store_code").alias("_s"), own(F.max, "store_desc").alias("_desc"), own(F.max, "store_format").alias("_format"), own(F.min, "day_of_week").alias("_day"),
-        own(F.sum, "gross_sale_value").alias("_spend"), own(F.sum, "total_discount").alias("_discount"), F.count(F.when(sale, 1)).alias("_items"), own(F.min, "delivery_channel").alias("_lo"), own(F.max, "delivery_channel").alias("_hi"),
+        own(F.sum, "gross_sale_value").alias("_spend"), own(F.sum, "total_discount").alias("_discount"), F.count(F.when(sale, 1)).alias("_items"),
         F.bool_or("sales_return").alias("has_return"), F.bool_or(F.col("promo_indicator").eqNullSafe("P")).alias("has_promo"), F.bool_or("weekend_flag").alias("weekend_flag"), F.bool_or("wednesday_flag").alias("wednesday_flag"),
-        (F.max("end_secs") - F.min("start_secs")).alias("billing_time_secs"),
+        F.max("end_secs").alias("_end"), F.min("start_secs").alias("_start"),
     )
 
 
+def bills_of_channels(grain: DataFrame) -> DataFrame:
+    """Customer x bill, from customer x bill x channel."""
+    channel = F.when(F.col("_items") > 0, F.col("delivery_channel"))
+    least = [F.min(c).alias(c) for c in ("bill_date", "_d", "_s", "_day")]
+    most = [F.max(c).alias(c) for c in ("_desc", "_format")]
+    sums = [F.sum(c).alias(c) for c in ("_spend", "_discount", "_items")]
+    flags = [F.bool_or(c).alias(c) for c in ("has_return", "has_promo", "weekend_flag", "wednesday_flag")]
+    return grain.groupBy("mobile_number", "bill_id").agg(*least, *most, *sums, *flags, F.min(channel).alias("_lo"), F.max(channel).alias("_hi"), (F.max("_end") - F.min("_start")).alias("billing_time_secs"))
+
+
+def channel_summary_of_bills(grain: DataFrame) -> DataFrame:
+    """channel_summary from customer x bill x channel: bills are counted, not gathered."""
+    day_grain = grain.where("_items > 0").groupBy("mobile_number", "delivery_channel", "_d").agg(F.count("bill_id").alias("b"), F.sum("_spend").alias("s"))
+    g = day_grain.groupBy("mobile_number", "delivery_channel").agg(F.sum("b").alias("bills"), F.count("_d").alias("visits"), F.sum("s").cast(MONEY).alias("spend"))
+    return g.withColumn("spend_per_bill", ratio(F.col("spend"), F.col("bills"))).withColumn("spend_per_visit", ratio(F.col("spend"), F.col("visits")))
+
+
+def bill_grain(lines: DataFrame) -> DataFrame:
+    """Customer x bill, returns included; _items, _spend and what begins with _ counts lines that aren't returns."""
+    return bills_of_channels(bill_channel_grain(lines))
+
+
 def customer_grain(bills: DataFrame, as_of: str) -> DataFrame:
     """What customer_base (but for articles), bill_flags, favourite_day and channel_presence say, in one aggregation of the
     bill grain. Customers with returns only are left out."""
@@ -215,13 +237,18 @@ def l2_segment(visits: tuple[int, int] = (4, 5), months: int = 3, days: tuple[in
     )
 
 
-def transaction_summary(lines: DataFrame, as_of: str, l1: Mapping[str, tuple[float, int]] = L1_DEFAULT, distributed: bool = False) -> DataFrame:
+def transaction_summary(lines: DataFrame, as_of: str, l1: Mapping[str, tuple[float, int]] = L1_DEFAULT, deciles: bool = True) -> DataFrame:
     """The customer transaction summary, from two grains: bills and customer x article. All parts share the key
-    mobile_number, so the joins keep its partitioning. The deciles are one task's sort of the customer grain; with more
-    customers than that task can sort, distributed=True ranks them by ranges, for one more write of the grain."""
-    bills = bill_grain(lines)
-    out = customer_grain(bills, as_of).join(favourite_store_of_bills(bills), "mobile_number", "left").join(favourite_articles(lines, count=True), "mobile_number", "left")
-    out = ntiles(out, "mobile_number", {"spend_decile": (10, F.asc("total_spend")), "nob_decile": (10, F.asc("total_bills"))}, distributed)
+    mobile_number, so the joins keep its partitioning. The bounds of the deciles are counted at once, over the ranked columns
+    alone; deciles=False leaves these columns out."""
+    return transactions_of_grains(bill_grain(lines), favourite_articles(lines, count=True), as_of, l1, deciles)
+
+
+def transactions_of_grains(bills: DataFrame, articles: DataFrame, as_of: str, l1: Mapping[str, tuple[float, int]] = L1_DEFAULT, deciles: bool = True) -> DataFrame:
+    """transaction_summary from its grains: bills, and the favourite articles of each customer."""
+    out = customer_grain(bills, as_of).join(favourite_store_of_bills(bills), "mobile_number", "left").join(articles, "mobile_number", "left")
+    if deciles:
+        out = ntiles(out, "mobile_number", {"spend_decile": (10, F.col("total_spend"), False), "nob_decile": (10, F.col("total_bills"), False)})
     return out.withColumn("l1_segment", l1_segment(l1)).withColumn("l2_segment", l2_segment())
 
 
@@ -232,13 +259,15 @@ def lifecycle(recency: Column) -> Column:
     return out.otherwise("Churned")
 
 
-def behavioral(profiles: DataFrame, transactions: DataFrame, channels: DataFrame, distributed: bool = False) -> DataFrame:
-    """One wide row for each profile: its own columns, transactions, channels, lifecycle and RFM scores."""
+def behavioral(profiles: DataFrame, transactions: DataFrame, channels: DataFrame, scores: bool = True) -> DataFrame:
+    """One wide row for each profile: its own columns, transactions, channels, lifecycle and RFM scores (left out by scores=False)."""
     p = profiles.select(F.col("unified_id").alias("customer_id"), F.col("canonical_mobile").alias("mobile"), *[c for c in profiles.columns if c not in ("unified_id", "canonical_mobile", "mobile", "customer_id")])
     out = p.join(transactions.withColumnRenamed("mobile_number", "mobile"), "mobile", "left").join(channel_pivot(channels).withColumnRenamed("mobile_number", "mobile"), "mobile", "left")
     out = out.withColumn("lifecycle_stage", lifecycle(F.col("recency_days")))
-    scores = {"rfm_recency_score": F.desc(F.coalesce("recency_days", F.lit(9999))), "rfm_frequency_score": F.asc(F.coalesce("total_bills", F.lit(0))), "rfm_monetary_score": F.asc(F.coalesce("total_spend", F.lit(0)))}
-    return ntiles(out, "customer_id", {name: (5, order) for name, order in scores.items()}, distributed)
+    if not scores:
+        return out
+    asked = {"rfm_recency_score": (F.coalesce("recency_days", F.lit(9999)), True), "rfm_frequency_score": (F.coalesce("total_bills", F.lit(0)), False), "rfm_monetary_score": (F.coalesce("total_spend", F.lit(0).cast(MONEY)), False)}
+    return ntiles(out, "customer_id", {name: (5, value, down) for name, (value, down) in asked.items()})
 
 
 def intended_nob(lines: DataFrame, level: str) -> DataFrame:

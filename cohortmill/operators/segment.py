@@ -11,12 +11,14 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
+from inspect import signature
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortmill.functions.cleaning import day, select_or_null
-from cohortmill.functions.windows import first_rows, global_rank, tile
+from cohortmill.functions.storage import written
+from cohortmill.functions.windows import exact_bounds, first_rows, global_rank, ordered_hex, upto
 from cohortmill.operators import domain
 from cohortmill.operators.predicates import predicate
 from cohortmill.plans import rules
@@ -37,18 +39,21 @@ _COUNTS = {
 
 @dataclass
 class Brand:
-    """A tenant's tables: profiles, behaviour, locations, graph, lines, events (a frame or a function that builds it)."""
+    """A tenant's tables: profiles, behaviour, locations, graph, lines, events. Each is a frame or a function that builds it; a
+    function with a parameter gets the columns that are asked for (None: all)."""
 
     name: str
-    tables: Mapping[str, DataFrame | Callable[[], DataFrame]]
+    tables: Mapping[str, DataFrame | Callable[..., DataFrame]]
     segments: dict[str, DataFrame] = field(default_factory=dict)
     others: dict[str, Brand] = field(default_factory=dict)
 
-    def table(self, name: str) -> DataFrame:
+    def table(self, name: str, columns: set[str] | None = None) -> DataFrame:
         t = self.tables.get(name)
         if t is None:
             raise ValueError(f"brand {self.name!r} has no table {name!r}")
-        return t() if callable(t) else t
+        if not callable(t):
+            return t
+        return t(columns) if signature(t).parameters else t()
 
     def other(self, name: str) -> Brand:
         if name not in self.others:
@@ -61,6 +66,7 @@ class _Needs:
     """What a tree reads beside the profiles."""
 
     aliases: set[str] = field(default_factory=set)
+    columns: set[str] = field(default_factory=set)
     lines: dict[str, Column] = field(default_factory=dict)
     events: dict[str, dict[str, Column]] = field(default_factory=dict)
     here: list[Column] = field(default_factory=list)
@@ -89,6 +95,7 @@ class Engine:
             needs.lines[name] = test(a.expr())
             return F.coalesce(F.col(name), F.lit(False))
         needs.aliases.add(a.alias)
+        needs.columns.add(a.column)
         return test(a.expr())
 
     def _purchase(self, e: rules.Event, needs: _Needs) -> Column:
@@ -198,7 +205,7 @@ class Engine:
             have.update(c.lower() for c in fresh)
 
         if "ba" in needs.aliases:
-            join(self.brand.table("behavior"), "customer_id")
+            join(self.brand.table("behavior", needs.columns), "customer_id")
         if "gs" in needs.aliases:
             join(self.brand.table("graph").withColumnRenamed("unified_id", "customer_id"), "customer_id")
         if "loc" in needs.aliases:
@@ -233,6 +240,7 @@ class Engine:
         condition = self._group(root, needs)
         carried = [attribute(k) for k in carry]
         needs.aliases |= {a.alias for a in carried}
+        needs.columns |= {a.column for a in carried}
         base = self._base(needs).where(condition)
         return base.select("*", *(a.expr().alias(f"_{a.key}") for a in carried))
 
@@ -299,14 +307,19 @@ class Engine:
         shares = [100 // len(parts) if p is None else p for p in parts]
         if sum(shares) > 100 or min(shares) < 0:
             raise ValueError("shares add up to more than 100")
-        rows = global_rank(self.segment(d).select("customer_id"), [F.asc("customer_id")], "_r", "_n")
-        buckets = F.when(F.col("_n") >= 100, tile(F.col("_r"), F.col("_n"), 100)).otherwise(F.ceil(F.col("_r") * 100 / F.col("_n")).cast("int"))
-        bounds, split = 0, None
-        for i, s in enumerate(shares):
-            here = (buckets > bounds) & (buckets <= bounds + s)
-            split = F.when(here, i) if split is None else split.when(here, i)
-            bounds += s
-        return rows.select("customer_id", split.cast("int").alias("split")).where("split IS NOT NULL")
+        ids = self.segment(d).select("customer_id")
+        hexed = ordered_hex(F.col("customer_id"), ids.schema["customer_id"].dataType)
+        ids = written(ids.select("customer_id", hexed.alias("h")))
+        n, ends, seen = ids.count(), [], 0
+        for s in shares:
+            seen += s
+            ends.append(seen * (n // 100) + min(seen, n % 100) if n >= 100 else seen * n // 100)
+        bounds = exact_bounds(ids.select("h", F.lit(0).cast("long").alias("v0")), [lambda _: [e for e in ends if 0 < e < n]])[0]
+        split = F.lit(None)
+        for i, e in reversed(list(enumerate(ends))):
+            if e:
+                split = F.when(F.lit(True) if e >= n else upto(F.lit(0), F.col("h"), bounds[e]), i).otherwise(split)
+        return ids.select("customer_id", split.cast("int").alias("split")).where("split IS NOT NULL")
 
     def split_attribute(self, d, key: str, values: Sequence) -> DataFrame:
         """customer_id and split: the value it has, or Remainder (other values and nulls)."""

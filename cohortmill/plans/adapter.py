@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortmill.functions.cleaning import calendar_flags
+from cohortmill.functions.storage import scratch
 
 #: After the last order of the driver's tables.
 AS_OF = "2001-08-02"
@@ -18,16 +16,6 @@ HIGH_SPEND = 1500000
 FORMATS = ["Hyper", "Large", "Super", "Daily"]
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors see: under spark.checkpoint.dir, or a temporary one in local mode."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="cohortmill-")
-    return f"{named.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def checkpoints(spark: SparkSession) -> None:
     """Let checkpoint() write under the folder that the session names."""
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():

@@ -35,47 +35,126 @@ class AttributeDef:
         return _DERIVED[self.key]() if self.key in _DERIVED else F.trim(self.column) if self.alias == "loc" else F.col(self.column)
 
 
-def _defs(prefix: str, alias: str, kind: str, names: str) -> list[AttributeDef]:
-    """names: `key` or `key=column`, blank-separated."""
-    out = []
-    for x in names.split():
-        key, _, column = x.partition("=")
-        out.append(AttributeDef(f"{prefix}.{key}", kind, alias, column or key))
-    return out
-
-
 #: Keys, types and columns that rule trees of the reference use. Fixed values.
 _ALL = [
-    *_defs("identity", "p", "string", "customer_id=unified_id email phone=canonical_mobile mobile=canonical_mobile surrogate_id primary_source"),
-    *_defs("identity", "p", "boolean", "has_transactions"),
-    *_defs("demographic", "p", "string", "full_name=display_name first_name last_name name=display_name dob"),
-    *_defs("demographic", "ba", "integer", "age"),
-    *_defs("demographic", "ba", "string", "customer_group occupation whatsapp"),
-    *_defs("geo", "p", "string", "pincode city street region home_store_id=registered_store"),
-    *_defs("geo", "loc", "string", "state=store_state zone=store_zone store_format"),
-    *_defs("txn", "ba", "integer", "total_bills total_visits distinct_months distinct_store_count distinct_article_count return_bill_count promo_bill_count weekend_bill_count wednesday_bill_count"),
-    *_defs("txn", "ba", "float", "total_spend spend_per_bill spend_per_visit avg_items_per_bill total_discount avg_billing_time_secs"),
-    *_defs("temporal", "ba", "date", "first_bill_date last_bill_date"),
-    *_defs("temporal", "ba", "integer", "recency_days tenure_days dgbt_fs"),
-    *_defs("lifecycle", "ba", "string", "l1_segment l2_segment lifecycle_stage"),
-    *_defs("lifecycle", "ba", "integer", "rfm_recency_score rfm_frequency_score rfm_monetary_score"),
-    *_defs("lifecycle", "ba", "boolean", "is_first_time_buyer is_repeat_buyer is_active is_churned"),
-    *_defs("decile", "ba", "integer", "spend_decile nob_decile"),
-    *_defs("store", "ba", "string", "fav_store_code fav_store_name fav_store_type fav_day"),
-    *_defs("product", "ba", "string", "fav_article_by_spend fav_article_by_spend_desc fav_article_by_nob fav_article_by_nob_desc second_fav_article_by_spend second_fav_article_by_nob"),
-    *_defs("channel", "ba", "string", "channel_presence"),
-    *_defs("channel", "ba", "float", "store_spend online_spend"),
-    *_defs("channel", "ba", "integer", "store_bills online_bills"),
-    *_defs("consent", "p", "string", "dnd accepts_email_marketing accepts_sms_marketing gw_customer_flag"),
-    *_defs("identity_graph", "gs", "integer", "total_edge_count distinct_id_types source_system_count mobile_count email_count store_count"),
-    *_defs("identity_graph", "gs", "string", "source_systems"),
-    *_defs("identity_graph", "gs", "float", "avg_confidence completeness_score"),
-    *_defs("bt", "bt", "date", "bill_date"),
-    *_defs("bt", "bt", "string", "brand_name segment_desc family_desc class_desc brick_desc article_desc article manufacturer_name store_code store_desc store_format city_desc region_desc delivery_channel promo_indicator day_of_week"),
-    *_defs("bt", "bt", "float", "gross_sale_value total_discount total_mrp_value billed_qty"),
-    *_defs("bt", "bt", "boolean", "sales_return weekend_flag wednesday_flag"),
+    AttributeDef("identity.customer_id", "string", "p", "unified_id"),
+    AttributeDef("identity.email", "string", "p", "email"),
+    AttributeDef("identity.phone", "string", "p", "canonical_mobile"),
+    AttributeDef("identity.mobile", "string", "p", "canonical_mobile"),
+    AttributeDef("identity.surrogate_id", "string", "p", "surrogate_id"),
+    AttributeDef("identity.primary_source", "string", "p", "primary_source"),
+    AttributeDef("identity.has_transactions", "boolean", "p", "has_transactions"),
+    AttributeDef("demographic.full_name", "string", "p", "display_name"),
+    AttributeDef("demographic.first_name", "string", "p", "first_name"),
+    AttributeDef("demographic.last_name", "string", "p", "last_name"),
+    AttributeDef("demographic.name", "string", "p", "display_name"),
+    AttributeDef("demographic.dob", "string", "p", "dob"),
+    AttributeDef("demographic.age", "integer", "ba", "age"),
+    AttributeDef("demographic.customer_group", "string", "ba", "customer_group"),
+    AttributeDef("demographic.occupation", "string", "ba", "occupation"),
+    AttributeDef("demographic.whatsapp", "string", "ba", "whatsapp"),
+    AttributeDef("geo.pincode", "string", "p", "pincode"),
+    AttributeDef("geo.city", "string", "p", "city"),
+    AttributeDef("geo.street", "string", "p", "street"),
+    AttributeDef("geo.region", "string", "p", "region"),
+    AttributeDef("geo.home_store_id", "string", "p", "registered_store"),
+    AttributeDef("geo.state", "string", "loc", "store_state"),
+    AttributeDef("geo.zone", "string", "loc", "store_zone"),
+    AttributeDef("geo.store_format", "string", "loc", "store_format"),
+    AttributeDef("txn.total_bills", "integer", "ba", "total_bills"),
+    AttributeDef("txn.total_visits", "integer", "ba", "total_visits"),
+    AttributeDef("txn.distinct_months", "integer", "ba", "distinct_months"),
+    AttributeDef("txn.distinct_store_count", "integer", "ba", "distinct_store_count"),
+    AttributeDef("txn.distinct_article_count", "integer", "ba", "distinct_article_count"),
+    AttributeDef("txn.return_bill_count", "integer", "ba", "return_bill_count"),
+    AttributeDef("txn.promo_bill_count", "integer", "ba", "promo_bill_count"),
+    AttributeDef("txn.weekend_bill_count", "integer", "ba", "weekend_bill_count"),
+    AttributeDef("txn.wednesday_bill_count", "integer", "ba", "wednesday_bill_count"),
+    AttributeDef("txn.total_spend", "float", "ba", "total_spend"),
+    AttributeDef("txn.spend_per_bill", "float", "ba", "spend_per_bill"),
+    AttributeDef("txn.spend_per_visit", "float", "ba", "spend_per_visit"),
+    AttributeDef("txn.avg_items_per_bill", "float", "ba", "avg_items_per_bill"),
+    AttributeDef("txn.total_discount", "float", "ba", "total_discount"),
+    AttributeDef("txn.avg_billing_time_secs", "float", "ba", "avg_billing_time_secs"),
+    AttributeDef("temporal.first_bill_date", "date", "ba", "first_bill_date"),
+    AttributeDef("temporal.last_bill_date", "date", "ba", "last_bill_date"),
+    AttributeDef("temporal.recency_days", "integer", "ba", "recency_days"),
+    AttributeDef("temporal.tenure_days", "integer", "ba", "tenure_days"),
+    AttributeDef("temporal.dgbt_fs", "integer", "ba", "dgbt_fs"),
+    AttributeDef("lifecycle.l1_segment", "string", "ba", "l1_segment"),
+    AttributeDef("lifecycle.l2_segment", "string", "ba", "l2_segment"),
+    AttributeDef("lifecycle.lifecycle_stage", "string", "ba", "lifecycle_stage"),
+    AttributeDef("lifecycle.rfm_recency_score", "integer", "ba", "rfm_recency_score"),
+    AttributeDef("lifecycle.rfm_frequency_score", "integer", "ba", "rfm_frequency_score"),
+    AttributeDef("lifecycle.rfm_monetary_score", "integer", "ba", "rfm_monetary_score"),
+    AttributeDef("lifecycle.is_first_time_buyer", "boolean", "ba", "is_first_time_buyer"),
+    AttributeDef("lifecycle.is_repeat_buyer", "boolean", "ba", "is_repeat_buyer"),
+    AttributeDef("lifecycle.is_active", "boolean", "ba", "is_active"),
+    AttributeDef("lifecycle.is_churned", "boolean", "ba", "is_churned"),
+    AttributeDef("decile.spend_decile", "integer", "ba", "spend_decile"),
+    AttributeDef("decile.nob_decile", "integer", "ba", "nob_decile"),
+    AttributeDef("store.fav_store_code", "string", "ba", "fav_store_code"),
+    AttributeDef("store.fav_store_name", "string", "ba", "fav_store_name"),
+    AttributeDef("store.fav_store_type", "string", "ba", "fav_store_type"),
+    AttributeDef("store.fav_day", "string", "ba", "fav_day"),
+    AttributeDef("product.fav_article_by_spend", "string", "ba", "fav_article_by_spend"),
+    AttributeDef("product.fav_article_by_spend_desc", "string", "ba", "fav_article_by_spend_desc"),
+    AttributeDef("product.fav_article_by_nob", "string", "ba", "fav_article_by_nob"),
+    AttributeDef("product.fav_article_by_nob_desc", "string", "ba", "fav_article_by_nob_desc"),
+    AttributeDef("product.second_fav_article_by_spend", "string", "ba", "second_fav_article_by_spend"),
+    AttributeDef("product.second_fav_article_by_nob", "string", "ba", "second_fav_article_by_nob"),
+    AttributeDef("channel.channel_presence", "string", "ba", "channel_presence"),
+    AttributeDef("channel.store_spend", "float", "ba", "store_spend"),
+    AttributeDef("channel.online_spend", "float", "ba", "online_spend"),
+    AttributeDef("channel.store_bills", "integer", "ba", "store_bills"),
+    AttributeDef("channel.online_bills", "integer", "ba", "online_bills"),
+    AttributeDef("consent.dnd", "string", "p", "dnd"),
+    AttributeDef("consent.accepts_email_marketing", "string", "p", "accepts_email_marketing"),
+    AttributeDef("consent.accepts_sms_marketing", "string", "p", "accepts_sms_marketing"),
+    AttributeDef("consent.gw_customer_flag", "string", "p", "gw_customer_flag"),
+    AttributeDef("identity_graph.total_edge_count", "integer", "gs", "total_edge_count"),
+    AttributeDef("identity_graph.distinct_id_types", "integer", "gs", "distinct_id_types"),
+    AttributeDef("identity_graph.source_system_count", "integer", "gs", "source_system_count"),
+    AttributeDef("identity_graph.mobile_count", "integer", "gs", "mobile_count"),
+    AttributeDef("identity_graph.email_count", "integer", "gs", "email_count"),
+    AttributeDef("identity_graph.store_count", "integer", "gs", "store_count"),
+    AttributeDef("identity_graph.source_systems", "string", "gs", "source_systems"),
+    AttributeDef("identity_graph.avg_confidence", "float", "gs", "avg_confidence"),
+    AttributeDef("identity_graph.completeness_score", "float", "gs", "completeness_score"),
+    AttributeDef("bt.bill_date", "date", "bt", "bill_date"),
+    AttributeDef("bt.brand_name", "string", "bt", "brand_name"),
+    AttributeDef("bt.segment_desc", "string", "bt", "segment_desc"),
+    AttributeDef("bt.family_desc", "string", "bt", "family_desc"),
+    AttributeDef("bt.class_desc", "string", "bt", "class_desc"),
+    AttributeDef("bt.brick_desc", "string", "bt", "brick_desc"),
+    AttributeDef("bt.article_desc", "string", "bt", "article_desc"),
+    AttributeDef("bt.article", "string", "bt", "article"),
+    AttributeDef("bt.manufacturer_name", "string", "bt", "manufacturer_name"),
+    AttributeDef("bt.store_code", "string", "bt", "store_code"),
+    AttributeDef("bt.store_desc", "string", "bt", "store_desc"),
+    AttributeDef("bt.store_format", "string", "bt", "store_format"),
+    AttributeDef("bt.city_desc", "string", "bt", "city_desc"),
+    AttributeDef("bt.region_desc", "string", "bt", "region_desc"),
+    AttributeDef("bt.delivery_channel", "string", "bt", "delivery_channel"),
+    AttributeDef("bt.promo_indicator", "string", "bt", "promo_indicator"),
+    AttributeDef("bt.day_of_week", "string", "bt", "day_of_week"),
+    AttributeDef("bt.gross_sale_value", "float", "bt", "gross_sale_value"),
+    AttributeDef("bt.total_discount", "float", "bt", "total_discount"),
+    AttributeDef("bt.total_mrp_value", "float", "bt", "total_mrp_value"),
+    AttributeDef("bt.billed_qty", "float", "bt", "billed_qty"),
+    AttributeDef("bt.sales_return", "boolean", "bt", "sales_return"),
+    AttributeDef("bt.weekend_flag", "boolean", "bt", "weekend_flag"),
+    AttributeDef("bt.wednesday_flag", "boolean", "bt", "wednesday_flag"),
+]
+#: Keys beside the catalogue's that rules over bill lines use. Fixed values.
+_MAPPED = [
+    AttributeDef("bt.region", "string", "bt", "region"),
+    AttributeDef("bt.state", "string", "bt", "region_desc"),
+    AttributeDef("bt.business_region", "string", "bt", "store_business_region"),
+    AttributeDef("bt.city", "string", "bt", "city"),
+    AttributeDef("bt.mobile_number", "string", "bt", "mobile_number"),
+    AttributeDef("bt.billed_mrp", "float", "bt", "billed_mrp"),
 ]
-_MAPPED = [*_defs("bt", "bt", "string", "region state=region_desc business_region=store_business_region city mobile_number"), *_defs("bt", "bt", "float", "billed_mrp")]
 CATALOG = {a.key: a for a in _ALL}
 EXTRA = {a.key: a for a in _MAPPED}
 _DERIVED = {

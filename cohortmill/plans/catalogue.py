@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cohortmill.functions import cleaning, sqlutils, windows
 from cohortmill.operators import domain, dq, identity, marts, segment, staging
 from cohortmill.plans import adapter as A
+from cohortmill.plans import tenant
 from cohortmill.plans.catalog import TEMPLATES
 from cohortmill.sources import sinks
 
@@ -165,8 +166,8 @@ _CTS = f"""{_BASE}, {_FLAGS}, {_FAV_STORE}, {_FAV_DAY}, {_FAV_ART}, {_PRESENCE},
   FROM base LEFT JOIN bf USING (mobile_number) LEFT JOIN fs USING (mobile_number) LEFT JOIN fd USING (mobile_number) LEFT JOIN fa USING (mobile_number) LEFT JOIN cp USING (mobile_number))"""
 
 
-def _cts(s, d, distributed=False):
-    return marts.transaction_summary(_lines(s, d), AS_OF, A.L1, distributed)
+def _cts(s, d):
+    return marts.transaction_summary(_lines(s, d), AS_OF, A.L1)
 
 
 @query(A.head("bl") + f", {_CTS} SELECT * FROM cts")
@@ -176,8 +177,7 @@ def transaction_summary(s, d):
 
 @query(A.head("bl") + f", {_CTS} SELECT mobile_number, spend_decile, nob_decile FROM cts")
 def spend_deciles_distributed(s, d):
-    A.checkpoints(s)
-    return _cts(s, d, True).select("mobile_number", "spend_decile", "nob_decile")
+    return _cts(s, d).select("mobile_number", "spend_decile", "nob_decile")
 
 
 @query(A.head("bl") + f", {_CTS} SELECT l1_segment, l2_segment, count(*) AS customers FROM cts GROUP BY 1, 2")
@@ -195,9 +195,8 @@ def _profiles(s, d, strategy="cih_first"):
     return identity.resolve(A.cih_profiles(s, d), A.bill_identifiers(s, d), strategy)
 
 
-def _behavior(s, d):
-    lines = _lines(s, d)
-    return marts.behavioral(_profiles(s, d), marts.transaction_summary(lines, AS_OF, A.L1), marts.channel_summary(lines))
+def _behavior(s, d, columns=None):
+    return tenant.behavior(_lines(s, d), _profiles(s, d), columns)
 
 
 _CBA = f"""{_CTS}, {_CHANNEL}, cv AS (SELECT mobile_number, max(spend) FILTER (delivery_channel = 'Store') AS store_spend, max(spend) FILTER (delivery_channel = 'Online') AS online_spend, max(bills) FILTER (delivery_channel = 'Store') AS store_bills, max(bills) FILTER (delivery_channel = 'Online') AS online_bills FROM ch GROUP BY 1), {_UP},
@@ -329,7 +328,7 @@ def reverse_lookup(s, d):
 
 
 def _brand(s, d):
-    return segment.Brand("main", {"profiles": lambda: _profiles(s, d), "behavior": lambda: _behavior(s, d), "locations": lambda: A.locations(s, d), "graph": lambda: _graph(s, d), "lines": lambda: _lines(s, d), "events": lambda: A.events(s, d)})
+    return segment.Brand("main", {"profiles": lambda: _profiles(s, d), "behavior": lambda columns: _behavior(s, d, columns), "locations": lambda: A.locations(s, d), "graph": lambda: _graph(s, d), "lines": lambda: _lines(s, d), "events": lambda: A.events(s, d)})
 
 
 def engine(s, d, dialect="pg"):
@@ -470,8 +469,13 @@ _SETS = [TEMPLATES["omni-channel"], TEMPLATES["top-spend-decile"], TEMPLATES["ch
 _S = ["channel_presence = 'Omni'", "spend_decile >= 9", "lifecycle_stage = 'Churned'"]
 
 
+def shared_engine(s, d):
+    """For several audiences: they read one mart, which is built once."""
+    return segment.Engine(tenant.brand(tenant.models(s, d)), AS_OF)
+
+
 def _set(kind, s, d):
-    return engine(s, d).segment({"root": _SETS[0], "set_operation": kind, "set_members": _SETS[1:]})
+    return shared_engine(s, d).segment({"root": _SETS[0], "set_operation": kind, "set_members": _SETS[1:]})
 
 
 @query(_ALL + f" SELECT customer_id FROM cba WHERE {' OR '.join(_S)}")

@@ -14,8 +14,9 @@ from cohortmill.operators.predicates import predicate
 from cohortmill.plans import adapter as A
 from cohortmill.plans import catalog
 from cohortmill.plans import catalogue as C
+from cohortmill.plans import tenant
 from cohortmill.plans.catalogue import attr, engine, ev, query, tree
-from cohortmill.sources import readers, sinks
+from cohortmill.sources import publish, readers, sinks
 
 _ALL = C._ALL
 
@@ -381,10 +382,33 @@ def domain_digital_tree(s, d):
 
 @query(_ALL + " SELECT customer_id FROM cba WHERE channel_presence = 'Omni' AND NOT coalesce(spend_decile >= 9, false) AND NOT coalesce(lifecycle_stage = 'Churned', false)")
 def set_exclude_overlap(s, d):
-    e = engine(s, d)
+    e = C.shared_engine(s, d)
     return segment.set_operation("exclude_overlap", [e.segment(x) for x in C._SETS])
 
 
+@query(_ALL + " SELECT * FROM cba")
+def registry_mart(s, d):
+    """The mart as the registry builds it: from bills by channel, written once."""
+    return tenant.models(s, d).frame("behavior")
+
+
+@query(_ALL + ", x AS (SELECT 'behavior' AS name, count(*) AS n, sum(total_spend) AS spend FROM cba UNION ALL SELECT 'graph', count(*), NULL FROM up) SELECT name, n, CAST(spend AS DECIMAL(25,2)) AS spend FROM x")
+def published_marts(s, d):
+    """Rows of the marts that were published twice, as a reader finds them by name."""
+    at = A.scratch(s)
+    for _ in range(2):
+        tenant.models(s, d, at, publish=True).run("behavior", "graph")
+    tables = publish.Published(s, at)
+    rows = tables.read("behavior").agg(F.lit("behavior").alias("name"), F.count("*").alias("n"), F.sum("total_spend").cast("decimal(25,2)").alias("spend"))
+    return rows.unionByName(tables.read("graph").agg(F.lit("graph").alias("name"), F.count("*").alias("n"), F.lit(None).cast("decimal(25,2)").alias("spend")))
+
+
+@query(_ALL + f" SELECT 'audience' AS part, count(*) AS n FROM cba WHERE {' OR '.join(C._S)} UNION ALL SELECT 'member 1', count(*) FROM cba WHERE {C._S[1]} UNION ALL SELECT 'member 2', count(*) FROM cba WHERE {C._S[2]}")
+def estimate_with_members(s, d):
+    got = C.shared_engine(s, d).estimate({"root": C._SETS[0], "set_operation": "union", "set_members": C._SETS[1:]})
+    return s.createDataFrame([("audience", got["audience_count"]), *((f"member {i + 1}", n) for i, n in enumerate(got["members"]))], "part string, n long")
+
+
 @query("SELECT 'x' AS customer_id WHERE false")
 def set_of_none(s, d):
     return segment.set_operation("union", [])

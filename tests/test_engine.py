@@ -124,14 +124,6 @@ def test_percent_split_covers_without_overlap(brand, spark):
     assert abs(n[0] - 107) <= 20 and abs(n[2] - 268) <= 20
 
 
-@pytest.mark.parametrize("n,k", [(0, 5), (3, 5), (10, 10), (103, 7)])
-def test_distributed_tiles_equal_native(spark, n, k):
-    df = spark.range(n).select("id", (F.col("id") * 7919 % 13).alias("x"))
-    order = [F.asc("x"), F.asc("id")]
-    a = {r.id: r.t for r in windows.ntile(df, k, order, "t").collect()}
-    assert a == {r.id: r.t for r in windows.ntile(df, k, order, "t", True).collect()}
-
-
 def test_identity_strategies(spark):
     cih = spark.createDataFrame([("m1", "s2", "Ann", None), ("m1", "s1", "Ann B", None), ("m2", "s3", None, "9")], "mobile string, surrogate_id string, name string, registered_store string")
     for c in identity.PROFILE:
