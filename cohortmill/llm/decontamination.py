@@ -11,8 +11,8 @@ alignment score over the item's own is the passage's score, and those of least_s
 over four times the item's length is aligned in windows of that length which overlap by half: an alignment that reaches
 least_score (0.5 or more) spans less than twice the item, so some window holds it whole, and no array is wider than that.
 
-The benchmark is broadcast in parts of at most `part_bytes` of text each, so its size has no bound: more parts, more
-passes. Neither pass shuffles a text; the counts of a pass are as many as the grams of a part.
+The benchmark is broadcast in parts of at most `part_bytes` of text each (an item longer than that is in a part of its own
+or with few others), so its size has no bound: more parts, more passes. Neither pass shuffles a text; the counts of a pass are as many as the grams of a part.
 
 Defined results: null and empty texts and items match nothing. Rows of either table repeat as often as in the input: items
 that repeat an id, or have none, are items of their own. Ids may have any type. An empty benchmark or table gives an empty
@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from cohortmill.llm import store
 from cohortmill.llm.text import grams, slices, text_bytes, words
 
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -201,14 +202,30 @@ def _matches(part: Part, texts: pa.Array, least_score: float, cells: int = 1 <<
     return out
 
 
+#: Groups of items to a part; parts are filled with whole groups.
+GROUPS = 64
+
+
 def _parts(benchmark: DataFrame, n: int, part_bytes: int) -> Iterator[Part]:
-    items = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
+    """The items in parts of about part_bytes of text (one item may be longer), whatever their ids: items are dealt into small
+    groups by where they were read, and parts take groups until they are full."""
+    items = benchmark.select("item_id", "text", F.monotonically_increasing_id().alias("_read")).where(F.col("text").isNotNull())
+    items = store.materialize(items, "benchmark-items")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count = max(1, -(-size // part_bytes))
-    for k in range(count):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(count)) == k).orderBy("item_id").collect()
-        if rows:
-            yield Part.of([r.item_id for r in rows], [r.text for r in rows], n)
+    group = F.pmod(F.xxhash64("_read"), F.lit(GROUPS * max(1, -(-size // part_bytes))))
+    sizes = sorted((r.g, r.n) for r in items.groupBy(group.alias("g")).agg(F.sum(F.octet_length("text")).alias("n")).collect())
+    begin, held, bounds = 0, 0, []
+    for g, n_bytes in sizes:
+        if held and held + n_bytes > part_bytes:
+            bounds.append((begin, g))
+            begin, held = g, 0
+        held += n_bytes
+    if sizes:
+        bounds.append((begin, sizes[-1][0] + 1))
+    for low, high in bounds:
+        rows = items.where((group >= low) & (group < high)).orderBy("item_id", "_read").collect()
+        yield Part.of([r.item_id for r in rows], [r.text for r in rows], n)
+    store.drop(items)
 
 
 def _seeded(docs: DataFrame, benchmark: DataFrame, n: int, seed_share: float, part_bytes: int) -> Iterator[Part]:

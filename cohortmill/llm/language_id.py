@@ -2,7 +2,7 @@
 
 Characters are code points; A-Z is lower-cased and every run of other ASCII characters counts as one space, so that
 markup and digits carry no weight. Each text gives its 1-, 2- and 3-grams, hashed into `buckets` counts. Training is one
-distributed pass over all labelled rows; the matrix of log probabilities (languages x buckets) is broadcast, and each
+distributed pass over all labelled rows, whose counts Spark adds up by language and bucket; the matrix of log probabilities (languages x buckets) is broadcast, and each
 batch is scored by gathers and segment sums in numpy.
 
 Defined results: a null text, or one without any letter (Unicode category L), is `und` with score 0; without training rows every text is
@@ -37,12 +37,13 @@ class LanguageModel:
 
 
 def code_points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts' code points in a row, one space around each, and the bounds of the texts."""
-    joined = " " + " ".join(x or "" for x in texts) + " "
+    """All texts' code points in a row, and the bounds of the texts: each with a space before and two behind it, so that no
+    n-gram reaches into the next text."""
+    joined = " " + "   ".join(x or "" for x in texts) + "   "
     cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     cp = np.where((cp >= 65) & (cp <= 90), cp + 32, cp)
     cp = np.where((cp < 128) & _BLANK[np.minimum(cp, 127)], np.uint32(32), cp)
-    sizes = np.fromiter((len(x) if x else 0 for x in texts), np.int64, len(texts)) + 1
+    sizes = np.fromiter((len(x) if x else 0 for x in texts), np.int64, len(texts)) + 3
     return cp, np.concatenate([[0], np.cumsum(sizes)])
 
 
@@ -76,8 +77,8 @@ def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", buckets: int = 1 << 15, smoothing: float = 0.5, max_languages: int = 400) -> LanguageModel:
-    """Count the n-grams of all rows whose text and language aren't null. Each task adds up its rows; one row for each
-    task and language is shuffled. More than max_languages languages are an error, since the matrix is broadcast."""
+    """Count the n-grams of all rows whose text and language aren't null. Each task adds up its rows and
+    hands on the buckets that aren't empty. More than max_languages languages are an error, since the matrix is broadcast."""
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,23 +97,24 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", buckets:
                 for k, code in enumerate(codes):
                     sums[code] = sums.get(code, 0) + got[k]
                     seen[code] = seen.get(code, 0) + int((of == k).sum())
-        yield pa.RecordBatch.from_pydict({"lang": list(sums), "n": [seen[x] for x in sums], "counts": [x.tobytes() for x in sums.values()]}, schema=pa.schema([("lang", pa.string()), ("n", pa.int64()), ("counts", pa.binary())]))
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, n, code = np.zeros(buckets), 0, None
-        for batch in batches:
-            for code, k, c in zip(*(x.to_pylist() for x in batch.columns)):
-                sums, n = sums + np.frombuffer(c), n + k
-        yield pa.RecordBatch.from_pydict({"lang": [code], "n": [n], "counts": [sums.tobytes()]}, schema=batch.schema)
-
-    kind = "lang string, n long, counts binary"
-    got = rows.mapInArrow(count, kind).groupBy("lang").applyInArrow(lambda t: pa.Table.from_batches(add(iter(t.to_batches()))), kind)
-    got = sorted(got.limit(max_languages + 1).collect())
-    if len(got) > max_languages:
+        for code, total in sums.items():
+            at = np.flatnonzero(total)
+            # The number of rows stands in a bucket of its own, -1.
+            yield pa.RecordBatch.from_arrays([pa.array([code] * (len(at) + 1), pa.string()), pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(total[at], seen[code]).astype(np.int64))], ["lang", "bucket", "n"])
+
+    summed = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    # Bounded by max_languages times buckets.
+    got = summed.limit((max_languages + 1) * (buckets + 1)).toArrow()
+    names = sorted(set(got["lang"].to_pylist()))
+    if len(names) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
-    counts = np.array([np.frombuffer(r.counts) for r in got]).reshape(len(got), buckets)
-    share = np.array([r.n for r in got], float)
-    return LanguageModel([r.lang for r in got], np.log((counts + smoothing) / (counts.sum(1, keepdims=True) + smoothing * buckets)).astype(np.float32), np.log(share / max(share.sum(), 1)))
+    counts, seen_rows = np.zeros((len(names), buckets)), np.zeros(len(names))
+    of, bucket, n = np.searchsorted(np.array(names, object), np.array(got["lang"].to_pylist(), object)) if names else np.zeros(0, int), got["bucket"].to_numpy(), got["n"].to_numpy()
+    inside = bucket >= 0
+    counts[of[inside], bucket[inside]] = n[inside]
+    seen_rows[of[~inside]] = n[~inside]
+    share = seen_rows
+    return LanguageModel(names, np.log((counts + smoothing) / (counts.sum(1, keepdims=True) + smoothing * buckets)).astype(np.float32), np.log(share / max(share.sum(), 1)))
 
 
 def predict(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -13,7 +13,8 @@ it, the weights of the others in their old ratio; there are no more phases than
 Defined results: null sources are a source of their own, named ''. Rows of one source are taken in the order of a hash
 of the id, then the id; rows that repeat keep their own places. An empty input gives an empty output. Weights are for
 named sources; sources that aren't named get `default_weight`; a weight must be above 0. Extra columns are kept, even
-where their names clash with those that are made here (the made ones are in the struct `mix`).
+where their names clash with those that are made here: the made ones are in one struct, `mix`, or where docs has that
+name, `mix_`, `mix__` and so on (free_name). More than max_sources sources are an error, as the schedule is laid out by source.
 """
 
 from __future__ import annotations
@@ -112,8 +113,16 @@ def _exact(weight: float) -> Fraction:
     return Fraction(weight) if isinstance(weight, (int, Fraction, Decimal)) else Fraction(repr(float(weight)))
 
 
+def free_name(columns: list[str], name: str = "mix") -> str:
+    """The name, followed by as many underscores as set it apart from the columns' names (in either case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, source: str = "source", doc_id: str = "doc_id", block_rows: int = 4, resolution: int = 240, default_weight: float = 1.0, max_sources: int = 10_000) -> DataFrame:
-    """docs with a struct `mix`: phase, weight (the source's exact share in it), block (of the source, from 0), release, deadline and
+    """docs with a struct (`mix`, or the next free name, as the last column): phase, weight (the source's exact share in it), block (of the source, from 0), release, deadline and
     slot (within the phase), position (from 0, without gaps, over all rows). Order by mix.position to get the mixture.
     resolution: slots of the layout that one row of its table holds; it has no bearing on the result."""
     key = F.coalesce(F.col(source).cast("string"), F.lit(""))
@@ -161,9 +170,11 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, sou
         "phase", "weight", F.col("_block").alias("block"), F.expr("(_own * total) DIV part").alias("release"),
         F.expr("((_own + 1) * total + part - 1) DIV part").alias("deadline"), F.col("_at").alias("slot"), (F.col("_before") + F.col("_r") - 1).alias("position"),
     )
-    return placed.select("_row.*", made.alias("mix"))
+    return placed.select("_row.*", made.alias(free_name(docs.columns)))
 
 
 def in_mixed_order(mixed: DataFrame, columns: list[str | Column]) -> DataFrame:
-    """The columns, range-partitioned and sorted by position: files written from it hold the mixture in their order."""
-    return mixed.repartitionByRange(F.col("mix.position")).sortWithinPartitions("mix.position").select(columns)
+    """The columns, range-partitioned and sorted by position: files written from it hold the mixture in their order. mixed: as
+    mix_sources gives it, the struct last."""
+    position = F.col(f"`{mixed.columns[-1]}`.position")
+    return mixed.repartitionByRange(position).sortWithinPartitions(position).select(columns)

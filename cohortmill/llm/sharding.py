@@ -1,17 +1,24 @@
 """Sharding: balanced label propagation under capacity quotas, then gapless slots.
 
 Documents are linked through hubs: all members of a hub are neighbours of each other (equal texts share the hub of their
-text; an edge list makes a hub of each edge; shared_lines makes one of each line). A document's label is its shard. In each round every linked document counts
-its neighbours by shard, through the counts of its hubs, and asks for the shard that holds most of them among those with
-room; a hub that needs several shards fills its shards one after the other. Requests are granted hub by hub up to each
-shard's quota. Rounds end when no move is granted, or after `rounds`. Documents without links fill what is left, so that
-counts differ by one at most (law `rows`). Slots within a shard follow a hash of the row, or a given order.
+text; an edge list makes a hub of each edge; shared_lines makes one of each line). A document's label is its shard.
+
+The first labels fill the shards hub by hub: in a few rounds each linked document asks through its widest hub for the shard
+that holds most of it, and a hub that needs several shards fills one after the other. Then the labels propagate: in each
+round every linked document adds up its neighbours by shard over all its hubs (from the hubs' counts by shard, so a hub costs as many
+rows as it has members, not pairs) and asks for the shard with most of them, if that is more than where it is. Half the documents ask
+at a time, by a hash of row and round, so that two neighbours don't change places for ever. How many may move from shard
+to shard follows from the counts of requests and the room: moves into a full shard are granted as far as others leave it,
+the largest gains first. Rounds end when two in a row move nothing, or after `rounds`. Documents without links fill what
+is left, so that counts differ by one at most (law `rows`). Slots within a shard follow a hash of the row, or a given order.
 
 Ranks are exact and distributed: rows are numbered within (key, bucket), and the buckets' sizes are added up in front.
-Only tables of shards x BUCKETS rows are broadcast, and no group is gathered anywhere.
+Only tables of shards x shards x BUCKETS rows are broadcast, no group is gathered anywhere, and a wide hub meets its
+documents in as many pieces as its members need (PIECE).
 
 Defined results: a null text has size 8 and crc32 0 and is linked with nothing; rows that repeat count each, those with a null
-id among them (links by id don't reach these); empty tables give an empty result. Ties go to the lower shard. Extra columns are kept by shard_documents; clashing ones are replaced.
+id among them (links by id don't reach these); empty tables give an empty result. Ties go to the shard a row is in, then to the
+lower one. Extra columns are kept by shard_documents; clashing ones are replaced.
 """
 
 from __future__ import annotations
@@ -24,6 +31,8 @@ from cohortmill.llm import store
 BUCKETS = 64
 #: Rows of a bucket where all rows are numbered in one order.
 WIDE = 1 << 17
+#: Members of a hub that meet its counts in one task.
+PIECE = 1 << 12
 
 
 def ranked(df: DataFrame, key: str, bucket: Column, order: list[Column], name: str, few_keys: bool = True) -> DataFrame:
@@ -40,8 +49,67 @@ def spread(c: Column) -> Column:
     return F.pmod(F.xxhash64(c, F.lit(5)), F.lit(BUCKETS))
 
 
+def allowed(asked: dict[tuple[int, int], int], room: dict[int, int]) -> dict[tuple[int, int], int]:
+    """How many may move from shard to shard, of those that ask, so that no shard takes more than its room and what leaves it.
+    Requests for shards that would overflow are cut in proportion until all fit: cuts only grow, so this ends."""
+    moves = dict(asked)
+    while True:
+        over = {s: sum(n for (_, b), n in moves.items() if b == s) - sum(n for (a, _), n in moves.items() if a == s) - r for s, r in room.items()}
+        over = {s: x for s, x in over.items() if x > 0}
+        if not over:
+            return {k: n for k, n in moves.items() if n}
+        for s, x in over.items():
+            into = sorted((k for k in moves if k[1] == s and moves[k]), key=lambda k: (-moves[k], k))
+            total = sum(moves[k] for k in into)
+            for k in into:
+                cut = min(moves[k], -(-x * moves[k] // total), x)
+                cut = min(cut, over[s])
+                moves[k] -= cut
+                over[s] -= cut
+
+
+def propagate_labels(links: DataFrame, placed: DataFrame, n_shards: int, quota: int, rounds: int = 8) -> DataFrame:
+    """placed (row, shard) after label propagation over links (row, hub, members), no shard above its quota."""
+    spark = links.sparkSession
+    shards = range(n_shards)
+    state, still = placed, 0
+    for turn in range(rounds):
+        of = links.join(state, "row")
+        counts = of.groupBy("hub").agg(F.first("members").alias("members"), *(F.count(F.when(F.col("shard") == s, 1)).alias(f"n{s}") for s in shards))
+        # A wide hub's counts are copied for each piece of its members; equal hubs of narrow ones have one piece.
+        pieces = F.ceil(F.col("members") / PIECE).cast("int")
+        counts = counts.withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("members")
+        met = of.withColumn("piece", F.pmod(F.xxhash64("row", F.lit(3)), pieces).cast("int")).join(counts, ["hub", "piece"])
+        votes = met.groupBy("row").agg(F.first("shard").alias("shard"), F.count("*").alias("hubs"), *(F.sum(f"n{s}").alias(f"n{s}") for s in shards))
+        # A row is no neighbour of its own.
+        here = F.element_at(F.array(*(F.col(f"n{s}") for s in shards)), F.col("shard") + 1) - F.col("hubs")
+        best = F.array_max(F.array(*(F.struct(F.when(F.col("shard") == s, F.col(f"n{s}") - F.col("hubs")).otherwise(F.col(f"n{s}")).alias("n"), (F.col("shard") == s).alias("own"), F.lit(-s).alias("low")) for s in shards)))
+        asking = votes.select("row", "shard", best.alias("best"), here.alias("here")).where("best.n > here")
+        asking = asking.where(F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(2)) == 0)
+        asking = store.materialize(asking.select("row", F.col("shard").alias("from"), (-F.col("best.low")).alias("to"), (F.col("best.n") - F.col("here")).alias("gain")), "shard-asking")
+        asked = {(r["from"], r.to): r.n for r in asking.groupBy("from", "to").agg(F.count("*").alias("n")).collect()}
+        held = {r.shard: r.n for r in state.groupBy("shard").agg(F.count("*").alias("n")).collect()}
+        moves = allowed(asked, {s: quota - held.get(s, 0) for s in shards})
+        still = 0 if moves else still + 1
+        if moves:
+            granted = spark.createDataFrame([(a * n_shards + b, n) for (a, b), n in moves.items()], "way int, most long")
+            ways = asking.withColumn("way", (F.col("from") * n_shards + F.col("to")).cast("int")).join(F.broadcast(granted), "way")
+            # Largest gains first: buckets by the gain's size, then the gain itself.
+            level = F.greatest(F.lit(0), F.lit(BUCKETS - 1) - F.floor(4 * F.log2(F.col("gain").cast("double"))))
+            ways = ranked(ways, "way", level, [F.desc("gain"), F.xxhash64("row"), F.col("row")], "turn").where("turn < most")
+            after = state.join(ways.select("row", "to"), "row", "left").select("row", F.coalesce("to", "shard").cast("int").alias("shard"))
+            after = store.materialize(after, "shard-state")
+            store.drop(state)
+            state = after
+        store.drop(asking)
+        if still == 2:
+            break
+    return state
+
+
 def propagate(docs: DataFrame, links: DataFrame, n_shards: int, rounds: int = 4) -> DataFrame:
-    """row, shard: of the rows in docs (row: unique), linked by links (row, hub; several hubs per row are allowed)."""
+    """row, shard: of the rows in docs (row: unique), linked by links (row, hub; several hubs per row are allowed). rounds: of the
+    filling of hubs, and as many again, twice, of the propagation."""
     total = docs.count()
     quota = total // n_shards
     wide = links.groupBy("hub").agg(F.count("*").alias("members")).where("members > 1")
@@ -75,15 +143,18 @@ def propagate(docs: DataFrame, links: DataFrame, n_shards: int, rounds: int = 4)
         state = after
         if not moved:
             break
+    settled = store.materialize(state.where("stay").select("row", "shard"), "shard-state")
+    store.drop(state)
+    settled = propagate_labels(links, settled, n_shards, quota, 2 * rounds) if quota else settled
     # Quotas in full: what has no granted place fills the gaps, rows without links among it.
-    taken = {r.shard: r.n for r in state.where("stay").groupBy("shard").agg(F.count("*").alias("n")).collect()}
+    taken = {r.shard: r.n for r in settled.groupBy("shard").agg(F.count("*").alias("n")).collect()}
     gaps, at = [], 0
     for s in range(n_shards):
         n = quota + (s < total % n_shards) - taken.get(s, 0)
         gaps.append((s, at, at + n))
         at += n
     gap = docs.sparkSession.createDataFrame(gaps, "shard int, low long, high long")
-    rest = docs.select("row").join(state.where("stay").select("row"), "row", "left_anti")
+    rest = docs.select("row").join(settled.select("row"), "row", "left_anti")
     # One key, so more buckets: about WIDE rows each, whatever their number.
     buckets = max(BUCKETS, -(-total // WIDE))
     rest = rest.withColumn("_bucket", F.pmod(F.xxhash64("row", F.lit(5)), F.lit(buckets)))
@@ -93,7 +164,7 @@ def propagate(docs: DataFrame, links: DataFrame, n_shards: int, rounds: int = 4)
     rest = rest.join(sizes, "_bucket").select("row", (F.col("turn") + F.col("_before")).alias("turn"))
     # Each turn falls into one of n_shards ranges: a lookup in a table of n_shards rows.
     rest = rest.join(F.broadcast(gap), (F.col("turn") >= F.col("low")) & (F.col("turn") < F.col("high"))).select("row", "shard")
-    return state.where("stay").select("row", "shard").unionByName(rest)
+    return settled.unionByName(rest)
 
 
 def _text_hub() -> Column:

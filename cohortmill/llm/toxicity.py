@@ -422,8 +422,11 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
 
 @dataclass
 class ToxicityModel:
+    """both: labels of both classes were there to learn from; without them a score says nothing about a text."""
+
     lexicon: Lexicon
     weights: np.ndarray
+    both: bool = True
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
@@ -459,7 +462,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_per_clas
     if not (n[0, 1] + n[1, 1]) or not (n[0, 0] + n[1, 0]):
         total = sum(n.values())
         share = (n[0, 1] + n[1, 1]) / total if total else 0.5
-        return ToxicityModel(whole, np.append(np.zeros(N_FEATURES), np.log(np.clip(share, 1e-6, 1 - 1e-6) / np.clip(1 - share, 1e-6, 1))))
+        return ToxicityModel(whole, np.append(np.zeros(N_FEATURES), np.log(np.clip(share, 1e-6, 1 - 1e-6) / np.clip(1 - share, 1e-6, 1))), both=False)
     held = docs.sparkSession.sparkContext.broadcast(other)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -495,7 +498,9 @@ def score(docs: DataFrame, model: ToxicityModel, spans: bool = False) -> DataFra
 
 
 def without_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs, all columns, whose score is below the threshold."""
+    """The rows of docs, all columns, whose score is below the threshold; all of them where the model had no labels of both classes."""
+    if not model.both:
+        return docs
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

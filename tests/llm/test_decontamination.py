@@ -124,3 +124,15 @@ def test_ids_of_any_kind_and_a_long_repeated_text(spark):
     got = [(r.doc_id, r.item_id, r.score, r.begin) for r in decontamination.contamination(docs, benchmark).collect()]
     assert sorted(got, key=str) == sorted([("d1", "x", 1.0, 0)] * 2 + [("d1", None, 1.0, 0)] + [(None, "x", 1.0, 5)] * 2 + [(None, None, 1.0, 5)], key=str)
     assert [r.doc_id for r in decontamination.decontaminate(docs, benchmark).collect()] == ["d3"]
+
+
+def test_parts_follow_sizes_whatever_the_ids(spark):
+    texts = [f"item {i} " + " ".join(f"w{i}x{j}" for j in range(60)) for i in range(50)]
+    items = spark.createDataFrame([(None if i % 2 else "same", t) for i, t in enumerate(texts)] + [("none", None), ("long", "long " * 3000)], "item_id string, text string")
+    parts = list(decontamination._parts(items, 3, 4000))
+    assert sum(len(p.ids) for p in parts) == 51 and len(parts) >= 6
+    assert sum(len(p.ids) > 12 for p in parts) == 0
+    docs = spark.createDataFrame([(i, "before " + t + " after") for i, t in enumerate(texts)], "doc_id long, text string")
+    got = decontamination.contamination(docs, items, part_bytes=4000).collect()
+    assert sorted(r.doc_id for r in got if r.score == 1.0) == list(range(50))
+    assert list(decontamination._parts(items.where("false"), 3, 4000)) == []

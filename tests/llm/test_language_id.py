@@ -65,3 +65,13 @@ def test_letters_and_ties(spark):
     same = spark.createDataFrame([("shared words", "fr"), ("shared words", "es")], "text string, lang string")
     got = {r.doc_id: r.lang_pred for r in language_id.predict(df, language_id.train(same)).collect()}
     assert got == {1: "und", 2: "es", 3: "es"}
+
+
+def test_very_long_text_null_id_and_split_input(spark):
+    rows = [(None, "the cat and the dog " * 20_000, "en"), (1, "der hund und die katze", "de"), (2, "the dog", "en"), (3, "die katze", "de"), (4, None, "fr"), (5, "chat", None)]
+    one = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = [language_id.train(one.repartition(k)) for k in (1, 5)]
+    assert models[0].languages == models[1].languages == ["de", "en"]
+    assert (models[0].log_prob == models[1].log_prob).all() and (models[0].prior == models[1].prior).all()
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(one, models[0]).collect()}
+    assert got[None] == "en" and got[1] == "de" and got[4] == "und"

@@ -109,3 +109,11 @@ def test_layout_equals_the_cycle_as_a_column(spark):
     parts = [7, 3, 1, 13]
     got = spark.range(1).select(mixing.cycle_slots(F.array(*map(F.lit, parts)), F.lit(sum(parts))).alias("c")).first().c
     assert mixing.earliest_deadlines(parts, [100] * 4) == [x.who for x in got]
+
+
+def test_clashing_names_are_kept(spark):
+    df = frame(spark, {"a": 3, "b": 2}).withColumn("Mix", F.lit("own")).withColumn("mix_", F.lit(7)).withColumn("_source", F.lit("x"))
+    got = mixing.mix_sources(df, WEIGHTS)
+    assert got.columns == [*df.columns, "mix__"]
+    rows = mixing.in_mixed_order(got, ["Mix", "mix_", "_source", "mix__.position"]).collect()
+    assert [r.position for r in rows] == [0, 1, 2, 3, 4] and {(r[0], r[1], r[2]) for r in rows} == {("own", 7, "x")}

@@ -1,5 +1,7 @@
 import collections
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from cohortmill.llm import decontamination, parity_join
 
@@ -36,3 +38,37 @@ def test_mixture_and_links_reach_the_shards(spark):
         if r.doc_id < 300:
             where[r.doc_id // 5].add(r.shard)
     assert sum(len(s) > 1 for s in where.values()) <= 6
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def tables(spark, at, docs, labels=(), items=()):
+    """A folder with the three tables that the pipeline reads."""
+    docs.write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame(list(items), "item_id string, text string").write.parquet(f"{at}/benchmark.parquet")
+    return str(at)
+
+
+def test_rows_without_labels_and_benchmark(spark, tmp_path):
+    own = [f"document {i} speaks of " + " ".join(f"w{i}x{j}" for j in range(30)) for i in range(6)]
+    rows = [(i, t, "en", f"src{i % 3}", len(t)) for i, t in enumerate(own)]
+    rows += [(None, "no id " + own[0][::-1], "en", None, 3), (7, None, None, None, None), (7, None, "de", "src1", 0), (8, "", "en", "src0", 0), (9, " \n\t", "en", "src0", 3), (10, "long " + " ".join(f"q{j}" for j in range(20_000)), "en", "src9", 1)]
+    rows += [(0, own[0], "en", "src0", len(own[0])), (11, own[1], "fr", "src2", len(own[1]))]
+    docs = spark.createDataFrame(rows, DOCS)
+    for name in ("mix", "mix_position", "shard", "slot", "size", "y", "term", "score", "component_id", "row", "hub"):
+        docs = docs.withColumn(name, F.lit("own"))
+    got = corpus_pipeline.run(spark, tables(spark, tmp_path / "a", docs)).collect()
+    # Texts that repeat leave one row; everything else stays.
+    texts = sorted(str(r.text) for r in got if (r.text or "").strip())
+    assert texts == sorted(set(str(t) for _, t, *_ in rows if (t or "").strip()))
+    assert {r.mix for r in got} == {r.mix_position for r in got} == {r.term for r in got} == {"own"}
+    assert sum(r.text is None for r in got) == 2 and sum(r.text is not None and not r.text.strip() for r in got) == 2
+    assert len({(r.shard, r.slot) for r in got}) == len(got)
+
+
+def test_empty_documents(spark, tmp_path):
+    labels, items = [(1, 1, 1), (2, 1, 0)], [("i", "some words of an item that nobody has")]
+    docs = spark.createDataFrame([], DOCS)
+    assert corpus_pipeline.run(spark, tables(spark, tmp_path / "b", docs, labels, items)).count() == 0

@@ -100,16 +100,54 @@ def test_fewer_cut_edges_than_hashing_and_than_no_rounds(spark):
     sizes = collections.Counter(placed.values())
     assert max(sizes.values()) - min(sizes.values()) <= 1
     assert cut(placed) < 0.35 * cut(hashed)
-    # Plain propagation: each row takes its hubs' commonest shard, shards filled up to the quota.
-    plain, room = dict(hashed), {s: n // shards for s in range(shards)}
-    by_hub = collections.defaultdict(list)
+    # Plain propagation: row by row, each takes the commonest shard of its neighbours that has room, until nothing moves.
+    plain = {i: i % shards for i in range(n)}
+    by_hub, of = collections.defaultdict(set), collections.defaultdict(set)
     for i, h in links:
-        by_hub[h].append(i)
-    done = set()
-    for members in sorted(by_hub.values(), key=len, reverse=True):
-        best = max(room, key=lambda s: (room[s], -s))
-        for i in members:
-            if i not in done and room[best] > 0:
-                plain[i], room[best] = best, room[best] - 1
-                done.add(i)
-    assert cut(placed) < 1.5 * cut(plain)
+        by_hub[h].add(i)
+        of[i].add(h)
+    for _ in range(20):
+        moved = 0
+        for i in sorted(of):
+            votes = collections.Counter(plain[j] for h in of[i] for j in by_hub[h] if j != i)
+            sizes = collections.Counter(plain.values())
+            open_ = [s for s in range(shards) if s == plain[i] or sizes[s] < 1.1 * n / shards]
+            best = max(open_, key=lambda s: (votes[s], s == plain[i], -s))
+            moved += best != plain[i]
+            plain[i] = best
+        if not moved:
+            break
+    assert cut(placed) <= 1.1 * cut(plain)
+
+
+def test_votes_of_all_hubs_count(spark):
+    """24 neighbours through three narrow hubs outweigh 9 through the widest one."""
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(480)], "doc_id long, text string")
+    x, far, near = 0, list(range(1, 25)), list(range(25, 34))
+    links = [(d, "all") for d in far] + [(d, f"far{k}") for k in range(3) for d in [x, *far[8 * k : 8 * k + 8]]] + [(d, "near") for d in [x, *near]] + [(d, "near too") for d in near]
+    rows = {r.doc_id: r.shard for r in sharding.shard_documents(df, 12, spark.createDataFrame(links, "doc_id long, hub string")).collect()}
+    home = collections.Counter(rows[d] for d in far).most_common(1)[0]
+    assert home[1] == 24 and rows[x] == home[0] != rows[near[0]]
+    assert max(collections.Counter(rows.values()).values()) == 40
+
+
+def test_allowed_moves_fit_the_room():
+    rng = random.Random(1)
+    for _ in range(300):
+        n = rng.randrange(2, 6)
+        asked = {(a, b): rng.randrange(1, 50) for a in range(n) for b in range(n) if a != b and rng.random() < 0.7}
+        room = {s: rng.choice([0, 0, 3, 40]) for s in range(n)}
+        got = sharding.allowed(asked, room)
+        assert all(0 < k <= asked[w] for w, k in got.items())
+        for s in range(n):
+            assert sum(k for (_, b), k in got.items() if b == s) - sum(k for (a, _), k in got.items() if a == s) <= room[s]
+    assert sharding.allowed({(0, 1): 5, (1, 0): 3}, {0: 0, 1: 0}) == {(0, 1): 3, (1, 0): 3}
+    assert sharding.allowed({(0, 1): 5, (1, 2): 5, (2, 0): 5}, {0: 0, 1: 0, 2: 0}) == {(0, 1): 5, (1, 2): 5, (2, 0): 5}
+
+
+def test_a_wide_hub_meets_its_documents_in_pieces(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(120)], "doc_id long, text string")
+    links = spark.createDataFrame([(i, "one") for i in range(60)] + [(i, f"h{i // 6}") for i in range(60)], "doc_id long, hub string")
+    want = sorted(sharding.shard_documents(df, 4, links).select("doc_id", "shard").collect())
+    monkeypatch.setattr(sharding, "PIECE", 7)
+    assert sorted(sharding.shard_documents(df, 4, links).select("doc_id", "shard").collect()) == want

@@ -160,3 +160,13 @@ def test_score_of_a_small_text_by_hand():
     w = np.array([0.5, -1, 0.25, 2, 0.1, 1, -0.3, 0.7])
     model = toxicity.ToxicityModel(lexicon, w)
     assert math.isclose(model.score(x)[0], 1 / (1 + math.exp(-(sum(a * b for a, b in zip(expected, w)) + 0.7))))
+
+
+def test_without_labels_of_both_classes_nothing_is_dropped(spark):
+    docs = spark.createDataFrame([(i, f"text {i} idiot scum" if i % 2 else f"text {i}") for i in range(9)], "doc_id long, text string")
+    schema = "doc_id long, quality int, toxic int"
+    for rows in ([], [(0, 1, None)], [(1, 1, 1), (3, 1, 1)], [(0, 1, 0)]):
+        model = toxicity.train(docs, spark.createDataFrame(rows, schema))
+        assert not model.both and toxicity.without_toxic(docs, model).count() == 9
+    model = toxicity.train(docs, spark.createDataFrame([(i, 1, i % 2) for i in range(8)], schema))
+    assert model.both and toxicity.without_toxic(docs, model).count() < 9
