@@ -1,6 +1,7 @@
 """The corpus pipeline: documents without toxic, repeated and benchmark texts, mixed by source weights, in shards.
 
-Every stage takes what its predecessor kept, as rows of `documents`; the last one adds the shard. Stages call operators of
+Every stage takes what its predecessor kept, as rows of `documents`; the last one adds the shard. Without toxic labels of both
+classes the first stage keeps every document. Stages call operators of
 cohortmill.llm and nothing else. Mixing numbers the rows (mix_position), and the slots of each shard follow these numbers.
 Documents that share a line are linked, and links draw documents into one shard.
 """
@@ -37,13 +38,16 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order in which the sources' blocks run, with their number in it (mix_position)."""
-    return mixing.in_mixed_order(mixing.mix_sources(docs, SOURCE_WEIGHTS), [*docs.columns, F.col("mix.position").alias("mix_position")])
+    """All documents, in the order in which the sources' blocks run, with their number in it as the last column: mix_position, or
+    the next free name."""
+    mixed = mixing.mix_sources(docs, SOURCE_WEIGHTS)
+    position = F.col(f"`{mixed.columns[-1]}`.position").alias(mixing.free_name(docs.columns, "mix_position"))
+    return mixing.in_mixed_order(mixed, [*(f"`{c}`" for c in docs.columns), position])
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their shard, shared lines kept together, and their slot in it, in the order of the mixture."""
-    return sharding.shard_documents(docs, SHARDS, sharding.shared_lines(docs), order="mix_position")
+    return sharding.shard_documents(docs, SHARDS, sharding.shared_lines(docs), order=docs.columns[-1])
 
 
 STAGES = [
