@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortmill.functions.cleaning import email_hash, mobile_or_raw, phone
 from cohortmill.functions.windows import first_rows
+from cohortmill.operators import links as shared
 
 #: How sure each kind of identifier makes a link. Fixed values.
 CONFIDENCE = {"mobile": 1.0, "email": 0.9, "store_affinity": 0.8, "name": 0.7}
@@ -68,11 +69,15 @@ def edges(observed: DataFrame, profiles: DataFrame) -> DataFrame:
 
 
 def graph_summary(profiles: DataFrame, links: DataFrame) -> DataFrame:
-    kind = F.col("identifier_type")
-    distinct = lambda k: F.count_distinct(F.when(kind == k, F.col("identifier_value")))
-    stats = links.groupBy("unified_id").agg(
-        F.count("*").alias("total_edge_count"), F.count_distinct("identifier_type").alias("distinct_id_types"), F.count_distinct("source_system").alias("source_system_count"), F.array_join(F.array_sort(F.collect_set("source_system")), ", ").alias("source_systems"),
-        distinct("mobile").alias("mobile_count"), distinct("email").alias("email_count"), distinct("store_affinity").alias("store_count"), F.round(F.avg("confidence_score"), 4).alias("avg_confidence"),
+    """Counts come from the grain of (person, kind, value): no row is expanded for a distinct count. Sets are those of source
+    systems only."""
+    kinds = list(CONFIDENCE)
+    values = links.groupBy("unified_id", "identifier_type", "identifier_value").agg(F.count("*").alias("n"), F.sum("confidence_score").alias("c"), F.collect_set("source_system").alias("s"))
+    systems = F.array_sort(F.array_distinct(F.flatten(F.collect_set("s"))))
+    count = lambda k: F.count(F.when(F.col("identifier_type") == k, 1))
+    stats = values.groupBy("unified_id").agg(
+        F.sum("n").alias("total_edge_count"), sum((F.when(count(k) > 0, 1).otherwise(0) for k in kinds), F.lit(0)).cast("long").alias("distinct_id_types"), F.size(systems).cast("long").alias("source_system_count"), F.array_join(systems, ", ").alias("source_systems"),
+        count("mobile").alias("mobile_count"), count("email").alias("email_count"), count("store_affinity").alias("store_count"), F.round(F.sum("c") / F.sum("n"), 4).alias("avg_confidence"),
     )
     flags = ["canonical_mobile", "email", "display_name", "pincode", "city", "age", "registered_store"]
     complete = sum((F.when(F.col(c).isNotNull(), 1).otherwise(0) for c in flags[1:]), F.when(F.col(flags[0]).isNotNull(), 1).otherwise(0)) / 7.0
@@ -80,32 +85,77 @@ def graph_summary(profiles: DataFrame, links: DataFrame) -> DataFrame:
     return out.fillna(0, ["total_edge_count", "distinct_id_types", "source_system_count", "mobile_count", "email_count", "store_count"])
 
 
-def clusters(profiles: DataFrame, by: str) -> DataFrame:
-    """Profiles of one tenant that share an email or a phone: the value, how many, and their sorted ids."""
+def _valued(profiles: DataFrame, by: str) -> DataFrame:
     value = F.lower(F.trim("email")) if by == "email" else phone(F.col("canonical_mobile"))
-    rows = profiles.select(value.alias("value"), "unified_id").where("value IS NOT NULL AND value <> ''")
-    # Sizes first: lists are gathered only for values that several profiles share.
-    shared = rows.groupBy("value").agg(F.count_distinct("unified_id").alias("profiles")).where("profiles > 1")
-    return rows.join(shared, "value").groupBy("value", "profiles").agg(F.array_sort(F.collect_set("unified_id")).alias("unified_ids"))
+    return profiles.select(value.alias("value"), "unified_id").where("value <> ''")
+
+
+def cluster_classes(profiles: DataFrame, by: str) -> DataFrame:
+    """Emails or phones that several profiles of one tenant share: the value, how many share it, the smallest id."""
+    return shared.classes(_valued(profiles, by), ["value"], ["unified_id"]).select("value", F.col("members").alias("profiles"), "first.unified_id")
+
+
+def cluster_members(profiles: DataFrame, by: str) -> DataFrame:
+    """value, unified_id, profiles: one row for each profile that shares its email or phone."""
+    return shared.memberships(_valued(profiles, by), ["value"], ["unified_id"]).withColumnRenamed("members", "profiles")
+
+
+def clusters(profiles: DataFrame, by: str, most: int = 1000) -> DataFrame:
+    """The value, how many profiles share it, and their sorted ids, in lists of about `most` (block numbers them)."""
+    members = shared.memberships(_valued(profiles, by), ["value"], ["unified_id"])
+    return shared.listed(members, ["value"], "unified_id", most).select("value", F.col("members").alias("profiles"), "block", F.col("ids").alias("unified_ids"))
+
+
+def _linkable(customers: DataFrame) -> DataFrame:
+    """method, value, brand, customer_id of those who opted in: by email hash, and by phone of ten digits or more."""
+    email = F.when(F.trim("email") != "", email_hash(F.col("email")))
+    number = phone(F.col("phone"))
+    found = F.array(F.struct(F.lit("email_hash").alias("method"), email.alias("value")), F.struct(F.lit("phone").alias("method"), F.when(F.length(number) >= 10, number).alias("value")))
+    rows = customers.where("opt_in").select("brand", "customer_id", F.explode(found).alias("f"))
+    return rows.select("f.method", "f.value", "brand", "customer_id").where("value IS NOT NULL")
+
+
+def _confidence() -> Column:
+    return F.when(F.col("method") == "phone", 0.95).otherwise(1.0).alias("confidence")
+
+
+def cross_brand_classes(customers: DataFrame) -> DataFrame:
+    """Emails and phones that customers of several tenants share: method, value, how many customers and brands, confidence."""
+    g = _linkable(customers).distinct().groupBy("method", "value", "brand").agg(F.count("*").alias("n"))
+    g = g.groupBy("method", "value").agg(F.sum("n").alias("customers"), F.count("*").alias("brands")).where("brands > 1")
+    return g.select("method", "value", "customers", "brands", _confidence())
+
+
+def cross_brand_members(customers: DataFrame) -> DataFrame:
+    """method, value, brand, customer_id, members: one row for each customer of a value that several customers share."""
+    return shared.memberships(_linkable(customers), ["method", "value"], ["brand", "customer_id"])
 
 
 def cross_brand_links(customers: DataFrame) -> DataFrame:
-    """Links between tenants among those who opted in, by email hash (1.0) or by phone (0.95). customers: brand, customer_id,
+    """The pairs of cross_brand_members in different tenants, by email hash (1.0) or by phone (0.95). customers: brand, customer_id,
     email, phone, opt_in. The smaller brand comes first."""
-    ok = customers.where("opt_in").select("brand", "customer_id", F.when(F.trim("email") != "", email_hash(F.col("email"))).alias("email_hash"), phone(F.col("phone")).alias("phone"))
+    out = shared.pairs(cross_brand_members(customers), ["method", "value"], ["brand", "customer_id"], "brand")
+    return out.select(F.col("brand_1").alias("brand_a"), F.col("customer_id_1").alias("customer_a"), F.col("brand_2").alias("brand_b"), F.col("customer_id_2").alias("customer_b"), "method", _confidence())
+
+
+def _named(profiles: DataFrame) -> DataFrame:
+    return profiles.select(F.upper(F.trim("display_name")).alias("name"), "pincode", "unified_id")
+
+
+def merge_classes(profiles: DataFrame) -> DataFrame:
+    """Names and pincodes that several profiles share: how many, and the smallest id."""
+    return shared.classes(_named(profiles), ["name", "pincode"], ["unified_id"]).select("name", "pincode", F.col("members").alias("profiles"), "first.unified_id")
 
-    def links(key: str, method: str, confidence: float, rows: DataFrame) -> DataFrame:
-        a = rows.select(F.col(key).alias("k"), F.col("brand").alias("brand_a"), F.col("customer_id").alias("customer_a"))
-        b = rows.select(F.col(key).alias("k"), F.col("brand").alias("brand_b"), F.col("customer_id").alias("customer_b"))
-        return a.join(b, "k").where("brand_a < brand_b").select("brand_a", "customer_a", "brand_b", "customer_b", F.lit(method).alias("method"), F.lit(confidence).alias("confidence"))
 
-    return links("email_hash", "email_hash", 1.0, ok.where("email_hash IS NOT NULL")).unionByName(links("phone", "phone", 0.95, ok.where("length(phone) >= 10")))
+def merge_members(profiles: DataFrame) -> DataFrame:
+    """name, pincode, unified_id, profiles: one row for each profile of merge_classes."""
+    return shared.memberships(_named(profiles), ["name", "pincode"], ["unified_id"]).withColumnRenamed("members", "profiles")
 
 
 def merge_candidates(profiles: DataFrame) -> DataFrame:
-    """Pairs with equal names and pincodes, the smaller id first."""
-    a = profiles.where("display_name IS NOT NULL AND pincode IS NOT NULL").select(F.upper(F.trim("display_name")).alias("name"), "pincode", F.col("unified_id").alias("id_1"))
-    return a.join(a.withColumnRenamed("id_1", "id_2"), ["name", "pincode"]).where("id_1 < id_2")
+    """The pairs of merge_members, the smaller id first."""
+    members = shared.memberships(_named(profiles), ["name", "pincode"], ["unified_id"])
+    return shared.pairs(members, ["name", "pincode"], ["unified_id"], "unified_id").withColumnsRenamed({"unified_id_1": "id_1", "unified_id_2": "id_2"})
 
 
 def lookup(profiles: DataFrame, mobile: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Marts over bill lines: bill summary, channel, product and store rollups, customer transactions, behaviour.
 
 Lines have the columns of the staging layer. The as-of date is a parameter; ties end in a unique key, nulls are ordered
-explicitly. Distinct counts run over pre-aggregated grains: customer x article for articles, and bounded sets (dates,
-months, stores) per customer, so no row is expanded once per distinct count.
+explicitly. Distinct counts run over pre-aggregated grains (bills, days, customers, customer x article), and at the customer
+grain over sets that the calendar and the number of stores bound, so no row is expanded once per distinct count.
 """
 
 from __future__ import annotations
@@ -75,8 +75,7 @@ def total_sales(lines: DataFrame, keys: list[str], cost: str | None = None) -> D
 
 
 def channel_summary(lines: DataFrame) -> DataFrame:
-    g = kept(lines).groupBy("mobile_number", "delivery_channel").agg(F.count_distinct("bill_id").alias("bills"), F.size(F.collect_set("bill_date")).cast("long").alias("visits"), F.sum("gross_sale_value").cast(MONEY).alias("spend"))
-    return g.withColumn("spend_per_bill", ratio(F.col("spend"), F.col("bills"))).withColumn("spend_per_visit", ratio(F.col("spend"), F.col("visits")))
+    return channel_summary_of_bills(bill_channel_grain(lines))
 
 
 def channel_pivot(channels: DataFrame) -> DataFrame:
@@ -84,12 +83,26 @@ def channel_pivot(channels: DataFrame) -> DataFrame:
 
 
 def product_summary(lines: DataFrame) -> DataFrame:
-    return kept(lines).groupBy("mobile_number", "brick_desc", "segment_desc", "family_desc").agg(F.count_distinct("bill_id").alias("bills"), F.size(F.collect_set("bill_date")).cast("long").alias("visits"), F.sum("gross_sale_value").cast(MONEY).alias("spend"), F.sum("billed_qty").cast("decimal(18,3)").alias("quantity"))
+    """Bills and days are counted grain by grain (bill, then day, then product); a bill has one date."""
+    keys = ["mobile_number", "brick_desc", "segment_desc", "family_desc"]
+    bill = kept(lines).groupBy(*keys, "bill_id").agg(F.min("bill_date").alias("d"), F.sum("gross_sale_value").alias("s"), F.sum("billed_qty").alias("q"))
+    day_ = bill.groupBy(*keys, "d").agg(F.count("bill_id").alias("b"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+    return day_.groupBy(*keys).agg(F.sum("b").alias("bills"), F.count("d").alias("visits"), F.sum("s").cast(MONEY).alias("spend"), F.sum("q").cast("decimal(18,3)").alias("quantity"))
 
 
 def daily_store_sales(lines: DataFrame) -> DataFrame:
+    """Bills and customers are counted grain by grain (bill, then customer, then the keys), so no row is expanded for a distinct
+    count; a bill has one customer."""
     keys = ["bill_date", "store_code", "store_desc", "store_format", "region_desc", "article", "article_desc", "brand_name", "segment_desc", "family_desc", "delivery_channel"]
-    return kept(lines).groupBy(*keys).agg(F.sum("gross_sale_value").cast(MONEY).alias("gross_sales"), F.sum("total_discount").cast(MONEY).alias("discount"), F.sum(F.col("gross_sale_value") - F.col("total_discount")).cast(MONEY).alias("net_sales"), F.sum("billed_qty").cast("decimal(18,3)").alias("quantity"), F.count_distinct("bill_id").alias("bills"), F.count_distinct("mobile_number").alias("customers")).withColumn("channel", F.lit("OFFLINE"))
+    net = F.col("gross_sale_value") - F.col("total_discount")
+    bill = kept(lines).groupBy(*keys, "mobile_number", "bill_id").agg(F.sum("gross_sale_value").alias("g"), F.sum("total_discount").alias("d"), F.sum(net).alias("n"), F.sum("billed_qty").alias("q"))
+    sums = [F.sum(c).alias(c) for c in "gdnq"]
+    who = bill.groupBy(*keys, "mobile_number").agg(F.count("bill_id").alias("b"), *sums)
+    out = who.groupBy(*keys).agg(
+        F.sum("g").cast(MONEY).alias("gross_sales"), F.sum("d").cast(MONEY).alias("discount"), F.sum("n").cast(MONEY).alias("net_sales"), F.sum("q").cast("decimal(18,3)").alias("quantity"),
+        F.sum("b").alias("bills"), F.count("mobile_number").alias("customers"),
+    )
+    return out.withColumn("channel", F.lit("OFFLINE"))
 
 
 def article_grain(lines: DataFrame) -> DataFrame:

@@ -3,7 +3,8 @@
 A tree becomes a Column over the profiles and what they join with: behaviour (ba), graph summary (gs), locations (loc), and
 flags. Only sources that the tree names are joined, each once. Conditions over bill lines or events become flags: one
 groupBy over all conditions of a source, so a tree with ten line-item conditions reads the lines once. Flags, not inner
-joins, keep OR and negation right. Locations are deduplicated and joined left.
+joins, keep OR and negation right; where a whole tree is an AND, its conditions on lines, members and other brands are semi
+and anti joins instead. Locations are deduplicated and joined left.
 """
 
 from __future__ import annotations
@@ -72,6 +73,8 @@ class _Needs:
     here: list[Column] = field(default_factory=list)
     metrics: dict[str, dict[str, Column]] = field(default_factory=dict)
     members: dict[str, str] = field(default_factory=dict)
+    #: Joins that decide on rows by themselves: how (left_semi or left_anti), the key, and the rows to meet.
+    pushed: list[tuple[str, str, DataFrame]] = field(default_factory=list)
     brands: dict[str, rules.CrossBrand] = field(default_factory=dict)
 
 
@@ -192,10 +195,83 @@ class Engine:
             out = c if out is None else (out & c if how == "and" else out | c)
         return F.lit(True) if out is None else out
 
+    # -- planning: what is a semi or anti join -----------------------------------------------------------------------
+
+    def _and_parts(self, group: rules.Group) -> list | None:
+        """The conditions that must all hold, nested AND groups among them taken apart; None if the group isn't such a list."""
+        out: list = []
+        for i, node in enumerate(n for n in group.conditions if not (isinstance(n, rules.Group) and not n.conditions)):
+            if i and (node.logical_operator or group.operator).lower() != "and":
+                return None
+            inner = self._and_parts(node) if isinstance(node, rules.Group) and not node.negate else None
+            out += [node] if inner is None else inner
+        return out
+
+    def _lines_test(self, node) -> tuple[Column, bool] | None:
+        """The condition on a bill line that a node asks for, and whether it is negated; also of an OR over such conditions."""
+        if isinstance(node, rules.Attribute) and not domain.metric(node.key, self.as_of):
+            a = attribute(node.key)
+            if a.alias == "bt":
+                return predicate(a.expr(), a.kind, node.operator, node.value, node.second_value, as_of=day(self.as_of), dialect=self.dialect), node.negate
+        if isinstance(node, rules.Group) and len(node.conditions) > 1:
+            found = [self._lines_test(n) for n in node.conditions]
+            either = all((n.logical_operator or node.operator).lower() == "or" for n in node.conditions[1:])
+            # Some line that meets the one or the other: EXISTS goes over OR, not over AND.
+            if either and all(f and not f[1] for f in found):
+                return reduce(lambda a, b: a | b, (f[0] for f in found)), node.negate
+        return None
+
+    def _push_lines(self, test: Column, negated: bool, needs: _Needs) -> None:
+        lines = self._lines("store_business_region" in str(test)).where(test).select(F.right("mobile_number", F.lit(10)).alias("_mobile"))
+        needs.pushed.append(("left_anti" if negated else "left_semi", "_mobile", lines))
+
+    def _push(self, node, needs: _Needs) -> bool:
+        """Take the node as a semi or anti join, if it is one."""
+        if found := self._lines_test(node):
+            self._push_lines(*found, needs)
+            return True
+        if isinstance(node, rules.Membership) and node.operator in ("is_member", "is_not_member") and node.segment_id in self.brand.segments:
+            inside = (node.operator == "is_member") != node.negate
+            needs.pushed.append(("left_semi" if inside else "left_anti", "customer_id", self.brand.segments[node.segment_id].select("customer_id")))
+            return True
+        if isinstance(node, rules.CrossBrand):
+            needs.pushed.append(("left_anti" if node.negate else "left_semi", "corporate_id", self._corporate(node)))
+            return True
+        return False
+
+    def _lines(self, with_region: bool) -> DataFrame:
+        lines = self.brand.table("lines")
+        if with_region:
+            lines = lines.join(self.brand.table("locations").select("store_code", "store_business_region").dropDuplicates(["store_code"]), "store_code", "left")
+        return lines
+
+    def _corporate(self, node: rules.CrossBrand) -> DataFrame:
+        other = Engine(self.brand.other(node.brand), self.as_of, self.dialect)
+        return other.frame(rules.Group("and", (node.condition,))).select("corporate_id").where("corporate_id IS NOT NULL").distinct()
+
+    def _condition(self, root: rules.Group, needs: _Needs) -> Column:
+        """Conditions that hold or fail by the presence of other rows alone become joins where all of the tree must hold; under OR
+        and within negated groups they are flags."""
+        if found := self._lines_test(root):
+            self._push_lines(found[0], False, needs)  # a root isn't negated
+            return F.lit(True)
+        parts = self._and_parts(root)
+        if parts is None:
+            return self._group(root, needs)
+        out = F.lit(True)
+        for node in parts:
+            if not self._push(node, needs):
+                out = out & self._node(node, needs)
+        return out
+
     # -- joining -----------------------------------------------------------------------------------------------------
 
     def _base(self, needs: _Needs) -> DataFrame:
         p = self.brand.table("profiles").withColumnRenamed("unified_id", "customer_id").withColumn("unified_id", F.col("customer_id"))
+        if needs.lines or any(key == "_mobile" for _, key, _ in needs.pushed):
+            p = p.withColumn("_mobile", F.right("canonical_mobile", F.lit(10)))
+        for how, key, rows in needs.pushed:
+            p = p.join(rows, key, how)
         have = {c.lower() for c in p.columns}
 
         def join(other: DataFrame, key: str) -> None:
@@ -213,13 +289,11 @@ class Engine:
             loc = first_rows(loc.withColumn("_store", F.trim("store_code")), ["_store"], [F.asc("store_code")]).select("_store", *[c for c in loc.columns if c.startswith("store_") and c != "store_code"])
             p = p.withColumn("_store", F.trim("registered_store")).join(loc, "_store", "left")
         if needs.lines:
-            lines = self.brand.table("lines")
-            if any("store_business_region" in str(c) for c in needs.lines.values()):
-                lines = lines.join(self.brand.table("locations").select("store_code", "store_business_region").dropDuplicates(["store_code"]), "store_code", "left")
+            lines = self._lines(any("store_business_region" in str(c) for c in needs.lines.values()))
             # Lines for which no condition holds change no flag: they go before the shuffle.
             lines = lines.where(reduce(lambda a, b: a | b, needs.lines.values()))
             flags = lines.groupBy(F.right("mobile_number", F.lit(10)).alias("_mobile")).agg(*(F.bool_or(c).alias(n) for n, c in needs.lines.items()))
-            p = p.withColumn("_mobile", F.right("canonical_mobile", F.lit(10))).join(flags, "_mobile", "left")
+            p = p.join(flags, "_mobile", "left")
         if needs.events:
             counted = self.brand.table("events").where(reduce(lambda a, b: a | b, needs.here)).groupBy("customer_id").agg(*(c.alias(n) for e in needs.events.values() for n, c in e.items()))
             p = p.join(counted, "customer_id", "left")
@@ -229,15 +303,13 @@ class Engine:
         for segment, name in needs.members.items():
             p = p.join(self.brand.segments[segment].select("customer_id").distinct().withColumn(name, F.lit(True)), "customer_id", "left")
         for name, node in needs.brands.items():
-            other = Engine(self.brand.other(node.brand), self.as_of, self.dialect)
-            ids = other.frame(rules.Group("and", (node.condition,)), keep=["corporate_id"]).select("corporate_id").where("corporate_id IS NOT NULL").distinct()
-            p = p.join(ids.withColumn(name, F.lit(True)), "corporate_id", "left")
+            p = p.join(self._corporate(node).withColumn(name, F.lit(True)), "corporate_id", "left")
         return p
 
     def frame(self, root: rules.Group, carry: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
         """Profiles for which the tree holds, one row each: all profile columns, and the carried attributes as `_<key>`."""
         needs = _Needs()
-        condition = self._group(root, needs)
+        condition = self._condition(root, needs)
         carried = [attribute(k) for k in carry]
         needs.aliases |= {a.alias for a in carried}
         needs.columns |= {a.column for a in carried}

@@ -291,22 +291,66 @@ def quality_tiers(s, d):
 @query(f"""{_ID}, {_UP}, up2 AS (SELECT unified_id, pincode, upper('N' || substr(canonical_mobile, 9)) AS name FROM up WHERE pincode IS NOT NULL)
   SELECT a.name, a.pincode, a.unified_id AS id_1, b.unified_id AS id_2 FROM up2 a JOIN up2 b ON a.name = b.name AND a.pincode = b.pincode AND a.unified_id < b.unified_id""")
 def merge_candidates(s, d):
-    p = _profiles(s, d).where("pincode IS NOT NULL").withColumn("display_name", F.concat(F.lit("N"), F.substr("canonical_mobile", F.lit(9))))
-    return identity.merge_candidates(p)
+    return identity.merge_candidates(_named(s, d))
+
+
+def _named(s, d):
+    return _profiles(s, d).where("pincode IS NOT NULL").withColumn("display_name", F.concat(F.lit("N"), F.substr("canonical_mobile", F.lit(9))))
+
+
+_UP2 = "up2 AS (SELECT unified_id, pincode, upper('N' || substr(canonical_mobile, 9)) AS name, count(*) OVER (PARTITION BY pincode, substr(canonical_mobile, 9)) AS profiles FROM up WHERE pincode IS NOT NULL)"
+
+
+@query(f"{_ID}, {_UP}, {_UP2} SELECT name, pincode, profiles, min(unified_id) AS unified_id FROM up2 WHERE profiles > 1 GROUP BY 1, 2, 3")
+def merge_classes(s, d):
+    return identity.merge_classes(_named(s, d))
+
+
+@query(f"{_ID}, {_UP}, {_UP2} SELECT * FROM up2 WHERE profiles > 1")
+def merge_members(s, d):
+    return identity.merge_members(_named(s, d))
 
 
 @query(f"{_ID}, {_UP} SELECT lower(trim(email)) AS value, count(DISTINCT unified_id) AS profiles, array_to_string(list_sort(list(DISTINCT unified_id)), ',') AS unified_ids FROM up WHERE trim(email) <> '' GROUP BY 1 HAVING count(DISTINCT unified_id) > 1")
 def email_clusters(s, d):
-    return identity.clusters(_profiles(s, d), "email").withColumn("unified_ids", F.array_join("unified_ids", ","))
+    return identity.clusters(_profiles(s, d), "email").select("value", "profiles", F.array_join("unified_ids", ",").alias("unified_ids"))
+
+
+@query(f"{_ID}, {_UP} SELECT lower(trim(email)) AS value, count(*) AS profiles, min(unified_id) AS unified_id FROM up WHERE trim(email) <> '' GROUP BY 1 HAVING count(*) > 1")
+def email_cluster_classes(s, d):
+    return identity.cluster_classes(_profiles(s, d), "email")
+
+
+@query(f"{_ID}, {_UP}, m AS (SELECT lower(trim(email)) AS value, unified_id, count(*) OVER (PARTITION BY lower(trim(email))) AS profiles FROM up WHERE trim(email) <> '') SELECT * FROM m WHERE profiles > 1")
+def email_cluster_members(s, d):
+    return identity.cluster_members(_profiles(s, d), "email")
 
 
 @query("""WITH c AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'a' ELSE 'b' END AS brand, CAST(c_custkey AS VARCHAR) AS customer_id, 'u' || CAST(c_custkey // 4 AS VARCHAR) || '@x.com' AS email, '9' || lpad(CAST(c_custkey // 3 AS VARCHAR), 9, '0') AS phone FROM customer WHERE c_custkey % 5 <> 0)
   SELECT a.brand AS brand_a, a.customer_id AS customer_a, b.brand AS brand_b, b.customer_id AS customer_b, 'email_hash' AS method, 1.0::DOUBLE AS confidence FROM c a JOIN c b ON a.email = b.email AND a.brand < b.brand
   UNION ALL SELECT a.brand, a.customer_id, b.brand, b.customer_id, 'phone', 0.95 FROM c a JOIN c b ON a.phone = b.phone AND a.brand < b.brand""")
 def cross_brand_links(s, d):
+    return identity.cross_brand_links(_of_two_brands(s, d))
+
+
+def _of_two_brands(s, d):
     k = F.col("c_custkey")
-    c = A.table(s, d, "customer").select(F.when(k % 2 == 0, "a").otherwise("b").alias("brand"), k.cast("string").alias("customer_id"), F.concat(F.lit("U"), F.floor(k / 4).cast("string"), F.lit("@x.com ")).alias("email"), F.concat(F.lit("+91 9"), F.lpad(F.floor(k / 3).cast("string"), 9, "0")).alias("phone"), (k % 5 != 0).alias("opt_in"))
-    return identity.cross_brand_links(c)
+    return A.table(s, d, "customer").select(F.when(k % 2 == 0, "a").otherwise("b").alias("brand"), k.cast("string").alias("customer_id"), F.concat(F.lit("U"), F.floor(k / 4).cast("string"), F.lit("@x.com ")).alias("email"), F.concat(F.lit("+91 9"), F.lpad(F.floor(k / 3).cast("string"), 9, "0")).alias("phone"), (k % 5 != 0).alias("opt_in"))
+
+
+_TWO = """c AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'a' ELSE 'b' END AS brand, CAST(c_custkey AS VARCHAR) AS customer_id, sha256('u' || CAST(c_custkey // 4 AS VARCHAR) || '@x.com') AS email, '9' || lpad(CAST(c_custkey // 3 AS VARCHAR), 9, '0') AS phone FROM customer WHERE c_custkey % 5 <> 0),
+  v AS (SELECT 'email_hash' AS method, email AS value, brand, customer_id FROM c UNION ALL SELECT 'phone', phone, brand, customer_id FROM c)"""
+
+
+@query(f"WITH {_TWO} SELECT method, CAST(count(*) AS BIGINT) AS classes, CAST(sum(n) AS BIGINT) AS customers FROM (SELECT method, value, count(*) AS n FROM v GROUP BY 1, 2 HAVING count(DISTINCT brand) > 1) GROUP BY 1")
+def cross_brand_classes(s, d):
+    g = identity.cross_brand_classes(_of_two_brands(s, d)).groupBy("method")
+    return g.agg(F.count("*").alias("classes"), F.sum("customers").alias("customers"))
+
+
+@query(f"WITH {_TWO} SELECT method, brand, customer_id, members FROM (SELECT *, count(*) OVER (PARTITION BY method, value) AS members FROM v) WHERE members > 1")
+def cross_brand_members(s, d):
+    return identity.cross_brand_members(_of_two_brands(s, d)).drop("value")
 
 
 @query(f"{_ID}, {_UP}, {_EDGES} SELECT unified_id, count(DISTINCT source_system) AS systems, string_agg(DISTINCT source_system, ', ' ORDER BY source_system) AS names FROM ed GROUP BY 1 HAVING count(DISTINCT source_system) >= 2")

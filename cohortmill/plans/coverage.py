@@ -9,14 +9,15 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from cohortmill.functions import sqlutils
-from cohortmill.operators import domain, dq, identity, marts, segment, staging
+from cohortmill.functions.storage import written
+from cohortmill.operators import domain, dq, identity, marts, segment, sketches, staging
 from cohortmill.operators.predicates import predicate
 from cohortmill.plans import adapter as A
 from cohortmill.plans import catalog
 from cohortmill.plans import catalogue as C
 from cohortmill.plans import tenant
 from cohortmill.plans.catalogue import attr, engine, ev, query, tree
-from cohortmill.sources import publish, readers, sinks
+from cohortmill.sources import execution, ledger, publish, readers, sinks
 
 _ALL = C._ALL
 
@@ -409,6 +410,37 @@ def estimate_with_members(s, d):
     return s.createDataFrame([("audience", got["audience_count"]), *((f"member {i + 1}", n) for i, n in enumerate(got["members"]))], "part string, n long")
 
 
+@query(_ALL + f" SELECT 'union' AS kind, count(*) AS n FROM cba WHERE {' OR '.join(C._S)} UNION ALL SELECT 'overlap', count(*) FROM cba WHERE {' AND '.join(C._S)} UNION ALL SELECT 'exclude', count(*) FROM cba WHERE {C._S[0]} AND NOT coalesce({C._S[1]}, false) AND NOT ({C._S[2]})")
+def set_counts_by_sketch(s, d):
+    """Exact at this size: a sketch holds 4096 ids."""
+    e = C.shared_engine(s, d)
+    held = written(sketches.sketched({f"a{i}": e.segment(x) for i, x in enumerate(C._SETS)}))
+    rows = [sketches.set_count(held, kind, ["a0", "a1", "a2"]) for kind in ("union", "overlap", "exclude")]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query("""SELECT name, 'SUCCEEDED' AS state, n FROM (SELECT 'customers with orders' AS name, count(DISTINCT o_custkey) AS n FROM orders UNION ALL SELECT 'late lines', count(*) FROM lineitem WHERE l_receiptdate > l_commitdate UNION ALL SELECT 'rich suppliers', count(*) FROM supplier WHERE s_acctbal > 5000)""")
+def executions(s, d):
+    """Three queries by handle, two at a time."""
+    t = lambda name: A.table(s, d, name)
+    asked = {"customers with orders": t("orders").select("o_custkey").distinct(), "late lines": t("lineitem").where("l_receiptdate > l_commitdate"), "rich suppliers": t("supplier").where("s_acctbal > 5000")}
+    runs = execution.Executions(s, at_most=2)
+    ids = {name: runs.submit(df, lambda x: x.count()) for name, df in asked.items()}
+    got = [(name, runs.wait(i), runs.poll(i).state) for name, i in ids.items()]
+    runs.close()
+    return s.createDataFrame(got, "name string, n long, state string")
+
+
+@query("""SELECT 'customers-' || lpad(CAST(b AS VARCHAR), 10, '0') AS batch, count(*) AS n, CASE WHEN min(c_custkey) % 2 = 1 THEN 'taken before' ELSE 'failed' END AS outcome FROM (SELECT c_custkey, (row_number() OVER (ORDER BY c_custkey) - 1) // 75 AS b FROM customer) GROUP BY b""")
+def sink_ledger(s, d):
+    """Customers in batches, sent twice to a receiver that refuses every other batch: what was taken isn't sent again."""
+    rows = ledger.batched(A.table(s, d, "customer").select("c_custkey", "c_name", "c_acctbal"), ["c_custkey"], "customers", 75)
+    noted = ledger.Ledger(A.scratch(s))
+    sent = lambda: ledger.send_batches(rows, lambda name, batch: batch[0]["c_custkey"] % 2 == 1, noted, ["c_custkey"])
+    sent().write.format("noop").mode("overwrite").save()
+    return written(sent()).withColumnRenamed("_batch", "batch")
+
+
 @query("SELECT 'x' AS customer_id WHERE false")
 def set_of_none(s, d):
     return segment.set_operation("union", [])

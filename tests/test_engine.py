@@ -160,3 +160,42 @@ def test_definitions_of_every_template_compile(brand):
 
     for d in TEMPLATES.values():
         rules.parse_definition(d)
+
+
+def joins(brand, *conditions, **more):
+    """Result and kinds of joins of the plan."""
+    df = segment.Engine(brand, AS_OF).segment(group(*conditions, **more))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return ids(df), plan.count("Join LeftSemi"), plan.count("Join LeftAnti"), plan.count("bool_or") + plan.count("max((")
+
+
+def test_conditions_that_must_hold_are_semi_and_anti_joins(brand):
+    tata, amul = attr("bt.brand_name", "equals", "tata"), attr("bt.brand_name", "equals", "amul")
+    many = attr("txn.total_bills", "greater_than", 0)
+    assert joins(brand, tata) == (["c1", "c3"], 1, 0, 0)
+    assert joins(brand, tata, amul) == (["c1"], 2, 0, 0)  # some line of each
+    assert joins(brand, many, dict(amul, negate=True), group(tata)) == (["c3"], 1, 1, 0)
+    # EXISTS goes over OR: one join.
+    assert joins(brand, tata, dict(amul, logical_operator="or")) == (["c1", "c2", "c3"], 1, 0, 0)
+    assert joins(brand, many, group(tata, amul, op="or")) == (["c1", "c2", "c3"], 1, 0, 0)
+    assert joins(brand, many, group(tata, amul, op="or", negate=True))[:3] == ([f"c{i}" for i in range(4, 10)], 0, 1)
+
+
+def test_under_or_and_negation_they_are_flags(brand):
+    tata, many = attr("bt.brand_name", "equals", "tata"), attr("txn.total_bills", "greater_than", 8)
+    got = joins(brand, tata, dict(many, logical_operator="or"))
+    assert got[:3] == (["c1", "c3", "c9"], 0, 0) and got[3] > 0
+    got = joins(brand, attr("txn.total_bills", "less_than", 5), group(tata, attr("txn.total_bills", "equals", 1), negate=True))
+    assert got[:3] == (["c2", "c3", "c4"], 0, 0)
+    mixed = joins(brand, dict(tata, negate=True), attr("bt.brand_name", "equals", "amul", logical_operator="or"))
+    assert mixed[0] == ["c0", "c1", "c2", *(f"c{i}" for i in range(4, 10))] and mixed[1] == mixed[2] == 0
+
+
+def test_members_and_other_brands_are_semi_joins(brand, spark):
+    brand.segments["some"] = spark.createDataFrame([("c1",), ("c1",), ("c4",)], "customer_id string")
+    member = lambda op, **more: {"type": "segment_membership", "segment_id": "some", "operator": op, **more}
+    assert joins(brand, member("is_member"))[:3] == (["c1", "c4"], 1, 0)
+    assert joins(brand, member("is_member", negate=True), attr("txn.total_bills", "less_than", 4))[:3] == (["c2", "c3"], 0, 1)
+    assert joins(brand, member("is_not_member", negate=True))[:3] == (["c1", "c4"], 1, 0)
+    cross = {"type": "cross_brand", "target_brand": "other", "condition": attr("txn.total_bills", "greater_than", 7)}
+    assert joins(brand, cross)[:2] == (["c8", "c9"], 1)
