@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import logging
 import re
 from collections.abc import Iterable, Mapping, Sequence
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -201,6 +203,26 @@ def slugify(text: str) -> str:
     return f"_{out}" if out[:1].isdigit() else out
 
 
+def slug(text: Column) -> Column:
+    """slugify of a column."""
+    out = F.regexp_replace(F.regexp_replace(F.lower(text), "[ -]+", "_"), "[^a-z0-9_]+", "")
+    return F.when(out.rlike("^[0-9]"), F.concat(F.lit("_"), out)).otherwise(out)
+
+
+def pretty_time(at: datetime | None = None, pattern: str = "%H:%M:%S") -> str:
+    """A time (now, if none is given) as text."""
+    return (at or datetime.now()).strftime(pattern)
+
+
+def pretty_log(message: str, at: datetime | None = None) -> str:
+    """A line of a log: the time and the message."""
+    return f"{pretty_time(at)} + {message}"
+
+
+def log_info(message: str) -> None:
+    logging.getLogger("cohortmill").info(pretty_log(message))
+
+
 def row_hash(df: DataFrame) -> Column:
     """md5 over all columns, by name."""
     return F.md5(F.to_json(F.struct(*(F.col(c) for c in sorted(df.columns))), {"ignoreNullFields": "false"}))

@@ -58,10 +58,13 @@ def mobile_normalize(s, d):
     return r.select("c_custkey", cleaning.mobile_pos(c).alias("pos"), cleaning.mobile_crm(c).alias("crm"), cleaning.mobile_or_raw(c).alias("spine"), cleaning.phone(c).alias("phone"))
 
 
-@query("""SELECT CAST(x AS DATE) AS date_day, CAST(year(x) AS INTEGER) AS year, CAST(quarter(x) AS INTEGER) AS quarter, CAST(month(x) AS INTEGER) AS month, CAST(weekofyear(x) AS INTEGER) AS iso_week, CAST(day(x) AS INTEGER) AS day, CAST(dayofweek(x) AS INTEGER) AS dow, monthname(x) AS month_name, dayname(x) AS day_name, dayofweek(x) IN (0, 6) AS is_weekend,
-  CAST(year(x - INTERVAL 3 MONTH) AS INTEGER) AS fiscal_year, CAST(quarter(x - INTERVAL 3 MONTH) AS INTEGER) AS fiscal_quarter FROM (SELECT unnest(generate_series(TIMESTAMP '2018-01-01', TIMESTAMP '2026-12-31', INTERVAL 1 DAY)) AS x)""")
+@query("""SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(quarter(o_orderdate) AS INTEGER) AS quarter, monthname(o_orderdate) AS month_name, dayname(o_orderdate) AS day_name, dayofweek(o_orderdate) IN (0, 6) AS is_weekend, CAST(weekofyear(o_orderdate) AS INTEGER) AS iso_week,
+  CAST(year(o_orderdate - INTERVAL 3 MONTH) AS INTEGER) AS fiscal_year, CAST(quarter(o_orderdate - INTERVAL 3 MONTH) AS INTEGER) AS fiscal_quarter, count(*) AS orders FROM orders GROUP BY ALL""")
 def date_dim(s, d):
-    return staging.date_dimension(s)
+    """Orders by what the date dimension says of their day."""
+    days = staging.date_dimension(s, "1992-01-01", "2002-12-31")
+    on = A.table(s, d, "orders").select(F.to_date("o_orderdate").alias("date_day"))
+    return on.join(days, "date_day").groupBy("year", "quarter", "month_name", "day_name", "is_weekend", "iso_week", "fiscal_year", "fiscal_quarter").agg(F.count("*").alias("orders"))
 
 
 # -- marts -----------------------------------------------------------------------------------------------------------
@@ -537,7 +540,7 @@ def set_exclude(s, d):
     return _set("exclude", s, d)
 
 
-@query(_ALL + " SELECT DISTINCT CAST(city AS VARCHAR) AS value FROM cba WHERE trim(city) <> ''")
+@query(_ALL + " SELECT DISTINCT CAST(city AS VARCHAR) AS value FROM cba WHERE trim(city) <> '' ORDER BY 1 LIMIT 500")
 def distinct_values(s, d):
     return engine(s, d).distinct_values("geo.city")
 
@@ -634,14 +637,20 @@ def union_relations(s, d):
     return sqlutils.union_relations({"n": A.table(s, d, "nation"), "r": A.table(s, d, "region")}, exclude=["n_regionkey", "r_regionkey"])
 
 
-@query("SELECT unnest(generate_series(1, 1000)) AS generated_number")
+@query("SELECT n AS generated_number, count(l_linenumber) AS n FROM (SELECT unnest(generate_series(1, 10)) AS n) LEFT JOIN lineitem ON l_linenumber = n GROUP BY 1")
 def generate_series(s, d):
-    return sqlutils.generate_series(s, 1000)
+    """Lines by their number in the order; numbers without lines count 0."""
+    numbers = sqlutils.generate_series(s, 10)
+    lines = A.table(s, d, "lineitem")
+    return numbers.join(lines, F.col("l_linenumber") == F.col("generated_number"), "left").groupBy("generated_number").agg(F.count("l_linenumber").alias("n"))
 
 
-@query("SELECT CAST(unnest(generate_series(TIMESTAMP '2020-01-01', TIMESTAMP '2020-12-31', INTERVAL 1 DAY)) AS DATE) AS date_day")
+@query("SELECT CAST(day AS DATE) AS date_day, count(o_orderkey) AS orders FROM (SELECT unnest(generate_series(TIMESTAMP '1997-12-01', TIMESTAMP '2002-01-31', INTERVAL 1 DAY)) AS day) LEFT JOIN orders ON CAST(o_orderdate AS DATE) = CAST(day AS DATE) GROUP BY 1")
 def date_spine(s, d):
-    return sqlutils.date_spine(s, "day", "2020-01-01", "2021-01-01")
+    """Orders of each day; days without orders count 0."""
+    days = sqlutils.date_spine(s, "day", "1997-12-01", "2002-02-01")
+    on = A.table(s, d, "orders").groupBy(F.to_date("o_orderdate").alias("date_day")).agg(F.count("*").alias("orders"))
+    return days.join(on, "date_day", "left").fillna(0, ["orders"])
 
 
 @query("SELECT c_custkey, c_acctbal / nullif(c_nationkey, 0) AS q, c_acctbal + c_nationkey AS total, c_acctbal - c_nationkey AS diff FROM customer")
@@ -726,9 +735,11 @@ def dq_exclusive_ranges(s, d):
     return dq.mutually_exclusive_ranges(rows, "lo", "hi", "o_custkey").select("o_custkey", "o_orderkey")
 
 
-@query("SELECT event_id FROM (SELECT event_id, lag(event_id) OVER (ORDER BY event_id) AS p FROM events WHERE event_id % 5 <> 3) WHERE p IS NOT NULL AND event_id <> p + 1")
+@query("SELECT event_id FROM events WHERE event_id % 5 = 0 AND event_id > (SELECT min(event_id) FROM events)")
 def dq_sequential_values(s, d):
-    return dq.sequential_values(A.table(s, d, "events").where("event_id % 5 <> 3"), "event_id").select("event_id")
+    """Numbers that leave one out after every fifth event."""
+    rows = A.table(s, d, "events").select("event_id", (F.col("event_id") + F.floor(F.col("event_id") / 5)).alias("n"))
+    return dq.sequential_values(rows, "n").select("event_id")
 
 
 @query("SELECT user_id, max(ts) AS most_recent FROM events GROUP BY 1 HAVING max(ts) < TIMESTAMP '2024-01-29'")
@@ -762,10 +773,12 @@ def row_hash_delta(s, d):
     return sinks.changed_rows(new, old, ["c_custkey"]).drop("row_hash")
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 7 = 0")
+@query("SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment FROM customer UNION ALL SELECT c_custkey + 100000000, 'NEW' FROM customer WHERE c_custkey % 7 = 0")
 def upsert(s, d):
+    """All customers, some of them changed, and as many new ones."""
     c = A.table(s, d, "customer").select("c_custkey", "c_mktsegment")
-    return sinks.upsert(c.where("c_custkey % 2 = 0"), c.where("c_custkey % 7 = 0").withColumn("c_mktsegment", F.lit("NEW")), ["c_custkey"])
+    changed = c.where("c_custkey % 7 = 0").withColumn("c_mktsegment", F.lit("NEW"))
+    return sinks.upsert(c, changed.unionByName(changed.withColumn("c_custkey", F.col("c_custkey") + 100000000)), ["c_custkey"])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

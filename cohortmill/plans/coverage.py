@@ -16,6 +16,7 @@ from cohortmill.plans import adapter as A
 from cohortmill.plans import catalog
 from cohortmill.plans import catalogue as C
 from cohortmill.plans import tenant
+from cohortmill.plans.catalog import TEMPLATES
 from cohortmill.plans.catalogue import attr, engine, ev, query, tree
 from cohortmill.sources import execution, ledger, publish, readers, sinks
 
@@ -121,11 +122,14 @@ def partitioned_write_and_scan(s, d):
     return kept.groupBy(F.col("bill_month").cast("string").alias("bill_month")).agg(F.count("*").alias("bills"))
 
 
-@query("SELECT * FROM (VALUES ('r_name', 'string'), ('r_regionkey', 'int'), ('scan', 'priced')) t(name, type)")
+@query("SELECT 'r_name' AS name, 'string' AS type, count(r_name) AS n FROM region UNION ALL SELECT 'r_regionkey', 'int', count(r_regionkey) FROM region UNION ALL SELECT 'scan', 'priced', count(*) FROM lineitem")
 def table_metadata_and_scan_cost(s, d):
-    r = A.table(s, d, "region")
-    rows = [(x["name"], x["type"]) for x in readers.table_metadata(r)]
-    return s.createDataFrame([*rows, ("scan", "priced" if readers.scan_cost(A.table(s, d, "lineitem")) > readers.scan_cost(r) >= 0 else "wrong")], "name string, type string")
+    """Columns by the metadata, with their values; the larger table's scan costs more."""
+    r, lines = A.table(s, d, "region"), A.table(s, d, "lineitem")
+    out = lines.agg(F.lit("scan").alias("name"), F.lit("priced" if readers.scan_cost(lines) > readers.scan_cost(r) >= 0 else "wrong").alias("type"), F.count("*").alias("n"))
+    for x in readers.table_metadata(r):
+        out = out.unionByName(r.agg(F.lit(x["name"]).alias("name"), F.lit(x["type"]).alias("type"), F.count(x["name"]).alias("n")))
+    return out
 
 
 @query("SELECT n_nationkey AS k, n_name AS name FROM nation ORDER BY 1 LIMIT 7")
@@ -155,32 +159,45 @@ def sink_csv_export(s, d):
     return readers.read_csv(s, at, ["c_custkey", "c_mktsegment"])
 
 
-@query("SELECT * FROM (VALUES ('a', 'SUCCESS', 5::BIGINT, 0::BIGINT, NULL::VARCHAR), ('b', 'PARTIAL', 3, 2, 'late')) t(audience, status, synced, failed, error)")
+@query("SELECT 'nation_' || c_nationkey AS audience, CASE WHEN c_nationkey % 2 = 0 THEN 'SUCCESS' ELSE 'PARTIAL' END AS status, CASE WHEN c_nationkey % 2 = 0 THEN count(*) ELSE 0 END AS synced, CASE WHEN c_nationkey % 2 = 0 THEN 0 ELSE count(*) END AS failed FROM customer WHERE c_nationkey < 4 GROUP BY c_nationkey")
 def sink_audit_log(s, d):
-    at = A.scratch(s)
-    sinks.audit(s, at, "a", 5, 0)
-    sinks.audit(s, at, "b", 3, 2, "late")
-    return s.read.parquet(at).drop("synced_at")
+    """The log of four exports; a receiver refuses two of them."""
+    at, c = A.scratch(s), A.table(s, d, "customer")
+    for nation in range(4):
+        got = sinks.webhook(_strings(c.where(F.col("c_nationkey") == nation).select("c_custkey")), _taken if nation % 2 == 0 else _refused)
+        sinks.audit(s, at, f"nation_{nation}", got["synced"], got["failed"])
+    return s.read.parquet(at).select("audience", "status", "synced", "failed")
+
+
+def _refused(rows: list[dict]) -> bool:
+    return False
 
 
-@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey % 4 <> 0 OR c_custkey % 2 = 0")
+@query("SELECT c_custkey, CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment ELSE 'NEW' END AS c_mktsegment FROM customer")
 def upsert_keep_old(s, d):
+    """New rows for all customers; those that are there already stay as they are."""
     c = A.table(s, d, "customer").select("c_custkey", "c_mktsegment")
-    return sinks.upsert(c.where("c_custkey % 4 <> 0"), c.where("c_custkey % 2 = 0"), ["c_custkey"], update=False)
+    return sinks.upsert(c.where("c_custkey % 4 <> 0"), c.withColumn("c_mktsegment", F.lit("NEW")), ["c_custkey"], update=False)
 
 
-@query("SELECT 'x-1' AS a, 'fallback' AS b, '' AS c")
+@query("SELECT c_custkey, 'x-1' AS tag FROM customer WHERE c_nationkey = 3 AND c_mktsegment = 'BUILDING' OR c_nationkey = 5")
 def env_expansion(s, d):
-    env = {"ONE": "1"}
-    return s.range(1).select(*(F.lit(readers.expand_env(t, env)).alias(n) for n, t in (("a", "x-${ONE}"), ("b", "${TWO:-fallback}"), ("c", "${THREE}"))))
+    """A condition and a value that the environment completes."""
+    env = {"ONE": "1", "SEGMENT": "BUILDING"}
+    where = readers.expand_env("c_nationkey = ${NATION:-3} AND c_mktsegment = '${SEGMENT}' OR c_nationkey = ${OTHER:-5}${NOTHING}", env)
+    return A.table(s, d, "customer").where(where).select("c_custkey", F.lit(readers.expand_env("x-${ONE}", env)).alias("tag"))
 
 
-@query("SELECT * FROM (VALUES ('cov_bills_one'), ('cov_bills_two')) t(name)")
+@query("SELECT 'cov_bills_one' AS name, count(*) AS n FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT 'cov_bills_two', count(*) FROM orders WHERE o_orderstatus <> 'O'")
 def relations_by_pattern(s, d):
-    for name in ("cov_bills_one", "cov_bills_two", "cov_bills_old", "cov_other"):
-        A.table(s, d, "region").createOrReplaceTempView(name)
-    both = set(sqlutils.relations_by_pattern(s, "COV_b%s_%", "%old")) & set(sqlutils.relations_by_prefix(s, "cov_bills"))
-    return s.createDataFrame([(n,) for n in sorted(both)], "name string")
+    """Rows of the relations that a pattern and a prefix find."""
+    o = A.table(s, d, "orders")
+    for name, rows in (("cov_bills_one", o.where("o_orderstatus = 'O'")), ("cov_bills_two", o.where("o_orderstatus <> 'O'")), ("cov_bills_old", o), ("cov_other", o)):
+        rows.createOrReplaceTempView(name)
+    both = sorted(set(sqlutils.relations_by_pattern(s, "COV_b%s_%", "%old")) & set(sqlutils.relations_by_prefix(s, "cov_bills")))
+    both = [n for n in both if n != "cov_bills_old"]
+    whole = sqlutils.union_relations({n: s.table(n).select("o_orderkey") for n in both})
+    return whole.groupBy(F.col("_source_relation").alias("name")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT p_partkey AS id, CAST(p_size AS INTEGER) AS n, CASE WHEN p_size % 3 <> 0 THEN DATE '2024-02-01' + CAST(p_size AS INTEGER) END AS held_on, CASE WHEN p_size % 3 <> 0 THEN 2024 END::INTEGER AS year FROM part")
@@ -419,11 +436,11 @@ def set_counts_by_sketch(s, d):
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
-@query("""SELECT name, 'SUCCEEDED' AS state, n FROM (SELECT 'customers with orders' AS name, count(DISTINCT o_custkey) AS n FROM orders UNION ALL SELECT 'late lines', count(*) FROM lineitem WHERE l_receiptdate > l_commitdate UNION ALL SELECT 'rich suppliers', count(*) FROM supplier WHERE s_acctbal > 5000)""")
+@query("""SELECT name, 'SUCCEEDED' AS state, n FROM (SELECT 'customers with orders' AS name, count(DISTINCT o_custkey) AS n FROM orders UNION ALL SELECT 'large lines', count(*) FROM lineitem WHERE l_quantity > 40 UNION ALL SELECT 'rich suppliers', count(*) FROM supplier WHERE s_acctbal > 5000)""")
 def executions(s, d):
     """Three queries by handle, two at a time."""
     t = lambda name: A.table(s, d, name)
-    asked = {"customers with orders": t("orders").select("o_custkey").distinct(), "late lines": t("lineitem").where("l_receiptdate > l_commitdate"), "rich suppliers": t("supplier").where("s_acctbal > 5000")}
+    asked = {"customers with orders": t("orders").select("o_custkey").distinct(), "large lines": t("lineitem").where("l_quantity > 40"), "rich suppliers": t("supplier").where("s_acctbal > 5000")}
     runs = execution.Executions(s, at_most=2)
     ids = {name: runs.submit(df, lambda x: x.count()) for name, df in asked.items()}
     got = [(name, runs.wait(i), runs.poll(i).state) for name, i in ids.items()]
@@ -441,9 +458,10 @@ def sink_ledger(s, d):
     return written(sent()).withColumnRenamed("_batch", "batch")
 
 
-@query("SELECT 'x' AS customer_id WHERE false")
+@query(_ALL + " SELECT customer_id FROM cba WHERE lifecycle_stage = 'Churned'")
 def set_of_none(s, d):
-    return segment.set_operation("union", [])
+    """An audience without the members of no audience."""
+    return segment.set_operation("exclude", [engine(s, d).segment(C._ATRISK), segment.set_operation("union", [])])
 
 
 @query(_ALL + """, t AS (SELECT customer_id, lower(l1_segment) AS v FROM cba WHERE lifecycle_stage = 'Churned') SELECT 'audience' AS part, count(*) AS n FROM t UNION ALL SELECT 'HVHF', count(*) FROM t WHERE v = 'hvhf' HAVING count(*) > 0 UNION ALL SELECT 'Remainder', count(*) FROM t WHERE v IS DISTINCT FROM 'hvhf' HAVING count(*) > 0""")
@@ -459,19 +477,35 @@ def materialized_segment(s, d):
     return e.segment(tree(C.member("gone"), attr("decile.spend_decile", "greater_than_or_equal", 9)))
 
 
-@query("SELECT * FROM (VALUES ('bt', 24::BIGINT), ('channel', 5), ('consent', 4), ('decile', 2), ('demographic', 9), ('geo', 8), ('identity', 7), ('identity_graph', 9), ('lifecycle', 10), ('product', 6), ('store', 4), ('temporal', 5), ('txn', 15)) t(prefix, n)")
+_OF_MART = [a for a in catalog.CATALOG.values() if a.alias == "ba" and a.key not in catalog._DERIVED]
+
+
+@query(_ALL + " " + " UNION ALL ".join(f"SELECT '{a.key}' AS key, '{a.kind}' AS kind, count({a.column}) AS known FROM cba" for a in _OF_MART))
 def attribute_catalogue(s, d):
-    return s.createDataFrame([(x["key"].split(".")[0],) for x in segment.Engine.attributes()], "prefix string").groupBy("prefix").agg(F.count("*").alias("n"))
+    """The attributes of the mart, and how many customers have a value of each: one pass over the mart."""
+    listed = {x["key"]: x["type"] for x in segment.Engine.attributes() if x["key"] in {a.key for a in _OF_MART}}
+    counts = C._behavior(s, d).agg(*(F.count(catalog.attribute(k).column).alias(k) for k in listed))
+    rows = F.array(*(F.struct(F.lit(k).alias("key"), F.lit(kind).alias("kind"), F.col(f"`{k}`").alias("known")) for k, kind in listed.items()))
+    return counts.select(F.inline(rows))
 
 
-@query("SELECT * FROM (VALUES ('decile.spend_decile'), ('top-spend-decile')) t(found)")
+@query(_ALL + " SELECT 'decile.spend_decile' AS found, count(DISTINCT spend_decile) AS n FROM cba UNION ALL SELECT 'decile.nob_decile', count(DISTINCT nob_decile) FROM cba UNION ALL SELECT 'top-spend-decile', count(*) FROM cba WHERE spend_decile >= 9")
 def suggestions(s, d):
-    return s.createDataFrame([(x,) for x in catalog.suggest("spend_decile") + catalog.suggest("top spend")], "found string")
+    """What a part of a name finds: attributes with their number of values, audiences with their size."""
+    e = C.shared_engine(s, d)
+    out = None
+    for found in catalog.suggest("decile"):
+        rows = e.count(TEMPLATES[found]).withColumnRenamed("audience_count", "n") if found in TEMPLATES else e.distinct_values(found).agg(F.count("*").alias("n"))
+        rows = rows.select(F.lit(found).alias("found"), "n")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
-@query("SELECT true AS planned")
+@query(_ALL + " SELECT true AS planned, count(*) AS n FROM cba WHERE lifecycle_stage = 'Churned'")
 def explained(s, d):
-    return s.range(1).select(F.lit("customer_id" in engine(s, d).explain(C._ATRISK)).alias("planned"))
+    """The plan of an audience names what it gives, and the audience is what was planned."""
+    e = engine(s, d)
+    return e.count(C._ATRISK).select(F.lit("customer_id" in e.explain(C._ATRISK)).alias("planned"), F.col("audience_count").alias("n"))
 
 
 @query(_ALL + " SELECT customer_id, email, NULL::VARCHAR AS first_name, NULL::VARCHAR AS last_name, city, NULL::VARCHAR AS state FROM cba WHERE lifecycle_stage = 'Churned' ORDER BY customer_id LIMIT 50")
@@ -506,24 +540,28 @@ def edges_of_profile(s, d):
     return identity.edges_of(C._edges(s, d), key)
 
 
-@query("SELECT c_custkey AS id, c_custkey - c_custkey % 5 AS root FROM customer WHERE c_custkey >= 5 AND c_custkey < (SELECT max(c_custkey) - max(c_custkey) % 5 FROM customer)")
+@query("SELECT c_custkey AS id, greatest(c_custkey - c_custkey % 5, (SELECT min(c_custkey) FROM customer)) AS root FROM customer")
 def connected_people(s, d):
-    """Chains of five."""
+    """Chains of five; the last one has as many as there are, and who is alone is linked with themselves."""
     A.checkpoints(s)
     c = A.table(s, d, "customer").select(F.col("c_custkey").alias("id_1"))
-    top = c.agg((F.max("id_1") - F.max("id_1") % 5).alias("top")).first().top
-    return identity.connected_people(c.where((F.col("id_1") % 5 != 4) & (F.col("id_1") >= 5) & (F.col("id_1") < top)).withColumn("id_2", F.col("id_1") + 1))
+    next_ = c.select((F.col("id_1") - 1).alias("id_1"), F.col("id_1").alias("id_2")).where("id_1 % 5 <> 4")
+    pairs = c.join(next_, "id_1", "left").select("id_1", F.coalesce("id_2", "id_1").alias("id_2"))
+    return identity.connected_people(pairs)
 
 
 # -- data tests --------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT c_nationkey AS value, num_rows, side FROM (SELECT a.k AS c_nationkey, a.n AS num_rows, 'a' AS side FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1) a LEFT JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1) b USING (k, n) WHERE b.k IS NULL) ORDER BY 1")
+@query("""WITH a AS (SELECT c_nationkey AS value, count(*) AS num_rows FROM customer GROUP BY 1), b AS (SELECT s_nationkey AS value, count(*) AS num_rows FROM supplier GROUP BY 1)
+  (SELECT *, 'a' AS side FROM a EXCEPT SELECT *, 'a' FROM b) UNION ALL (SELECT *, 'b' FROM b EXCEPT SELECT *, 'b' FROM a)""")
 def dq_cardinality_equality(s, d):
+    """Values that the two tables hold a different number of times, with each side's number."""
     a, b = A.table(s, d, "customer"), A.table(s, d, "supplier")
-    both = dq.cardinality_equality(a, "c_nationkey", b, "s_nationkey")
-    mine = a.groupBy(F.col("c_nationkey").alias("value")).agg(F.count("*").alias("num_rows"))
-    return both.join(mine, ["value", "num_rows"], "left_semi").withColumn("side", F.lit("a"))
+    differ = dq.cardinality_equality(a, "c_nationkey", b, "s_nationkey").select("value", "num_rows")
+    count = lambda df, c: df.groupBy(F.col(c).alias("value")).agg(F.count("*").alias("num_rows"))
+    sides = count(a, "c_nationkey").withColumn("side", F.lit("a")).unionByName(count(b, "s_nationkey").withColumn("side", F.lit("b")))
+    return sides.join(differ.distinct(), ["value", "num_rows"], "left_semi")
 
 
 @query("SELECT k, count_a, count_b, count_a - count_b + 1 AS row_count_delta FROM (SELECT p_size % 5 AS k, count(*) AS count_a FROM part WHERE p_size > 20 GROUP BY 1) JOIN (SELECT p_size % 5 AS k, count(*) AS count_b FROM part WHERE p_size < 35 GROUP BY 1) USING (k) WHERE count_a >= count_b")
@@ -566,9 +604,13 @@ def dq_assert_equal(s, d):
     return dq.assert_equal(o, "o_totalprice", "expected").select("o_orderkey")
 
 
-@query("SELECT * FROM (VALUES ('n_comment'), ('n_regionkey')) t(name)")
+@query("SELECT 'n_regionkey' AS name, count(n_regionkey) AS n FROM nation UNION ALL SELECT 'n_comment', 0")
 def dq_column_set(s, d):
-    return s.createDataFrame([(x,) for x in dq.column_set_difference(A.table(s, d, "nation"), ["N_NATIONKEY", "n_name", "n_comment"])], "name string")
+    """Columns that the table or the expectation alone has, with their number of values."""
+    n = A.table(s, d, "nation")
+    differ = dq.column_set_difference(n, ["N_NATIONKEY", "n_name", "n_comment"])
+    counts = n.agg(*((F.count(c) if c in n.columns else F.count(F.lit(None))).alias(c) for c in differ))
+    return counts.select(F.inline(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).alias("n")) for c in differ))))
 
 
 # -- helpers -----------------------------------------------------------------------------------------------------------
@@ -607,16 +649,17 @@ def group_by_first(s, d):
     return sqlutils.group_by_first(A.table(s, d, "orders").select("o_orderstatus", "o_orderpriority", "o_orderkey"), 2).agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'hello_world_2' AS a, '_1st' AS b")
+@query("SELECT CASE WHEN regexp_matches(t, '^[0-9]') THEN '_' || t ELSE t END AS slug, count(*) AS orders FROM (SELECT regexp_replace(regexp_replace(lower(o_orderpriority), '[ -]+', '_', 'g'), '[^a-z0-9_]+', '', 'g') AS t FROM orders) GROUP BY 1")
 def slugs(s, d):
-    return s.range(1).select(F.lit(sqlutils.slugify("Hello World-2!")).alias("a"), F.lit(sqlutils.slugify("1st")).alias("b"))
+    return A.table(s, d, "orders").groupBy(sqlutils.slug(F.col("o_orderpriority")).alias("slug")).agg(F.count("*").alias("orders"))
 
 
-@query("SELECT 'raised' AS surrogate_key")
-def old_surrogate_key_raises(s, d):
-    try:
-        sqlutils.surrogate_key_removed("a")
-    except ValueError:
-        return s.range(1).select(F.lit("raised").alias("surrogate_key"))
-    raise AssertionError("it must raise")
+@query("SELECT count(DISTINCT CASE c_custkey % 3 WHEN 0 THEN 'null' WHEN 1 THEN 'blank' ELSE c_name END) AS keys, count(DISTINCT CASE WHEN c_custkey % 3 < 2 THEN 'one' ELSE c_name END) AS legacy_keys FROM customer")
+def surrogate_key_legacy(s, d):
+    """Keys tell nulls from blanks; those of the old kind don't."""
+    k = F.col("c_custkey") % 3
+    name = F.when(k == 2, F.col("c_name")).when(k == 1, F.lit(""))
+    c = A.table(s, d, "customer")
+    return c.agg(F.count_distinct(sqlutils.surrogate_key([name])).alias("keys"), F.count_distinct(sqlutils.surrogate_key([name], null_as="")).alias("legacy_keys"))
+
 

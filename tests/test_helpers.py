@@ -43,6 +43,10 @@ def test_golden_values(spark):
     url = F.lit("https://www.x.com/a/b?utm=1&ref=q")
     assert (pick(u.url_host(url)), pick(u.url_path(url)), pick(u.url_parameter(url, "ref")), pick(u.url_parameter(url, "no"))) == ("www.x.com", "a/b", "q", None)
     assert pick(u.safe_add(F.lit(None).cast("int"), F.lit(2))) == 2 and pick(u.safe_divide(F.lit(1), F.lit(0))) is None
+    at = dt.datetime(2024, 1, 2, 3, 4, 5)
+    assert u.pretty_time(at) == "03:04:05" and u.pretty_time(at, "%Y") == "2024" and u.pretty_log("done", at) == "03:04:05 + done"
+    with pytest.raises(ValueError):
+        u.surrogate_key_removed("a")
     assert u.slugify("9 Big-Things!") == "_9_big_things" and u.powers_of_two(10) == 4
     assert [r[0] for r in u.date_spine(spark, "month", "2024-01-01", "2024-04-01").collect()] == [dt.date(2024, 1, 1), dt.date(2024, 2, 1), dt.date(2024, 3, 1)]
     with pytest.raises(ValueError):
