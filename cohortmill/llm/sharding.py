@@ -9,7 +9,7 @@ round every linked document adds up its neighbours by shard over all its hubs (f
 rows as it has members, not pairs) and asks for the shard with most of them, if that is more than where it is. Half the documents ask
 at a time, by a hash of row and round, so that two neighbours don't change places for ever. How many may move from shard
 to shard follows from the counts of requests and the room: moves into a full shard are granted as far as others leave it,
-the largest gains first. Rounds end when two in a row move nothing, or after `rounds`. Documents without links fill what
+the largest gains first. Rounds end when no document asks, when two in a row move nothing, or after `rounds`. Documents without links fill what
 is left, so that counts differ by one at most (law `rows`). Slots within a shard follow a hash of the row, or a given order.
 
 Ranks are exact and distributed: rows are numbered within (key, bucket), and the buckets' sizes are added up in front.
@@ -84,9 +84,12 @@ def propagate_labels(links: DataFrame, placed: DataFrame, n_shards: int, quota:
         # A row is no neighbour of its own.
         here = F.element_at(F.array(*(F.col(f"n{s}") for s in shards)), F.col("shard") + 1) - F.col("hubs")
         best = F.array_max(F.array(*(F.struct(F.when(F.col("shard") == s, F.col(f"n{s}") - F.col("hubs")).otherwise(F.col(f"n{s}")).alias("n"), (F.col("shard") == s).alias("own"), F.lit(-s).alias("low")) for s in shards)))
-        asking = votes.select("row", "shard", best.alias("best"), here.alias("here")).where("best.n > here")
-        asking = asking.where(F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(2)) == 0)
-        asking = store.materialize(asking.select("row", F.col("shard").alias("from"), (-F.col("best.low")).alias("to"), (F.col("best.n") - F.col("here")).alias("gain")), "shard-asking")
+        wishes = votes.select("row", "shard", best.alias("best"), here.alias("here")).where("best.n > here")
+        wishes = store.materialize(wishes.select("row", F.col("shard").alias("from"), (-F.col("best.low")).alias("to"), (F.col("best.n") - F.col("here")).alias("gain")), "shard-asking")
+        if not wishes.limit(1).count():
+            store.drop(wishes)
+            break
+        asking = wishes.where(F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(2)) == 0)
         asked = {(r["from"], r.to): r.n for r in asking.groupBy("from", "to").agg(F.count("*").alias("n")).collect()}
         held = {r.shard: r.n for r in state.groupBy("shard").agg(F.count("*").alias("n")).collect()}
         moves = allowed(asked, {s: quota - held.get(s, 0) for s in shards})
@@ -101,7 +104,7 @@ def propagate_labels(links: DataFrame, placed: DataFrame, n_shards: int, quota:
             after = store.materialize(after, "shard-state")
             store.drop(state)
             state = after
-        store.drop(asking)
+        store.drop(wishes)
         if still == 2:
             break
     return state
