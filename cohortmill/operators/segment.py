@@ -29,6 +29,8 @@ SUM_METRICS = ("total_bills", "total_spend", "total_visits")
 METRICS = (*SUM_METRICS, "avg_spend", "avg_bills", "avg_visits", "spend_per_bill", "spend_per_visit")
 
 
+#: Events that the behaviour mart tells. Fixed values.
+_PURCHASES, _PROMOTIONS = ("purchase", "transaction"), ("promo_usage", "cashback")
 _COUNTS = {
     "equals": lambda n, v: n == v,
     "greater_than": lambda n, v: n > v,
@@ -102,19 +104,21 @@ class Engine:
         return test(a.expr())
 
     def _purchase(self, e: rules.Event, needs: _Needs) -> Column:
-        """Events of a brand without an event table, read off the behaviour mart: purchases by total_bills, with the window on the last
-        bill's date; use of promotions by promo_bill_count, without windows."""
+        """Events that the behaviour mart tells: purchases by total_bills, with the window on the last bill's date; use of
+        promotions by promo_bill_count, without windows."""
         needs.aliases.add("ba")
         if e.properties:
             raise ValueError(f"{e.name!r} has no properties in the mart")
-        promo = e.name in ("promo_usage", "cashback")
-        if not promo and e.name not in ("purchase", "transaction"):
+        promo = e.name in _PROMOTIONS
+        if not promo and e.name not in _PURCHASES:
             raise ValueError(f"unknown event {e.name!r}")
+        if promo and e.window.kind != "all_time":
+            raise ValueError(f"the mart doesn't say when {e.name!r} was; it takes no window")
         n, last, w = F.coalesce("promo_bill_count" if promo else "total_bills", F.lit(0)), F.col("last_bill_date"), e.window
         inside = {
             "all_time": lambda: F.lit(True), "last_n_days": lambda: last >= F.date_sub(day(self.as_of), int(w.n)), "after_date": lambda: last > day(w.start),
             "before_date": lambda: last < day(w.end), "between_dates": lambda: last.between(day(w.start), day(w.end)),
-        }[w.kind if not promo else "all_time"]()
+        }[w.kind]()
         inside = F.coalesce(inside, F.lit(False))
         if e.operator == "has_performed":
             return (n > 0) & inside
@@ -126,7 +130,8 @@ class Engine:
         return compare(n, int(e.value)) & inside
 
     def _event(self, e: rules.Event, needs: _Needs) -> Column:
-        if "events" not in self.brand.tables:
+        # In the pg dialect the mart tells purchases and promotions, whatever tables the brand has; in the other one the events do.
+        if "events" not in self.brand.tables or self.dialect == "pg" and e.name in (*_PURCHASES, *_PROMOTIONS):
             return self._purchase(e, needs)
         ts = F.col("event_ts")
         here = F.col("event_name") == e.name

@@ -180,10 +180,28 @@ def listing(category: str | None = None) -> list[AttributeDef]:
     return [a for a in CATALOG.values() if not category or a.category == category]
 
 
-def suggest(partial: str, most: int = 10) -> list[str]:
-    """Keys of the catalogue and names of templates that hold the text."""
+#: What people commonly ask for. Fixed values.
+PATTERNS = (
+    "High spenders in {city}",
+    "Customers who haven't bought in {N} days",
+    "STAR segment customers",
+    "Weekend shoppers with spend > {amount}",
+    "Omni-channel customers in {region}",
+    "New customers (first-time buyers)",
+    "Churned customers with high lifetime value",
+    "Promo lovers (promo bills > {N})",
+    "Top decile customers by spend",
+    "Customers who accept SMS marketing",
+)
+
+
+def suggest(partial: str, most: int = 10, patterns: bool = False) -> list[str]:
+    """Keys of the catalogue and names of templates that hold the text; with patterns also common questions that do."""
     p = partial.lower().strip()
-    return [x for x in (*CATALOG, *TEMPLATES) if p and (p in x.lower() or p in x.replace("-", " ").replace("_", " ").lower())][:most]
+    found = [x for x in (*CATALOG, *TEMPLATES) if p and (p in x.lower() or p in x.replace("-", " ").replace("_", " ").lower())]
+    if patterns:
+        found += [x for x in PATTERNS if p and p in x.lower()]
+    return found[:most]
 
 
 def _t(*conditions: tuple) -> dict:

@@ -433,7 +433,7 @@ def ev(name, operator="has_performed", value=None, **more):
     return {"type": "event", "event_name": name, "operator": operator, "value": value, **more}
 
 
-_rule("event_performed", tree(ev("purchase"), attr("decile.spend_decile", "equals", 1, logical_operator="or")), f"customer_id IN {_EV.format('event_type = ' + repr('purchase'))} OR spend_decile = 1")
+_rule("event_performed", tree(ev("purchase"), attr("decile.spend_decile", "equals", 1, logical_operator="or")), f"customer_id IN {_EV.format('event_type = ' + repr('purchase'))} OR spend_decile = 1", "athena")
 # Every person with events has each type of event, so the second condition is none on events.
 _rule("event_not_performed", tree(ev("signup", "has_not_performed"), attr("decile.spend_decile", "equals", 1)), f"customer_id NOT IN {_EV.format('event_type = ' + repr('signup'))} AND spend_decile = 1")
 _rule("event_count", tree(ev("click", "performed_count_greater_than", 10)), f"customer_id IN {_EV.format('event_type = ' + repr('click') + ' GROUP BY 1 HAVING count(*) > 10')}")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortmill.functions import sqlutils
 from cohortmill.functions.storage import written
-from cohortmill.operators import domain, dq, identity, marts, segment, sketches, staging
+from cohortmill.operators import domain, dq, identity, marts, segment, segments, sketches, staging
 from cohortmill.operators.predicates import predicate
 from cohortmill.plans import adapter as A
 from cohortmill.plans import catalog
@@ -663,3 +663,26 @@ def surrogate_key_legacy(s, d):
     return c.agg(F.count_distinct(sqlutils.surrogate_key([name])).alias("keys"), F.count_distinct(sqlutils.surrogate_key([name], null_as="")).alias("legacy_keys"))
 
 
+# -- exports and stored audiences --------------------------------------------------------------------------------------
+
+
+@query(_ALL + " " + " UNION ALL ".join(f"SELECT '{name}' AS audience, customer_id FROM cba WHERE {where}" for name, where in catalog.EXPORTS.items()))
+def export_audiences(s, d):
+    """All audiences that the sinks export, over one mart."""
+    mart = tenant.models(s, d).frame("behavior")
+    found = F.array(*(F.when(F.expr(where), name) for name, where in catalog.EXPORTS.items()))
+    return mart.select("customer_id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("audience"))
+
+
+@query(_ALL + " SELECT 'top' AS segment_id, count(*) AS customers FROM cba WHERE spend_decile >= 8 UNION ALL SELECT 'top_gone', count(*) FROM cba WHERE spend_decile >= 8 AND lifecycle_stage = 'Churned'")
+def stored_segments(s, d):
+    """Two audiences, one a member of the other, after an update, another computation and a deletion."""
+    stored = segments.Segments(C.shared_engine(s, d), publish.Published(s, A.scratch(s)))
+    stored.create("top", tree(attr("decile.spend_decile", "greater_than_or_equal", 10)))
+    stored.create("gone", TEMPLATES["churned"])
+    stored.create("top_gone", tree(C.member("top"), attr("lifecycle.lifecycle_stage", "equals", "Churned")))
+    stored.update("top", tree(attr("decile.spend_decile", "greater_than_or_equal", 8)))
+    stored.compute("top_gone")
+    stored.delete("gone")
+    out = [stored.ids(x.segment_id).agg(F.lit(x.segment_id).alias("segment_id"), F.count("*").alias("customers")) for x in stored.all()]
+    return out[0].unionByName(out[1])

@@ -70,3 +70,9 @@ class Published:
                 fs, at = self._fs(gone)
                 fs.delete(at, True)
         return built
+
+    def drop(self, name: str) -> None:
+        """Readers stop finding the table, then its rows go."""
+        for gone in (f"{self.root}/{name}/_published", f"{self.root}/{name}"):
+            fs, at = self._fs(gone)
+            fs.delete(at, True)
