@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortmill.llm import store
 from cohortmill.llm.text import Hashed, grams, slices, text_bytes, word_bounds
 
 #: Byte classes: lower, upper, digit, bytes of other letters, stops and commas, symbols, other marks, blanks and line ends.
@@ -195,6 +196,8 @@ def learn_references(docs: DataFrame, text: str = "text", lang: str = "lang", co
         yield from (_merged(code, parts) for code, parts in held.items())
 
     counts = rows.mapInArrow(count, "lang string, word long, n long").groupBy("lang", "word").agg(F.sum(F.col("n").cast("decimal(38,0)")).alias("n"))
+    # Written once: three questions are asked of the counts, and the texts are read for one.
+    counts = store.materialize(counts, "rule-counts")
     # One row for each word of a language; the first of them, the classes, and the sum over all words are kept.
     first = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     words = counts.where("word >= 0")
@@ -206,6 +209,7 @@ def learn_references(docs: DataFrame, text: str = "text", lang: str = "lang", co
     steps = steps.withColumn("upto", F.sum("n").over(by.orderBy("word"))).withColumn("all", F.sum("n").over(by))
     middle = steps.where("2 * upto >= all AND 2 * (upto - n) < all").select("lang", "word", "n")
     got = top.unionByName(middle).unionByName(total).limit(max_languages * (common + CLASSES) + 1).collect()
+    store.drop(counts)
     names = sorted({r.lang for r in got})
     if len(names) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
