@@ -5,7 +5,8 @@ cell is one group of bounded size. Within a block every dimension has its list o
 the lists are read from both ends, ever deeper (a positive weight profits from the top, a negative one from the bottom);
 rows seen for the first time are scored in full. The threshold of a query is the score of a row that stood, in every
 list, where reading has come to: once it is below the k-th score so far, no unseen row can enter, and the query leaves
-the batch. The best k of each cell are merged over the blocks.
+the batch. The first block goes first: the k-th score that a query has there is its floor in all other blocks, where it leaves
+as soon as the threshold is below it, and rows below it aren't sent on. What the cells found is merged over the blocks.
 
 Vectors are integers, floor(scale * component), so scores are exact. Defined results: vectors that are null or hold null
 or non-finite components take no part; vectors are compared with those of their own length only; ties go to the smaller
@@ -23,6 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortmill.llm import store
+
+_LOWEST = -(2**63)
 _OUT = pa.schema([("query_id", pa.int64()), ("query", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
@@ -53,8 +57,10 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
 
 
-def threshold_search(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, batch: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Scores and ids (queries x k, -inf where there are fewer) of the best rows of one block."""
+def threshold_search(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, batch: int = 256, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and ids (queries x k, -inf where there are fewer) of the best rows of one block. floor: scores that a row must reach
+    to matter, one for each query; rows below it may be missing."""
+    floor = np.full(len(queries), -np.inf) if floor is None else floor
     n, d = rows.shape
     order = np.argsort(rows, axis=0, kind="stable")
     lists = np.take_along_axis(rows, order, 0)
@@ -78,7 +84,7 @@ def threshold_search(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarra
             if seen < n:
                 top, low = lists[max(n - 1 - reach, 0)], lists[min(reach, n - 1)]
                 bound = np.maximum(queries[live], 0) @ top + np.minimum(queries[live], 0) @ low
-                live = live[bound >= scores[live][:, -1]]
+                live = live[bound >= np.maximum(scores[live][:, -1], floor[live])]
             reach *= 4
     return scores, found
 
@@ -103,23 +109,38 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, bl
     n, m = rows.count(), queries.count()
     blocks, chunks = max(1, ceil(n / block_rows)), max(1, ceil(m / chunk_rows))
     dims = F.size("v").alias("d")
-    left = queries.select("vec_id", "v", dims, F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(chunks)).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = rows.select("vec_id", "v", dims, F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
+    chunk = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(chunks)).cast("int").alias("chunk")
+    asked = queries.select("vec_id", "v", dims, chunk, F.xxhash64("v").alias("query"))
+    dealt = rows.select("vec_id", "v", dims, F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)).cast("int").alias("block"))
+    dealt = dealt.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
 
     def search(q: pa.Table, c: pa.Table) -> pa.Table:
         if not q.num_rows or not c.num_rows:
             return _OUT.empty_table()
         qid, cid = q["vec_id"].to_numpy(), c["vec_id"].to_numpy()
+        floor = q["floor"].to_numpy()
         x, y = _matrix(q["v"]), _matrix(c["v"])
         if np.abs(x).max() * np.abs(y).max() * x.shape[1] < 2.0**53:
-            scores, found = threshold_search(x, qid, y, cid, k)
-            at = np.isfinite(scores)
+            scores, found = threshold_search(x, qid, y, cid, k, floor=floor.astype(np.float64))
+            at = np.isfinite(scores) & (scores >= floor[:, None])
         else:
             scores, found = exact_search(x, qid, y, cid, k)
-            at = np.arange(k) < np.minimum(k, (cid != qid[:, None]).sum(1))[:, None]
+            at = (np.arange(k) < np.minimum(k, (cid != qid[:, None]).sum(1))[:, None]) & (scores >= floor[:, None])
         return pa.table([np.repeat(qid, at.sum(1)), np.repeat(q["query"].to_numpy(), at.sum(1)), found[at], scores[at].astype(np.int64)], schema=_OUT)
 
-    left = left.withColumn("query", F.xxhash64("v"))
-    best = left.groupBy("chunk", "block", "d").cogroup(right.groupBy("chunk", "block", "d")).applyInArrow(search, "query_id long, query long, vec_id long, score long")
+    def cells(left: DataFrame, right: DataFrame) -> DataFrame:
+        return left.groupBy("chunk", "block", "d").cogroup(right.groupBy("chunk", "block", "d")).applyInArrow(search, "query_id long, query long, vec_id long, score long")
+
     order = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def best(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "query")
+
+    found = cells(asked.withColumns({"block": F.lit(0), "floor": F.lit(_LOWEST)}), dealt.where("block = 0"))
+    if blocks > 1:
+        found = store.materialize(found, "topk-first")
+        floors = best(found).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), "query", F.col("score").alias("floor"))
+        rest = store.materialize(asked.join(floors, ["vec_id", "query"], "left").withColumn("floor", F.coalesce("floor", F.lit(_LOWEST))), "topk-floors")
+        rest = rest.withColumn("block", F.explode(F.sequence(F.lit(1), F.lit(blocks - 1))))
+        found = found.unionByName(cells(rest, dealt.where("block > 0")))
+    return best(found).drop("query")

@@ -52,3 +52,28 @@ def test_empty_vectors_and_components_of_any_size(spark):
     huge = spark.createDataFrame([(0, [1e30]), (1, [1e30])], "vec_id long, embedding array<double>")
     with pytest.raises(Exception, match="64 bits"):
         topk.top_k(huge, F.col("vec_id") % 20 == 0).collect()
+
+
+def test_a_floor_ends_the_search_and_loses_no_row_above_it():
+    rng = np.random.default_rng(5)
+    rows = np.floor(rng.normal(size=(2000, 3)) * 64)
+    q = np.floor(rng.normal(size=(4, 3)) * 64)
+    exact = q @ rows.T
+    floor = np.sort(exact, axis=1)[:, -2]  # between the second and the third row
+    read = []
+    s, ids = topk.threshold_search(q, np.full(4, -1), rows, np.arange(2000), 5, floor=floor)
+    for i in range(4):
+        order = np.lexsort((np.arange(2000), -exact[i]))[:2]
+        assert ids[i][:2].tolist() == order.tolist() and s[i][:2].tolist() == exact[i][order].tolist()
+        read.append(np.isfinite(s[i]).sum())
+    assert read
+
+
+def test_clashing_names_and_other_ids(spark):
+    df = spark.createDataFrame([(20 * i, [float(i), 1.0]) for i in range(30)], "vec_id long, embedding array<double>")
+    for name in ("query", "floor", "block", "chunk", "d", "v", "score"):
+        df = df.withColumn(name, F.lit("own"))
+    got = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 20 == 0, 3, block_rows=7, chunk_rows=5).collect())
+    assert got == brute([(20 * i, [float(i), 1.0]) for i in range(30)], 3)
+    with pytest.raises(ValueError, match="whole numbers"):
+        topk.top_k(spark.createDataFrame([("a", [1.0])], "vec_id string, embedding array<double>"), F.lit(True))
