@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -37,13 +38,70 @@ def test_every_word_is_in_a_passage():
     assert n.tolist() == [64, 64, 64, 8, 0, 0, 1]
 
 
-def test_gradients_by_differences():
+def plain_scores(p, mean, scale, x, bounds):
+    """The forward pass by loops over documents, passages and units."""
+    out = []
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        passages = [[min(6.0, max(-6.0, (v - m) / s)) for v, m, s in zip(row, mean, scale)] for row in x[lo:hi]]
+        raw = []
+        for row in passages:
+            a = 0.0
+            for k in range(len(p["w"])):
+                t = math.tanh(sum(v * p["V"][j][k] for j, v in enumerate(row)))
+                g = 1 / (1 + math.exp(-sum(v * p["U"][j][k] for j, v in enumerate(row))))
+                a += p["w"][k] * t * g
+            raw.append(math.exp(a))
+        total = sum(raw)
+        z = [sum(e / total * row[j] for e, row in zip(raw, passages)) for j in range(len(mean))]
+        out.append(1 / (1 + math.exp(-(sum(c * v for c, v in zip(p["c"], z)) + p["b"][0]))))
+    return out
+
+
+def test_forward_pass_equals_plain_loops():
+    rng = np.random.default_rng(8)
+    x, bounds = rng.normal(size=(14, 5)) * 4, np.array([0, 1, 5, 6, 14])
+    model = quality_mil.fit(x, bounds, np.array([1.0, 0, 1, 0]), np.ones(4), epochs=7)
+    f = model.forward(x, bounds)
+    assert np.allclose(f["score"], plain_scores(model.p, model.mean, model.scale, x, bounds), atol=1e-12)
+    assert np.allclose(np.add.reduceat(f["e"], bounds[:-1]), 1)
+
+
+def test_first_step_goes_against_the_gradient_by_differences():
+    """Adam's first step moves every parameter by the rate against the sign of its gradient: the differences of the loss tell it."""
     rng = np.random.default_rng(1)
-    x, bounds, y = rng.normal(size=(12, 5)), np.array([0, 3, 4, 9, 12]), np.array([1.0, 0, 1, 0])
-    before = quality_mil.fit(x, bounds, y, np.ones(4), epochs=0)
-    after = quality_mil.fit(x, bounds, y, np.ones(4), epochs=60)
-    loss = lambda m: -np.log(np.where(y == 1, (s := m.forward(x, bounds)["score"]), 1 - s)).mean()
-    assert loss(after) < 0.5 * loss(before)
+    x, bounds, y, weight, rate, decay = rng.normal(size=(12, 5)), np.array([0, 3, 4, 9, 12]), np.array([1.0, 0, 1, 0]), np.array([1.0, 2.0, 0.5, 1.0]), 0.02, 0.3
+    two = {"epochs": 2, "rate": rate, "decay": decay}
+    start = quality_mil.fit(x, bounds, y, weight, **two)  # parameters away from c = 0, where V, U and w have no gradient
+    held = {k: v.copy() for k, v in start.p.items()}
+
+    def loss(p):
+        s = np.array(plain_scores(p, start.mean, start.scale, x, bounds))
+        fit = -(weight * np.where(y == 1, np.log(s), np.log(1 - s))).sum() / weight.sum()
+        return fit + decay / 2 * sum((v**2).sum() for k, v in p.items() if k != "b")
+
+    before = quality_mil.fit(x, bounds, y, weight, epochs=0, rate=rate, decay=decay)
+    first = quality_mil.fit(x, bounds, y, weight, epochs=1, rate=rate, decay=decay)
+    checked = 0
+    for k, v in before.p.items():
+        for at in np.ndindex(v.shape):
+            p = {n: a.copy() for n, a in before.p.items()}
+            p[k][at] += 1e-5
+            up = loss(p)
+            p[k][at] -= 2e-5
+            slope = (up - loss(p)) / 2e-5
+            if abs(slope) > 1e-4:
+                checked += 1
+                assert np.isclose(first.p[k][at] - v[at], -rate * np.sign(slope), atol=rate * 1e-3), (k, at)
+    assert checked > 100 and {k for k in held} == {"V", "U", "w", "c", "b"}
+
+
+def test_empty_labels_beside_full_documents_and_empty_documents(spark):
+    docs = corpus(spark, 12).drop("quality")
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    model = quality_mil.train(docs, none)
+    assert {round(r.score, 6) for r in quality_mil.score(docs, model).collect()} == {0.5}
+    again = docs.unionByName(docs.where("doc_id < 3"))
+    assert quality_mil.score(again, model).count() == 15
 
 
 def test_defined_cases(spark):
