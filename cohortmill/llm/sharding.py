@@ -68,15 +68,16 @@ def allowed(asked: dict[tuple[int, int], int], room: dict[int, int]) -> dict[tup
                 over[s] -= cut
 
 
-def propagate_labels(links: DataFrame, placed: DataFrame, n_shards: int, quota: int, rounds: int = 8) -> DataFrame:
-    """placed (row, shard) after label propagation over links (row, hub, members), no shard above its quota."""
+def propagate_labels(links: DataFrame, placed: DataFrame, n_shards: int, quota: int, rounds: int = 4) -> tuple[DataFrame, dict[int, int]]:
+    """placed (row, shard) after label propagation over links (row, hub, members), no shard above its quota; and the shards' sizes."""
     spark = links.sparkSession
     shards = range(n_shards)
+    held = {r.shard: r.n for r in placed.groupBy("shard").agg(F.count("*").alias("n")).collect()}
     state, still = placed, 0
     for turn in range(rounds):
         of = links.join(state, "row")
         counts = of.groupBy("hub").agg(F.first("members").alias("members"), *(F.count(F.when(F.col("shard") == s, 1)).alias(f"n{s}") for s in shards))
-        # A wide hub's counts are copied for each piece of its members; equal hubs of narrow ones have one piece.
+        # A wide hub's counts are copied for each piece of its members; narrow hubs have one piece.
         pieces = F.ceil(F.col("members") / PIECE).cast("int")
         counts = counts.withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("members")
         met = of.withColumn("piece", F.pmod(F.xxhash64("row", F.lit(3)), pieces).cast("int")).join(counts, ["hub", "piece"])
@@ -85,18 +86,14 @@ def propagate_labels(links: DataFrame, placed: DataFrame, n_shards: int, quota:
         here = F.element_at(F.array(*(F.col(f"n{s}") for s in shards)), F.col("shard") + 1) - F.col("hubs")
         best = F.array_max(F.array(*(F.struct(F.when(F.col("shard") == s, F.col(f"n{s}") - F.col("hubs")).otherwise(F.col(f"n{s}")).alias("n"), (F.col("shard") == s).alias("own"), F.lit(-s).alias("low")) for s in shards)))
         wishes = votes.select("row", "shard", best.alias("best"), here.alias("here")).where("best.n > here")
-        wishes = store.materialize(wishes.select("row", F.col("shard").alias("from"), (-F.col("best.low")).alias("to"), (F.col("best.n") - F.col("here")).alias("gain")), "shard-asking")
-        if not wishes.limit(1).count():
-            store.drop(wishes)
-            break
-        asking = wishes.where(F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(2)) == 0)
-        asked = {(r["from"], r.to): r.n for r in asking.groupBy("from", "to").agg(F.count("*").alias("n")).collect()}
-        held = {r.shard: r.n for r in state.groupBy("shard").agg(F.count("*").alias("n")).collect()}
-        moves = allowed(asked, {s: quota - held.get(s, 0) for s in shards})
+        turns = (F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(2)) == 0).alias("asks")
+        wishes = store.materialize(wishes.select("row", F.col("shard").alias("from"), (-F.col("best.low")).alias("to"), (F.col("best.n") - F.col("here")).alias("gain"), turns), "shard-asking")
+        asked = {(r["from"], r.to, r.asks): r.n for r in wishes.groupBy("from", "to", "asks").agg(F.count("*").alias("n")).collect()}
+        moves = allowed({(a, b): n for (a, b, asks), n in asked.items() if asks}, {s: quota - held.get(s, 0) for s in shards})
         still = 0 if moves else still + 1
         if moves:
             granted = spark.createDataFrame([(a * n_shards + b, n) for (a, b), n in moves.items()], "way int, most long")
-            ways = asking.withColumn("way", (F.col("from") * n_shards + F.col("to")).cast("int")).join(F.broadcast(granted), "way")
+            ways = wishes.where("asks").withColumn("way", (F.col("from") * n_shards + F.col("to")).cast("int")).join(F.broadcast(granted), "way")
             # Largest gains first: buckets by the gain's size, then the gain itself.
             level = F.greatest(F.lit(0), F.lit(BUCKETS - 1) - F.floor(4 * F.log2(F.col("gain").cast("double"))))
             ways = ranked(ways, "way", level, [F.desc("gain"), F.xxhash64("row"), F.col("row")], "turn").where("turn < most")
@@ -104,15 +101,17 @@ def propagate_labels(links: DataFrame, placed: DataFrame, n_shards: int, quota:
             after = store.materialize(after, "shard-state")
             store.drop(state)
             state = after
+            for (a, b), n in moves.items():  # each way has as many requests as are granted, or more
+                held[a], held[b] = held.get(a, 0) - n, held.get(b, 0) + n
         store.drop(wishes)
-        if still == 2:
+        if still == 2 or not asked:
             break
-    return state
+    return state, held
 
 
-def propagate(docs: DataFrame, links: DataFrame, n_shards: int, rounds: int = 4) -> DataFrame:
+def propagate(docs: DataFrame, links: DataFrame, n_shards: int, rounds: int = 2) -> DataFrame:
     """row, shard: of the rows in docs (row: unique), linked by links (row, hub; several hubs per row are allowed). rounds: of the
-    filling of hubs, and as many again, twice, of the propagation."""
+    filling of hubs, and twice as many of the propagation."""
     total = docs.count()
     quota = total // n_shards
     wide = links.groupBy("hub").agg(F.count("*").alias("members")).where("members > 1")
@@ -148,9 +147,8 @@ def propagate(docs: DataFrame, links: DataFrame, n_shards: int, rounds: int = 4)
             break
     settled = store.materialize(state.where("stay").select("row", "shard"), "shard-state")
     store.drop(state)
-    settled = propagate_labels(links, settled, n_shards, quota, 2 * rounds) if quota else settled
+    settled, taken = propagate_labels(links, settled, n_shards, quota, 2 * rounds) if quota else (settled, {})
     # Quotas in full: what has no granted place fills the gaps, rows without links among it.
-    taken = {r.shard: r.n for r in settled.groupBy("shard").agg(F.count("*").alias("n")).collect()}
     gaps, at = [], 0
     for s in range(n_shards):
         n = quota + (s < total % n_shards) - taken.get(s, 0)
