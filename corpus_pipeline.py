@@ -63,11 +63,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents, each one's rows written as Parquet and read by the next."""
+    """Apply the stages to documents, each one's rows written as Parquet and read by the next, after which they go."""
     store.importable(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        made = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = store.materialize(docs, f"pipeline-{name}")
+            made = store.materialize(made, f"pipeline-{name}")
+            store.drop(docs)
+        docs = made
     return docs
