@@ -38,13 +38,14 @@ def basket(as_of: str) -> dict[str, Column]:
     }
 
 
-def basket_lines() -> dict[str, Column]:
-    """Over line items with their customer: sku_id, department, category, line_total, quantity, is_private_label, is_promo."""
+def basket_lines(none: float | None = 0) -> dict[str, Column]:
+    """Over line items with their customer: sku_id, department, category, line_total, quantity, is_private_label, is_promo.
+    none: the share of a department of which a customer has no line."""
     total = F.col("line_total")
-    share = lambda c: _pct(F.when(c, total).otherwise(0), total)
+    share = lambda c, other=0: _pct(F.when(c, total).otherwise(other), total)
     has = lambda name: F.coalesce(F.bool_or(F.col("category") == name), F.lit(False))
     return {
-        "distinct_skus_purchased": F.count_distinct("sku_id"), "total_quantity_purchased": F.sum("quantity"), "fresh_produce_pct": share(F.col("department") == "fresh_produce"), "packaged_food_pct": share(F.col("department") == "packaged_food"), "non_food_pct": share(F.col("department") == "non_food"),
+        "distinct_skus_purchased": F.count_distinct("sku_id"), "total_quantity_purchased": F.sum("quantity"), "fresh_produce_pct": share(F.col("department") == "fresh_produce", none), "packaged_food_pct": share(F.col("department") == "packaged_food", none), "non_food_pct": share(F.col("department") == "non_food", none),
         "private_label_pct": share(F.col("is_private_label")), "promo_items_pct": F.try_divide(F.count(_when(F.col("is_promo"))) * 100.0, F.count("sku_id")), "has_alcohol": has("alcohol"), "has_baby_products": has("baby"), "has_pet_products": has("pet"), "has_health_wellness": has("health_wellness"),
     }
 

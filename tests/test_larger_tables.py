@@ -27,3 +27,10 @@ def test_targets_of_many_stores_pass_32_bits(spark, smallest, tables):
     d = tables(supplier=stores.unionByName(stores.selectExpr("s_suppkey + 5000 AS s_suppkey", "s_name", "s_nationkey", "s_acctbal")))
     got = {r.store_code: r.target for r in catalogue.queries()["target_achievement"](spark, d).collect()}
     assert len(got) == 2 * stores.count() and got["5000"] == 5001 * 1000000
+
+
+def test_shares_of_departments_without_lines_are_null(spark, smallest, tables):
+    lines = spark.read.parquet(f"{smallest}/lineitem.parquet").where("l_partkey % 3 <> 0 OR l_orderkey % 2 = 0")
+    orders = spark.read.parquet(f"{smallest}/orders.parquet").selectExpr("* EXCEPT (o_custkey)", "o_orderkey % 4 AS o_custkey")
+    got = {r.customer_id: r.fresh_produce_pct for r in catalogue.queries()["basket_line_metrics"](spark, tables(lineitem=lines, orders=orders)).collect()}
+    assert got["1"] is None and got["3"] is None and got["0"] > 0 and got["2"] > 0
