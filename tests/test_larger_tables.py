@@ -34,3 +34,12 @@ def test_shares_of_departments_without_lines_are_null(spark, smallest, tables):
     orders = spark.read.parquet(f"{smallest}/orders.parquet").selectExpr("* EXCEPT (o_custkey)", "o_orderkey % 4 AS o_custkey")
     got = {r.customer_id: r.fresh_produce_pct for r in catalogue.queries()["basket_line_metrics"](spark, tables(lineitem=lines, orders=orders)).collect()}
     assert got["1"] is None and got["3"] is None and got["0"] > 0 and got["2"] > 0
+
+
+def test_an_email_of_many_profiles_is_one_row(spark, smallest, tables):
+    customers = spark.read.parquet(f"{smallest}/customer.parquet").limit(1).drop("c_custkey").crossJoin(spark.range(2000).selectExpr("id * 500 + 1 AS c_custkey"))
+    got = catalogue.queries()["email_clusters"](spark, tables(customer=customers)).collect()
+    big = [r for r in got if r.value == "u1@example.com"]
+    assert len(big) == 1 and big[0].profiles == 1333 and len(got) == 1
+    ids = big[0].unified_ids.split(",")
+    assert len(ids) == 1333 and ids == sorted(set(ids))
