@@ -429,10 +429,11 @@ def estimate_with_members(s, d):
 
 @query(_ALL + f" SELECT 'union' AS kind, count(*) AS n FROM cba WHERE {' OR '.join(C._S)} UNION ALL SELECT 'overlap', count(*) FROM cba WHERE {' AND '.join(C._S)} UNION ALL SELECT 'exclude', count(*) FROM cba WHERE {C._S[0]} AND NOT coalesce({C._S[1]}, false) AND NOT ({C._S[2]})")
 def set_counts_by_sketch(s, d):
-    """Exact at this size: a sketch holds 4096 ids."""
+    """Exact at every size: audiences are parts of the profiles, whose number says into how many parts the sketches go."""
     e = C.shared_engine(s, d)
-    held = written(sketches.sketched({f"a{i}": e.segment(x) for i, x in enumerate(C._SETS)}))
-    rows = [sketches.set_count(held, kind, ["a0", "a1", "a2"]) for kind in ("union", "overlap", "exclude")]
+    parts = sketches.parts_for(e.brand.table("profiles").count())
+    held = written(sketches.sketched({f"a{i}": e.segment(x) for i, x in enumerate(C._SETS)}, parts=parts))
+    rows = [sketches.set_count(held, kind, ["a0", "a1", "a2"], exact=True) for kind in ("union", "overlap", "exclude")]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 

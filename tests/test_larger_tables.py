@@ -4,6 +4,7 @@ from pathlib import Path
 
 import pytest
 
+from cohortmill.operators import sketches
 from cohortmill.plans import catalogue, coverage  # noqa: F401  coverage adds its queries
 
 
@@ -43,3 +44,14 @@ def test_an_email_of_many_profiles_is_one_row(spark, smallest, tables):
     assert len(big) == 1 and big[0].profiles == 1333 and len(got) == 1
     ids = big[0].unified_ids.split(",")
     assert len(ids) == 1333 and ids == sorted(set(ids))
+
+
+def test_sketches_in_parts_count_exactly(spark):
+    ids = lambda a, b: spark.range(a, b).selectExpr("md5(CAST(id AS STRING)) AS customer_id")
+    audiences = {"a": ids(0, 30000), "b": ids(20000, 50000), "none": ids(0, 0)}
+    held = sketches.sketched(audiences, parts=sketches.parts_for(50000)).persist()
+    counts = {kind: sketches.set_count(held, kind, ["a", "b"], exact=True).first().n for kind in ("union", "overlap", "exclude")}
+    assert counts == {"union": 50000, "overlap": 10000, "exclude": 20000}
+    assert sketches.set_count(held, "overlap", ["a", "none"], exact=True).first().n == 0
+    with pytest.raises(Exception, match="more parts"):
+        sketches.set_count(sketches.sketched(audiences), "union", ["a", "b"], exact=True).collect()
