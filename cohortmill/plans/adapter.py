@@ -47,17 +47,21 @@ def bills(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bill_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line grain, returns included. (bill_id, line_item_no) isn't unique in these tables."""
+    """Line grain, returns included. (bill_id, line_item_no) isn't unique in these tables.
+
+    Bills are met last of the large tables and by bill_id, so what is grouped by bill afterwards lies together already. Stores are
+    broadcast: there are few store codes among the bills, and a join by them would leave all lines to as many tasks."""
     line = table(spark, sf_dir, "lineitem")
     money = "decimal(15,2)"
     price, rate = F.col("l_extendedprice").cast(money), F.col("l_discount").cast(money)
     l = line.select(
-        F.col("l_orderkey").alias("_order"), F.col("l_linenumber").alias("line_item_no"), F.col("l_partkey"), price.alias("gross_sale_value"), F.round(price * rate, 2).cast(money).alias("total_discount"), F.col("l_quantity").cast("decimal(12,3)").alias("billed_qty"),
+        F.col("l_orderkey").cast("string").alias("bill_id"), F.col("l_linenumber").alias("line_item_no"), F.col("l_partkey"), price.alias("gross_sale_value"), F.round(price * rate, 2).cast(money).alias("total_discount"), F.col("l_quantity").cast("decimal(12,3)").alias("billed_qty"),
         (F.col("l_returnflag") == "R").alias("sales_return"), F.when(F.col("l_linestatus") == "O", "Online").otherwise("Store").alias("delivery_channel"), F.when(F.col("l_discount") >= 0.05, "P").alias("promo_indicator"),
     )
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_partkey").cast("string").alias("article"), F.col("p_name").alias("article_desc"), F.col("p_brand").alias("brand_name"), F.col("p_type").alias("segment_desc"), F.concat_ws("/", "p_type", (F.col("p_size") % 5).cast("string")).alias("family_desc"), F.col("p_brand").alias("brick_desc"))
-    out = l.join(bills(spark, sf_dir), "_order").join(p, "l_partkey").drop("_order", "l_partkey")
-    out = out.join(locations(spark, sf_dir).select("store_code", F.col("store_name").alias("store_desc"), "store_format", F.col("store_state").alias("region_desc")), "store_code", "left")
+    out = l.join(p, "l_partkey").drop("l_partkey").join(bills(spark, sf_dir).drop("_order"), "bill_id")
+    stores = locations(spark, sf_dir).select("store_code", F.col("store_name").alias("store_desc"), "store_format", F.col("store_state").alias("region_desc"))
+    out = out.join(F.broadcast(stores), "store_code", "left")
     return out.withColumns(calendar_flags(F.col("bill_date")))
 
 

@@ -1,5 +1,6 @@
 """Queries over tables that have more keys, longer groups and emptier ones than the smallest ones."""
 
+import re
 from pathlib import Path
 
 import pytest
@@ -55,3 +56,11 @@ def test_sketches_in_parts_count_exactly(spark):
     assert sketches.set_count(held, "overlap", ["a", "none"], exact=True).first().n == 0
     with pytest.raises(Exception, match="more parts"):
         sketches.set_count(sketches.sketched(audiences), "union", ["a", "b"], exact=True).collect()
+
+
+def test_no_step_deals_lines_by_their_store_alone(spark, smallest):
+    for name in ("daily_store_sales", "daily_store_sales_full", "bill_summary", "bill_summary_full", "total_sales_margins"):
+        plan = catalogue.queries()[name](spark, smallest)._jdf.queryExecution().executedPlan().toString()
+        dealt = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
+        keys = [[k.split("#")[0] for k in x.split(", ") if "#" in k] for x in dealt]
+        assert keys and ["store_code"] not in keys, name
