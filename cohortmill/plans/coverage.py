@@ -414,8 +414,10 @@ def registry_mart(s, d):
 def published_marts(s, d):
     """Rows of the marts that were published twice, as a reader finds them by name."""
     at = A.scratch(s)
+    m = tenant.models(s, d, at, publish=True)
     for _ in range(2):
-        tenant.models(s, d, at, publish=True).run("behavior", "graph")
+        m.forget("behavior", "graph")
+        m.run("behavior", "graph")
     tables = publish.Published(s, at)
     rows = tables.read("behavior").agg(F.lit("behavior").alias("name"), F.count("*").alias("n"), F.sum("total_spend").cast("decimal(25,2)").alias("spend"))
     return rows.unionByName(tables.read("graph").agg(F.lit("graph").alias("name"), F.count("*").alias("n"), F.lit(None).cast("decimal(25,2)").alias("spend")))
@@ -517,7 +519,8 @@ def preview_athena(s, d):
 @query(_ALL + """ SELECT customer_id, cba.mobile, email, lifecycle_stage AS user_lifecycle, CAST(round(promo_bill_count * 100.0 / total_bills) AS INTEGER) AS promo_share, l1_segment AS value_segment, round(total_spend, 0)::DOUBLE AS total_spend_rounded,
   tenure_days AS days_since_signup, fav_store_code AS preferred_store FROM cba WHERE promo_bill_count >= 2 AND lifecycle_stage IN ('Active', 'At Risk')""")
 def reverse_etl_rows(s, d):
-    rows = sinks.audience_rows(C._behavior(s, d), C._profiles(s, d), catalog.EXPORTS["promo_responsive"])
+    m = tenant.models(s, d, kind="view")
+    rows = sinks.audience_rows(m.frame("behavior"), m.frame("profiles"), catalog.EXPORTS["promo_responsive"])
     return rows.withColumn("total_spend_rounded", F.col("total_spend_rounded").cast("double"))
 
 
@@ -527,7 +530,8 @@ def reverse_etl_rows(s, d):
 @query(_ALL + f""", {C._GS} SELECT gs.unified_id, gs.canonical_mobile, gs.display_name, cba.email, trim(registered_store) AS primary_store_code, store_name AS primary_store_name, store_state AS primary_store_city, lifecycle_stage, total_bills, total_spend, promo_bill_count, tenure_days,
   recency_days, l1_segment, completeness_score, source_systems, store_count FROM gs JOIN cba ON customer_id = unified_id LEFT JOIN loc ON store_code = trim(registered_store)""")
 def customer_360(s, d):
-    return identity.customer_360(C._profiles(s, d), A.locations(s, d), C._behavior(s, d), C._graph(s, d))
+    m = tenant.models(s, d, kind="view")
+    return identity.customer_360(m.frame("profiles"), m.frame("locations"), m.frame("behavior"), m.frame("graph"))
 
 
 @query(f"{C._ID}, {C._UP} SELECT unified_id, display_name FROM up WHERE canonical_mobile = '9000000007'")
@@ -670,7 +674,7 @@ def surrogate_key_legacy(s, d):
 @query(_ALL + " " + " UNION ALL ".join(f"SELECT '{name}' AS audience, customer_id FROM cba WHERE {where}" for name, where in catalog.EXPORTS.items()))
 def export_audiences(s, d):
     """All audiences that the sinks export, over one mart."""
-    mart = tenant.models(s, d).frame("behavior")
+    mart = tenant.models(s, d, kind="view").frame("behavior")
     found = F.array(*(F.when(F.expr(where), name) for name, where in catalog.EXPORTS.items()))
     return mart.select("customer_id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("audience"))
 

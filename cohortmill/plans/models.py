@@ -99,6 +99,11 @@ class Models:
                 self.builds[each] = self.builds.get(each, 0) + 1
         return self.frames[name]
 
+    def forget(self, *names: str) -> None:
+        """The named models, and what needs them, are built again when next asked for; all else stays as it is built."""
+        for name in {n for x in names for n in (x, *self.needed_by(x))}:
+            self.frames.pop(name, None)
+
     def run(self, *names: str) -> list[str]:
         """Build the named models (all, if none is named); gives the tables that were published."""
         for name in self.order(*names):

@@ -5,8 +5,11 @@ from pathlib import Path
 
 import pytest
 
-from cohortmill.operators import sketches
+from pyspark.sql import functions as F
+
+from cohortmill.operators import identity, sketches
 from cohortmill.plans import catalogue, coverage  # noqa: F401  coverage adds its queries
+from cohortmill.plans import tenant
 
 
 @pytest.fixture
@@ -64,3 +67,30 @@ def test_no_step_deals_lines_by_their_store_alone(spark, smallest):
         dealt = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
         keys = [[k.split("#")[0] for k in x.split(", ") if "#" in k] for x in dealt]
         assert keys and ["store_code"] not in keys, name
+
+
+def test_audiences_read_customers_that_are_written_once(spark, smallest):
+    e = catalogue.shared_engine(spark, smallest)
+    for rule in ({"attribute_key": "decile.spend_decile", "operator": "greater_than", "value": 8}, {"attribute_key": "store.fav_store_code", "operator": "exists"}):
+        df = e.segment({"type": "group", "logical_operator": "and", "conditions": [{"type": "attribute", **rule}]})
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "l_orderkey" not in plan and "p_partkey" not in plan
+
+
+def test_published_marts_are_built_again_over_what_is_written(spark, smallest):
+    m = tenant.models(spark, smallest, kind="view")
+    m.frame("behavior")
+    m.forget("behavior")
+    m.frame("behavior")
+    assert m.builds["behavior"] == 2 and m.builds["bills"] == m.builds["profiles"] == m.builds["transactions"] == 1
+
+
+def test_bills_known_to_the_master_or_not_are_met_once(spark):
+    master = spark.createDataFrame([("1", "C1", "5"), ("2", "C2", "6"), (None, "C0", None)], "mobile string, surrogate_id string, registered_store string")
+    for c in identity.PROFILE:
+        master = master if c in master.columns else master.withColumn(c, F.lit(None).cast("string"))
+    seen = spark.createDataFrame([("2", "8", 1), ("2", "7", 2), ("3", "9", 1), ("3", "4", 1)], "mobile string, store_code string, last_bill_date int")
+    got = identity.resolve(master, seen)
+    rows = {r.canonical_mobile: (r.primary_source, r.has_transactions, r.registered_store) for r in got.collect()}
+    assert rows == {"1": ("CIH", False, "5"), "2": ("CIH+POS", True, "6"), "3": ("POS", True, "4"), None: ("CIH", False, None)}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
