@@ -146,6 +146,23 @@ def bill_channel_grain(lines: DataFrame) -> DataFrame:
     )
 
 
+def bill_channels_of_parts(lines: DataFrame, headers: DataFrame) -> DataFrame:
+    """bill_channel_grain where lines (by bill_id) and headers of bills still lie apart: lines are summed up before they meet their
+    bill, so no line is sorted or carries its bill's texts. Lines go to their bill once, for the sums and for the join. A bill_id of
+    several headers has a row for each; bills_of_channels sums them up."""
+    sale = ~F.coalesce("sales_return", F.lit(False))
+    own = lambda f, c: f(F.when(sale, F.col(c)))
+    sums = lines.repartition("bill_id").groupBy("bill_id", "delivery_channel").agg(
+        own(F.sum, "gross_sale_value").alias("_spend"), own(F.sum, "total_discount").alias("_discount"), F.count(F.when(sale, 1)).alias("_items"),
+        F.bool_or("sales_return").alias("has_return"), F.bool_or(F.col("promo_indicator").eqNullSafe("P")).alias("has_promo"),
+    )
+    sold = {"_d": "bill_date", "_s": "store_code", "_desc": "store_desc", "_format": "store_format", "_day": "day_of_week"}
+    return sums.join(headers, "bill_id").select(
+        "mobile_number", "bill_id", "delivery_channel", "bill_date", *(F.when(F.col("_items") > 0, F.col(c)).alias(name) for name, c in sold.items()),
+        "_spend", "_discount", "_items", "has_return", "has_promo", "weekend_flag", "wednesday_flag", F.col("end_secs").alias("_end"), F.col("start_secs").alias("_start"),
+    )
+
+
 def bills_of_channels(grain: DataFrame) -> DataFrame:
     """Customer x bill, from customer x bill x channel; channels: what each channel sold of it."""
     channel = F.when(F.col("_items") > 0, F.col("delivery_channel"))
@@ -270,10 +287,22 @@ def transaction_summary(lines: DataFrame, as_of: str, l1: Mapping[str, tuple[flo
 def transactions_of_grains(bills: DataFrame, articles: DataFrame, as_of: str, l1: Mapping[str, tuple[float, int]] = L1_DEFAULT, deciles: bool = True) -> DataFrame:
     """transaction_summary from its grains: bills, and the favourite articles of each customer. With deciles the customers are
     written once, before their articles are joined: bounds, ranks and whoever asks read these."""
-    out = customer_grain(bills, as_of).join(favourite_store_of_bills(bills), "mobile_number", "left")
-    if deciles:
-        out = ntiles(written(out), "mobile_number", {"spend_decile": (10, F.col("total_spend"), False), "nob_decile": (10, F.col("total_bills"), False)})
-    return out.join(articles, "mobile_number", "left").withColumn("l1_segment", l1_segment(l1)).withColumn("l2_segment", l2_segment())
+    out = customers_of_bills(bills, as_of)
+    return transactions_of_customers(with_deciles(written(out)) if deciles else out, articles, l1)
+
+
+def customers_of_bills(bills: DataFrame, as_of: str) -> DataFrame:
+    """Customer grain with the favourite store."""
+    return customer_grain(bills, as_of).join(favourite_store_of_bills(bills), "mobile_number", "left")
+
+
+def with_deciles(customers: DataFrame) -> DataFrame:
+    return ntiles(customers, "mobile_number", {"spend_decile": (10, F.col("total_spend"), False), "nob_decile": (10, F.col("total_bills"), False)})
+
+
+def transactions_of_customers(customers: DataFrame, articles: DataFrame, l1: Mapping[str, tuple[float, int]] = L1_DEFAULT) -> DataFrame:
+    """The customers with their favourite articles and segments."""
+    return customers.join(articles, "mobile_number", "left").withColumn("l1_segment", l1_segment(l1)).withColumn("l2_segment", l2_segment())
 
 
 def lifecycle(recency: Column) -> Column:

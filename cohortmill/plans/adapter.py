@@ -51,6 +51,12 @@ def bill_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Bills are met last of the large tables and by bill_id, so what is grouped by bill afterwards lies together already. Stores are
     broadcast: there are few store codes among the bills, and a join by them would leave all lines to as many tasks."""
+    out = article_lines(spark, sf_dir).join(bills(spark, sf_dir).drop("_order"), "bill_id")
+    return _with_stores(spark, sf_dir, out)
+
+
+def article_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line grain by bill_id, with articles: what the lines of bill_lines say by themselves."""
     line = table(spark, sf_dir, "lineitem")
     money = "decimal(15,2)"
     price, rate = F.col("l_extendedprice").cast(money), F.col("l_discount").cast(money)
@@ -59,10 +65,17 @@ def bill_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_returnflag") == "R").alias("sales_return"), F.when(F.col("l_linestatus") == "O", "Online").otherwise("Store").alias("delivery_channel"), F.when(F.col("l_discount") >= 0.05, "P").alias("promo_indicator"),
     )
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_partkey").cast("string").alias("article"), F.col("p_name").alias("article_desc"), F.col("p_brand").alias("brand_name"), F.col("p_type").alias("segment_desc"), F.concat_ws("/", "p_type", (F.col("p_size") % 5).cast("string")).alias("family_desc"), F.col("p_brand").alias("brick_desc"))
-    out = l.join(p, "l_partkey").drop("l_partkey").join(bills(spark, sf_dir).drop("_order"), "bill_id")
+    return l.join(p, "l_partkey").drop("l_partkey")
+
+
+def bill_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bill grain: what bill_lines says of a bill on each of its lines."""
+    return _with_stores(spark, sf_dir, bills(spark, sf_dir).drop("_order"))
+
+
+def _with_stores(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
     stores = locations(spark, sf_dir).select("store_code", F.col("store_name").alias("store_desc"), "store_format", F.col("store_state").alias("region_desc"))
-    out = out.join(F.broadcast(stores), "store_code", "left")
-    return out.withColumns(calendar_flags(F.col("bill_date")))
+    return rows.join(F.broadcast(stores), "store_code", "left").withColumns(calendar_flags(F.col("bill_date")))
 
 
 def cih_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -520,7 +520,7 @@ def preview_athena(s, d):
   tenure_days AS days_since_signup, fav_store_code AS preferred_store FROM cba WHERE promo_bill_count >= 2 AND lifecycle_stage IN ('Active', 'At Risk')""")
 def reverse_etl_rows(s, d):
     m = tenant.models(s, d, kind="view")
-    rows = sinks.audience_rows(m.frame("behavior"), m.frame("profiles"), catalog.EXPORTS["promo_responsive"])
+    rows = sinks.audience_rows(tenant.mart(m, set()), m.frame("profiles"), catalog.EXPORTS["promo_responsive"])
     return rows.withColumn("total_spend_rounded", F.col("total_spend_rounded").cast("double"))
 
 
