@@ -531,7 +531,7 @@ def reverse_etl_rows(s, d):
   recency_days, l1_segment, completeness_score, source_systems, store_count FROM gs JOIN cba ON customer_id = unified_id LEFT JOIN loc ON store_code = trim(registered_store)""")
 def customer_360(s, d):
     m = tenant.models(s, d, kind="view")
-    return identity.customer_360(m.frame("profiles"), m.frame("locations"), m.frame("behavior"), m.frame("graph"))
+    return identity.customer_360(m.frame("profiles"), m.frame("locations"), tenant.mart(m, set()), m.frame("graph"))
 
 
 @query(f"{C._ID}, {C._UP} SELECT unified_id, display_name FROM up WHERE canonical_mobile = '9000000007'")
