@@ -674,7 +674,7 @@ def surrogate_key_legacy(s, d):
 @query(_ALL + " " + " UNION ALL ".join(f"SELECT '{name}' AS audience, customer_id FROM cba WHERE {where}" for name, where in catalog.EXPORTS.items()))
 def export_audiences(s, d):
     """All audiences that the sinks export, over one mart."""
-    mart = tenant.models(s, d, kind="view").frame("behavior")
+    mart = tenant.mart(tenant.models(s, d, kind="view"), set())
     found = F.array(*(F.when(F.expr(where), name) for name, where in catalog.EXPORTS.items()))
     return mart.select("customer_id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("audience"))
 

@@ -23,7 +23,7 @@ def ranked(monkeypatch):
     return names
 
 
-@pytest.mark.parametrize("name", ["reverse_etl_rows", "customer_360"])
+@pytest.mark.parametrize("name", ["reverse_etl_rows", "export_audiences", "customer_360"])
 def test_readers_of_no_rank_have_none_computed(spark, smallest, ranked, name):
     assert catalogue.queries()[name](spark, smallest).count() > 0
     assert ranked == []
