@@ -29,6 +29,12 @@ def test_readers_of_no_rank_have_none_computed(spark, smallest, ranked, name):
     assert ranked == []
 
 
+@pytest.mark.parametrize("name", ["estimate_with_members"])
+def test_audiences_of_a_decile_have_no_scores_computed(spark, smallest, ranked, name):
+    catalogue.queries()[name](spark, smallest).count()
+    assert set(ranked) == tenant.DECILES
+
+
 def test_lazy_marts_agree_whatever_is_asked(spark, smallest):
     m = tenant.models(spark, smallest, kind="view")
     whole = tenant.models(spark, smallest).frame("behavior")
