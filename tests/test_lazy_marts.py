@@ -29,7 +29,7 @@ def test_readers_of_no_rank_have_none_computed(spark, smallest, ranked, name):
     assert ranked == []
 
 
-@pytest.mark.parametrize("name", ["estimate_with_members", "stored_segments", "set_overlap", "set_exclude"])
+@pytest.mark.parametrize("name", ["estimate_with_members", "stored_segments", "set_overlap", "set_exclude", "cross_brand"])
 def test_audiences_of_a_decile_have_no_scores_computed(spark, smallest, ranked, name):
     catalogue.queries()[name](spark, smallest).count()
     assert set(ranked) == tenant.DECILES
