@@ -69,3 +69,13 @@ def test_few_rows(spark, n):
     df = spark.createDataFrame([("v", "i")][:n], "value string, id string")
     members = links.memberships(df, ["value"], ["id"])
     assert links.classes(df, ["value"], ["id"]).count() == members.count() == links.pairs(members, ["value"], ["id"], "id").count() == 0
+
+
+def test_files_of_pairs_hold_runs_and_references(spark, tmp_path):
+    ids = spark.range(2500).select(F.lit("v").alias("value"), F.md5(F.col("id").cast("string")).alias("id"))
+    pairs = links.pairs(links.memberships(ids, ["value"], ["id"]), ["value"], ["id"], "id")
+    pairs.write.parquet(str(tmp_path / "pairs"))
+    n = 2500 * 2499 // 2
+    held = spark.read.parquet(str(tmp_path / "pairs"))
+    assert held.count() == n and held.distinct().count() == n and held.where("id_1 >= id_2").count() == 0
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < n
