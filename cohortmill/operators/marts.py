@@ -22,6 +22,8 @@ L1_DEFAULT = {"large": (1400, 4), "small": (750, 5)}
 LARGE_FORMATS = ("Large", "LARGE", "Hyper")
 #: Days without a bill that bound the states of the second segmentation.
 L2_DAYS = (30, 60, 120, 180)
+#: Columns of spending_of_parts.
+SPENDING = ["first_bill_date", "last_bill_date", "total_bills", "total_spend", "recency_days", "tenure_days", "spend_per_bill", "channel_presence"]
 LIFECYCLE_DAYS = ((30, "Active"), (90, "At Risk"), (180, "Lapsed"))
 
 
@@ -185,6 +187,20 @@ def channel_summary_of_bills(grain: DataFrame) -> DataFrame:
     return g.withColumn("spend_per_bill", ratio(F.col("spend"), F.col("bills"))).withColumn("spend_per_visit", ratio(F.col("spend"), F.col("visits")))
 
 
+def spending_of_parts(lines: DataFrame, headers: DataFrame, as_of: str) -> DataFrame:
+    """Of customers_of_bills the columns that need no sets, modes or texts of bills: SPENDING, from lines (by bill_id) and headers of
+    bills. Lines are summed up before they meet their bill, channels are told apart by their hashes, so that all is aggregated by
+    hash, without a sort; no bill is written."""
+    sold = lines.where(~F.coalesce("sales_return", F.lit(False))).select("bill_id", "gross_sale_value", F.when(F.col("delivery_channel").isNotNull(), F.xxhash64("delivery_channel")).alias("_channel"))
+    channels = [F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")]
+    sums = sold.repartition("bill_id").groupBy("bill_id").agg(F.sum("gross_sale_value").alias("_spend"), F.min("_channel").alias("_lo"), F.max("_channel").alias("_hi"))
+    bills = sums.join(headers.select("bill_id", "mobile_number", "bill_date"), "bill_id").groupBy("mobile_number", "bill_id").agg(F.min("bill_date").alias("_d"), F.sum("_spend").alias("_spend"), *channels)
+    out = bills.groupBy("mobile_number").agg(F.min("_d").alias("first_bill_date"), F.max("_d").alias("last_bill_date"), F.count("*").alias("total_bills"), F.sum("_spend").cast(MONEY).alias("total_spend"), *channels)
+    presence = F.when(F.col("_lo") != F.col("_hi"), "Omni").when(F.col("_hi") == F.xxhash64(F.lit("Online")), "Online").otherwise("Offline")
+    out = out.withColumns({"recency_days": F.datediff(day(as_of), "last_bill_date"), "tenure_days": F.datediff(day(as_of), "first_bill_date"), "spend_per_bill": ratio(F.col("total_spend"), F.col("total_bills")), "channel_presence": presence})
+    return out.select("mobile_number", *SPENDING)
+
+
 def bill_grain(lines: DataFrame) -> DataFrame:
     """Customer x bill, returns included; _items, _spend and what begins with _ counts lines that aren't returns."""
     return bills_of_channels(bill_channel_grain(lines))
@@ -312,10 +328,15 @@ def lifecycle(recency: Column) -> Column:
     return out.otherwise("Churned")
 
 
+def profiled(profiles: DataFrame, transactions: DataFrame) -> DataFrame:
+    """The profiles' own columns, as the mart names them, with what is known of each customer."""
+    p = profiles.select(F.col("unified_id").alias("customer_id"), F.col("canonical_mobile").alias("mobile"), *[c for c in profiles.columns if c not in ("unified_id", "canonical_mobile", "mobile", "customer_id")])
+    return p.join(transactions.withColumnRenamed("mobile_number", "mobile"), "mobile", "left")
+
+
 def behavioral(profiles: DataFrame, transactions: DataFrame, channels: DataFrame, scores: bool = True) -> DataFrame:
     """One wide row for each profile: its own columns, transactions, channels, lifecycle and RFM scores (left out by scores=False)."""
-    p = profiles.select(F.col("unified_id").alias("customer_id"), F.col("canonical_mobile").alias("mobile"), *[c for c in profiles.columns if c not in ("unified_id", "canonical_mobile", "mobile", "customer_id")])
-    out = p.join(transactions.withColumnRenamed("mobile_number", "mobile"), "mobile", "left").join(channel_pivot(channels).withColumnRenamed("mobile_number", "mobile"), "mobile", "left")
+    out = profiled(profiles, transactions).join(channel_pivot(channels).withColumnRenamed("mobile_number", "mobile"), "mobile", "left")
     out = out.withColumn("lifecycle_stage", lifecycle(F.col("recency_days")))
     if not scores:
         return out

@@ -114,6 +114,7 @@ class Engine:
             raise ValueError(f"unknown event {e.name!r}")
         if promo and e.window.kind != "all_time":
             raise ValueError(f"the mart doesn't say when {e.name!r} was; it takes no window")
+        needs.columns |= {"promo_bill_count" if promo else "total_bills", "last_bill_date"}
         n, last, w = F.coalesce("promo_bill_count" if promo else "total_bills", F.lit(0)), F.col("last_bill_date"), e.window
         inside = {
             "all_time": lambda: F.lit(True), "last_n_days": lambda: last >= F.date_sub(day(self.as_of), int(w.n)), "after_date": lambda: last > day(w.start),
